@@ -86,3 +86,25 @@ def document_files(t: Tables) -> DataFrame:
     path = F.concat_ws("/", F.col("source"), F.col("lang"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     return d.select(F.col("source").alias(REPO), path.alias("path"), F.col("n_chars").alias("size"),
                     F.lit(".txt").alias("extension"), "doc_id")
+
+
+def part_edges(t: Tables, **pair_opts) -> DataFrame:
+    """(repo_id, src, dst): each part's strongest co-change partner per repo (ties: smaller key)."""
+    r = history.cochange_ratios(part_commits(t), **pair_opts)
+    w = Window.partitionBy(REPO, "a").orderBy(F.col("joint").desc(), F.col("b"))
+    return (r.withColumn("r", F.row_number().over(w)).where("r = 1")
+            .select(REPO, F.col("a").alias("src"), F.col("b").alias("dst")))
+
+
+def part_modules(t: Tables) -> DataFrame:
+    """Root-level module files, one per distinct part-name word: (repo_id, module, file)."""
+    w = t.part.select(F.explode(F.split(F.col("p_name"), " ")).alias("module")).distinct()
+    return w.select(F.lit("parts").alias(REPO), "module", F.concat("module", F.lit(".py")).alias("file"))
+
+
+def part_raw_imports(t: Tables) -> DataFrame:
+    """Each part file 'imports' the words of its name and its type: (repo_id, src, module)."""
+    pf = part_files(t)
+    p = t.part.select(F.col("p_partkey").alias("key"),
+                      F.concat(F.split(F.col("p_name"), " "), F.array(F.lower("p_type"))).alias("mods"))
+    return pf.join(p, "key").select(REPO, F.col("path").alias("src"), F.explode("mods").alias("module"))

@@ -87,3 +87,110 @@ cf AS (
   JOIN win w ON w.repo_id = c.repo_id AND w.commit_id = c.commit_id),{RATIOS}
 SELECT * FROM ratios WHERE total_a >= 2 AND pct > 10
 """)
+
+NATION_EDGES = """nl AS (
+  SELECT c.c_nationkey AS src, s.s_nationkey AS dst, count(*) AS n
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+  JOIN customer c ON o.o_custkey = c.c_custkey JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  WHERE c.c_nationkey <> s.s_nationkey GROUP BY c.c_nationkey, s.s_nationkey),
+e AS (SELECT 'nations' AS repo_id, CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst FROM (
+  SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS rk FROM nl) WHERE rk <= 2)"""
+
+SUPP_EDGES = SUPP_CF + "," + RATIOS + """,
+e AS (SELECT repo_id, a AS src, b AS dst FROM (
+  SELECT repo_id, a, b, row_number() OVER (PARTITION BY repo_id, a ORDER BY joint DESC, b) AS rk
+  FROM ratios) WHERE rk = 1)"""
+
+PART_EDGES = PART_CF + "," + RATIOS + """,
+e AS (SELECT repo_id, a AS src, b AS dst FROM (
+  SELECT repo_id, a, b, row_number() OVER (PARTITION BY repo_id, a ORDER BY joint DESC, b) AS rk
+  FROM ratios) WHERE rk = 1)"""
+
+CLOSURE = """reach(repo_id, src, dst) AS (
+  SELECT repo_id, src, dst FROM e
+  UNION
+  SELECT r.repo_id, r.src, e.dst FROM reach r JOIN e ON r.repo_id = e.repo_id AND r.dst = e.src),
+comp AS (
+  SELECT r.repo_id, r.src AS node, min(r.dst) AS component FROM reach r
+  WHERE EXISTS (SELECT 1 FROM reach b WHERE b.repo_id = r.repo_id AND b.src = r.dst AND b.dst = r.src)
+  GROUP BY r.repo_id, r.src)"""
+
+CYCLES_SELECT = """
+SELECT c.repo_id, c.node, c.component, s.component_size
+FROM comp c JOIN (SELECT repo_id, component, count(*) AS component_size FROM comp GROUP BY ALL) s
+  ON c.repo_id = s.repo_id AND c.component = s.component"""
+
+DEPTH = """nodes AS (SELECT repo_id, src AS node FROM e UNION SELECT repo_id, dst AS node FROM e),
+nc AS (SELECT n.repo_id, n.node, coalesce(c.component, n.node) AS c
+       FROM nodes n LEFT JOIN comp c ON c.repo_id = n.repo_id AND c.node = n.node),
+w AS (SELECT repo_id, c, count(*) AS w FROM nc GROUP BY repo_id, c),
+dag AS (SELECT DISTINCT e.repo_id, a.c AS cs, b.c AS cd FROM e
+        JOIN nc a ON a.repo_id = e.repo_id AND a.node = e.src
+        JOIN nc b ON b.repo_id = e.repo_id AND b.node = e.dst WHERE a.c <> b.c),
+paths(repo_id, start, cur, acc) AS (
+  SELECT repo_id, c, c, w FROM w
+  UNION
+  SELECT p.repo_id, p.start, d.cd, p.acc + w.w FROM paths p
+  JOIN dag d ON d.repo_id = p.repo_id AND d.cs = p.cur
+  JOIN w ON w.repo_id = d.repo_id AND w.c = d.cd),
+depth AS (SELECT repo_id, start AS c, max(acc) AS depth FROM paths GROUP BY repo_id, start)
+SELECT nc.repo_id, nc.node, CAST(d.depth AS BIGINT) AS depth
+FROM nc JOIN depth d ON d.repo_id = nc.repo_id AND d.c = nc.c"""
+
+oracle("import_resolution", """
+WITH pf AS (
+  SELECT 'parts' AS repo_id,
+         lower(p_type) || '/' || replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS VARCHAR) || '.py' AS src,
+         list_concat(string_split(p_name, ' '), [lower(p_type)]) AS mods FROM part),
+raw AS (SELECT repo_id, src, unnest(mods) AS module FROM pf),
+modules AS (SELECT DISTINCT 'parts' AS repo_id, w AS module, w || '.py' AS file
+            FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part))
+SELECT DISTINCT r.repo_id, r.src, m.file AS dst FROM raw r
+JOIN modules m ON m.repo_id = r.repo_id AND m.module = r.module WHERE r.src <> m.file
+""")
+
+oracle("fan_in_out", f"""
+WITH {NATION_EDGES},
+o AS (SELECT repo_id, src AS node, count(*) AS fan_out FROM (SELECT DISTINCT * FROM e) GROUP BY ALL),
+i AS (SELECT repo_id, dst AS node, count(*) AS fan_in FROM (SELECT DISTINCT * FROM e) GROUP BY ALL)
+SELECT coalesce(o.repo_id, i.repo_id) AS repo_id, coalesce(o.node, i.node) AS node,
+       coalesce(o.fan_out, 0) AS fan_out, coalesce(i.fan_in, 0) AS fan_in
+FROM o FULL OUTER JOIN i ON o.repo_id = i.repo_id AND o.node = i.node
+""")
+
+oracle("reverse_deps", f"""
+WITH {NATION_EDGES}
+SELECT DISTINCT repo_id, dst AS file, src AS importer FROM e
+""")
+
+oracle("import_cycles", f"WITH RECURSIVE {NATION_EDGES}, {CLOSURE} {CYCLES_SELECT}")
+oracle("supplier_cycles", f"WITH RECURSIVE {SUPP_EDGES}, {CLOSURE} {CYCLES_SELECT}")
+oracle("dependency_depth", f"WITH RECURSIVE {NATION_EDGES}, {CLOSURE}, {DEPTH}")
+oracle("supplier_depth", f"WITH RECURSIVE {SUPP_EDGES}, {CLOSURE}, {DEPTH}")
+
+BLAST = PART_EDGES.replace("\ne AS (", "\nse AS (") + """,
+tm AS (SELECT repo_id, a, b, pct FROM ratios WHERE total_a >= 2 AND pct > 10),
+fused AS (
+  SELECT coalesce(s.repo_id, t.repo_id) AS repo_id, coalesce(s.src, t.a) AS target,
+         coalesce(s.dst, t.b) AS file, CAST(CASE WHEN s.src IS NULL THEN 0 ELSE 1 END AS BIGINT) AS static,
+         CAST(coalesce(t.pct, 0) AS BIGINT) AS pct
+  FROM (SELECT DISTINCT * FROM se) s FULL OUTER JOIN tm t
+    ON s.repo_id = t.repo_id AND s.src = t.a AND s.dst = t.b),
+radius AS (
+  SELECT repo_id, target, file, static, pct,
+         CAST(least((4000 * static + 60 * pct) // 100, 100) AS BIGINT) AS impact_weight,
+         CASE WHEN static = 1 AND pct > 70 THEN 'Tight Coupler (Import & Git)'
+              WHEN static = 1 THEN 'Direct Import' ELSE 'Shadow Coupling (Git History)' END AS relationship
+  FROM fused)"""
+
+oracle("blast_radius", f"WITH {BLAST} SELECT * FROM radius")
+oracle("global_impact", f"""
+WITH {BLAST},
+g AS (SELECT repo_id, target, sum(impact_weight) AS s, count(*) AS modules_affected FROM radius GROUP BY ALL)
+SELECT repo_id, target, CAST(least((s * (20 + modules_affected)) // (20 * modules_affected), 100) AS BIGINT)
+         AS global_impact_score, modules_affected,
+       CASE WHEN least((s * (20 + modules_affected)) // (20 * modules_affected), 100) > 70 THEN 'CRITICAL'
+            WHEN least((s * (20 + modules_affected)) // (20 * modules_affected), 100) > 40 THEN 'HIGH'
+            ELSE 'MEDIUM' END AS risk_level
+FROM g
+""")

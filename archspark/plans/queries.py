@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archspark.operators import history
+from archspark.operators import graph, history
 from archspark.plans import bindings as B
 from archspark.sources.tables import Tables
 
@@ -66,3 +66,60 @@ def windowed_temporal_matrix(spark, sf_dir):
     t = Tables(spark, sf_dir)
     files = history.windowed_history(B.commits(t), B.part_commits(t))
     return history.temporal_matrix(files, code_only=False)
+
+
+# ---------------------------------------------------------------- graph
+
+@query
+def import_resolution(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return graph.resolve_imports(B.part_raw_imports(t), B.part_modules(t))
+
+
+@query
+def fan_in_out(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return graph.fan_in_out(B.nation_edges(t))
+
+
+@query
+def reverse_deps(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return graph.reverse_deps(B.nation_edges(t))
+
+
+@query
+def import_cycles(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return graph.cycle_components(B.nation_edges(t))
+
+
+@query
+def supplier_cycles(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return graph.cycle_components(B.supplier_edges(t))
+
+
+@query
+def dependency_depth(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return graph.dependency_depth(B.nation_edges(t))
+
+
+@query
+def supplier_depth(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return graph.dependency_depth(B.supplier_edges(t))
+
+
+@query
+def blast_radius(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return graph.blast_radius(B.part_edges(t), history.temporal_matrix(B.part_commits(t), code_only=False))
+
+
+@query
+def global_impact(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    r = graph.blast_radius(B.part_edges(t), history.temporal_matrix(B.part_commits(t), code_only=False))
+    return graph.global_impact(r).withColumn("risk_level", graph.risk_level())
