@@ -108,3 +108,27 @@ def part_raw_imports(t: Tables) -> DataFrame:
     p = t.part.select(F.col("p_partkey").alias("key"),
                       F.concat(F.split(F.col("p_name"), " "), F.array(F.lower("p_type"))).alias("mods"))
     return pf.join(p, "key").select(REPO, F.col("path").alias("src"), F.explode("mods").alias("module"))
+
+
+def supplier_files(t: Tables) -> DataFrame:
+    """(repo_id, path): suppliers seen in each repo's commits."""
+    return supplier_commits(t).select(REPO, "path").distinct()
+
+
+def supplier_models(t: Tables) -> DataFrame:
+    """(repo_id, path, model): a supplier 'defines' the model named after its nation."""
+    s = t.supplier.select(F.col("s_suppkey").alias("path"),
+                          F.concat(F.lit("nation_"), F.col("s_nationkey").cast("string")).alias("model"))
+    return supplier_files(t).join(s, "path").select(REPO, "path", "model")
+
+
+def supplier_routes(t: Tables) -> DataFrame:
+    """(repo_id, path, route): a supplier 'serves' the part type it supplies most (ties: name)."""
+    li = t.lineitem.select("l_suppkey", "l_partkey")
+    p = t.part.select("p_partkey", "p_type")
+    counts = (li.join(p, li.l_partkey == p.p_partkey).groupBy("l_suppkey", "p_type")
+              .agg(F.count(F.lit(1)).alias("n")))
+    w = Window.partitionBy("l_suppkey").orderBy(F.col("n").desc(), F.col("p_type"))
+    top = (counts.withColumn("r", F.row_number().over(w)).where("r = 1")
+           .select(F.col("l_suppkey").alias("path"), F.concat(F.lit("/"), F.lower("p_type")).alias("route")))
+    return supplier_files(t).join(top, "path").select(REPO, "path", "route")

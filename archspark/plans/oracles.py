@@ -194,3 +194,56 @@ SELECT repo_id, target, CAST(least((s * (20 + modules_affected)) // (20 * module
             ELSE 'MEDIUM' END AS risk_level
 FROM g
 """)
+
+COMPANIONS = SUPP_EDGES + """,
+files AS (SELECT DISTINCT repo_id, path FROM cf),
+models AS (SELECT f.repo_id, f.path, 'nation_' || CAST(s.s_nationkey AS VARCHAR) AS model
+           FROM files f JOIN supplier s ON s.s_suppkey = f.path),
+tc AS (SELECT l.l_suppkey AS path, p.p_type, count(*) AS n FROM lineitem l
+       JOIN part p ON l.l_partkey = p.p_partkey GROUP BY ALL),
+troute AS (SELECT path, '/' || lower(p_type) AS route FROM (
+  SELECT path, p_type, row_number() OVER (PARTITION BY path ORDER BY n DESC, p_type) AS rk FROM tc) WHERE rk = 1),
+routes AS (SELECT f.repo_id, f.path, r.route FROM files f JOIN troute r ON r.path = f.path),
+pairs AS (
+  SELECT t.repo_id, t.path AS target, f.path AS file FROM files t JOIN files f
+    ON t.repo_id = f.repo_id AND t.path <> f.path),
+sc AS (
+  SELECT p.repo_id, p.target, p.file,
+    EXISTS (SELECT 1 FROM e WHERE e.repo_id = p.repo_id AND e.src = p.file AND e.dst = p.target) AS imp_in,
+    EXISTS (SELECT 1 FROM e WHERE e.repo_id = p.repo_id AND e.src = p.target AND e.dst = p.file) AS imp_out,
+    (SELECT string_agg(DISTINCT a.model, ', ' ORDER BY a.model) FROM models a JOIN models b
+       ON a.repo_id = b.repo_id AND a.model = b.model
+     WHERE a.repo_id = p.repo_id AND a.path = p.target AND b.path = p.file) AS sm,
+    (SELECT string_agg(DISTINCT a.route, ', ' ORDER BY a.route) FROM routes a JOIN routes b
+       ON a.repo_id = b.repo_id AND a.route = b.route
+     WHERE a.repo_id = p.repo_id AND a.path = p.target AND b.path = p.file) AS sr,
+    coalesce((SELECT r.pct FROM ratios r WHERE r.repo_id = p.repo_id AND r.a = p.target AND r.b = p.file), 0) AS pct
+  FROM pairs p),
+scored AS (
+  SELECT *, CAST(CASE WHEN imp_in THEN 500 ELSE 0 END + CASE WHEN imp_out THEN 400 ELSE 0 END
+         + CASE WHEN sm IS NOT NULL THEN 300 ELSE 0 END + CASE WHEN sr IS NOT NULL THEN 200 ELSE 0 END
+         + 5 * pct AS BIGINT) AS score FROM sc),
+conf AS (
+  SELECT *, CAST(least(50 + (score + 10) // 20, 99) AS BIGINT) AS confidence_pct FROM scored WHERE score > 0),
+ranked AS (
+  SELECT repo_id, target, file, score, confidence_pct, confidence_pct / 100.0 AS confidence,
+    concat_ws(' and ',
+      CASE WHEN imp_in THEN 'Explicitly imports ' || CAST(target AS VARCHAR) END,
+      CASE WHEN imp_out THEN 'Imported by ' || CAST(target AS VARCHAR) END,
+      CASE WHEN sm IS NOT NULL THEN 'Shares DB model: ' || sm END,
+      CASE WHEN sr IS NOT NULL THEN 'Shares API endpoint paths: ' || sr END,
+      CASE WHEN pct > 0 THEN 'Co-changed in ' || CAST(pct AS VARCHAR) || '% of commit history' END) AS reason,
+    row_number() OVER (PARTITION BY repo_id, target ORDER BY confidence_pct DESC, file) AS rank
+  FROM conf)"""
+
+oracle("companion_files", f"""
+WITH {COMPANIONS}
+SELECT repo_id, target, file, score, confidence_pct, CAST(confidence AS DOUBLE) AS confidence, reason,
+       CAST(rank AS BIGINT) AS rank FROM ranked WHERE rank <= 8
+""")
+
+oracle("simulated_impact", f"""
+WITH {COMPANIONS}
+SELECT repo_id, target, CAST(floor(avg(confidence_pct)) AS BIGINT) AS impact_score
+FROM ranked WHERE rank <= 8 GROUP BY repo_id, target
+""")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archspark.operators import graph, history
+from archspark.operators import companions, graph, history
 from archspark.plans import bindings as B
 from archspark.sources.tables import Tables
 
@@ -123,3 +123,22 @@ def global_impact(spark, sf_dir):
     t = Tables(spark, sf_dir)
     r = graph.blast_radius(B.part_edges(t), history.temporal_matrix(B.part_commits(t), code_only=False))
     return graph.global_impact(r).withColumn("risk_level", graph.risk_level())
+
+
+# ---------------------------------------------------------------- companions
+
+def _supplier_companions(t, k=8):
+    return companions.companions(B.supplier_files(t), B.supplier_edges(t), B.supplier_models(t),
+                                 B.supplier_routes(t), history.cochange_ratios(B.supplier_commits(t)), k=k)
+
+
+@query
+def companion_files(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return _supplier_companions(t)
+
+
+@query
+def simulated_impact(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return companions.impact_score(_supplier_companions(t))
