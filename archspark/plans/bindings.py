@@ -132,3 +132,43 @@ def supplier_routes(t: Tables) -> DataFrame:
     top = (counts.withColumn("r", F.row_number().over(w)).where("r = 1")
            .select(F.col("l_suppkey").alias("path"), F.concat(F.lit("/"), F.lower("p_type")).alias("route")))
     return supplier_files(t).join(top, "path").select(REPO, "path", "route")
+
+
+# Binding taxonomy for part files (data, not code): layer, priority, keywords.
+PART_LAYERS = [
+    ("Fastener Layer", ["bolt", "rod", "ring"]),
+    ("Tooling Layer", ["gear", "anvil", "plate"]),
+    ("Gadget Layer", ["gizmo", "widget"]),
+    ("Climate Layer", ["hot", "cold"]),
+    ("Core Runtime Layer", []),
+]
+PART_PATH_RULES = [
+    ("path", 1, "Tooling Layer", "^large/", 8),
+    ("path", 2, "Gadget Layer", "^(promo|small)/", 8),
+]
+
+
+def part_taxonomy(spark):
+    rows = [(layer, i, kw) for i, (layer, kws) in enumerate(PART_LAYERS, start=1) for kw in kws]
+    return spark.createDataFrame(rows, "layer string, priority int, keyword string")
+
+
+def part_layers(spark):
+    return spark.createDataFrame([(layer, i) for i, (layer, _) in enumerate(PART_LAYERS, start=1)],
+                                 "layer string, priority int")
+
+
+def part_path_rules(spark):
+    return spark.createDataFrame(PART_PATH_RULES, "grp string, ord int, layer string, pattern string, points int")
+
+
+def part_graph(t: Tables, **pair_opts) -> DataFrame:
+    """(repo_id='parts', src, dst) over part file paths: each part's strongest partner across all orders."""
+    cf = _commit_files(t, "l_partkey").withColumn(REPO, F.lit("parts"))
+    r = history.cochange_ratios(cf, **pair_opts)
+    w = Window.partitionBy(REPO, "a").orderBy(F.col("joint").desc(), F.col("b"))
+    top = r.withColumn("r", F.row_number().over(w)).where("r = 1").select(REPO, "a", "b")
+    pf = part_files(t)
+    ps = pf.select(F.col("key").alias("a"), F.col("path").alias("src"))
+    pd = pf.select(F.col("key").alias("b"), F.col("path").alias("dst"))
+    return top.join(ps, "a").join(pd, "b").select(REPO, "src", "dst")

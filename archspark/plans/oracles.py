@@ -247,3 +247,75 @@ WITH {COMPANIONS}
 SELECT repo_id, target, CAST(floor(avg(confidence_pct)) AS BIGINT) AS impact_score
 FROM ranked WHERE rank <= 8 GROUP BY repo_id, target
 """)
+
+PART_LAYER_CTES = """pf AS (
+  SELECT 'parts' AS repo_id, p_partkey AS key,
+         lower(p_type) || '/' || replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS VARCHAR) || '.py' AS path
+  FROM part),
+tax(layer, priority, keyword) AS (VALUES
+  ('Fastener Layer', 1, 'bolt'), ('Fastener Layer', 1, 'rod'), ('Fastener Layer', 1, 'ring'),
+  ('Tooling Layer', 2, 'gear'), ('Tooling Layer', 2, 'anvil'), ('Tooling Layer', 2, 'plate'),
+  ('Gadget Layer', 3, 'gizmo'), ('Gadget Layer', 3, 'widget'),
+  ('Climate Layer', 4, 'hot'), ('Climate Layer', 4, 'cold')),
+lyr(layer, priority) AS (VALUES ('Fastener Layer', 1), ('Tooling Layer', 2), ('Gadget Layer', 3),
+  ('Climate Layer', 4), ('Core Runtime Layer', 5)),
+rules(grp, ord, layer, pattern, points) AS (VALUES
+  ('path', 1, 'Tooling Layer', '^large/', 8), ('path', 2, 'Gadget Layer', '^(promo|small)/', 8)),
+contrib AS (
+  SELECT f.repo_id, f.path, t.layer,
+         CASE WHEN contains(lower(string_split(f.path, '/')[-1]), t.keyword) THEN 6 ELSE 3 END AS points
+  FROM pf f JOIN tax t ON contains(lower(f.path), t.keyword)
+  UNION ALL
+  SELECT repo_id, path, layer, points FROM (
+    SELECT f.repo_id, f.path, r.layer, r.points,
+           row_number() OVER (PARTITION BY f.repo_id, f.path, r.grp ORDER BY r.ord) AS rk
+    FROM pf f JOIN rules r ON regexp_matches(lower(f.path), r.pattern)) WHERE rk = 1),
+scores AS (SELECT repo_id, path, layer, CAST(sum(points) AS BIGINT) AS score FROM contrib GROUP BY ALL),
+best AS (SELECT repo_id, path, layer, score FROM (
+  SELECT s.*, row_number() OVER (PARTITION BY s.repo_id, s.path ORDER BY s.score DESC, l.priority) AS rk
+  FROM scores s JOIN lyr l ON l.layer = s.layer WHERE s.score > 0) WHERE rk = 1),
+assign AS (
+  SELECT f.repo_id, f.path, coalesce(b.layer, 'Core Runtime Layer') AS layer, CAST(coalesce(b.score, 0) AS BIGINT) AS score
+  FROM pf f LEFT JOIN best b ON b.repo_id = f.repo_id AND b.path = f.path)"""
+
+oracle("layer_score", f"WITH {PART_LAYER_CTES} SELECT * FROM scores")
+oracle("layer_argmax", f"WITH {PART_LAYER_CTES} SELECT * FROM assign")
+oracle("layer_rollup", f"""
+WITH {PART_LAYER_CTES},
+g AS (SELECT repo_id, layer, count(*) AS n_files, sum(CASE WHEN score > 0 THEN 1 ELSE 0 END) AS scored
+      FROM assign GROUP BY ALL)
+SELECT g.repo_id, g.layer, g.n_files,
+       CAST(least(greatest((200 * scored + n_files) // (2 * n_files), 60), 98) AS BIGINT) AS confidence_pct,
+       row_number() OVER (PARTITION BY g.repo_id ORDER BY n_files DESC, l.priority) AS rank
+FROM g JOIN lyr l ON l.layer = g.layer
+""")
+
+PART_GRAPH = """pcf AS (SELECT DISTINCT l_orderkey AS commit_id, l_partkey AS path FROM lineitem),
+pfreq AS (SELECT path, count(*) AS total FROM pcf GROUP BY path),
+pj AS (SELECT x.path AS a, y.path AS b, count(*) AS joint FROM pcf x JOIN pcf y
+       ON x.commit_id = y.commit_id AND x.path < y.path GROUP BY ALL),
+psym AS (SELECT a, b, joint FROM pj UNION ALL SELECT b, a, joint FROM pj),
+ptop AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY joint DESC, b) AS rk
+         FROM psym) WHERE rk = 1),
+ge AS (SELECT 'parts' AS repo_id, s.path AS src, d.path AS dst FROM ptop
+       JOIN pf s ON s.key = ptop.a JOIN pf d ON d.key = ptop.b),
+nb AS (SELECT repo_id, src AS path, dst AS nb FROM ge UNION ALL SELECT repo_id, dst AS path, src AS nb FROM ge),
+nnb AS (SELECT repo_id, path, count(*) AS n_nb FROM nb GROUP BY ALL)"""
+
+ROUND = """{out} AS (
+  SELECT c.repo_id, c.path,
+    CASE WHEN (c.layer = 'Core Runtime Layer' OR c.score < 4) AND t.layer IS NOT NULL THEN t.layer ELSE c.layer END AS layer,
+    CAST(CASE WHEN (c.layer = 'Core Runtime Layer' OR c.score < 4) AND t.layer IS NOT NULL THEN 4 ELSE c.score END AS BIGINT) AS score
+  FROM {src} c LEFT JOIN (
+    SELECT v.repo_id, v.path, v.layer FROM (
+      SELECT n.repo_id, n.path, a.layer, count(*) AS votes,
+             row_number() OVER (PARTITION BY n.repo_id, n.path ORDER BY count(*) DESC, min(l.priority)) AS rk
+      FROM nb n JOIN {src} a ON a.repo_id = n.repo_id AND a.path = n.nb JOIN lyr l ON l.layer = a.layer
+      WHERE a.layer <> 'Core Runtime Layer' GROUP BY n.repo_id, n.path, a.layer) v
+    JOIN nnb ON nnb.repo_id = v.repo_id AND nnb.path = v.path
+    WHERE v.rk = 1 AND (v.votes >= 2 OR nnb.n_nb = 1)) t ON t.repo_id = c.repo_id AND t.path = c.path)"""
+
+oracle("label_propagation", f"""
+WITH {PART_LAYER_CTES}, {PART_GRAPH}, {ROUND.format(out='r1', src='assign')}, {ROUND.format(out='r2', src='r1')}
+SELECT * FROM r2
+""")

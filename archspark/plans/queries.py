@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archspark.operators import companions, graph, history
+from archspark.operators import companions, graph, history, layers
 from archspark.plans import bindings as B
 from archspark.sources.tables import Tables
 
@@ -142,3 +142,33 @@ def companion_files(spark, sf_dir):
 def simulated_impact(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return companions.impact_score(_supplier_companions(t))
+
+
+# ---------------------------------------------------------------- layers
+
+def _part_assignments(spark, t):
+    return layers.classify(B.part_files(t), B.part_taxonomy(spark), B.part_layers(spark),
+                           B.part_path_rules(spark))
+
+
+@query
+def layer_score(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    c = layers.layer_contributions(B.part_files(t), B.part_taxonomy(spark), B.part_path_rules(spark))
+    return layers.layer_scores(c)
+
+
+@query
+def layer_argmax(spark, sf_dir):
+    return _part_assignments(spark, Tables(spark, sf_dir))
+
+
+@query
+def layer_rollup(spark, sf_dir):
+    return layers.rollup(_part_assignments(spark, Tables(spark, sf_dir)), B.part_layers(spark))
+
+
+@query
+def label_propagation(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return layers.propagate(_part_assignments(spark, t), B.part_graph(t), B.part_layers(spark))
