@@ -81,11 +81,41 @@ def part_files(t: Tables) -> DataFrame:
 
 
 def document_files(t: Tables) -> DataFrame:
-    """(repo_id, path, size, extension, doc_id): documents as files, one repo per source."""
+    """(repo_id, path, size, extension, doc_id): documents as Python-like files, one repo per
+    source; path = <lang>/<doc_id>.py, size = n_chars."""
     d = t.documents
-    path = F.concat_ws("/", F.col("source"), F.col("lang"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat(F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py"))
     return d.select(F.col("source").alias(REPO), path.alias("path"), F.col("n_chars").alias("size"),
-                    F.lit(".txt").alias("extension"), "doc_id")
+                    F.lit(".py").alias("extension"), "doc_id")
+
+
+def document_corpus(t: Tables) -> DataFrame:
+    """(repo_id, path, content): the whole document texts as source files."""
+    d = t.documents
+    path = F.concat(F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py"))
+    return d.select(F.col("source").alias(REPO), path.alias("path"), F.col("text").alias("content"))
+
+
+def benchmark_tests(t: Tables) -> DataFrame:
+    """(path): a shared test suite, one test module per benchmark item."""
+    return t.benchmark.select(F.concat(F.lit("tests/test_"), F.col("item_id").cast("string"),
+                                       F.lit(".py")).alias("path"))
+
+
+def labelled_history(t: Tables) -> DataFrame:
+    """(repo_id, path): documents with a label row count as 'seen in history'."""
+    d = t.documents.select("doc_id", "source", "lang")
+    return (d.join(t.labels.select("doc_id"), "doc_id", "left_semi")
+            .select(F.col("source").alias(REPO),
+                    F.concat(F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path")))
+
+
+def page_routes(t: Tables) -> DataFrame:
+    """(repo_id, path, route, method, handler): every distinct href of a page is a GET route of it."""
+    p = t.pages.select("url", F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1)).alias("route"))
+    return (p.distinct().select(F.lit("pages").alias(REPO), F.col("url").alias("path"), "route",
+                                F.lit("GET").alias("method"),
+                                F.concat(F.col("url"), F.lit(":page")).alias("handler")))
 
 
 def part_edges(t: Tables, **pair_opts) -> DataFrame:

@@ -319,3 +319,78 @@ oracle("label_propagation", f"""
 WITH {PART_LAYER_CTES}, {PART_GRAPH}, {ROUND.format(out='r1', src='assign')}, {ROUND.format(out='r2', src='r1')}
 SELECT * FROM r2
 """)
+
+DOC_FF = """ff AS (
+  SELECT source AS repo_id, lang || '/' || CAST(doc_id AS VARCHAR) || '.py' AS path, '.py' AS extension,
+         CAST(n_chars AS BIGINT) AS size, CAST(0 AS BIGINT) AS function_count, CAST(0 AS BIGINT) AS class_count,
+         CAST(0 AS BIGINT) AS route_count, CAST(0 AS BIGINT) AS import_count, CAST(0 AS BIGINT) AS imported_by_count
+  FROM documents)"""
+
+R1 = """r1 AS (
+  SELECT repo_id, CAST(1 AS BIGINT) AS detector,
+         CASE WHEN contains(lower(path), 'controller') OR contains(lower(path), 'window')
+              THEN 'Monolithic Controller' ELSE 'Oversized Module / God Object' END AS title,
+         path AS file, CASE WHEN size > 80000 THEN 'Critical' ELSE 'High' END AS severity,
+         CAST(0.95 AS DOUBLE) AS confidence, 'complexity' AS evidence_type
+  FROM ff WHERE extension = '.py' AND (size > 30720 OR function_count > 20))"""
+
+TESTS = """tests AS (SELECT lower('tests/test_' || CAST(item_id AS VARCHAR) || '.py') AS tpath,
+                    'tests/test_' || CAST(item_id AS VARCHAR) || '.py' AS test FROM benchmark)"""
+
+MISSING = """src AS (
+  SELECT repo_id, path AS file, size, regexp_extract(string_split(path, '/')[-1], '^(.*)\\.[^.]*$', 1) AS stem
+  FROM ff WHERE extension = '.py' AND NOT contains(lower(path), 'test')
+    AND NOT contains(lower(path), 'setup') AND size > 1000),
+miss AS (SELECT repo_id, file, size, row_number() OVER (PARTITION BY repo_id ORDER BY size DESC, file) AS rank
+  FROM src s WHERE NOT EXISTS (SELECT 1 FROM tests t WHERE contains(t.tpath, s.stem)))"""
+
+oracle("file_fact_enrichment", f"WITH {DOC_FF} SELECT * FROM ff")
+
+oracle("health_scores", f"""
+WITH {DOC_FF},
+g AS (SELECT repo_id, count(*) AS n_files, sum(function_count + 2 * class_count) AS complexity,
+             sum(import_count) AS dependencies,
+             sum(CASE WHEN size > 15360 THEN least(3 * (size - 15360), 45000) ELSE 0 END) AS bloat3000,
+             sum(CASE WHEN contains(lower(path), 'test') THEN 1 ELSE 0 END) AS test_files,
+             max(CASE WHEN starts_with(lower(path), 'readme') THEN 1 ELSE 0 END) AS has_readme
+      FROM ff GROUP BY repo_id)
+SELECT repo_id, n_files,
+  CAST(least(greatest((300000 - least(600 * complexity, 60000) - least(1000 * dependencies, 45000)
+       - least(bloat3000, 45000)) // 3000, 10), 100) AS BIGINT) AS maintainability,
+  CAST(95 AS BIGINT) AS structural_integrity,
+  CAST(CASE WHEN least((400 * test_files) // n_files, 100) < 10 THEN 15
+       ELSE least((400 * test_files) // n_files, 100) END AS BIGINT) AS test_density,
+  CAST(CASE WHEN has_readme = 1 THEN 85 ELSE 40 END AS BIGINT) AS documentation
+FROM g
+""")
+
+oracle("risk_oversized", f"WITH {DOC_FF}, {R1} SELECT * FROM r1")
+oracle("missing_tests", f"WITH {DOC_FF}, {TESTS}, {MISSING} SELECT * FROM miss WHERE rank <= 4")
+oracle("affected_tests", f"""
+WITH {DOC_FF}, {TESTS},
+f AS (SELECT repo_id, path AS file, regexp_extract(string_split(path, '/')[-1], '^(.*)\\.[^.]*$', 1) AS stem FROM ff)
+SELECT DISTINCT f.repo_id, f.file, t.test FROM f JOIN tests t ON contains(t.tpath, f.stem)
+""")
+
+PAGE_ROUTES = """pr AS (SELECT DISTINCT 'pages' AS repo_id, url AS path,
+      unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS route FROM pages),
+routes AS (SELECT repo_id, path, route, 'GET' AS method, path || ':page' AS handler FROM pr)"""
+
+oracle("route_extract", f"WITH {PAGE_ROUTES} SELECT * FROM routes")
+
+oracle("risk_union", f"""
+WITH RECURSIVE {DOC_FF}, {R1}, {TESTS}, {MISSING}, {PAGE_ROUTES}, {NATION_EDGES}, {CLOSURE}, {DEPTH.split('SELECT nc.repo_id')[0].rstrip().rstrip(',')},
+nd AS (SELECT nc.repo_id, nc.node, d.depth FROM nc JOIN depth d ON d.repo_id = nc.repo_id AND d.c = nc.c)
+SELECT * FROM r1
+UNION ALL
+SELECT repo_id, 2, 'Circular Dependency Loop', CAST(node AS VARCHAR), 'High', CAST(0.99 AS DOUBLE), 'dependency'
+FROM comp WHERE node = component
+UNION ALL
+SELECT repo_id, 3, 'Deep Dependency Chain', CAST(node AS VARCHAR), 'Medium', CAST(0.90 AS DOUBLE), 'dependency'
+FROM nd WHERE depth > 3
+UNION ALL
+SELECT repo_id, 4, 'Route Concentration Bottleneck', path, 'High', CAST(0.95 AS DOUBLE), 'route'
+FROM routes GROUP BY repo_id, path HAVING count(*) > 5
+UNION ALL
+SELECT repo_id, 6, 'Missing Unit Test Coverage', file, 'Medium', CAST(0.90 AS DOUBLE), 'test' FROM miss WHERE rank <= 4
+""")

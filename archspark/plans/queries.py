@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archspark.operators import companions, graph, history, layers
+from archspark.operators import companions, extract, facts, graph, history, layers, risks
 from archspark.plans import bindings as B
 from archspark.sources.tables import Tables
 
@@ -172,3 +172,75 @@ def layer_rollup(spark, sf_dir):
 def label_propagation(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return layers.propagate(_part_assignments(spark, t), B.part_graph(t), B.part_layers(spark))
+
+
+# ---------------------------------------------------------------- facts, coverage, health, risks
+
+def _doc_facts(t):
+    return extract.code_facts(B.document_corpus(t))
+
+
+def _doc_file_facts(t):
+    return facts.file_facts(B.document_files(t), _doc_facts(t), None)
+
+
+@query
+def code_facts(spark, sf_dir):
+    f = _doc_facts(Tables(spark, sf_dir))
+    return f.select("repo_id", "path", "parsed", F.size("imports").cast("bigint").alias("n_imports"),
+                    F.size("classes").cast("bigint").alias("n_classes"),
+                    F.size("functions").cast("bigint").alias("n_functions"),
+                    F.size("endpoints").cast("bigint").alias("n_endpoints"),
+                    F.size("models").cast("bigint").alias("n_models"))
+
+
+@query
+def file_fact_enrichment(spark, sf_dir):
+    return _doc_file_facts(Tables(spark, sf_dir))
+
+
+@query
+def coverage(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return facts.coverage(B.document_files(t), _doc_facts(t), None, B.labelled_history(t), None)
+
+
+@query
+def health_scores(spark, sf_dir):
+    return facts.health(_doc_file_facts(Tables(spark, sf_dir)))
+
+
+@query
+def risk_oversized(spark, sf_dir):
+    return risks.risk_oversized(_doc_file_facts(Tables(spark, sf_dir)))
+
+
+@query
+def missing_tests(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return risks.missing_tests(_doc_file_facts(t), B.benchmark_tests(t), same_repo=False)
+
+
+@query
+def affected_tests(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return risks.affected_tests(B.document_files(t), B.benchmark_tests(t), same_repo=False)
+
+
+@query
+def route_extract(spark, sf_dir):
+    return B.page_routes(Tables(spark, sf_dir))
+
+
+@query
+def risk_union(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    ff = _doc_file_facts(t)
+    pages_ff = (B.page_routes(t).groupBy("repo_id", "path").agg(F.count(F.lit(1)).cast("bigint").alias("route_count")))
+    ne = B.nation_edges(t)
+    return risks.union_risks(
+        risks.risk_oversized(ff),
+        risks.risk_cycles(graph.cycle_components(ne)),
+        risks.risk_deep(graph.dependency_depth(ne), threshold=3),
+        risks.risk_routes(pages_ff),
+        risks.risk_missing_tests(risks.missing_tests(ff, B.benchmark_tests(t), same_repo=False)))
