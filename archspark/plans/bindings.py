@@ -202,3 +202,16 @@ def part_graph(t: Tables, **pair_opts) -> DataFrame:
     ps = pf.select(F.col("key").alias("a"), F.col("path").alias("src"))
     pd = pf.select(F.col("key").alias("b"), F.col("path").alias("dst"))
     return top.join(ps, "a").join(pd, "b").select(REPO, "src", "dst")
+
+
+def goals(t: Tables) -> DataFrame:
+    """(goal_id, goal): every user turn of every conversation is a goal sentence."""
+    c = t.conversations.where(F.col("role") == "user")
+    return c.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("goal_id"),
+                    F.col("text").alias("goal"))
+
+
+def part_layer_vocab(spark):
+    """(layer, concept): a part-layer keyword in a goal makes that layer a target."""
+    rows = [(layer, kw) for layer, kws in PART_LAYERS for kw in kws]
+    return spark.createDataFrame(rows, "layer string, concept string")

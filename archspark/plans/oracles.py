@@ -394,3 +394,115 @@ FROM routes GROUP BY repo_id, path HAVING count(*) > 5
 UNION ALL
 SELECT repo_id, 6, 'Missing Unit Test Coverage', file, 'Medium', CAST(0.90 AS DOUBLE), 'test' FROM miss WHERE rank <= 4
 """)
+
+
+def _values_from_vocab():
+    from archspark.functions import vocab
+    from archspark.plans.bindings import PART_LAYERS
+    concept_rows = ", ".join(f"('{kw}', '{c}')" for kw, cs in vocab.CONCEPT_MAP for c in cs)
+    stop_rows = ", ".join(f"('{w}')" for w in vocab.STOP_WORDS)
+    cm_rows = ", ".join(f"('{kw}', {i}, '{t}')" for i, (kw, t) in enumerate(vocab.CHANGE_MAP, start=1))
+    lv_rows = ", ".join(f"('{layer}', '{kw}')" for layer, kws in PART_LAYERS for kw in kws)
+    return concept_rows, stop_rows, cm_rows, lv_rows
+
+
+_CONCEPT_ROWS, _STOP_ROWS, _CM_ROWS, _LV_ROWS = _values_from_vocab()
+
+GOALS = f"""goals AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS goal_id, text AS goal
+  FROM conversations WHERE role = 'user'),
+cmap(keyword, concept) AS (VALUES {_CONCEPT_ROWS}),
+stopw(word) AS (VALUES {_STOP_ROWS}),
+hits AS (SELECT DISTINCT g.goal_id, k.keyword FROM goals g
+         JOIN (SELECT DISTINCT keyword FROM cmap) k ON contains(lower(g.goal), k.keyword)),
+words AS (SELECT goal_id, unnest(regexp_extract_all(lower(goal), '[\\p{{L}}\\p{{N}}_]+')) AS concept FROM goals),
+gc AS (SELECT h.goal_id, c.concept FROM hits h JOIN cmap c ON c.keyword = h.keyword
+       UNION
+       SELECT goal_id, concept FROM words WHERE length(concept) > 1 AND concept NOT IN (SELECT word FROM stopw)),
+lvocab(layer, concept) AS (VALUES {_LV_ROWS}),
+tl AS (SELECT DISTINCT gc.goal_id, v.layer FROM gc JOIN lvocab v ON v.concept = gc.concept
+       UNION
+       SELECT DISTINCT goal_id, 'Core Runtime Layer' FROM gc
+       WHERE goal_id NOT IN (SELECT gc.goal_id FROM gc JOIN lvocab v ON v.concept = gc.concept))"""
+
+oracle("intent_concepts", f"WITH {GOALS} SELECT goal_id, concept FROM gc")
+oracle("target_layers", f"WITH {GOALS} SELECT goal_id, layer FROM tl")
+oracle("intent_summary", f"""
+WITH {GOALS}
+SELECT n.goal_id, n.n_concepts, CAST(coalesce(h.direct_hits, 0) AS BIGINT) AS direct_hits,
+       CAST(least(70 + 8 * coalesce(h.direct_hits, 0), 98) AS BIGINT) AS confidence_pct
+FROM (SELECT goal_id, count(*) AS n_concepts FROM gc GROUP BY goal_id) n
+LEFT JOIN (SELECT goal_id, count(*) AS direct_hits FROM hits GROUP BY goal_id) h ON h.goal_id = n.goal_id
+""")
+
+oracle("candidate_topk", f"""
+WITH {GOALS}, {PART_LAYER_CTES},
+pe AS (SELECT DISTINCT 'parts' AS repo_id, r.src, r.module || '.py' AS dst FROM (
+         SELECT lower(p_type) || '/' || replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS VARCHAR) || '.py' AS src,
+                unnest(list_concat(string_split(p_name, ' '), [lower(p_type)])) AS module FROM part) r
+       WHERE r.module IN (SELECT unnest(string_split(p_name, ' ')) FROM part)),
+fo AS (SELECT src AS path, count(*) AS n FROM pe GROUP BY src),
+fi AS (SELECT dst AS path, count(*) AS n FROM pe GROUP BY dst),
+f AS (SELECT a.repo_id, a.path, a.layer,
+             coalesce(fo.n, 0) + coalesce(fi.n, 0) > 0 AS dep,
+             coalesce(fi.n, 0) AS resp_x, coalesce(fi.n, 0) AS fan_in,
+             regexp_matches(lower(a.path), 'max_ide|void-main') AS special
+      FROM assign a LEFT JOIN fo ON fo.path = a.path LEFT JOIN fi ON fi.path = a.path),
+gm AS (SELECT goal_id, count(*) AS m, bool_or(concept IN ('ui', 'editor', 'ide', 'sidebar')) AS has_ui
+       FROM gc GROUP BY goal_id),
+pq AS (SELECT gc.goal_id, f.path, count(*) AS p,
+              sum(CASE WHEN contains(lower(string_split(f.path, '/')[-1]), gc.concept) THEN 1 ELSE 0 END) AS q,
+              list_slice(list_sort(list(gc.concept)), 1, 3) AS matched
+       FROM gc JOIN f ON contains(lower(f.path), gc.concept) GROUP BY gc.goal_id, f.path),
+sc AS (
+  SELECT gm.goal_id, f.repo_id, f.path, f.layer, f.fan_in,
+         CASE WHEN tl.layer IS NULL THEN 0 ELSE 1 END AS t, f.dep, f.resp_x, gm.m,
+         coalesce(pq.p, 0) AS p, coalesce(pq.q, 0) AS q, coalesce(pq.matched, []) AS matched,
+         greatest(1, gm.m - 2) AS d1, greatest(1, gm.m - 4) AS d2, f.special AND gm.has_ui AS floor22
+  FROM gm CROSS JOIN f
+  LEFT JOIN pq ON pq.goal_id = gm.goal_id AND pq.path = f.path
+  LEFT JOIN tl ON tl.goal_id = gm.goal_id AND tl.layer = f.layer),
+scored AS (
+  SELECT *, CAST(CASE WHEN m = 0 THEN 5 ELSE least(greatest((
+          greatest(75 * least(p, d1) * d2, CASE WHEN floor22 THEN 66 * d1 * d2 ELSE 0 END)
+        + 75 * least(q, d2) * d1
+        + (20 * t + CASE WHEN dep THEN 15 + 5 * t ELSE 0 END) * 3 * d1 * d2
+        + 2 * least(resp_x, 15) * d1 * d2) // (3 * d1 * d2), 5), 100) END AS BIGINT) AS score
+  FROM sc),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY goal_id, repo_id ORDER BY score DESC, path) AS rank FROM scored)
+SELECT goal_id, repo_id, path, layer, score, CAST(rank AS BIGINT) AS rank,
+  array_to_string(CASE WHEN len(list_filter([
+      CASE WHEN t = 1 THEN 'Located inside ' || layer END,
+      CASE WHEN regexp_matches(string_split(path, '/')[-1], '^.*[^.](\\.[^.]*)$')
+                AND regexp_extract(string_split(path, '/')[-1], '^.*[^.](\\.[^.]*)$', 1) IN ('.tsx', '.jsx')
+           THEN 'React TSX component'
+           WHEN regexp_extract(string_split(path, '/')[-1], '^.*[^.](\\.[^.]*)$', 1) = '.py' THEN 'Python module' END,
+      CASE WHEN regexp_matches(lower(string_split(path, '/')[-1]), 'ui|panel|window|view|sidebar|widget')
+           THEN 'Contains UI rendering logic' END,
+      CASE WHEN fan_in > 2 THEN 'Referenced by core system components' END,
+      CASE WHEN len(matched) > 0 THEN 'Matches intent concepts: ' || array_to_string(matched, ', ') END],
+      lambda x: x IS NOT NULL)) = 0 THEN ['File path matched concepts in goal request.']
+    ELSE list_filter([
+      CASE WHEN t = 1 THEN 'Located inside ' || layer END,
+      CASE WHEN regexp_extract(string_split(path, '/')[-1], '^.*[^.](\\.[^.]*)$', 1) IN ('.tsx', '.jsx')
+           THEN 'React TSX component'
+           WHEN regexp_extract(string_split(path, '/')[-1], '^.*[^.](\\.[^.]*)$', 1) = '.py' THEN 'Python module' END,
+      CASE WHEN regexp_matches(lower(string_split(path, '/')[-1]), 'ui|panel|window|view|sidebar|widget')
+           THEN 'Contains UI rendering logic' END,
+      CASE WHEN fan_in > 2 THEN 'Referenced by core system components' END,
+      CASE WHEN len(matched) > 0 THEN 'Matches intent concepts: ' || array_to_string(matched, ', ') END],
+      lambda x: x IS NOT NULL) END, ' | ') AS reasons
+FROM ranked WHERE rank <= 10
+""")
+
+oracle("first_keyword_match", f"""
+WITH goals AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS prompt_id, text AS prompt
+  FROM conversations WHERE role = 'user'),
+cm(keyword, ord, target) AS (VALUES {_CM_ROWS}),
+p AS (SELECT prompt_id, regexp_replace(lower(prompt), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g') AS norm FROM goals),
+w AS (SELECT prompt_id, unnest(string_split_regex(trim(norm, ' '), '\\s+')) AS keyword,
+             unnest(range(len(string_split_regex(trim(norm, ' '), '\\s+')))) AS pos FROM p),
+t1 AS (SELECT w.prompt_id, arg_min(cm.target, w.pos) AS t1 FROM w JOIN cm ON cm.keyword = w.keyword GROUP BY w.prompt_id),
+t2 AS (SELECT p.prompt_id, arg_min(cm.target, cm.ord) AS t2 FROM p JOIN cm ON contains(p.norm, cm.keyword) GROUP BY p.prompt_id)
+SELECT p.prompt_id, coalesce(t1.t1, t2.t2) AS target FROM p
+LEFT JOIN t1 ON t1.prompt_id = p.prompt_id LEFT JOIN t2 ON t2.prompt_id = p.prompt_id
+""")

@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archspark.operators import companions, extract, facts, graph, history, layers, risks
+from archspark.operators import companions, extract, facts, graph, history, intent, layers, risks
+from archspark.sources import dims
 from archspark.plans import bindings as B
 from archspark.sources.tables import Tables
 
@@ -244,3 +245,46 @@ def risk_union(spark, sf_dir):
         risks.risk_deep(graph.dependency_depth(ne), threshold=3),
         risks.risk_routes(pages_ff),
         risks.risk_missing_tests(risks.missing_tests(ff, B.benchmark_tests(t), same_repo=False)))
+
+
+# ---------------------------------------------------------------- intent
+
+@query
+def intent_concepts(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return intent.goal_concepts(B.goals(t), dims.concepts(spark), dims.stop_words(spark))
+
+
+@query
+def intent_summary(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return intent.goal_summary(B.goals(t), dims.concepts(spark), dims.stop_words(spark))
+
+
+@query
+def target_layers(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    gc = intent.goal_concepts(B.goals(t), dims.concepts(spark), dims.stop_words(spark))
+    return intent.target_layers(gc, B.part_layer_vocab(spark))
+
+
+def _part_candidates(spark, t, k=10):
+    files = B.part_files(t)
+    edges = graph.resolve_imports(B.part_raw_imports(t), B.part_modules(t))
+    ff = facts.file_facts(files, None, edges)
+    return intent.candidate_scores(B.goals(t), files, ff, _part_assignments(spark, t), dims.concepts(spark),
+                                   dims.stop_words(spark), B.part_layer_vocab(spark),
+                                   [name for name, _ in B.PART_LAYERS], k=k)
+
+
+@query
+def candidate_topk(spark, sf_dir):
+    c = _part_candidates(spark, Tables(spark, sf_dir))
+    return c.withColumn("reasons", F.array_join("reasons", " | "))
+
+
+@query
+def first_keyword_match(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    prompts = B.goals(t).select(F.col("goal_id").alias("prompt_id"), F.col("goal").alias("prompt"))
+    return intent.first_keyword_match(prompts, dims.change_map(spark))
