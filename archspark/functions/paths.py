@@ -72,3 +72,17 @@ def is_test_path(path) -> Column:
 def is_readme(path) -> Column:
     """The whole path starts with 'readme' (so only a root readme)."""
     return F.lower(_c(path)).startswith("readme")
+
+
+def url_path(url) -> Column:
+    """Path part of a URL without the leading slash, query and fragment."""
+    return F.regexp_extract(_c(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/?([^?#]*)", 1)
+
+
+def path_parts(df, path: str = "path"):
+    """C1-C7 as columns of one projection."""
+    return df.select("*", basename(path).alias("basename"), extension(path).alias("extension"),
+                     stem(path).alias("stem"), first_segment(path).alias("first_segment"),
+                     is_code_file(path).alias("is_code"), is_database_file(path).alias("is_database"),
+                     is_entry_point(path).alias("is_entry_point"), is_test_path(path).alias("is_test"),
+                     is_ignored(path).alias("is_ignored"))

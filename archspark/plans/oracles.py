@@ -506,3 +506,61 @@ t2 AS (SELECT p.prompt_id, arg_min(cm.target, cm.ord) AS t2 FROM p JOIN cm ON co
 SELECT p.prompt_id, coalesce(t1.t1, t2.t2) AS target FROM p
 LEFT JOIN t1 ON t1.prompt_id = p.prompt_id LEFT JOIN t2 ON t2.prompt_id = p.prompt_id
 """)
+
+oracle("path_parts", r"""
+WITH p AS (SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/?([^?#]*)', 1) AS path FROM pages),
+q AS (SELECT *, string_split(path, '/')[-1] AS basename FROM p),
+r AS (SELECT *, regexp_extract(basename, '^.*[^.](\.[^.]*)$', 1) AS extension FROM q)
+SELECT page_id, path, basename, extension,
+  CASE WHEN length(extension) > 0 THEN regexp_extract(basename, '^(.*)\.[^.]*$', 1) ELSE basename END AS stem,
+  CASE WHEN len(string_split(path, '/')) > 1 THEN string_split(path, '/')[1] END AS first_segment,
+  regexp_matches(path, '(\.py|\.js|\.ts|\.go|\.java|\.cpp|\.cs)$') AS is_code,
+  regexp_matches(basename, '(\.db|\.sqlite|\.sqlite3)$') AS is_database,
+  basename IN ('main.py', 'app.py', 'wsgi.py', 'run.py', 'server.py', 'asgi.py', 'index.js', 'server.js',
+               'app.js', 'main.js', 'index.tsx', 'index.jsx', 'main.tsx') AS is_entry_point,
+  contains(lower(path), 'test') AS is_test,
+  len(list_intersect(string_split(path, '/'), ['.git', '.venv', 'venv', 'env', 'node_modules', 'build', 'dist',
+      '__pycache__', '.idea', '.vscode', '.pytest_cache'])) > 0 AS is_ignored
+FROM r
+""")
+
+oracle("dir_counts", """
+SELECT source AS repo_id, lang AS dir, count(*) AS n_files FROM documents GROUP BY ALL
+""")
+
+REQ = r"""lines AS (
+  SELECT source AS repo_id, lang || '/' || CAST(doc_id AS VARCHAR) || '.py' AS path,
+         unnest(string_split(text, chr(10))) AS raw,
+         unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents),
+l2 AS (SELECT repo_id, path, line_no, regexp_replace(raw, '^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+$', '', 'g') AS line FROM lines),
+req AS (SELECT repo_id, path, CAST(line_no AS BIGINT) AS line_no,
+          lower(regexp_replace(split_part(split_part(split_part(split_part(line, '==', 1), '>=', 1), '<=', 1), '~=', 1),
+                '^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+$', '', 'g')) AS dep
+        FROM l2 WHERE length(line) > 0 AND NOT starts_with(line, '#') AND NOT starts_with(line, '-r'))"""
+
+oracle("manifest_lines", f"WITH {REQ} SELECT * FROM req WHERE length(dep) > 0")
+
+oracle("manifest_json", """
+SELECT DISTINCT CAST(user_id AS VARCHAR) AS repo_id, unnest(list_distinct(list_concat(
+    json_keys(props), [event_type]))) AS dep
+FROM events
+""")
+
+oracle("project_type", f"""
+WITH {REQ},
+deps AS (SELECT DISTINCT repo_id, dep FROM req WHERE length(dep) > 0),
+fl AS (SELECT repo_id, max(contains(dep, 'fastapi')::INT) AS fa, max(contains(dep, 'flask')::INT) AS fl,
+              max(contains(dep, 'react')::INT) AS re, max(contains(dep, 'vue')::INT) AS vu,
+              max(contains(dep, 'django')::INT) AS dj FROM deps GROUP BY repo_id),
+g AS (SELECT source AS repo_id, count(*) AS n_files, count(*) AS py, 0 AS js FROM documents GROUP BY source),
+t AS (SELECT g.*, CASE WHEN fl.fa = 1 THEN 'FastAPI' WHEN fl.fl = 1 THEN 'Flask' WHEN fl.re = 1 THEN 'React'
+                      WHEN fl.vu = 1 THEN 'Vue' WHEN fl.dj = 1 THEN 'Django'
+                      WHEN g.py > 0 THEN 'Python' WHEN g.js > 0 THEN 'JavaScript' ELSE 'Unknown' END AS project_type
+      FROM g LEFT JOIN fl ON fl.repo_id = g.repo_id)
+SELECT repo_id, project_type, CAST(n_files AS BIGINT) AS n_files, CAST(py AS BIGINT) AS py_files,
+       CAST(js AS BIGINT) AS js_files,
+       project_type || ' (' || CAST(n_files AS VARCHAR) || ' files'
+         || CASE WHEN py > 0 OR js > 0 THEN ': ' || CAST(py AS VARCHAR) || ' py, ' || CAST(js AS VARCHAR) || ' js' ELSE '' END
+         || ')' AS layout
+FROM t
+""")

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archspark.operators import companions, extract, facts, graph, history, intent, layers, risks
-from archspark.sources import dims
+from archspark.functions import paths
+from archspark.sources import dims, manifests
 from archspark.plans import bindings as B
 from archspark.sources.tables import Tables
 
@@ -288,3 +289,42 @@ def first_keyword_match(spark, sf_dir):
     t = Tables(spark, sf_dir)
     prompts = B.goals(t).select(F.col("goal_id").alias("prompt_id"), F.col("goal").alias("prompt"))
     return intent.first_keyword_match(prompts, dims.change_map(spark))
+
+
+# ---------------------------------------------------------------- paths, manifests, profile
+
+@query
+def path_parts(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    pages = t.pages.select("page_id", paths.url_path("url").alias("path"))
+    return paths.path_parts(pages)
+
+
+@query
+def dir_counts(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    f = B.document_files(t)
+    return (f.select("repo_id", paths.first_segment("path").alias("dir")).where(F.col("dir").isNotNull())
+            .groupBy("repo_id", "dir").agg(F.count(F.lit(1)).alias("n_files")))
+
+
+@query
+def manifest_lines(spark, sf_dir):
+    return manifests.requirement_lines(B.document_corpus(Tables(spark, sf_dir)))
+
+
+@query
+def manifest_json(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    ev = t.events.select(F.col("user_id").cast("string").alias("repo_id"),
+                         F.col("event_id").cast("string").alias("path"),
+                         F.concat(F.lit('{"dependencies": '), F.col("props"), F.lit(', "devDependencies": {"'),
+                                  F.col("event_type"), F.lit('": "*"}}')).alias("content"))
+    return manifests.dependency_set(manifests.package_json_deps(ev))
+
+
+@query
+def project_type(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    deps = manifests.requirement_lines(B.document_corpus(t))
+    return manifests.project_profile(B.document_files(t), deps)
