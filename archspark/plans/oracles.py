@@ -564,3 +564,39 @@ SELECT repo_id, project_type, CAST(n_files AS BIGINT) AS n_files, CAST(py AS BIG
          || ')' AS layout
 FROM t
 """)
+
+PART_FF = PART_LAYER_CTES + """,
+pe AS (SELECT DISTINCT 'parts' AS repo_id, r.src, r.module || '.py' AS dst FROM (
+         SELECT lower(p_type) || '/' || replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS VARCHAR) || '.py' AS src,
+                unnest(list_concat(string_split(p_name, ' '), [lower(p_type)])) AS module FROM part) r
+       WHERE r.module IN (SELECT unnest(string_split(p_name, ' ')) FROM part)),
+pff AS (SELECT f.repo_id, f.path, CAST(p.p_size AS BIGINT) * 100 AS size,
+          CAST(coalesce(fo.n, 0) AS BIGINT) AS import_count, CAST(coalesce(fi.n, 0) AS BIGINT) AS imported_by_count
+        FROM pf f JOIN part p ON p.p_partkey = f.key
+        LEFT JOIN (SELECT src AS path, count(*) AS n FROM pe GROUP BY src) fo ON fo.path = f.path
+        LEFT JOIN (SELECT dst AS path, count(*) AS n FROM pe GROUP BY dst) fi ON fi.path = f.path)"""
+
+oracle("change_risk_score", f"""
+WITH {PART_FF}
+SELECT f.repo_id, f.path, a.layer, f.import_count AS direct_count, f.imported_by_count AS reverse_count,
+       CAST(0 AS BIGINT) AS cochange_count, CAST(0 AS BIGINT) AS n_risks,
+       CAST(least(greatest((1024 * (4 * f.import_count + 6 * f.imported_by_count)
+            + f.size) // 1024, 10), 100) AS BIGINT) AS risk_score
+FROM pff f JOIN assign a ON a.repo_id = f.repo_id AND a.path = f.path
+""")
+
+oracle("ownership", f"""
+WITH {PART_LAYER_CTES}
+SELECT repo_id, path, layer, CAST(count(*) OVER (PARTITION BY repo_id, layer) - 1 AS BIGINT) AS related_files,
+       CAST(0 AS BIGINT) AS entry_points, CAST(0 AS BIGINT) AS routes
+FROM assign
+""")
+
+oracle("plan_complexity", """
+SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS goal_id,
+  CASE WHEN contains(lower(text), 'auth') OR contains(lower(text), 'jwt') OR contains(lower(text), 'login') THEN 'Medium'
+       WHEN contains(lower(text), 'postgres') OR contains(lower(text), 'cosmos') OR contains(lower(text), 'database')
+            OR contains(lower(text), 'db') THEN 'High'
+       WHEN contains(lower(text), 'redis') OR contains(lower(text), 'cache') THEN 'Medium' ELSE 'Low' END AS complexity
+FROM conversations WHERE role = 'user'
+""")

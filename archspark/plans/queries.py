@@ -15,6 +15,7 @@ from archspark.operators import companions, extract, facts, graph, history, inte
 from archspark.functions import paths
 from archspark.sources import dims, manifests
 from archspark.plans import bindings as B
+from archspark.plans import reports
 from archspark.sources.tables import Tables
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -328,3 +329,60 @@ def project_type(spark, sf_dir):
     t = Tables(spark, sf_dir)
     deps = manifests.requirement_lines(B.document_corpus(t))
     return manifests.project_profile(B.document_files(t), deps)
+
+
+# ---------------------------------------------------------------- reports
+
+def _part_file_facts(t):
+    files = B.part_files(t)
+    return facts.file_facts(files, None, graph.resolve_imports(B.part_raw_imports(t), B.part_modules(t)))
+
+
+@query
+def change_risk_score(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return reports.change_impact(_part_file_facts(t), _part_assignments(spark, t), None, None)
+
+
+@query
+def ownership(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    edges = graph.resolve_imports(B.part_raw_imports(t), B.part_modules(t))
+    return reports.ownership(_part_assignments(spark, t), edges, None)
+
+
+@query
+def plan_complexity(spark, sf_dir):
+    return reports.plan_complexity(B.goals(Tables(spark, sf_dir)))
+
+
+@query
+def what_if(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    prompts = B.goals(t).select(F.col("goal_id").alias("prompt_id"), F.col("goal").alias("prompt"))
+    mapped = intent.first_keyword_match(prompts, dims.change_map(spark)).select(
+        "prompt_id", F.lit("parts").alias("repo_id"), "target")
+    edges = graph.resolve_imports(B.part_raw_imports(t), B.part_modules(t))
+    empty_tm = edges.select("repo_id", F.col("src").alias("a"), F.col("dst").alias("b"),
+                            F.lit(0).cast("bigint").alias("pct")).where(F.lit(False))
+    return reports.what_if(mapped, graph.blast_radius(edges, empty_tm))
+
+
+@query
+def recommendations(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    ff = _doc_file_facts(t)
+    ne = B.nation_edges(t)
+    r = risks.union_risks(risks.risk_oversized(ff), risks.risk_cycles(graph.cycle_components(ne)))
+    return reports.recommendations(r, dims.advice(spark))
+
+
+@query
+def repo_brief(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    ff = _doc_file_facts(t)
+    prof = manifests.project_profile(B.document_files(t), manifests.requirement_lines(B.document_corpus(t)))
+    cov = facts.coverage(B.document_files(t), _doc_facts(t), None, B.labelled_history(t), None)
+    r = risks.union_risks(risks.risk_oversized(ff),
+                          risks.risk_missing_tests(risks.missing_tests(ff, B.benchmark_tests(t), same_repo=False)))
+    return reports.repo_brief(prof, cov, r, None)
