@@ -108,7 +108,7 @@ def candidate_scores(goals: DataFrame, files: DataFrame, file_facts_df: DataFram
                  F.lower("path").rlike("|".join(vocab.UI_FLOOR_FOLDERS)).alias("special")))
 
     hits = concept_hits(gc, files, key)
-    hit_pairs = (hits.join(_fresh(f.select(key, "path")), [key, "path"])
+    hit_pairs = (hits
                  .withColumn("in_name", F.lower(basename("path")).contains(F.col("concept")))
                  .groupBy("goal_id", key, "path")
                  .agg(F.count(F.lit(1)).alias("p"), F.sum(F.col("in_name").cast("int")).alias("q"),
