@@ -85,7 +85,8 @@ def cycle_components(edges: DataFrame, key: str = "repo_id") -> DataFrame:
     ``component`` is the smallest node of the component. The graph is first trimmed
     of nodes that cannot be on a cycle, so the closure is computed on the cyclic core only.
     """
-    core = _trim(edges.select(key, "src", "dst").distinct(), key)
+    # materialise the input once, so the loops below never recompute its upstream plan
+    core = _trim(cut_lineage(edges.select(key, "src", "dst").distinct()), key)
     reach = transitive_closure(core, key)
     back = _fresh(reach.select(key, F.col("src").alias("dst"), F.col("dst").alias("src")))
     mutual = reach.join(back, [key, "src", "dst"], "left_semi")  # src and dst on a common cycle
@@ -103,7 +104,7 @@ def dependency_depth(edges: DataFrame, nodes: DataFrame | None = None, key: str
     ``depth(c) = w(c) + max depth(successor)`` runs on the condensed DAG until stable.
     -> (key, node, depth)
     """
-    e = edges.select(key, "src", "dst").distinct()
+    e = cut_lineage(edges.select(key, "src", "dst").distinct())
     if nodes is None:
         nodes = e.select(key, F.col("src").alias("node")).union(e.select(key, F.col("dst").alias("node"))).distinct()
     comps = cycle_components(e, key).select(key, "node", "component")

@@ -93,12 +93,12 @@ def propagate(assignments: DataFrame, edges: DataFrame, layers: DataFrame, round
     Rounds are synchronous (every file sees the previous round), which makes the result
     independent of visiting order. Vote ties go to the first-declared layer.
     """
-    e = edges.select(key, "src", "dst")
+    e = cut_lineage(edges.select(key, "src", "dst"))  # reused every round: materialise once
     nb = (e.select(key, F.col("src").alias("path"), F.col("dst").alias("nb"))
           .unionAll(e.select(key, F.col("dst").alias("path"), F.col("src").alias("nb"))))
     n_nb = nb.groupBy(key, "path").agg(F.count(F.lit(1)).alias("n_nb"))
     pri = checked_broadcast(layers.select("layer", "priority"))
-    cur = assignments.select(key, "path", "layer", "score")
+    cur = cut_lineage(assignments.select(key, "path", "layer", "score"))
     for _ in range(rounds):
         labels = _fresh(cur.select(key, F.col("path").alias("nb"), F.col("layer").alias("nl")))
         votes = (nb.join(labels, [key, "nb"]).where(F.col("nl") != fallback)
