@@ -62,9 +62,9 @@ def nation_edges(t: Tables) -> DataFrame:
                     F.col("dst").cast("bigint").alias("dst")))
 
 
-def supplier_edges(t: Tables, **pair_opts) -> DataFrame:
+def supplier_edges(t: Tables, ratios: DataFrame | None = None, **pair_opts) -> DataFrame:
     """(repo_id, src, dst): each supplier's strongest co-change partner (ties: smaller key)."""
-    r = history.cochange_ratios(supplier_commits(t), **pair_opts)
+    r = ratios if ratios is not None else history.cochange_ratios(supplier_commits(t), **pair_opts)
     w = Window.partitionBy(REPO, "a").orderBy(F.col("joint").desc(), F.col("b"))
     return (r.withColumn("r", F.row_number().over(w)).where("r = 1")
             .select(REPO, F.col("a").alias("src"), F.col("b").alias("dst")))
@@ -118,9 +118,9 @@ def page_routes(t: Tables) -> DataFrame:
                                 F.concat(F.col("url"), F.lit(":page")).alias("handler")))
 
 
-def part_edges(t: Tables, **pair_opts) -> DataFrame:
+def part_edges(t: Tables, ratios: DataFrame | None = None, **pair_opts) -> DataFrame:
     """(repo_id, src, dst): each part's strongest co-change partner per repo (ties: smaller key)."""
-    r = history.cochange_ratios(part_commits(t), **pair_opts)
+    r = ratios if ratios is not None else history.cochange_ratios(part_commits(t), **pair_opts)
     w = Window.partitionBy(REPO, "a").orderBy(F.col("joint").desc(), F.col("b"))
     return (r.withColumn("r", F.row_number().over(w)).where("r = 1")
             .select(REPO, F.col("a").alias("src"), F.col("b").alias("dst")))

@@ -115,24 +115,29 @@ def supplier_depth(spark, sf_dir):
     return graph.dependency_depth(B.supplier_edges(t))
 
 
+def _part_radius(t):
+    ratios = history.cochange_ratios(B.part_commits(t))  # one pair count feeds both inputs
+    temporal = ratios.where((F.col("total_a") >= 2) & (F.col("pct") > 10))
+    return graph.blast_radius(B.part_edges(t, ratios), temporal)
+
+
 @query
 def blast_radius(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    return graph.blast_radius(B.part_edges(t), history.temporal_matrix(B.part_commits(t), code_only=False))
+    return _part_radius(Tables(spark, sf_dir))
 
 
 @query
 def global_impact(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    r = graph.blast_radius(B.part_edges(t), history.temporal_matrix(B.part_commits(t), code_only=False))
+    r = _part_radius(Tables(spark, sf_dir))
     return graph.global_impact(r).withColumn("risk_level", graph.risk_level())
 
 
 # ---------------------------------------------------------------- companions
 
 def _supplier_companions(t, k=8):
-    return companions.companions(B.supplier_files(t), B.supplier_edges(t), B.supplier_models(t),
-                                 B.supplier_routes(t), history.cochange_ratios(B.supplier_commits(t)), k=k)
+    ratios = history.cochange_ratios(B.supplier_commits(t))  # one pair count feeds edges and scores
+    return companions.companions(B.supplier_files(t), B.supplier_edges(t, ratios), B.supplier_models(t),
+                                 B.supplier_routes(t), ratios, k=k)
 
 
 @query
