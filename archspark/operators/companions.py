@@ -44,11 +44,13 @@ def _group_candidates(members: DataFrame, key: str, group_cols: list[str], n: in
 
 
 def companions(files: DataFrame, edges: DataFrame, models: DataFrame, routes: DataFrame,
-               cochange: DataFrame, k: int = 8, key: str = "repo_id") -> DataFrame:
+               cochange: DataFrame, k: int = 8, key: str = "repo_id",
+               targets: DataFrame | None = None) -> DataFrame:
     """-> (key, target, file, score, confidence_pct, confidence, reason, rank), rank <= k.
 
     files (key, path); edges (key, src, dst); models (key, path, model);
     routes (key, path, route); cochange (key, a, b, pct) with ratio = joint / commits(a).
+    ``targets`` (key, target), when given, restricts the answer to those targets early.
     """
     inventory = files.select(key, "path").distinct()
     e = edges.select(key, "src", "dst").distinct()
@@ -68,6 +70,8 @@ def companions(files: DataFrame, edges: DataFrame, models: DataFrame, routes: Da
     inv_t = _fresh(inventory.select(key, F.col("path").alias("target")))
     inv_f = _fresh(inventory.select(key, F.col("path").alias("file")))
     cands = cands.join(inv_t, [key, "target"], "left_semi").join(inv_f, [key, "file"], "left_semi")
+    if targets is not None:
+        cands = cands.join(_fresh(targets.select(key, "target").distinct()), [key, "target"], "left_semi")
 
     m_sets = m.groupBy(key, "path").agg(F.array_sort(F.collect_set("model")).alias("ms"))
     r_sets = r.groupBy(key, "path").agg(F.array_sort(F.collect_set("route")).alias("rs"))
@@ -118,3 +122,11 @@ def impact_score(companion_rows: DataFrame, key: str = "repo_id") -> DataFrame:
     """int(mean companion confidence * 100) per target (10 when there is none)."""
     return companion_rows.groupBy(key, "target").agg(
         F.coalesce(F.floor(F.avg("confidence_pct")), F.lit(10)).cast("bigint").alias("impact_score"))
+
+
+def impact_graph(companion_rows: DataFrame, key: str = "repo_id") -> DataFrame:
+    """H5: edges from each target to its ranked companions, typed static (an import in the
+    reason) or shadow (history only) -> (key, target, file, edge_type, label, confidence_pct)."""
+    typ = F.when(F.lower("reason").rlike("imports|imported"), "static").otherwise("shadow")
+    return companion_rows.select(key, "target", "file", typ.alias("edge_type"), F.col("reason").alias("label"),
+                                 "confidence_pct")

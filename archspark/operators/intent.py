@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from archspark.functions import vocab
 from archspark.functions.paths import basename, extension
+from archspark.session import cut_lineage
 
 WORD_RX = r"[\p{L}\p{N}_]+"
 
@@ -71,31 +72,64 @@ def target_layers(goal_concepts_df: DataFrame, layer_vocab: DataFrame,
     return hit.unionByName(none)
 
 
-def concept_hits(goal_concepts_df: DataFrame, files: DataFrame, key: str = "repo_id") -> DataFrame:
-    """(goal_id, key, path, concept) for every goal concept that is a substring of the lower path."""
-    vocab_df = goal_concepts_df.select("concept").distinct()
+def file_concepts(vocab_df: DataFrame, files: DataFrame, key: str = "repo_id") -> DataFrame:
+    """(key, path, concept, in_name) for every vocabulary concept that is a substring of the
+    lower-cased path; substrings up to the longest concept are enumerated per file and
+    equi-joined to the vocabulary (no nested loop over concepts x files)."""
     max_len = vocab_df.agg(F.max(F.length("concept"))).first()[0] or 1
-    lp = files.select(key, "path", F.lower("path").alias("lp"))
+    lp = files.select(key, "path", F.lower("path").alias("lp"), F.lower(basename("path")).alias("ln"))
     subs = (lp.withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(F.length("lp"), F.lit(1)))))
             .withColumn("_n", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_len),
                                                                      F.length("lp") - F.col("_i") + 1))))
             .where(F.col("_n") >= 1)
-            .select(key, "path", F.expr("substring(lp, _i, _n)").alias("concept")).distinct())
-    file_concepts = subs.join(vocab_df, "concept")          # (concept, key, path), equi join
-    return goal_concepts_df.join(file_concepts, "concept").select("goal_id", key, "path", "concept")
+            .select(key, "path", "ln", F.expr("substring(lp, _i, _n)").alias("concept")).distinct())
+    return (subs.join(vocab_df, "concept")
+            .select(key, "path", "concept", F.col("ln").contains(F.col("concept")).alias("in_name")))
+
+
+def concept_hits(goal_concepts_df: DataFrame, files: DataFrame, key: str = "repo_id") -> DataFrame:
+    """(goal_id, key, path, concept): every goal concept that is a substring of a file's lower path."""
+    fc = file_concepts(goal_concepts_df.select("concept").distinct(), files, key)
+    return goal_concepts_df.join(fc, "concept").select("goal_id", key, "path", "concept")
+
+
+# numerator of the exact score over the per-goal denominator 3 * d1 * d2 (see candidate_scores)
+_NUM = ("greatest(75 * least(p, d1) * d2, CASE WHEN floor22 THEN 66 * d1 * d2 ELSE 0 END)"
+        " + 75 * least(q, d2) * d1 + b3 * d1 * d2")
+
+
+def _b3(t: int):
+    """Three times the goal-independent part of a score for layer-target flag ``t``."""
+    return ((F.lit(20 * t) + F.when(F.col("dep"), 15 + 5 * t).otherwise(0)) * 3
+            + F.least(F.col("resp_x"), F.lit(15)) * 2)
 
 
 def candidate_scores(goals: DataFrame, files: DataFrame, file_facts_df: DataFrame, assignments: DataFrame,
                      concepts: DataFrame, stop_words: DataFrame, layer_vocab: DataFrame, layer_names: list[str],
                      k: int = 10, key: str = "repo_id", fallback: str = vocab.FALLBACK_LAYER) -> DataFrame:
-    """J7 + J8 + F3: the top ``k`` files per (goal, repository).
-
+    """J7 + J8 + F3: the top ``k`` files per (goal, repository), exactly.
+
+    score = clamp(trunc(path + name + layer + dependency + responsibility), 5, 100) as in
+    the analysed tool; ranking is by the untruncated score (an exact integer numerator
+    over a per-goal denominator), then path.
+
+    Plan, without a goal x file product:
+    1. files -> contained concepts (substring equi join); files with the same concept
+       signature, layer and floor-folder flag form a group and share every goal's
+       concept part of the score;
+    2. goals x groups through the concept key; per goal the groups are ranked by their
+       best file and only the top ``k`` groups are expanded (a file in the top k belongs to
+       a group whose best file is in the top k);
+    3. files without a hit compete through the per-layer best ``k`` files under each
+       (layer-target, floor) variant.
     -> (goal_id, key, path, layer, score, rank, reasons)
     """
-    gc = goal_concepts(goals, concepts, stop_words)
-    m = gc.groupBy("goal_id").agg(F.count(F.lit(1)).alias("m"),
-                                  F.max(F.col("concept").isin(*vocab.UI_FLOOR_CONCEPTS)).alias("has_ui"))
-    tl = target_layers(gc, layer_vocab, fallback)
+    gc = cut_lineage(goal_concepts(goals, concepts, stop_words))
+    m = cut_lineage(gc.groupBy("goal_id").agg(
+        F.count(F.lit(1)).alias("m"), F.max(F.col("concept").isin(*vocab.UI_FLOOR_CONCEPTS)).alias("has_ui"))
+        .withColumn("d1", F.greatest(F.lit(1), F.col("m") - 2))
+        .withColumn("d2", F.greatest(F.lit(1), F.col("m") - 4)))
+    tl = _fresh(target_layers(gc, layer_vocab, fallback).select("goal_id", "layer", F.lit(1).alias("t")))
     f = (files.select(key, "path")
          .join(file_facts_df.select(key, "path", "function_count", "class_count", "import_count",
                                     "imported_by_count"), [key, "path"], "left")
@@ -106,51 +140,72 @@ def candidate_scores(goals: DataFrame, files: DataFrame, file_facts_df: DataFram
                   + F.coalesce("imported_by_count", F.lit(0))).alias("resp_x"),
                  F.coalesce("imported_by_count", F.lit(0)).alias("fan_in"),
                  F.lower("path").rlike("|".join(vocab.UI_FLOOR_FOLDERS)).alias("special")))
-
-    hits = concept_hits(gc, files, key)
-    hit_pairs = (hits
-                 .withColumn("in_name", F.lower(basename("path")).contains(F.col("concept")))
-                 .groupBy("goal_id", key, "path")
-                 .agg(F.count(F.lit(1)).alias("p"), F.sum(F.col("in_name").cast("int")).alias("q"),
-                      F.slice(F.array_sort(F.collect_list("concept")), 1, 3).alias("matched")))
-
-    # base candidates: per layer, the best k files under each (in target?, ui floor?) variant
-    base = f.select("*")
+    f = cut_lineage(f.withColumn("b3_0", _b3(0)).withColumn("b3_1", _b3(1)))
+
+    # 1. concept signatures and groups
+    fc = file_concepts(gc.select("concept").distinct(), f.select(key, "path"), key)
+    sig = fc.groupBy(key, "path").agg(F.array_sort(F.collect_set(F.struct("concept", "in_name"))).alias("sig"))
+    gid = F.sha2(F.to_json(F.struct(F.col(key), "sig", "layer", "special")), 256)
+    fg = cut_lineage(f.join(sig, [key, "path"]).withColumn("gid", gid))
+    groups = fg.groupBy("gid").agg(F.first("sig").alias("sig"), F.first("layer").alias("layer"),
+                                   F.first("special").alias("special"), F.first(key).alias(key))
+    group_concepts = groups.select("gid", key, "layer", "special", F.explode("sig").alias("c")) \
+        .select("gid", key, "layer", "special", F.col("c.concept").alias("concept"), F.col("c.in_name").alias("in_name"))
+    heads = []
+    for t in (0, 1):
+        w = Window.partitionBy("gid").orderBy(F.col(f"b3_{t}").desc(), F.col("path"))
+        heads.append(fg.withColumn(f"r{t}", F.row_number().over(w)))
+    gheads = cut_lineage(heads[0].join(_fresh(heads[1].select("gid", "path", "r1")), ["gid", "path"])
+                         .where((F.col("r0") <= k) | (F.col("r1") <= k))
+                         .select("gid", key, "path", "layer", "special", "b3_0", "b3_1", "r0", "r1"))
+
+    # 2. goals x groups, ranked by each group's best file; expand the top k groups
+    gg = (gc.join(group_concepts, "concept")
+          .groupBy("goal_id", "gid", key, "layer", "special")
+          .agg(F.count(F.lit(1)).alias("p"), F.sum(F.col("in_name").cast("int")).alias("q"),
+               F.slice(F.array_sort(F.collect_list("concept")), 1, 3).alias("matched")))
+    gg = (gg.join(m, "goal_id").join(tl, ["goal_id", "layer"], "left")
+          .withColumn("t", F.coalesce("t", F.lit(0)))
+          .withColumn("floor22", F.col("special") & F.col("has_ui")))
+    best = _fresh(gheads.where((F.col("r0") == 1) | (F.col("r1") == 1))
+                  .select("gid", "path", "b3_0", "b3_1", "r0", "r1"))
+    gb = (gg.join(best, "gid")
+          .where(((F.col("t") == 0) & (F.col("r0") == 1)) | ((F.col("t") == 1) & (F.col("r1") == 1)))
+          .withColumn("b3", F.when(F.col("t") == 1, F.col("b3_1")).otherwise(F.col("b3_0")))
+          .withColumn("num", F.expr(_NUM)))
+    wg = Window.partitionBy("goal_id", key).orderBy(F.col("num").desc(), F.col("path"))
+    top_groups = (gb.withColumn("_g", F.row_number().over(wg)).where(F.col("_g") <= k)
+                  .select("goal_id", "gid", "t", "p", "q", "matched"))
+    hit_pairs = (top_groups.join(_fresh(gheads.select("gid", key, "path", "r0", "r1")), "gid")
+                 .where(((F.col("t") == 0) & (F.col("r0") <= k)) | ((F.col("t") == 1) & (F.col("r1") <= k)))
+                 .select("goal_id", key, "path", "p", "q", "matched"))
+
+    # 3. base candidates: per layer, the best k files under each (in target?, ui floor?) variant
     orders = []
     for t in (0, 1):
         for u in (False, True):
-            s = (F.lit(20 * t) + F.when(F.col("dep"), 15 + 5 * t).otherwise(0)) * 3 \
-                + F.least(F.col("resp_x"), F.lit(15)) * 2
-            if u:
-                s = s + F.when(F.col("special"), 66).otherwise(0)
-            clamped = F.least(F.greatest(F.floor(s / 3), F.lit(5)), F.lit(100))
-            orders.append(F.row_number().over(Window.partitionBy(key, "layer")
-                                              .orderBy(clamped.desc(), F.col("path"))))
-    ranked = base.select(key, "path", "layer", *[o.alias(f"_r{i}") for i, o in enumerate(orders)])
-    heads = ranked.where(" OR ".join(f"_r{i} <= {k}" for i in range(len(orders)))).select(key, "path", "layer")
-    n_heads = heads.count()  # at most 4k rows per (repository, layer): a bounded broadcast
-    goal_layers = goals.select("goal_id", F.explode(F.array(*[F.lit(x) for x in layer_names])).alias("layer"))
-    base_pairs = (goal_layers.join(F.broadcast(heads) if n_heads <= 1_000_000 else heads, "layer")
-                  .select("goal_id", key, "path", F.lit(0).alias("p"), F.lit(0).alias("q"),
-                          F.array().cast("array<string>").alias("matched")))
+            s = F.col(f"b3_{t}") + (F.when(F.col("special"), 66).otherwise(0) if u else F.lit(0))
+            orders.append(F.row_number().over(Window.partitionBy(key, "layer").orderBy(s.desc(), F.col("path"))))
+    ranked = f.select(key, "path", "layer", *[o.alias(f"_r{i}") for i, o in enumerate(orders)])
+    lheads = cut_lineage(ranked.where(" OR ".join(f"_r{i} <= {k}" for i in range(len(orders))))
+                         .select(key, "path", "layer"))
+    n_heads = lheads.count()  # at most 4k rows per (repository, layer): bounded
+    goal_layers = m.select("goal_id", F.explode(F.array(*[F.lit(x) for x in layer_names])).alias("layer"))
+    base_pairs = (goal_layers.join(F.broadcast(lheads) if n_heads <= 1_000_000 else lheads, "layer")
+                  .select("goal_id", key, "path", F.lit(0).cast("bigint").alias("p"),
+                          F.lit(0).cast("bigint").alias("q"), F.array().cast("array<string>").alias("matched")))
 
     pairs = (hit_pairs.unionByName(base_pairs)
              .groupBy("goal_id", key, "path")
              .agg(F.max("p").alias("p"), F.max("q").alias("q"), F.max("matched").alias("matched")))
-    tgt = _fresh(tl.select("goal_id", "layer", F.lit(1).alias("t")))
     scored = (pairs.join(m, "goal_id").join(_fresh(f), [key, "path"])
-              .join(tgt, ["goal_id", "layer"], "left")
+              .join(tl, ["goal_id", "layer"], "left")
               .withColumn("t", F.coalesce("t", F.lit(0)))
-              .withColumn("d1", F.greatest(F.lit(1), F.col("m") - 2))
-              .withColumn("d2", F.greatest(F.lit(1), F.col("m") - 4))
-              .withColumn("floor22", F.col("special") & F.col("has_ui")))
-    score = F.expr("""CASE WHEN m = 0 THEN 5 ELSE least(greatest((
-          greatest(75 * least(p, d1) * d2, CASE WHEN floor22 THEN 66 * d1 * d2 ELSE 0 END)
-        + 75 * least(q, d2) * d1
-        + (20 * t + CASE WHEN dep THEN 15 + 5 * t ELSE 0 END) * 3 * d1 * d2
-        + 2 * least(resp_x, 15) * d1 * d2) div (3 * d1 * d2), 5), 100) END""")
-    scored = scored.withColumn("score", score.cast("bigint"))
-    w = Window.partitionBy("goal_id", key).orderBy(F.col("score").desc(), F.col("path"))
+              .withColumn("floor22", F.col("special") & F.col("has_ui"))
+              .withColumn("b3", F.when(F.col("t") == 1, F.col("b3_1")).otherwise(F.col("b3_0")))
+              .withColumn("num", F.expr(_NUM))
+              .withColumn("score", F.expr("least(greatest(num div (3 * d1 * d2), 5), 100)").cast("bigint")))
+    w = Window.partitionBy("goal_id", key).orderBy(F.col("num").desc(), F.col("path"))
     top = scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
     lname = F.lower(basename("path"))
     ext = extension("path")

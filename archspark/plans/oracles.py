@@ -468,7 +468,11 @@ scored AS (
         + (20 * t + CASE WHEN dep THEN 15 + 5 * t ELSE 0 END) * 3 * d1 * d2
         + 2 * least(resp_x, 15) * d1 * d2) // (3 * d1 * d2), 5), 100) END AS BIGINT) AS score
   FROM sc),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY goal_id, repo_id ORDER BY score DESC, path) AS rank FROM scored)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY goal_id, repo_id ORDER BY (
+          greatest(75 * least(p, d1) * d2, CASE WHEN floor22 THEN 66 * d1 * d2 ELSE 0 END)
+        + 75 * least(q, d2) * d1
+        + (20 * t + CASE WHEN dep THEN 15 + 5 * t ELSE 0 END) * 3 * d1 * d2
+        + 2 * least(resp_x, 15) * d1 * d2) DESC, path) AS rank FROM scored)
 SELECT goal_id, repo_id, path, layer, score, CAST(rank AS BIGINT) AS rank,
   array_to_string(CASE WHEN len(list_filter([
       CASE WHEN t = 1 THEN 'Located inside ' || layer END,
@@ -600,3 +604,16 @@ SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS goal_id,
        WHEN contains(lower(text), 'redis') OR contains(lower(text), 'cache') THEN 'Medium' ELSE 'Low' END AS complexity
 FROM conversations WHERE role = 'user'
 """)
+
+oracle("impact_graph", f"""
+WITH {COMPANIONS}
+SELECT repo_id, target, file,
+       CASE WHEN regexp_matches(lower(reason), 'imports|imported') THEN 'static' ELSE 'shadow' END AS edge_type,
+       reason AS label, confidence_pct
+FROM ranked WHERE rank <= 8
+""")
+
+oracle("adjacency_json", f"""
+WITH {NATION_EDGES}
+SELECT DISTINCT repo_id, CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst FROM e
+""")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from archspark.operators import companions, extract, facts, graph, history, intent, layers, risks
 from archspark.functions import paths
-from archspark.sources import dims, manifests
+from archspark.sources import corpus, dims, manifests
 from archspark.plans import bindings as B
 from archspark.plans import reports
 from archspark.sources.tables import Tables
@@ -391,3 +391,56 @@ def repo_brief(spark, sf_dir):
     r = risks.union_risks(risks.risk_oversized(ff),
                           risks.risk_missing_tests(risks.missing_tests(ff, B.benchmark_tests(t), same_repo=False)))
     return reports.repo_brief(prof, cov, r, None)
+
+
+# ---------------------------------------------------------------- impact graph, evidence, JSON adjacency, agent context
+
+@query
+def impact_graph(spark, sf_dir):
+    return companions.impact_graph(_supplier_companions(Tables(spark, sf_dir)))
+
+
+@query
+def evidence_records(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    cov = facts.coverage(B.document_files(t), _doc_facts(t), None, B.labelled_history(t), None)
+    return facts.evidence_records(cov)
+
+
+@query
+def adjacency_json(spark, sf_dir):
+    """A8 then A7: the nation graph rendered as one JSON object per source file and read back."""
+    e = B.nation_edges(Tables(spark, sf_dir)).select("repo_id", F.col("src").cast("string").alias("src"),
+                                                     F.col("dst").cast("string").alias("dst"))
+    per_src = e.groupBy("repo_id", "src").agg(F.array_sort(F.collect_set("dst")).alias("dsts"))
+    docs = per_src.select("repo_id", F.to_json(F.create_map("src", "dsts")).alias("value"))
+    return corpus.adjacency_from_json(docs)
+
+
+def _part_cochange_all(t):
+    """Co-change ratios of part files across all orders, keyed by file path (repo 'parts')."""
+    cf = B._commit_files(t, "l_partkey").withColumn("repo_id", F.lit("parts"))
+    r = history.cochange_ratios(cf)
+    pf = B.part_files(t)
+    pa = pf.select(F.col("key").alias("a"), F.col("path").alias("pa"))
+    pb = pf.select(F.col("key").alias("b"), F.col("path").alias("pb"))
+    return (r.join(pa, "a").join(pb, "b")
+            .select("repo_id", F.col("pa").alias("a"), F.col("pb").alias("b"), "joint", "total_a", "pct"))
+
+
+@query
+def agent_context(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    files = B.part_files(t)
+    edges = graph.resolve_imports(B.part_raw_imports(t), B.part_modules(t))
+    cc = _part_cochange_all(t)
+    no_models = files.select("repo_id", "path", F.lit("").alias("model")).where(F.lit(False))
+    no_routes = files.select("repo_id", "path", F.lit("").alias("route")).where(F.lit(False))
+
+    def comp_fn(targets):
+        return companions.companions(files, edges, no_models, no_routes, cc, k=8, targets=targets)
+
+    ff = facts.file_facts(files, None, edges)
+    r = risks.union_risks(risks.risk_oversized(ff), risks.risk_missing_tests(
+        risks.missing_tests(ff, B.benchmark_tests(t), same_repo=False)))
+    return reports.agent_context(_part_candidates(spark, t), B.goals(t), comp_fn, r, None, B.benchmark_tests(t))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from archspark.functions import vocab
 from archspark.functions.paths import is_entry_point
 from archspark.operators import graph
+from archspark.session import cut_lineage
 
 
 def _fresh(df: DataFrame) -> DataFrame:
@@ -146,3 +147,66 @@ def repo_brief(profile: DataFrame, cov: DataFrame | None, risks_df: DataFrame |
     if layer_rollup is not None:
         out = out.join(layer_rollup.groupBy(key).agg(F.count(F.lit(1)).alias("n_layers")), key, "left")
     return out
+
+
+def agent_context(candidates: DataFrame, goals: DataFrame, companion_fn, risks_df: DataFrame | None,
+                  routes: DataFrame | None, test_paths: DataFrame | None, key: str = "repo_id",
+                  min_score: int = 10) -> DataFrame:
+    """K2 + K9 (+ C13, D11, D14, D15, J13, K7): one row per goal.
+
+    The recommended target is the best candidate; below ``min_score`` (or without
+    candidates) the goal gets status 'unavailable'. Affected files = target + ranked
+    companions; risks, routes and tests of affected files are counted through semi joins.
+    ``companion_fn(targets)`` returns companion rows restricted to those targets.
+    """
+    best = cut_lineage(candidates.where(F.col("rank") == 1).select(
+        "goal_id", key, F.col("path").alias("target"), F.col("layer").alias("target_layer"),
+        F.col("score").alias("target_score")))  # one row per goal, reused by every branch below
+    ok = best.where(F.col("target_score") >= min_score)
+    comp = companion_fn(ok.select(key, "target").distinct())
+    affected = (ok.select("goal_id", key, "target", F.col("target").alias("file"))
+                .unionByName(ok.join(comp.select(key, "target", "file"), [key, "target"])
+                             .select("goal_id", key, "target", "file")))
+
+    n_comp = comp.groupBy(key, "target").agg(F.count(F.lit(1)).alias("n_companions"))
+    out = ok.join(n_comp, [key, "target"], "left")
+    if risks_df is not None:
+        r = (affected.join(_fresh(risks_df.select(key, "file", "title")), [key, "file"])
+             .groupBy("goal_id").agg(F.count(F.lit(1)).alias("n_risks")))
+        out = out.join(r, "goal_id", "left")
+    else:
+        out = out.withColumn("n_risks", F.lit(0))
+    if routes is not None:
+        rf = routes.select(key, F.split("handler", ":").getItem(0).alias("file"))
+        rr = affected.join(_fresh(rf), [key, "file"]).groupBy("goal_id").agg(F.count(F.lit(1)).alias("n_routes"))
+        out = out.join(rr, "goal_id", "left")
+    else:
+        out = out.withColumn("n_routes", F.lit(0))
+    tests = None
+    if test_paths is not None:
+        from archspark.operators.risks import affected_tests  # local import keeps module deps one-way
+        files = affected.select(key, F.col("file").alias("path")).distinct()
+        at = affected_tests(files, test_paths, key=key, same_repo=False)
+        tests = (affected.select("goal_id", key, "file").join(at, [key, "file"])
+                 .select("goal_id", "test").distinct())
+        out = out.join(tests.groupBy("goal_id").agg(F.count(F.lit(1)).alias("n_tests")), "goal_id", "left")
+    else:
+        out = out.withColumn("n_tests", F.lit(0))
+    cx = plan_complexity(goals)
+    out = out.join(cx, "goal_id", "left").fillna(0, ["n_companions", "n_risks", "n_routes", "n_tests"])
+    out = out.withColumn("level", plan_level("complexity", "n_risks"))
+    checks = checklist(goals.join(ok.select("goal_id"), "goal_id", "left_semi"), ok.select("goal_id", "target"),
+                       tests if tests is not None else ok.select("goal_id", F.lit(None).cast("string").alias("test"))
+                       .where(F.lit(False)))
+    n_checks = checks.groupBy("goal_id").agg(F.count(F.lit(1)).alias("n_checks"))
+    out = out.join(n_checks, "goal_id", "left")
+
+    unavailable = (goals.select("goal_id").join(ok.select("goal_id"), "goal_id", "left_anti")
+                   .select("goal_id", F.lit("unavailable").alias("status"),
+                           F.lit("Evidence not available.").alias("reason")))
+    avail = out.select("goal_id", F.lit("available").alias("status"), F.lit(None).cast("string").alias("reason"),
+                       key, "target", "target_layer", "target_score",
+                       *[F.col(c).cast("bigint").alias(c) for c in ("n_companions", "n_risks", "n_routes",
+                                                                      "n_tests", "n_checks")],
+                       "complexity", "level")
+    return avail.unionByName(unavailable, allowMissingColumns=True)
