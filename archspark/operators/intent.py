@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from archspark.functions import vocab
 from archspark.functions.paths import basename, extension
+from archspark.operators.joins import contains_join
 from archspark.session import cut_lineage
 
 WORD_RX = r"[\p{L}\p{N}_]+"
@@ -35,20 +36,20 @@ def goal_words(goals: DataFrame, stop_words: DataFrame) -> DataFrame:
     """Words of each goal: Unicode word tokens longer than one character, minus stop words."""
     w = goals.select("goal_id", F.explode(F.regexp_extract_all(F.lower("goal"), F.lit(WORD_RX), 0)).alias("concept"))
     return (w.where(F.length("concept") > 1)
-            .join(F.broadcast(stop_words.select(F.col("word").alias("concept"))), "concept", "left_anti")
+            .join(stop_words.select(F.col("word").alias("concept")), "concept", "left_anti")
             .select("goal_id", "concept"))
 
 
 def dictionary_hits(goals: DataFrame, concepts: DataFrame) -> DataFrame:
     """(goal_id, keyword) for dictionary keywords contained in the lower-cased goal."""
-    kws = F.broadcast(concepts.select("keyword").distinct())  # a fixed dictionary of tens of rows
-    return goals.join(kws, F.lower(F.col("goal")).contains(F.col("keyword"))).select("goal_id", "keyword")
+    g = goals.select("goal_id", F.lower(F.col("goal")).alias("_lg"))
+    return contains_join(g, "_lg", concepts.select("keyword").distinct(), "keyword").select("goal_id", "keyword")
 
 
 def goal_concepts(goals: DataFrame, concepts: DataFrame, stop_words: DataFrame) -> DataFrame:
     """Distinct (goal_id, concept) = expansions of contained keywords + goal words."""
     hits = dictionary_hits(goals, concepts)
-    expanded = hits.join(F.broadcast(concepts.select("keyword", "concept")), "keyword").select("goal_id", "concept")
+    expanded = hits.join(concepts.select("keyword", "concept"), "keyword").select("goal_id", "concept")
     return expanded.unionByName(goal_words(goals, stop_words)).distinct()
 
 
@@ -65,7 +66,7 @@ def goal_summary(goals: DataFrame, concepts: DataFrame, stop_words: DataFrame) -
 def target_layers(goal_concepts_df: DataFrame, layer_vocab: DataFrame,
                   fallback: str = vocab.FALLBACK_LAYER) -> DataFrame:
     """(goal_id, layer): layers whose vocabulary meets the goal's concepts, else the fallback."""
-    hit = (goal_concepts_df.join(F.broadcast(layer_vocab.select("layer", "concept")), "concept")
+    hit = (goal_concepts_df.join(layer_vocab.select("layer", "concept"), "concept")
            .select("goal_id", "layer").distinct())
     none = (goal_concepts_df.select("goal_id").distinct().join(hit.select("goal_id").distinct(), "goal_id", "left_anti")
             .select("goal_id", F.lit(fallback).alias("layer")))
@@ -227,10 +228,10 @@ def first_keyword_match(prompts: DataFrame, change_map: DataFrame) -> DataFrame:
     norm = F.regexp_replace(F.lower("prompt"), r"[^\p{L}\p{N}_\s]", "")
     p = prompts.select("prompt_id", norm.alias("norm"))
     words = p.select("prompt_id", F.posexplode(F.split(F.trim("norm"), r"\s+")).alias("pos", "keyword"))
-    cm = F.broadcast(change_map.select("keyword", "ord", "target"))
+    cm = change_map.select("keyword", "ord", "target")
     by_word = (words.join(cm, "keyword").groupBy("prompt_id")
                .agg(F.min_by("target", "pos").alias("t1")))
-    by_sub = (p.join(cm, F.col("norm").contains(F.col("keyword"))).groupBy("prompt_id")
+    by_sub = (contains_join(p, "norm", cm, "keyword").groupBy("prompt_id")
               .agg(F.min_by("target", "ord").alias("t2")))
     return (p.select("prompt_id").join(by_word, "prompt_id", "left").join(by_sub, "prompt_id", "left")
             .select("prompt_id", F.coalesce("t1", "t2").alias("target")))

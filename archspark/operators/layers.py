@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from archspark.functions import vocab
 from archspark.functions.paths import basename
+from archspark.operators.joins import contains_join
 from archspark.session import cut_lineage
 
 MAX_DICTIONARY_ROWS = 100_000
@@ -22,7 +23,8 @@ def _fresh(df: DataFrame) -> DataFrame:
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = MAX_DICTIONARY_ROWS) -> DataFrame:
-    """Broadcast a dictionary only after checking its size; refuse an unbounded one."""
+    """Broadcast regex rules only after checking their size. Regex rules have no equi-join
+    form, so an unbounded rule table is refused (rules are configuration, not data)."""
     n = df.count()
     if n > max_rows:
         raise ValueError(f"dictionary has {n} rows (> {max_rows}); it is not a broadcastable dimension")
@@ -36,9 +38,10 @@ def layer_contributions(files: DataFrame, taxonomy: DataFrame, path_rules: DataF
     """J4 parts as rows (key, path, layer, points)."""
     f = files.select(key, "path").distinct()
     lp, ln = F.lower(F.col("path")), F.lower(basename("path"))
-    tax = checked_broadcast(taxonomy.select("layer", "keyword"))
-    parts = [f.join(tax, lp.contains(F.col("keyword")))  # D12
-             .select(key, "path", "layer", F.when(ln.contains(F.col("keyword")), 6).otherwise(3).alias("points"))]
+    fl = f.select(key, "path", lp.alias("_lp"), ln.alias("_ln"))
+    kw = contains_join(fl, "_lp", taxonomy.select("layer", "keyword"), "keyword", small="needles")  # D12
+    parts = [kw.select(key, "path", "layer",
+                       F.when(F.col("_ln").contains(F.col("keyword")), 6).otherwise(3).alias("points"))]
     if path_rules is not None:
         rules = checked_broadcast(path_rules.select("grp", "ord", "layer", "pattern", "points"))
         hits = f.join(rules, F.regexp_like(lp, F.col("pattern")))
@@ -67,7 +70,7 @@ def assign_layers(files: DataFrame, scores: DataFrame, layers: DataFrame, key: s
                   fallback: str = vocab.FALLBACK_LAYER) -> DataFrame:
     """best layer per file, strict maximum so the first-declared layer wins ties;
     the fallback layer with score 0 when nothing scored. -> (key, path, layer, score)."""
-    pri = checked_broadcast(layers.select("layer", "priority"))
+    pri = layers.select("layer", "priority")  # equi join; AQE broadcasts it after measuring
     best = (scores.where("score > 0").join(pri, "layer")
             .groupBy(key, "path")
             .agg(F.max_by(F.struct("layer", "score"),
@@ -97,7 +100,7 @@ def propagate(assignments: DataFrame, edges: DataFrame, layers: DataFrame, round
     nb = (e.select(key, F.col("src").alias("path"), F.col("dst").alias("nb"))
           .unionAll(e.select(key, F.col("dst").alias("path"), F.col("src").alias("nb"))))
     n_nb = nb.groupBy(key, "path").agg(F.count(F.lit(1)).alias("n_nb"))
-    pri = checked_broadcast(layers.select("layer", "priority"))
+    pri = layers.select("layer", "priority")  # equi join; AQE broadcasts it after measuring
     cur = cut_lineage(assignments.select(key, "path", "layer", "score"))
     for _ in range(rounds):
         labels = _fresh(cur.select(key, F.col("path").alias("nb"), F.col("layer").alias("nl")))
@@ -124,7 +127,7 @@ def rollup(assignments: DataFrame, layers: DataFrame, key: str = "repo_id") -> D
     """E13 + F7: per layer: file count and confidence = clamp(round(share scored > 0), .60, .98)
     as an integer percentage; rank by file count (ties: declaration order). Membership stays
     in the long ``assignments`` table instead of a nested list."""
-    pri = checked_broadcast(layers.select("layer", "priority"))
+    pri = layers.select("layer", "priority")  # equi join; AQE broadcasts it after measuring
     g = (assignments.groupBy(key, "layer")
          .agg(F.count(F.lit(1)).alias("n_files"),
               F.sum(F.when(F.col("score") > 0, 1).otherwise(0)).alias("scored")))

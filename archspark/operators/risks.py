@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from archspark.functions import vocab
 from archspark.functions.paths import stem
+from archspark.operators.joins import contains_join
 
 BROADCAST_HAYSTACK_ROWS = 200_000
 
@@ -24,25 +25,9 @@ def _fresh(df: DataFrame) -> DataFrame:
 
 def substring_pairs(left: DataFrame, needle: str, right: DataFrame, hay: str,
                     max_broadcast_rows: int = BROADCAST_HAYSTACK_ROWS) -> DataFrame:
-    """All (left row, right row) with ``right[hay]`` containing ``left[needle]``.
-
-    Left rows with an empty needle match every haystack, as ``'' in s`` does.
-    """
-    n = right.count()
-    if n <= max_broadcast_rows:
-        return left.join(F.broadcast(right), F.col(hay).contains(F.col(needle)))
-    max_len = left.agg(F.max(F.length(needle))).first()[0] or 0
-    subs = (right.withColumn("_L", F.length(hay))
-            .withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(F.col("_L"), F.lit(1)))))
-            .withColumn("_n", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_len),
-                                                                      F.col("_L") - F.col("_i") + 1)))))
-    subs = (subs.where(F.col("_n") >= 1)
-            .withColumn("_sub", F.expr(f"substring({hay}, _i, _n)"))
-            .drop("_L", "_i", "_n").dropDuplicates())
-    cols = [c for c in subs.columns if c != "_sub"]
-    # non-empty needles: exact equi join on the enumerated substring
-    return (left.where(F.length(needle) > 0).join(subs, F.col(needle) == F.col("_sub"))
-            .drop("_sub").dropDuplicates(left.columns + cols))
+    """All (left row, right row) with ``right[hay]`` containing ``left[needle]``; the haystack
+    side (test paths) is the one tried for a broadcast."""
+    return contains_join(right, hay, left, needle, small="texts", max_broadcast_rows=max_broadcast_rows)
 
 
 def missing_tests(file_facts_df: DataFrame, test_paths: DataFrame, key: str = "repo_id",

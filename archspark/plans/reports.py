@@ -117,7 +117,7 @@ def checklist(goals: DataFrame, targets: DataFrame, tests: DataFrame) -> DataFra
 
 def recommendations(risks_df: DataFrame, advice: DataFrame, key: str = "repo_id") -> DataFrame:
     """K6: risk rows joined to the (bounded) advice dictionary."""
-    return (risks_df.join(F.broadcast(advice.select("ord", "title", "advice")), "title")
+    return (risks_df.join(advice.select("ord", "title", "advice"), "title")
             .select(key, "file", "title", "ord", "advice"))
 
 

@@ -122,3 +122,13 @@ def test_companion_topk_bound_is_exact(spark):
                         key=lambda x: (-x[0], x[1]))[:k]
         want |= {(f"f{t:02d}", f"f{f:02d}") for _, f in ranked}
     assert {(r.target, r.file) for r in got} == want
+
+
+def test_contains_join_fallback_equals_broadcast(spark):
+    from archspark.operators.joins import contains_join
+    texts = spark.createDataFrame([(1, "add jwt auth to login"), (2, "tune the database"), (3, "")],
+                                  "id int, txt string")
+    needles = spark.createDataFrame([("auth",), ("db",), ("data",), ("login",), ("",)], "kw string")
+    a = contains_join(texts, "txt", needles, "kw").select("id", "kw").collect()
+    b = contains_join(texts, "txt", needles, "kw", max_broadcast_rows=0).select("id", "kw").collect()
+    assert sorted(a) == sorted(b) == sorted([(1, "auth"), (1, "login"), (2, "data")])
