@@ -148,3 +148,16 @@ DEEP_CHAIN = 4
 MISSING_TEST_MIN_BYTES = 1000
 MISSING_TEST_TOP = 4
 BLOAT_BYTES = 15360
+
+# FIXED VALUES: keyword -> file map of the prompt-to-file cascade, in declaration order,
+# and the default file keys tried when nothing matches.
+FILE_KEYWORD_MAP = [
+    ("database", "database.py"), ("postgres", "database.py"), ("postgresql", "database.py"),
+    ("db", "database.py"), ("cosmos", "database.py"), ("cosmosdb", "database.py"),
+    ("auth", "auth.py"), ("authentication", "auth.py"), ("login", "auth.py"),
+    ("jwt", "jwt.py"), ("token", "jwt.py"),
+    ("billing", "billing.py"), ("payment", "billing.py"),
+    ("redis", "redis_cache.py"), ("cache", "redis_cache.py"),
+    ("utils", "utils.py"), ("logger", "utils.py"),
+]
+DEFAULT_TARGET_KEYS = ["auth.py", "database.py", "main.py", "bridge.py", "memory_manager.py"]

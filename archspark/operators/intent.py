@@ -235,3 +235,45 @@ def first_keyword_match(prompts: DataFrame, change_map: DataFrame) -> DataFrame:
               .agg(F.min_by("target", "ord").alias("t2")))
     return (p.select("prompt_id").join(by_word, "prompt_id", "left").join(by_sub, "prompt_id", "left")
             .select("prompt_id", F.coalesce("t1", "t2").alias("target")))
+
+
+def prompt_file_cascade(prompts: DataFrame, files: DataFrame, keyword_map: DataFrame, default_keys: DataFrame,
+                        key: str = "repo_id") -> DataFrame:
+    """one file per prompt asked of a repository, from the first tier that yields one:
+
+    1. the first map keyword (declaration order) contained in the prompt whose file exists,
+       or else a file whose path contains that file name or the keyword;
+    2. a file whose lower path, or a non-empty dot-separated part of it, is in the prompt;
+    3. a file containing one of the default keys (in key order);
+    4. any file.
+    Within a tier the smallest path wins (the analysed tool uses directory-walk order).
+    prompts (prompt_id, key, prompt) -> (prompt_id, key, target, tier)
+    """
+    p = prompts.select("prompt_id", F.col(key).alias("_pk"), F.lower("prompt").alias("norm"))
+    f = files.select(F.col(key).alias("_fk"), "path", F.lower("path").alias("lpath"))
+    same = F.col("_pk") == F.col("_fk")
+    kws = contains_join(p, "norm", keyword_map.select("keyword", "ord", "filename"), "keyword")
+    exact = (kws.join(f, same & (F.col("path") == F.col("filename")))
+             .select("prompt_id", "_pk", "path", F.lit(1).alias("tier"), (F.col("ord") * 2).alias("sub")))
+    needles = (keyword_map.select("ord", F.col("filename").alias("needle"))
+               .unionByName(keyword_map.select("ord", F.col("keyword").alias("needle"))).distinct())
+    loose = (contains_join(f, "path", needles, "needle").select("_fk", "path", "ord").distinct()
+             .join(kws.select("prompt_id", "_pk", "ord"), "ord").where(same)
+             .select("prompt_id", "_pk", "path", F.lit(1).alias("tier"), (F.col("ord") * 2 + 1).alias("sub")))
+    parts = (f.select("_fk", "path", F.explode(F.array_union(F.array("lpath"), F.split("lpath", r"\."))).alias("part"))
+             .where(F.length("part") > 0).distinct())
+    t2 = (contains_join(p, "norm", parts, "part").where(same)
+          .select("prompt_id", "_pk", "path", F.lit(2).alias("tier"), F.lit(0).alias("sub")))
+    t3 = (contains_join(f, "path", default_keys.select("dkey", "ord"), "dkey")
+          .select("_fk", "path", F.col("ord").alias("sub"), F.lit(3).alias("tier")))
+    t4 = f.groupBy("_fk").agg(F.min("path").alias("path")).select("_fk", "path", F.lit(0).alias("sub"),
+                                                                  F.lit(4).alias("tier"))
+    w0 = Window.partitionBy("_fk").orderBy("tier", "sub", "path")
+    fallback = (t3.unionByName(t4).withColumn("_r", F.row_number().over(w0)).where("_r = 1")
+                .select(F.col("_fk").alias("_pk"), "path", "tier", "sub"))
+    per_prompt = p.select("prompt_id", "_pk").join(fallback, "_pk").select("prompt_id", "_pk", "path", "tier", "sub")
+    allc = exact.unionByName(loose).unionByName(t2).unionByName(per_prompt)
+    w = Window.partitionBy("prompt_id", "_pk").orderBy("tier", "sub", "path")
+    return (allc.withColumn("_r", F.row_number().over(w)).where("_r = 1")
+            .select("prompt_id", F.col("_pk").alias(key), F.col("path").alias("target"),
+                    F.col("tier").cast("bigint").alias("tier")))

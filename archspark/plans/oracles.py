@@ -617,3 +617,43 @@ oracle("adjacency_json", f"""
 WITH {NATION_EDGES}
 SELECT DISTINCT repo_id, CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst FROM e
 """)
+
+
+def _cascade_values():
+    from archspark.functions import vocab
+    kw = ", ".join(f"('{k}', {i}, '{f}')" for i, (k, f) in enumerate(vocab.FILE_KEYWORD_MAP, start=1))
+    dk = ", ".join(f"('{k}', {i})" for i, k in enumerate(vocab.DEFAULT_TARGET_KEYS, start=1))
+    return kw, dk
+
+
+_KW_ROWS, _DK_ROWS = _cascade_values()
+
+oracle("prompt_file_cascade", f"""
+WITH p AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS prompt_id, 'parts' AS repo_id,
+                  lower(text) AS norm FROM conversations WHERE role = 'user'),
+f AS (SELECT 'parts' AS repo_id,
+             lower(p_type) || '/' || replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS VARCHAR) || '.py' AS path
+      FROM part),
+km(keyword, ord, filename) AS (VALUES {_KW_ROWS}),
+dk(dkey, ord) AS (VALUES {_DK_ROWS}),
+kws AS (SELECT p.prompt_id, p.repo_id, km.* FROM p JOIN km ON contains(p.norm, km.keyword)),
+exact AS (SELECT k.prompt_id, k.repo_id, f.path, 1 AS tier, 2 * k.ord AS sub FROM kws k
+          JOIN f ON f.repo_id = k.repo_id AND f.path = k.filename),
+loose AS (SELECT k.prompt_id, k.repo_id, f.path, 1 AS tier, 2 * k.ord + 1 AS sub FROM kws k
+          JOIN f ON f.repo_id = k.repo_id AND (contains(f.path, k.filename) OR contains(f.path, k.keyword))),
+parts AS (SELECT DISTINCT repo_id, path, part FROM (
+            SELECT repo_id, path, unnest(list_concat([lower(path)], string_split(lower(path), '.'))) AS part FROM f)
+          WHERE length(part) > 0),
+t2 AS (SELECT p.prompt_id, p.repo_id, x.path, 2 AS tier, 0 AS sub FROM p JOIN parts x
+       ON x.repo_id = p.repo_id AND contains(p.norm, x.part)),
+t3 AS (SELECT f.repo_id, f.path, 3 AS tier, dk.ord AS sub FROM f JOIN dk ON contains(f.path, dk.dkey)),
+t4 AS (SELECT repo_id, min(path) AS path, 4 AS tier, 0 AS sub FROM f GROUP BY repo_id),
+fb AS (SELECT repo_id, path, tier, sub FROM (
+         SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY tier, sub, path) AS rk
+         FROM (SELECT * FROM t3 UNION ALL SELECT * FROM t4)) WHERE rk = 1),
+allc AS (SELECT * FROM exact UNION ALL SELECT * FROM loose UNION ALL SELECT * FROM t2
+         UNION ALL SELECT p.prompt_id, p.repo_id, fb.path, fb.tier, fb.sub FROM p JOIN fb ON fb.repo_id = p.repo_id)
+SELECT prompt_id, repo_id, path AS target, CAST(tier AS BIGINT) AS tier FROM (
+  SELECT *, row_number() OVER (PARTITION BY prompt_id, repo_id ORDER BY tier, sub, path) AS rk FROM allc)
+WHERE rk = 1
+""")

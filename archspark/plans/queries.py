@@ -444,3 +444,12 @@ def agent_context(spark, sf_dir):
     r = risks.union_risks(risks.risk_oversized(ff), risks.risk_missing_tests(
         risks.missing_tests(ff, B.benchmark_tests(t), same_repo=False)))
     return reports.agent_context(_part_candidates(spark, t), B.goals(t), comp_fn, r, None, B.benchmark_tests(t))
+
+
+@query
+def prompt_file_cascade(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    prompts = B.goals(t).select(F.col("goal_id").alias("prompt_id"), F.lit("parts").alias("repo_id"),
+                                F.col("goal").alias("prompt"))
+    files = B.part_files(t).select("repo_id", "path")
+    return intent.prompt_file_cascade(prompts, files, dims.file_keyword_map(spark), dims.default_target_keys(spark))

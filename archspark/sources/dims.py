@@ -52,3 +52,13 @@ def change_map(spark: SparkSession) -> DataFrame:
 
 def advice(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(vocab.ADVICE, "ord int, title string, advice string")
+
+
+def file_keyword_map(spark: SparkSession) -> DataFrame:
+    rows = [(kw, i, f) for i, (kw, f) in enumerate(vocab.FILE_KEYWORD_MAP, start=1)]
+    return spark.createDataFrame(rows, "keyword string, ord int, filename string")
+
+
+def default_target_keys(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(k, i) for i, k in enumerate(vocab.DEFAULT_TARGET_KEYS, start=1)],
+                                 "dkey string, ord int")
