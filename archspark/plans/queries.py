@@ -453,3 +453,16 @@ def prompt_file_cascade(spark, sf_dir):
                                 F.col("goal").alias("prompt"))
     files = B.part_files(t).select("repo_id", "path")
     return intent.prompt_file_cascade(prompts, files, dims.file_keyword_map(spark), dims.default_target_keys(spark))
+
+
+@query
+def repository_review(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    ff = _doc_file_facts(t)
+    inv = B.document_files(t)
+    deps = manifests.requirement_lines(B.document_corpus(t))
+    prof = manifests.project_profile(inv, deps)
+    cov = facts.coverage(inv, _doc_facts(t), None, B.labelled_history(t), None)
+    r = risks.union_risks(risks.risk_oversized(ff),
+                          risks.risk_missing_tests(risks.missing_tests(ff, B.benchmark_tests(t), same_repo=False)))
+    return reports.review(inv, prof, cov, r, deps, dims.advice(spark))

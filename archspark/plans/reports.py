@@ -6,7 +6,7 @@ could grow with the data are kept as long tables or counts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from archspark.functions import vocab
@@ -210,3 +210,59 @@ def agent_context(candidates: DataFrame, goals: DataFrame, companion_fn, risks_d
                                                                       "n_tests", "n_checks")],
                        "complexity", "level")
     return avail.unionByName(unavailable, allowMissingColumns=True)
+
+
+def review(inventory: DataFrame, profile: DataFrame, cov: DataFrame, risks_df: DataFrame,
+           deps: DataFrame | None, advice: DataFrame, key: str = "repo_id", max_risks: int = 5,
+           max_deps: int = 8) -> DataFrame:
+    """The repository review as data -> (key, section, ord, item, value).
+
+    Sections: coverage, profile, entry_points, databases, libraries (first 8 sorted),
+    layers (files per first folder, exact folder match), strengths, risks (first 5 in
+    detector order), recommendations (risk titles with advice)."""
+    from archspark.functions.paths import first_segment, is_database_file
+    cov_rows = cov.select(key, F.expr("""stack(5,
+        'overall', CAST(overall_pct AS STRING), 'ast', CAST(ast_pct AS STRING),
+        'dependency', CAST(dep_pct AS STRING),
+        'git', coalesce(CAST(git_pct AS STRING), 'Not Available (Reason: No readable Git history)'),
+        'route', coalesce(CAST(route_pct AS STRING), 'Not Available (Reason: No routes mapped in workspace)'))
+        AS (item, value)""")).select(key, F.lit("coverage").alias("section"), F.lit(0).alias("ord"), "item", "value")
+    prof = profile.select(key, F.lit("profile").alias("section"), F.lit(0).alias("ord"),
+                          F.lit("layout").alias("item"), F.col("layout").alias("value"))
+    inv = inventory.select(key, "path")
+    entries = inv.where(is_entry_point("path")).select(key, F.lit("entry_points").alias("section"),
+                                                       F.lit(0).alias("ord"), F.col("path").alias("item"),
+                                                       F.lit(None).cast("string").alias("value"))
+    dbs = inv.where(is_database_file("path")).select(key, F.lit("databases").alias("section"), F.lit(0).alias("ord"),
+                                                     F.col("path").alias("item"), F.lit(None).cast("string").alias("value"))
+    parts = [cov_rows, prof, entries, dbs]
+    if deps is not None:
+        wl = Window.partitionBy(key).orderBy("dep")
+        parts.append(deps.select(key, "dep").distinct().withColumn("ord", F.row_number().over(wl))
+                     .where(F.col("ord") <= max_deps)
+                     .select(key, F.lit("libraries").alias("section"), "ord", F.col("dep").alias("item"),
+                             F.lit(None).cast("string").alias("value")))
+    dirs = (inv.select(key, first_segment("path").alias("d")).where(F.col("d").isNotNull())
+            .groupBy(key, "d").agg(F.count(F.lit(1)).alias("n")))
+    parts.append(dirs.select(key, F.lit("layers").alias("section"), F.lit(0).alias("ord"), F.col("d").alias("item"),
+                             F.col("n").cast("string").alias("value")))
+    n_entries = entries.groupBy(key).agg(F.count(F.lit(1)).alias("n_entries"))
+    st = (profile.select(key, "n_files").join(cov.select(key, "ast_pct"), key, "left").join(n_entries, key, "left")
+          .select(key, F.explode(F.array_compact(F.array(
+              F.when(F.col("n_files") > 10, F.lit("Modular Design")),
+              F.when(F.col("ast_pct") > 90, F.lit("High AST Parse Success")),
+              F.when(F.coalesce("n_entries", F.lit(0)) > 0, F.lit("Explicit Entrypoints"))))).alias("item")))
+    parts.append(st.select(key, F.lit("strengths").alias("section"), F.lit(0).alias("ord"), "item",
+                           F.lit(None).cast("string").alias("value")))
+    wr = Window.partitionBy(key).orderBy("detector", "file", "title")
+    parts.append(risks_df.withColumn("ord", F.row_number().over(wr)).where(F.col("ord") <= max_risks)
+                 .select(key, F.lit("risks").alias("section"), "ord",
+                         F.concat(F.lit("["), F.upper("severity"), F.lit("] "), F.col("title")).alias("item"),
+                         F.col("file").alias("value")))
+    rec = recommendations(risks_df, advice, key)
+    parts.append(rec.select(key, F.lit("recommendations").alias("section"), F.col("ord"),
+                            F.col("advice").alias("item"), F.col("file").alias("value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("ord", F.col("ord").cast("bigint"))
