@@ -657,3 +657,44 @@ SELECT prompt_id, repo_id, path AS target, CAST(tier AS BIGINT) AS tier FROM (
   SELECT *, row_number() OVER (PARTITION BY prompt_id, repo_id ORDER BY tier, sub, path) AS rk FROM allc)
 WHERE rk = 1
 """)
+
+
+def _advice_values():
+    from archspark.functions import vocab
+    return ", ".join(f"({o}, '{t}', '{a}')" for o, t, a in vocab.ADVICE)
+
+
+oracle("recommendations", f"""
+WITH RECURSIVE {DOC_FF}, {R1}, {NATION_EDGES}, {CLOSURE},
+adv(ord, title, advice) AS (VALUES {_advice_values()}),
+r AS (SELECT repo_id, title, file FROM r1
+      UNION ALL
+      SELECT repo_id, 'Circular Dependency Loop', CAST(node AS VARCHAR) FROM comp WHERE node = component)
+SELECT r.repo_id, r.file, r.title, a.ord, a.advice FROM r JOIN adv a ON a.title = r.title
+""")
+
+oracle("what_if", f"""
+WITH p AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS prompt_id,
+                  regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g') AS norm
+           FROM conversations WHERE role = 'user'),
+cm(keyword, ord, target) AS (VALUES {_CM_ROWS}),
+w AS (SELECT prompt_id, unnest(string_split_regex(trim(norm, ' '), '\\s+')) AS keyword,
+             unnest(range(len(string_split_regex(trim(norm, ' '), '\\s+')))) AS pos FROM p),
+t1 AS (SELECT w.prompt_id, arg_min(cm.target, w.pos) AS t1 FROM w JOIN cm ON cm.keyword = w.keyword GROUP BY w.prompt_id),
+t2 AS (SELECT p.prompt_id, arg_min(cm.target, cm.ord) AS t2 FROM p JOIN cm ON contains(p.norm, cm.keyword) GROUP BY p.prompt_id),
+mapped AS (SELECT p.prompt_id, 'parts' AS repo_id, coalesce(t1.t1, t2.t2) AS target FROM p
+           LEFT JOIN t1 ON t1.prompt_id = p.prompt_id LEFT JOIN t2 ON t2.prompt_id = p.prompt_id),
+pe AS (SELECT DISTINCT 'parts' AS repo_id, r.src, r.module || '.py' AS dst FROM (
+         SELECT lower(p_type) || '/' || replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS VARCHAR) || '.py' AS src,
+                unnest(list_concat(string_split(p_name, ' '), [lower(p_type)])) AS module FROM part) r
+       WHERE r.module IN (SELECT unnest(string_split(p_name, ' ')) FROM part) AND r.src <> r.module || '.py'),
+g AS (SELECT repo_id, src AS target, sum(40) AS s, count(*) AS n FROM pe GROUP BY repo_id, src),
+imp AS (SELECT repo_id, target, least((s * (20 + n)) // (20 * n), 100) AS score, n FROM g)
+SELECT m.prompt_id, m.repo_id, m.target, CAST(coalesce(i.score, 0) AS BIGINT) AS global_impact_score,
+       CAST(coalesce(i.n, 0) AS BIGINT) AS modules_affected,
+       CASE WHEN m.target IS NULL THEN NULL WHEN coalesce(i.score, 0) > 70 THEN 'CRITICAL'
+            WHEN coalesce(i.score, 0) > 40 THEN 'HIGH' ELSE 'MEDIUM' END AS risk_level,
+       CASE WHEN m.target IS NULL THEN
+         'auth.py, billing.py, database.py, jwt.py, redis_cache.py, session.py, user_repo.py, utils.py' END AS suggestions
+FROM mapped m LEFT JOIN imp i ON i.repo_id = m.repo_id AND i.target = m.target
+""")
