@@ -98,3 +98,11 @@ def test_streaming_commit_frequency(spark):
     st.run_available_now(st.commit_frequency_stream(stream), os.path.join(out, "t"), name=os.path.basename(out))
     got = {r.path: r.commits for r in st.current_counts(spark, os.path.join(out, "t")).collect()}
     assert got["auth.py"] == 2 and got["database.py"] == 2 and got["main.py"] == 1
+
+
+def test_analysis_store(spark):
+    a = build_analysis(spark, _corpus(spark), src.parse_commit_log(_log(spark)))
+    root = tempfile.mkdtemp(prefix="store-", dir="/tmp")
+    src.save_analysis({"imports": a["imports"], "file_facts": a["file_facts"]}, root)
+    back = src.load_analysis(spark, root, ["imports", "file_facts"], repo_id="app")
+    assert back["imports"].count() == 6 and back["file_facts"].count() == 7
