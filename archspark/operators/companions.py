@@ -57,36 +57,33 @@ def companions(files: DataFrame, edges: DataFrame, models: DataFrame, routes: Da
     m = models.select(key, "path", "model").distinct()
     r = routes.select(key, "path", "route").distinct()
     cc = cochange.select(key, F.col("a").alias("target"), F.col("b").alias("file"), "pct").where("pct > 0")
-
     mr = m.join(_fresh(r), [key, "path"])
-    cands = (e.select(key, F.col("dst").alias("target"), F.col("src").alias("file"))
-             .unionByName(e.select(key, F.col("src").alias("target"), F.col("dst").alias("file")))
-             .unionByName(cc.select(key, "target", "file"))
-             .unionByName(_group_candidates(m, key, ["model"], 2 * k + 1))
-             .unionByName(_group_candidates(r, key, ["route"], 2 * k + 1))
-             .unionByName(_group_candidates(mr, key, ["model", "route"], k + 1))
-             .distinct())
-    # both ends must be inventory files (the reference loops over its fact sheets)
-    inv_t = _fresh(inventory.select(key, F.col("path").alias("target")))
-    inv_f = _fresh(inventory.select(key, F.col("path").alias("file")))
-    cands = cands.join(inv_t, [key, "target"], "left_semi").join(inv_f, [key, "file"], "left_semi")
+
+    def sig(df, imp_in=False, imp_out=False, pct=None):
+        return df.select(key, "target", "file", F.lit(imp_in).alias("imp_in"), F.lit(imp_out).alias("imp_out"),
+                         (F.col("pct") if pct else F.lit(0)).cast("bigint").alias("pct"))
+
+    # every candidate with its direct signals, merged by one aggregation (one shuffle)
+    rows = (sig(e.select(key, F.col("dst").alias("target"), F.col("src").alias("file")), imp_in=True)
+            .unionByName(sig(e.select(key, F.col("src").alias("target"), F.col("dst").alias("file")), imp_out=True))
+            .unionByName(sig(cc, pct=True))
+            .unionByName(sig(_group_candidates(m, key, ["model"], 2 * k + 1)))
+            .unionByName(sig(_group_candidates(r, key, ["route"], 2 * k + 1)))
+            .unionByName(sig(_group_candidates(mr, key, ["model", "route"], k + 1))))
     if targets is not None:
-        cands = cands.join(_fresh(targets.select(key, "target").distinct()), [key, "target"], "left_semi")
-
-    m_sets = m.groupBy(key, "path").agg(F.array_sort(F.collect_set("model")).alias("ms"))
-    r_sets = r.groupBy(key, "path").agg(F.array_sort(F.collect_set("route")).alias("rs"))
-    imp_in = _fresh(e.select(key, F.col("src").alias("file"), F.col("dst").alias("target"),
-                             F.lit(True).alias("imp_in")))
-    imp_out = _fresh(e.select(key, F.col("src").alias("target"), F.col("dst").alias("file"),
-                              F.lit(True).alias("imp_out")))
+        rows = rows.join(_fresh(targets.select(key, "target").distinct()), [key, "target"], "left_semi")
+    cands = (rows.where(F.col("target") != F.col("file")).groupBy(key, "target", "file")
+             .agg(F.max("imp_in").alias("imp_in"), F.max("imp_out").alias("imp_out"), F.max("pct").alias("pct")))
+
+    # one row per inventory file with its model and route sets; inner joins on both ends
+    # also keep only inventory files (the reference loops over its fact sheets)
+    fs = (inventory.join(m.groupBy(key, "path").agg(F.array_sort(F.collect_set("model")).alias("ms")), [key, "path"], "left")
+          .join(r.groupBy(key, "path").agg(F.array_sort(F.collect_set("route")).alias("rs")), [key, "path"], "left"))
     scored = (cands
-              .join(imp_in, [key, "target", "file"], "left")
-              .join(imp_out, [key, "target", "file"], "left")
-              .join(_fresh(cc), [key, "target", "file"], "left")
-              .join(_fresh(m_sets.select(key, F.col("path").alias("target"), F.col("ms").alias("tm"))), [key, "target"], "left")
-              .join(_fresh(m_sets.select(key, F.col("path").alias("file"), F.col("ms").alias("fm"))), [key, "file"], "left")
-              .join(_fresh(r_sets.select(key, F.col("path").alias("target"), F.col("rs").alias("tr"))), [key, "target"], "left")
-              .join(_fresh(r_sets.select(key, F.col("path").alias("file"), F.col("rs").alias("fr"))), [key, "file"], "left"))
+              .join(_fresh(fs.select(key, F.col("path").alias("target"), F.col("ms").alias("tm"), F.col("rs").alias("tr"))),
+                    [key, "target"])
+              .join(_fresh(fs.select(key, F.col("path").alias("file"), F.col("ms").alias("fm"), F.col("rs").alias("fr"))),
+                    [key, "file"]))
     shared_m = F.array_intersect(F.coalesce("tm", F.array().cast("array<string>")),
                                  F.coalesce("fm", F.array().cast("array<string>")))
     shared_r = F.array_intersect(F.coalesce("tr", F.array().cast("array<string>")),

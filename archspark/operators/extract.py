@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 FACTS_SCHEMA = (
     "repo_id string, path string, parsed boolean, "
-    "imports array<struct<module:string,line:int>>, "
+    "imports array<struct<module:string,name:string,line:int>>, "
     "classes array<struct<name:string,bases:array<string>,methods:array<string>,line:int>>, "
     "functions array<struct<name:string,args:array<string>,line:int>>, "
     "endpoints array<struct<path:string,method:string,handler:string,line:int>>, "
@@ -91,8 +91,9 @@ def _model_fields(cls: ast.ClassDef) -> list[str]:
     return out
 
 
-def parse_source(text: str) -> dict:
-    """Facts of one source text."""
+def parse_source(text: str, include_async: bool = False) -> dict:
+    """Facts of one source text (B1-B6). ``include_async`` also reads ``async def`` functions
+    and endpoints (the analysed tool skips them)."""
     empty = {"parsed": False, "imports": [], "classes": [], "functions": [], "endpoints": [], "models": []}
     try:
         tree = ast.parse(text)
@@ -102,18 +103,22 @@ def parse_source(text: str) -> dict:
     for node in ast.walk(tree):
         if isinstance(node, ast.Import):  # B5
             for alias in node.names:
-                facts["imports"].append({"module": alias.name.split(".")[0], "line": node.lineno})
+                facts["imports"].append({"module": alias.name.split(".")[0], "name": alias.name,
+                                         "line": node.lineno})
         elif isinstance(node, ast.ImportFrom):
             if node.module:
-                facts["imports"].append({"module": node.module.split(".")[0], "line": node.lineno})
+                facts["imports"].append({"module": node.module.split(".")[0], "name": node.module,
+                                         "line": node.lineno})
         elif isinstance(node, ast.ClassDef):  # B1
             bases = [b.id if isinstance(b, ast.Name) else b.attr for b in node.bases
                      if isinstance(b, (ast.Name, ast.Attribute))]
-            methods = [n.name for n in node.body if isinstance(n, ast.FunctionDef)]
+            kinds = (ast.FunctionDef, ast.AsyncFunctionDef) if include_async else (ast.FunctionDef,)
+            methods = [n.name for n in node.body if isinstance(n, kinds)]
             facts["classes"].append({"name": node.name, "bases": bases, "methods": methods, "line": node.lineno})
             if _is_model(node):
                 facts["models"].append({"name": node.name, "fields": _model_fields(node), "line": node.lineno})
-        elif isinstance(node, ast.FunctionDef):  # B3, B4 (async defs are not visited, as in the reference)
+        elif isinstance(node, ast.FunctionDef) or (include_async and isinstance(node, ast.AsyncFunctionDef)):
+            # B3, B4 (async defs only with include_async, as the analysed tool skips them)
             args = [a.arg for a in node.args.args]
             is_method = bool(args) and args[0] in ("self", "cls")
             eps = [e for e in (_endpoint(d, node.name, node.lineno) for d in node.decorator_list) if e]
@@ -123,7 +128,7 @@ def parse_source(text: str) -> dict:
     return facts
 
 
-def _extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _extract_batches(batches: Iterator[pd.DataFrame], include_async: bool = False) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for repo, path, content in zip(pdf["repo_id"], pdf["path"], pdf["content"]):
@@ -131,14 +136,15 @@ def _extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 text = bytes(content).decode("utf-8", errors="ignore")
             else:
                 text = content or ""
-            f = parse_source(text)
+            f = parse_source(text, include_async)
             f["repo_id"], f["path"] = repo, path
             rows.append(f)
         yield pd.DataFrame(rows, columns=["repo_id", "path", "parsed", "imports", "classes", "functions",
                                           "endpoints", "models"])
 
 
-def code_facts(corpus: DataFrame, content: str = "content", python_only: bool = True) -> DataFrame:
+def code_facts(corpus: DataFrame, content: str = "content", python_only: bool = True,
+               include_async: bool = False) -> DataFrame:
     """B-job: (repo_id, path, content) -> code_facts rows (one per Python file).
 
     Only the three needed columns enter the Python worker; Arrow moves them in batches.
@@ -146,7 +152,7 @@ def code_facts(corpus: DataFrame, content: str = "content", python_only: bool =
     src = corpus.select("repo_id", "path", F.col(content).alias("content"))
     if python_only:
         src = src.where(F.col("path").endswith(".py"))
-    return src.mapInPandas(_extract_batches, FACTS_SCHEMA)
+    return src.mapInPandas(lambda it: _extract_batches(it, include_async), FACTS_SCHEMA)
 
 
 def explode_facts(facts: DataFrame, what: str) -> DataFrame:

@@ -103,11 +103,14 @@ def coverage(inventory: DataFrame, facts: DataFrame | None, edges: DataFrame | N
                       .cast("bigint").alias("confidence_pct"))
 
 
-def health(file_facts_df: DataFrame, database_files: DataFrame | None = None, key: str = "repo_id") -> DataFrame:
+def health(file_facts_df: DataFrame, database_files: DataFrame | None = None, key: str = "repo_id",
+           cycles: DataFrame | None = None, cycle_penalty: int = 0) -> DataFrame:
     """E12 + J2 + J3 + E21 per repository, exact in integers.
 
     maintainability = trunc(100 - min(cx/5, 20) - min(deps/3, 15) - min(bloat, 15)) clamped
-    to 10..100, computed in units of 1/3000; integrity = 100 - 5 without database files;
+    to 10..100, computed in units of 1/3000; integrity = 100 - 5 without database files
+    (minus ``cycle_penalty`` per cyclic component when ``cycles`` is given; the analysed
+    tool's penalty is a constant 0);
     test density = min(400 * tests / files, 100), 15 when below 10; documentation 85
     with a root readme else 40.
     """
@@ -125,13 +128,19 @@ def health(file_facts_df: DataFrame, database_files: DataFrame | None = None, ke
         g = g.join(db, key, "left")
     else:
         g = g.withColumn("db_files", F.lit(0))
+    if cycles is not None and cycle_penalty:
+        nc = cycles.select(key, "component").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n_cycles"))
+        g = g.join(nc, key, "left")
+    else:
+        g = g.withColumn("n_cycles", F.lit(0))
     m = F.expr("(300000 - least(600 * complexity, 60000) - least(1000 * dependencies, 45000) "
                "- least(bloat3000, 45000)) div 3000")
     td = F.expr("CASE WHEN least((400 * test_files) div n_files, 100) < 10 THEN 15 "
                 "ELSE least((400 * test_files) div n_files, 100) END")
     return g.select(key, "n_files",
                     F.least(F.greatest(m, F.lit(10)), F.lit(100)).cast("bigint").alias("maintainability"),
-                    F.when(F.coalesce("db_files", F.lit(0)) > 0, 100).otherwise(95).cast("bigint")
+                    (F.when(F.coalesce("db_files", F.lit(0)) > 0, 100).otherwise(95)
+                     - F.lit(cycle_penalty) * F.coalesce("n_cycles", F.lit(0))).cast("bigint")
                     .alias("structural_integrity"),
                     td.cast("bigint").alias("test_density"),
                     F.when(F.col("has_readme") == 1, 85).otherwise(40).cast("bigint").alias("documentation"))

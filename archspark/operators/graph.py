@@ -29,6 +29,22 @@ def resolve_imports(raw_imports: DataFrame, modules: DataFrame, key: str = "repo
             .where(F.col("src") != F.col("dst")).select(key, "src", "dst").distinct())
 
 
+def resolve_imports_dotted(raw_names: DataFrame, files: DataFrame, key: str = "repo_id") -> DataFrame:
+    """D1 option ``resolution="dotted"``: import ``a.b.c`` resolves to the file of its longest
+    existing prefix (``a/b/c`` as package ``__init__.py`` or module ``.py``, else ``a/b`` ...);
+    a package wins over a same-named module, as in Python.
+    raw_names (key, src, name); files (key, path) -> distinct (key, src, dst), no self edges."""
+    py = files.where(F.col("path").endswith(".py")).select(key, "path")
+    mods = py.select(key, F.regexp_replace(F.regexp_replace("path", r"/__init__\.py$", ""), r"\.py$", "")
+                     .alias("mpath"), F.col("path").alias("dst"), F.col("path").endswith("__init__.py").alias("pkg"))
+    parts = raw_names.select(key, "src", "name", F.split("name", r"\.").alias("_p"))
+    prefixes = (parts.select(key, "src", "name", "_p", F.explode(F.sequence(F.lit(1), F.size("_p"))).alias("n"))
+                .select(key, "src", "name", "n", F.array_join(F.slice("_p", 1, F.col("n")), "/").alias("mpath")))
+    best = (prefixes.join(mods, [key, "mpath"])
+            .groupBy(key, "src", "name").agg(F.max_by("dst", F.struct("n", "pkg")).alias("dst")))
+    return best.select(key, "src", "dst").where(F.col("src") != F.col("dst")).distinct()
+
+
 def fan_in_out(edges: DataFrame, key: str = "repo_id") -> DataFrame:
     """(key, node, fan_out, fan_in) for every node that appears in an edge."""
     e = edges.select(key, "src", "dst").distinct()

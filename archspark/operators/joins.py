@@ -42,11 +42,14 @@ def contains_join(texts: DataFrame, text_col: str, needles: DataFrame, needle_co
     # exact equi-join fallback on enumerated substrings of the needle lengths only; the set of
     # distinct needle lengths is bounded by the longest needle, so it is read as a small list
     lens = sorted(r[0] for r in needles.select(F.length(needle_col)).distinct().collect())
-    t = texts.withColumn("_tid", F.monotonically_increasing_id())
-    subs = (t.select("_tid", F.col(text_col).alias("_txt"), F.explode(F.array(*[F.lit(n) for n in lens])).alias("_n"))
+    # substrings are cut from the distinct text values and joined back on the value itself
+    # (no generated row ids, so a recomputed partition after an executor loss joins the same way)
+    txt = texts.select(F.col(text_col).alias("_txt")).distinct()
+    subs = (txt.select("_txt", F.explode(F.array(*[F.lit(n) for n in lens])).alias("_n"))
             .withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_txt") - F.col("_n") + 1,
                                                                          F.lit(0)))))
             .where(F.col("_i") >= 1)
-            .select("_tid", F.expr("substring(_txt, _i, _n)").alias("_sub")).distinct())
+            .select("_txt", F.expr("substring(_txt, _i, _n)").alias("_sub")).distinct())
     hits = subs.join(_fresh(needles).withColumnRenamed(needle_col, "_sub"), "_sub")
-    return t.join(hits.withColumnRenamed("_sub", needle_col), "_tid").drop("_tid")
+    hits = hits.withColumnRenamed("_sub", needle_col).withColumnRenamed("_txt", text_col)
+    return texts.join(hits, text_col)

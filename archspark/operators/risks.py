@@ -32,13 +32,14 @@ def substring_pairs(left: DataFrame, needle: str, right: DataFrame, hay: str,
 
 def missing_tests(file_facts_df: DataFrame, test_paths: DataFrame, key: str = "repo_id",
                   top: int = vocab.MISSING_TEST_TOP, min_bytes: int = vocab.MISSING_TEST_MIN_BYTES,
-                  same_repo: bool = True) -> DataFrame:
+                  same_repo: bool = True, fold_case: bool = False) -> DataFrame:
     """R6 + D10 + F5: .py files (no 'test'/'setup' in the path, size > min_bytes) whose stem
     no test path contains (case as given: stem is not lower-cased, the path is);
     the ``top`` largest per repository. -> (key, file, size, rank)."""
     src = (file_facts_df.where((F.col("extension") == ".py") & ~F.lower("path").contains("test")
                                & ~F.lower("path").contains("setup") & (F.col("size") > min_bytes))
-           .select(key, F.col("path").alias("file"), "size", stem("path").alias("_stem")))
+           .select(key, F.col("path").alias("file"), "size",
+                   (F.lower(stem("path")) if fold_case else stem("path")).alias("_stem")))
     tests = test_paths.select(*([F.col(key).alias("_tk")] if same_repo else []),
                               F.lower("path").alias("_tpath"))
     hits = substring_pairs(src, "_stem", tests, "_tpath")

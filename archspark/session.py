@@ -23,6 +23,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("ARCHSPARK_DRIVER_MEM", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # whole source texts travel to the parse job: keep Arrow batches small
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

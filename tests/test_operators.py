@@ -132,3 +132,20 @@ def test_contains_join_fallback_equals_broadcast(spark):
     a = contains_join(texts, "txt", needles, "kw").select("id", "kw").collect()
     b = contains_join(texts, "txt", needles, "kw", max_broadcast_rows=0).select("id", "kw").collect()
     assert sorted(a) == sorted(b) == sorted([(1, "auth"), (1, "login"), (2, "data")])
+
+
+def test_options_async_foldcase_dotted(spark):
+    src_async = "@router.get('/a')\nasync def a():\n    pass\n"
+    assert extract.parse_source(src_async)["endpoints"] == []
+    assert [e["path"] for e in extract.parse_source(src_async, include_async=True)["endpoints"]] == ["/a"]
+    files = spark.createDataFrame([("r", p) for p in ["pkg/__init__.py", "pkg/mod.py", "pkg/sub/deep.py", "top.py",
+                                                      "x.py"]], "repo_id string, path string")
+    raw = spark.createDataFrame([("r", "x.py", "pkg.mod.func"), ("r", "x.py", "pkg.other"),
+                                 ("r", "x.py", "pkg.sub.deep"), ("r", "x.py", "top"), ("r", "x.py", "numpy.linalg")],
+                                "repo_id string, src string, name string")
+    got = sorted(r.dst for r in graph.resolve_imports_dotted(raw, files).collect())
+    assert got == ["pkg/__init__.py", "pkg/mod.py", "pkg/sub/deep.py", "top.py"]
+    ff = spark.createDataFrame([("r", "src/AuthService.py", ".py", 5000)], "repo_id string, path string, extension string, size bigint")
+    tests = spark.createDataFrame([("r", "tests/test_authservice.py")], "repo_id string, path string")
+    assert risks.missing_tests(ff, tests).count() == 1              # CamelCase stem never matches (as the tool)
+    assert risks.missing_tests(ff, tests, fold_case=True).count() == 0
