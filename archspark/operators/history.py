@@ -7,8 +7,9 @@ Scale notes
 -----------
 * E1/E2 are single aggregations with a distinct inside; Spark plans them with one
   shuffle on the grouping key after a map-side partial aggregate.
-* D8 (pairs within a commit) is quadratic in the commit size by definition. Commits
-  larger than ``heavy_commit_files`` are *salted*: the left side is spread over
+* D8 (pairs within a commit) is quadratic in the commit size by definition. Commits up
+  to ``heavy_commit_files`` files generate their pairs from a per-commit sorted array
+  (one shuffle, no join). Larger commits are *salted*: the left side is spread over
   ``salt_buckets`` by a hash of the path and the right side is replicated to every
   bucket, so each pair is produced exactly once and a giant commit is split over
   ``salt_buckets`` tasks instead of one. Nothing is dropped or capped.
@@ -81,42 +82,65 @@ def file_history(commit_files: DataFrame, key: str = "repo_id", commit: str = "c
             .withColumn("density", scores.density_bucket("commits")))
 
 
-def _salted_sides(cf: DataFrame, key: str, commit: str, path: str,
-                  heavy_commit_files: int, salt_buckets: int):
-    sizes = cf.groupBy(key, commit).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = sizes.where(F.col("_n") > heavy_commit_files).select(key, commit,
-                                                                 F.lit(True).alias("_heavy"))
-    n_heavy = heavy.count()
-    if n_heavy == 0:
-        return None
-    # The heavy set has at most rows/heavy_commit_files entries; broadcast only when
-    # that count is small, otherwise a shuffle join.
-    if n_heavy <= 10000:
-        heavy = F.broadcast(heavy)
-    tagged = cf.join(heavy, [key, commit], "left")
-    is_heavy = F.coalesce(F.col("_heavy"), F.lit(False))
-    left = tagged.withColumn("_salt", F.when(is_heavy, F.pmod(F.xxhash64(path), F.lit(salt_buckets)))
-                             .otherwise(F.lit(0)).cast("int")).drop("_heavy")
-    right = tagged.withColumn("_salt", F.explode(F.when(is_heavy, F.sequence(F.lit(0), F.lit(salt_buckets - 1)))
-                                                 .otherwise(F.array(F.lit(0))))).drop("_heavy")
-    return left, right
+def _pairs_from_arrays(light: DataFrame, key: str, commit: str, path: str) -> DataFrame:
+    """Pairs of commits with a bounded number of files: one shuffle groups each commit's
+    files into a sorted array, pairs (a < b) are generated in place by higher-order
+    functions (JVM-side), no self join."""
+    arr = light.groupBy(key, commit).agg(F.array_sort(F.collect_set(path)).alias("_fs"))  # set: dedupes
+    n = F.size("_fs")
+    pairs = F.flatten(F.transform(
+        F.sequence(F.lit(1), n),
+        lambda i: F.transform(F.slice("_fs", i + 1, n), lambda y: F.struct(F.element_at("_fs", i).alias("a"),
+                                                                             y.alias("b")))))
+    return arr.select(key, F.explode(pairs).alias("_p")).select(key, "_p.a", "_p.b")
+
+
+def _pairs_by_salted_join(heavy_rows: DataFrame, key: str, commit: str, path: str, salt_buckets: int) -> DataFrame:
+    """Pairs of large commits: the left side is spread over ``salt_buckets`` by a hash of the
+    path, the right side is replicated to every bucket, so each pair appears exactly once and
+    one commit is split over ``salt_buckets`` join tasks."""
+    left = heavy_rows.withColumn("_salt", F.pmod(F.xxhash64(path), F.lit(salt_buckets)).cast("int"))
+    right = heavy_rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+    x, y = left.alias("x"), right.alias("y")
+    cond = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in (key, commit, "_salt")] + \
+        [F.col(f"x.{path}") < F.col(f"y.{path}")]
+    return x.join(y, cond).select(F.col(f"x.{key}").alias(key), F.col(f"x.{path}").alias("a"),
+                                  F.col(f"y.{path}").alias("b"))
 
 
 def cooccurrence(commit_files: DataFrame, key: str = "repo_id", commit: str = "commit_id",
                  path: str = "path", code_only: bool = False,
-                 heavy_commit_files: int | None = 50000, salt_buckets: int = 64) -> DataFrame:
-    """Joint commit count of each unordered file pair -> (key, a, b, joint) with a < b."""
-    cf = file_sets(commit_files, key, commit, path, code_only)
-    sides = None
-    if heavy_commit_files is not None:
-        sides = _salted_sides(cf, key, commit, path, heavy_commit_files, salt_buckets)
-    if sides is None:
-        x, y, keys = cf.alias("x"), cf.alias("y"), [key, commit]
+                 heavy_commit_files: int | None = 1000, salt_buckets: int = 64) -> DataFrame:
+    """Joint commit count of each unordered file pair -> (key, a, b, joint) with a < b.
+
+    Commits with at most ``heavy_commit_files`` files build their pairs from a per-commit
+    array (bounded by that size); larger commits go through the salted self join. Both are
+    exact and nothing is dropped. ``heavy_commit_files=None`` uses a plain self join.
+    """
+    if heavy_commit_files is None:
+        cf = file_sets(commit_files, key, commit, path, code_only)
+        x, y = cf.alias("x"), cf.alias("y")
+        cond = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in (key, commit)] + [F.col(f"x.{path}") < F.col(f"y.{path}")]
+        pairs = x.join(y, cond).select(F.col(f"x.{key}").alias(key), F.col(f"x.{path}").alias("a"),
+                                       F.col(f"y.{path}").alias("b"))
     else:
-        x, y, keys = sides[0].alias("x"), sides[1].alias("y"), [key, commit, "_salt"]
-    cond = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys] + [F.col(f"x.{path}") < F.col(f"y.{path}")]
-    pairs = x.join(y, cond).select(F.col(f"x.{key}").alias(key), F.col(f"x.{path}").alias("a"),
-                                   F.col(f"y.{path}").alias("b"))
+        # routing by raw row counts (an upper bound of the distinct file count) is safe:
+        # every commit sent to the array path has at most heavy_commit_files rows
+        cf = commit_files.select(key, commit, path)
+        if code_only:
+            cf = cf.where(is_code_file(path))
+        sizes = cf.groupBy(key, commit).agg(F.count(F.lit(1)).alias("_n"))  # partial aggregate, tiny output
+        heavy = sizes.where(F.col("_n") > heavy_commit_files).select(key, commit)
+        n_heavy = heavy.count()
+        if n_heavy == 0:
+            pairs = _pairs_from_arrays(cf, key, commit, path)
+        else:
+            # at most rows / heavy_commit_files heavy commits; broadcast their keys only when few
+            hb = F.broadcast(heavy) if n_heavy <= 10000 else heavy
+            light = cf.join(hb, [key, commit], "left_anti")
+            heavy_rows = cf.join(hb, [key, commit], "left_semi").distinct()
+            pairs = _pairs_from_arrays(light, key, commit, path).unionByName(
+                _pairs_by_salted_join(heavy_rows, key, commit, path, salt_buckets))
     return pairs.groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("joint"))
 
 
