@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from archspark.functions import vocab
 from archspark.functions.paths import basename, extension
-from archspark.operators.joins import contains_join
+from archspark.operators.joins import bounded_broadcast, contains_join
 from archspark.session import cut_lineage
 
 WORD_RX = r"[\p{L}\p{N}_]+"
@@ -76,16 +76,19 @@ def target_layers(goal_concepts_df: DataFrame, layer_vocab: DataFrame,
 def file_concepts(vocab_df: DataFrame, files: DataFrame, key: str = "repo_id") -> DataFrame:
     """(key, path, concept, in_name) for every vocabulary concept that is a substring of the
     lower-cased path; substrings up to the longest concept are enumerated per file and
-    equi-joined to the vocabulary (no nested loop over concepts x files)."""
+    equi-joined to the vocabulary (no nested loop over concepts x files). The vocabulary
+    is broadcast when a count shows it small, so the enumerated substrings never shuffle;
+    only the matches are de-duplicated."""
     max_len = vocab_df.agg(F.max(F.length("concept"))).first()[0] or 1
-    lp = files.select(key, "path", F.lower("path").alias("lp"), F.lower(basename("path")).alias("ln"))
+    lp = files.select(key, "path", F.lower("path").alias("lp"))
     subs = (lp.withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(F.length("lp"), F.lit(1)))))
             .withColumn("_n", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_len),
                                                                      F.length("lp") - F.col("_i") + 1))))
             .where(F.col("_n") >= 1)
-            .select(key, "path", "ln", F.expr("substring(lp, _i, _n)").alias("concept")).distinct())
-    return (subs.join(vocab_df, "concept")
-            .select(key, "path", "concept", F.col("ln").contains(F.col("concept")).alias("in_name")))
+            .select(key, "path", F.expr("substring(lp, _i, _n)").alias("concept")))
+    vb, _ = bounded_broadcast(vocab_df.select("concept"), 1_000_000)
+    hits = subs.join(vb, "concept").distinct()
+    return hits.select(key, "path", "concept", F.lower(basename("path")).contains(F.col("concept")).alias("in_name"))
 
 
 def concept_hits(goal_concepts_df: DataFrame, files: DataFrame, key: str = "repo_id") -> DataFrame:
