@@ -82,11 +82,9 @@ def file_history(commit_files: DataFrame, key: str = "repo_id", commit: str = "c
             .withColumn("density", scores.density_bucket("commits")))
 
 
-def _pairs_from_arrays(light: DataFrame, key: str, commit: str, path: str) -> DataFrame:
-    """Pairs of commits with a bounded number of files: one shuffle groups each commit's
-    files into a sorted array, pairs (a < b) are generated in place by higher-order
-    functions (JVM-side), no self join."""
-    arr = light.groupBy(key, commit).agg(F.array_sort(F.collect_set(path)).alias("_fs"))  # set: dedupes
+def _array_pairs(arr: DataFrame, key: str) -> DataFrame:
+    """Pairs (a < b) generated in place from each commit's sorted file array (JVM-side
+    higher-order functions, no self join)."""
     n = F.size("_fs")
     pairs = F.flatten(F.transform(
         F.sequence(F.lit(1), n),
@@ -108,52 +106,70 @@ def _pairs_by_salted_join(heavy_rows: DataFrame, key: str, commit: str, path: st
                                   F.col(f"y.{path}").alias("b"))
 
 
-def cooccurrence(commit_files: DataFrame, key: str = "repo_id", commit: str = "commit_id",
-                 path: str = "path", code_only: bool = False,
-                 heavy_commit_files: int | None = 1000, salt_buckets: int = 64) -> DataFrame:
-    """Joint commit count of each unordered file pair -> (key, a, b, joint) with a < b.
+def _pairs_and_files(commit_files: DataFrame, key: str, commit: str, path: str, code_only: bool,
+                     heavy_commit_files: int | None, salt_buckets: int):
+    """Unordered pairs (key, a, b) of every commit and the commit's files (key, path), one row
+    per (commit, file), from a single grouping of the commit table.
 
-    Commits with at most ``heavy_commit_files`` files build their pairs from a per-commit
-    array (bounded by that size); larger commits go through the salted self join. Both are
-    exact and nothing is dropped. ``heavy_commit_files=None`` uses a plain self join.
+    Commits with at most ``heavy_commit_files`` rows become one sorted array each (bounded);
+    the same aggregate feeds both outputs, so the commit table is shuffled once. Larger
+    commits are kept as rows and paired by the salted self join.
     """
+    cf = commit_files.select(key, commit, path)
+    if code_only:
+        cf = cf.where(is_code_file(path))
     if heavy_commit_files is None:
-        cf = file_sets(commit_files, key, commit, path, code_only)
-        x, y = cf.alias("x"), cf.alias("y")
+        rows = cf.distinct()
+        x, y = rows.alias("x"), rows.alias("y")
         cond = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in (key, commit)] + [F.col(f"x.{path}") < F.col(f"y.{path}")]
         pairs = x.join(y, cond).select(F.col(f"x.{key}").alias(key), F.col(f"x.{path}").alias("a"),
                                        F.col(f"y.{path}").alias("b"))
-    else:
-        # routing by raw row counts (an upper bound of the distinct file count) is safe:
-        # every commit sent to the array path has at most heavy_commit_files rows
-        cf = commit_files.select(key, commit, path)
-        if code_only:
-            cf = cf.where(is_code_file(path))
-        sizes = cf.groupBy(key, commit).agg(F.count(F.lit(1)).alias("_n"))  # partial aggregate, tiny output
-        heavy = sizes.where(F.col("_n") > heavy_commit_files).select(key, commit)
-        n_heavy = heavy.count()
-        if n_heavy == 0:
-            pairs = _pairs_from_arrays(cf, key, commit, path)
-        else:
-            # at most rows / heavy_commit_files heavy commits; broadcast their keys only when few
-            hb = F.broadcast(heavy) if n_heavy <= 10000 else heavy
-            light = cf.join(hb, [key, commit], "left_anti")
-            heavy_rows = cf.join(hb, [key, commit], "left_semi").distinct()
-            pairs = _pairs_from_arrays(light, key, commit, path).unionByName(
-                _pairs_by_salted_join(heavy_rows, key, commit, path, salt_buckets))
+        return pairs, rows.select(key, path)
+    # routing by raw row counts (an upper bound of the distinct file count) is safe:
+    # every commit sent to the array path has at most heavy_commit_files rows
+    sizes = cf.groupBy(key, commit).agg(F.count(F.lit(1)).alias("_n"))  # partial aggregate, tiny output
+    heavy = sizes.where(F.col("_n") > heavy_commit_files).select(key, commit)
+    n_heavy = heavy.count()
+    light = cf
+    heavy_rows = None
+    if n_heavy:
+        # at most rows / heavy_commit_files heavy commits; broadcast their keys only when few
+        hb = F.broadcast(heavy) if n_heavy <= 10000 else heavy
+        light = cf.join(hb, [key, commit], "left_anti")
+        heavy_rows = cf.join(hb, [key, commit], "left_semi").distinct()
+    arr = light.groupBy(key, commit).agg(F.array_sort(F.collect_set(path)).alias("_fs"))  # set: dedupes
+    pairs = _array_pairs(arr, key)
+    files = arr.select(key, F.explode("_fs").alias(path))
+    if heavy_rows is not None:
+        pairs = pairs.unionByName(_pairs_by_salted_join(heavy_rows, key, commit, path, salt_buckets))
+        files = files.unionByName(heavy_rows.select(key, path))
+    return pairs, files
+
+
+def cooccurrence(commit_files: DataFrame, key: str = "repo_id", commit: str = "commit_id",
+                 path: str = "path", code_only: bool = False,
+                 heavy_commit_files: int | None = 1000, salt_buckets: int = 64) -> DataFrame:
+    """Joint commit count of each unordered file pair -> (key, a, b, joint) with a < b.
+
+    Exact for every commit size; nothing is dropped. ``heavy_commit_files=None`` uses a plain
+    self join instead of the array / salted split.
+    """
+    pairs, _ = _pairs_and_files(commit_files, key, commit, path, code_only, heavy_commit_files, salt_buckets)
     return pairs.groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("joint"))
 
 
 def cochange_ratios(commit_files: DataFrame, key: str = "repo_id", commit: str = "commit_id",
-                    path: str = "path", code_only: bool = False, **pair_opts) -> DataFrame:
+                    path: str = "path", code_only: bool = False,
+                    heavy_commit_files: int | None = 1000, salt_buckets: int = 64) -> DataFrame:
     """E3 + G5: directional ratio joint(a,b)/commits(a) for every co-changed pair.
 
+    Pair counts and per-file commit counts come from the same per-commit grouping.
     -> (key, a, b, joint, total_a, pct) with ``pct`` the half-up integer percentage.
     """
-    joint = cooccurrence(commit_files, key, commit, path, code_only, **pair_opts)
+    pairs, files = _pairs_and_files(commit_files, key, commit, path, code_only, heavy_commit_files, salt_buckets)
+    joint = pairs.groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("joint"))
     both = joint.unionByName(joint.select(key, F.col("b").alias("a"), F.col("a").alias("b"), "joint"))
-    freq = commit_frequency(commit_files, key, commit, path, code_only) \
-        .select(key, F.col(path).alias("a"), F.col("commits").alias("total_a"))
+    freq = files.groupBy(key, F.col(path).alias("a")).agg(F.count(F.lit(1)).alias("total_a"))
     return (both.join(freq, [key, "a"])
             .withColumn("pct", scores.pct("joint", "total_a"))
             .select(key, "a", "b", "joint", "total_a", "pct"))
