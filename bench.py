@@ -21,7 +21,7 @@ HEADLINE = [
     "windowed_temporal_matrix", "import_resolution", "fan_in_out", "import_cycles", "dependency_depth",
     "supplier_cycles", "blast_radius", "global_impact", "companion_files", "layer_argmax", "label_propagation",
     "file_fact_enrichment", "health_scores", "missing_tests", "risk_union", "code_facts",
-    "intent_concepts", "candidate_topk", "first_keyword_match",
+    "intent_concepts", "candidate_topk", "first_keyword_match", "agent_context",
 ]
 
 
