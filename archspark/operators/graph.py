@@ -94,22 +94,81 @@ def transitive_closure(edges: DataFrame, key: str = "repo_id", max_rounds: int |
         delta = new
 
 
+def _min_color(nodes: DataFrame, e: DataFrame, key: str) -> DataFrame:
+    """Forward min-label propagation: color(v) = smallest node that reaches v (v included).
+    One join + min per round, until no color changes."""
+    color = cut_lineage(nodes.select(key, "node", F.col("node").alias("color")))
+    while True:
+        inc = (e.join(_fresh(color.select(key, F.col("node").alias("src"), F.col("color").alias("c"))), [key, "src"])
+               .groupBy(key, F.col("dst").alias("node")).agg(F.min("c").alias("c")))
+        new = cut_lineage(color.join(inc, [key, "node"], "left")
+                          .select(key, "node", F.least("color", F.coalesce("c", "color")).alias("color"),
+                                  (F.col("c") < F.col("color")).alias("_changed")))
+        changed = new.where("_changed").count()
+        color = new.drop("_changed")
+        if changed == 0:
+            return color
+
+
+def _reach_root(color: DataFrame, e: DataFrame, key: str) -> DataFrame:
+    """Backward search from each color's root (the node whose color is itself) over edges whose
+    two ends share that color: the nodes reached form the root's strongly connected component."""
+    c_src = _fresh(color.select(key, F.col("node").alias("src"), F.col("color").alias("cs")))
+    c_dst = _fresh(color.select(key, F.col("node").alias("dst"), F.col("color").alias("cd")))
+    same = cut_lineage(e.join(c_src, [key, "src"]).join(c_dst, [key, "dst"])
+                       .where(F.col("cs") == F.col("cd")).select(key, "src", "dst", F.col("cs").alias("c")))
+    reached = cut_lineage(color.where(F.col("node") == F.col("color")).select(key, "node", F.col("color").alias("c")))
+    frontier = reached
+    while True:
+        step = (same.join(_fresh(frontier.select(key, F.col("node").alias("dst"), "c")), [key, "dst", "c"])
+                .select(key, F.col("src").alias("node"), "c").distinct())
+        new = cut_lineage(step.join(_fresh(reached), [key, "node", "c"], "left_anti"))
+        if new.count() == 0:
+            return reached
+        reached = cut_lineage(reached.unionByName(new))
+        frontier = new
+
+
+def strongly_connected(edges: DataFrame, key: str = "repo_id") -> DataFrame:
+    """Every strongly connected component by the coloring method, without a closure:
+    (1) color each node with the smallest node that reaches it; (2) a node whose color is
+    itself is the smallest node of its component, which is exactly the set of same-colored
+    nodes that reach it; (3) remove the components found and repeat on the rest.
+    Memory stays linear in nodes + edges. -> (key, node, component)"""
+    e = cut_lineage(edges.select(key, "src", "dst").distinct())
+    nodes = cut_lineage(e.select(key, F.col("src").alias("node")).union(e.select(key, F.col("dst").alias("node")))
+                        .distinct())
+    found = None
+    while nodes.count():
+        color = _min_color(nodes, e, key)
+        comp = _reach_root(color, e, key).select(key, "node", F.col("c").alias("component"))
+        found = comp if found is None else cut_lineage(found.unionByName(comp))
+        nodes = cut_lineage(nodes.join(_fresh(comp.select(key, "node")), [key, "node"], "left_anti"))
+        keep = _fresh(nodes.select(key, "node"))
+        e = cut_lineage(e.join(keep.select(key, F.col("node").alias("src")), [key, "src"], "left_semi")
+                        .join(keep.select(key, F.col("node").alias("dst")), [key, "dst"], "left_semi"))
+    if found is None:
+        return nodes.select(key, "node", F.col("node").alias("component"))
+    return found
+
+
 def cycle_components(edges: DataFrame, key: str = "repo_id") -> DataFrame:
     """H1 (deterministic contract): nodes that lie on a cycle, with their strongly
     connected component -> (key, node, component, component_size).
 
-    ``component`` is the smallest node of the component. The graph is first trimmed
-    of nodes that cannot be on a cycle, so the closure is computed on the cyclic core only.
+    ``component`` is the smallest node of the component. The graph is first trimmed of
+    nodes that cannot be on a cycle; components are then found by the coloring method
+    (``strongly_connected``), which never materialises all reachable pairs. A node is on a
+    cycle when its component has two or more nodes or it has an edge to itself.
     """
     # materialise the input once, so the loops below never recompute its upstream plan
     core = _trim(cut_lineage(edges.select(key, "src", "dst").distinct()), key)
-    reach = transitive_closure(core, key)
-    back = _fresh(reach.select(key, F.col("src").alias("dst"), F.col("dst").alias("src")))
-    mutual = reach.join(back, [key, "src", "dst"], "left_semi")  # src and dst on a common cycle
-    # a node on a cycle reaches itself, so min(dst) already covers the node itself
-    comp = mutual.groupBy(key, F.col("src").alias("node")).agg(F.min("dst").alias("component"))
+    comp = strongly_connected(core, key)
     sizes = _fresh(comp).groupBy(key, "component").agg(F.count(F.lit(1)).alias("component_size"))
-    return comp.join(sizes, [key, "component"]).select(key, "node", "component", "component_size")
+    loops = core.where(F.col("src") == F.col("dst")).select(key, F.col("src").alias("node"), F.lit(True).alias("_self"))
+    return (comp.join(sizes, [key, "component"]).join(loops, [key, "node"], "left")
+            .where((F.col("component_size") > 1) | F.col("_self").isNotNull())
+            .select(key, "node", "component", "component_size"))
 
 
 def dependency_depth(edges: DataFrame, nodes: DataFrame | None = None, key: str = "repo_id",

@@ -149,3 +149,31 @@ def test_options_async_foldcase_dotted(spark):
     tests = spark.createDataFrame([("r", "tests/test_authservice.py")], "repo_id string, path string")
     assert risks.missing_tests(ff, tests).count() == 1              # CamelCase stem never matches (as the tool)
     assert risks.missing_tests(ff, tests, fold_case=True).count() == 0
+
+
+import pytest  # noqa: E402
+
+
+@pytest.mark.parametrize("n_nodes,n_edges,seed", [(30, 45, 7), (40, 110, 3)])
+def test_cycle_components_random_graph_vs_brute_force(spark, n_nodes, n_edges, seed):
+    import random
+    rnd = random.Random(seed)
+    edges = {(rnd.randrange(n_nodes), rnd.randrange(n_nodes)) for _ in range(n_edges)} | {(5, 5)}
+    df = spark.createDataFrame([("r", a, b) for a, b in edges], "repo_id string, src int, dst int")
+    # brute force: reachability by repeated relaxation in Python
+    nodes = {x for e in edges for x in e}
+    reach = {v: {b for a, b in edges if a == v} for v in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for v in nodes:
+            new = set().union(*(reach[u] for u in reach[v])) | reach[v]
+            if new != reach[v]:
+                reach[v], changed = new, True
+    want = {}
+    for v in nodes:
+        if v in reach[v]:
+            comp = {u for u in nodes if u in reach[v] and v in reach[u]} | {v}
+            want[v] = (min(comp), len(comp))
+    got = {r.node: (r.component, r.component_size) for r in graph.cycle_components(df).collect()}
+    assert got == want
