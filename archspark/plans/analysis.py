@@ -84,3 +84,28 @@ def build_analysis(spark: SparkSession, corpus: DataFrame, commit_files: DataFra
     out["profile"] = manifests.project_profile(inv, all_deps)
     out["brief"] = reports.repo_brief(out["profile"], out["coverage"], out["risks"], out["layer_rollup"])
     return out
+
+
+def answer_goals(spark: SparkSession, analysis: dict[str, DataFrame], goals: DataFrame,
+                 k: int = 10) -> dict[str, DataFrame]:
+    """Goal questions over a built analysis (K2/K9 with J7-J10): ranked candidates per goal and
+    one agent-context row per goal. goals (goal_id, goal)."""
+    from archspark.operators import intent
+
+    cands = intent.candidate_scores(goals, analysis["files"], analysis["file_facts"], analysis["layer_assignments"],
+                                    dims.concepts(spark), dims.stop_words(spark), dims.layer_vocab(spark),
+                                    [name for name, _ in vocab.LAYERS], k=k)
+    models = extract.explode_facts(analysis["code_facts"], "models").select("repo_id", "path",
+                                                                             F.col("name").alias("model"))
+    routes = analysis["routes"].select("repo_id", "path", "route")
+    cc = analysis.get("cochange_raw")
+    if cc is None:
+        cc = analysis["imports"].select("repo_id", F.col("src").alias("a"), F.col("dst").alias("b"),
+                                        F.lit(0).cast("bigint").alias("pct")).where("false")
+
+    def comp_fn(targets):
+        return companions.companions(analysis["files"], analysis["imports"], models, routes, cc, targets=targets)
+
+    tests = analysis["files"].where(is_test_path("path")).select("path")
+    ctx = reports.agent_context(cands, goals, comp_fn, analysis["risks"], analysis["routes"], tests)
+    return {"candidates": cands, "agent_context": ctx}

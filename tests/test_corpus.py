@@ -106,3 +106,25 @@ def test_analysis_store(spark):
     src.save_analysis({"imports": a["imports"], "file_facts": a["file_facts"]}, root)
     back = src.load_analysis(spark, root, ["imports", "file_facts"], repo_id="app")
     assert back["imports"].count() == 6 and back["file_facts"].count() == 7
+
+
+def test_goal_goldens_on_app(spark):
+    from archspark.operators import intent
+    from archspark.plans.analysis import answer_goals
+    from archspark.sources import dims
+    goals = spark.createDataFrame([("g1", "Add JWT authentication to protect routes"),
+                                   ("g2", "Add JWT authentication to the login flow"),
+                                   ("g3", "Improve database query performance in user lookups")],
+                                  "goal_id string, goal string")
+    summ = {r.goal_id: (r.n_concepts, r.direct_hits, r.confidence_pct)
+            for r in intent.goal_summary(goals, dims.concepts(spark), dims.stop_words(spark)).collect()}
+    assert summ["g1"] == (11, 3, 94)
+    assert summ["g2"][1:] == (4, 98)
+    assert summ["g3"][1:] == (1, 78)
+    a = build_analysis(spark, _corpus(spark), src.parse_commit_log(_log(spark)))
+    out = answer_goals(spark, a, goals.where("goal_id = 'g1'"))
+    top = sorted((r.rank, r.path, r.score) for r in out["candidates"].collect())
+    assert top[0] == (1, "auth.py", 53) and top[1] == (2, "api/routes.py", 47)
+    ctx = out["agent_context"].collect()[0]
+    assert ctx.status == "available" and ctx.target == "auth.py" and ctx.complexity == "Medium"
+    assert ctx.n_companions == 4 and ctx.n_routes == 3
