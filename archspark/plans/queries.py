@@ -466,3 +466,15 @@ def repository_review(spark, sf_dir):
     r = risks.union_risks(risks.risk_oversized(ff),
                           risks.risk_missing_tests(risks.missing_tests(ff, B.benchmark_tests(t), same_repo=False)))
     return reports.review(inv, prof, cov, r, deps, dims.advice(spark))
+
+
+@query
+def reasoning_trace(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    ctx = agent_context(spark, sf_dir)
+    files = B.part_files(t)
+    edges = graph.resolve_imports(B.part_raw_imports(t), B.part_modules(t))
+    cov = facts.coverage(files, None, edges, None, None)
+    summ = intent.goal_summary(B.goals(t), dims.concepts(spark), dims.stop_words(spark))
+    roll = layers.rollup(_part_assignments(spark, t), B.part_layers(spark))
+    return reports.reasoning_trace(ctx, summ, cov, roll)

@@ -266,3 +266,28 @@ def review(inventory: DataFrame, profile: DataFrame, cov: DataFrame, risks_df: D
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.withColumn("ord", F.col("ord").cast("bigint"))
+
+
+def reasoning_trace(agent_ctx: DataFrame, goal_summary: DataFrame, cov: DataFrame, layer_rollup: DataFrame,
+                    key: str = "repo_id", max_checks: int = 3) -> DataFrame:
+    """K8: the nine-step trace per goal as data -> (goal_id, step, title, value, detail).
+
+    Counts come from the tables already built: concepts (J9), layers (E13), files and parse
+    rate (E7), target and companions (K2), risks of the target (D14), checks (K7, at most 3),
+    confidence (J1)."""
+    ok = agent_ctx.where(F.col("status") == "available")
+    layers_n = layer_rollup.groupBy(key).agg(F.count(F.lit(1)).alias("n_layers"))
+    row = (ok.join(goal_summary.select("goal_id", "n_concepts"), "goal_id", "left")
+           .join(cov.select(key, "n_files", "ast_pct", "confidence_pct"), key, "left")
+           .join(layers_n, key, "left"))
+    trace = F.expr(f"""stack(9,
+        1, 'User Intent', CAST(NULL AS BIGINT), CAST(goal_id AS STRING),
+        2, 'Intent Mapping', CAST(n_concepts AS BIGINT), 'concepts',
+        3, 'Subsystem Discovery', CAST(n_layers AS BIGINT), 'layers',
+        4, 'Repository Intelligence', CAST(n_files AS BIGINT), concat('ast coverage ', CAST(ast_pct AS STRING), '%'),
+        5, 'Impact Intelligence', CAST(n_companions AS BIGINT), CAST(target AS STRING),
+        6, 'Risk Intelligence', CAST(n_risks AS BIGINT), 'risks of target files',
+        7, 'Verification Intelligence', CAST(least(n_checks, {max_checks}) AS BIGINT), 'checks',
+        8, 'Architecture Recommendation', CAST(confidence_pct AS BIGINT), 'confidence %',
+        9, 'Human Approval', CAST(0 AS BIGINT), 'files modified') AS (step, title, value, detail)""")
+    return row.select("goal_id", key, trace)
