@@ -192,20 +192,27 @@ def dependency_depth(edges: DataFrame, nodes: DataFrame | None = None, key: str
     dag = (e.join(src_c, [key, "src"]).join(dst_c, [key, "dst"]).where(F.col("cs") != F.col("cd"))
            .select(key, "cs", "cd").distinct())
     dag = cut_lineage(dag)
+    # semi-naive relaxation: a round recomputes only the predecessors of components whose
+    # depth changed in the previous round, so work shrinks to the changing frontier
     depth = cut_lineage(weight.select(key, "c", "w", F.col("w").alias("depth")))
+    changed = depth.select(key, "c")
     rounds = 0
     while True:
         rounds += 1
-        succ = (dag.join(_fresh(depth.select(key, F.col("c").alias("cd"), F.col("depth").alias("dd"))), [key, "cd"])
+        preds = (dag.join(_fresh(changed.select(key, F.col("c").alias("cd"))), [key, "cd"])
+                 .select(key, F.col("cs").alias("c")).distinct())
+        succ = (dag.join(_fresh(preds.select(key, F.col("c").alias("cs"))), [key, "cs"])
+                .join(_fresh(depth.select(key, F.col("c").alias("cd"), F.col("depth").alias("dd"))), [key, "cd"])
                 .groupBy(key, F.col("cs").alias("c")).agg(F.max("dd").alias("m")))
-        new = (depth.join(succ, [key, "c"], "left")
-               .select(key, "c", "w", (F.col("w") + F.coalesce("m", F.lit(0))).alias("depth"),
-                       F.col("depth").alias("old")))
-        new = cut_lineage(new)
-        changed = new.where(F.col("depth") != F.col("old")).count()
-        depth = new.drop("old")
-        if changed == 0 or (max_rounds is not None and rounds >= max_rounds):
+        updates = cut_lineage(
+            _fresh(depth).join(succ, [key, "c"])
+            .where(F.col("w") + F.col("m") > F.col("depth"))
+            .select(key, "c", "w", (F.col("w") + F.col("m")).alias("depth")))
+        if updates.count() == 0 or (max_rounds is not None and rounds >= max_rounds):
             break
+        depth = cut_lineage(depth.join(_fresh(updates.select(key, "c")), [key, "c"], "left_anti")
+                            .unionByName(updates))
+        changed = updates.select(key, "c")
     return (node_comp.join(_fresh(depth.select(key, "c", "depth")), [key, "c"])
             .select(key, "node", F.col("depth").cast("bigint").alias("depth")))
 

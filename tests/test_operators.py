@@ -177,3 +177,16 @@ def test_cycle_components_random_graph_vs_brute_force(spark, n_nodes, n_edges, s
             want[v] = (min(comp), len(comp))
     got = {r.node: (r.component, r.component_size) for r in graph.cycle_components(df).collect()}
     assert got == want
+
+
+def test_dependency_depth_random_dag_vs_dp(spark):
+    import random
+    rnd = random.Random(11)
+    edges = {(a, b) for a, b in ((rnd.randrange(40), rnd.randrange(40)) for _ in range(90)) if a < b}
+    df = spark.createDataFrame([("r", a, b) for a, b in edges], "repo_id string, src int, dst int")
+    nodes = sorted({x for e in edges for x in e})
+    memo = {}
+    for v in sorted(nodes, reverse=True):  # edges go from smaller to larger ids: reverse order is topological
+        memo[v] = 1 + max((memo[b] for a, b in edges if a == v), default=0)
+    got = {r.node: r.depth for r in graph.dependency_depth(df).collect()}
+    assert got == memo
