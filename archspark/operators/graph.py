@@ -96,18 +96,19 @@ def transitive_closure(edges: DataFrame, key: str = "repo_id", max_rounds: int |
 
 def _min_color(nodes: DataFrame, e: DataFrame, key: str) -> DataFrame:
     """Forward min-label propagation: color(v) = smallest node that reaches v (v included).
-    One join + min per round, until no color changes."""
+    Semi-naive: each round pushes only the colors that changed in the previous round."""
     color = cut_lineage(nodes.select(key, "node", F.col("node").alias("color")))
+    changed = color
     while True:
-        inc = (e.join(_fresh(color.select(key, F.col("node").alias("src"), F.col("color").alias("c"))), [key, "src"])
+        inc = (e.join(_fresh(changed.select(key, F.col("node").alias("src"), F.col("color").alias("c"))), [key, "src"])
                .groupBy(key, F.col("dst").alias("node")).agg(F.min("c").alias("c")))
-        new = cut_lineage(color.join(inc, [key, "node"], "left")
-                          .select(key, "node", F.least("color", F.coalesce("c", "color")).alias("color"),
-                                  (F.col("c") < F.col("color")).alias("_changed")))
-        changed = new.where("_changed").count()
-        color = new.drop("_changed")
-        if changed == 0:
+        updates = cut_lineage(_fresh(color).join(inc, [key, "node"]).where(F.col("c") < F.col("color"))
+                              .select(key, "node", F.col("c").alias("color")))
+        if updates.count() == 0:
             return color
+        color = cut_lineage(color.join(_fresh(updates.select(key, "node")), [key, "node"], "left_anti")
+                            .unionByName(updates))
+        changed = updates
 
 
 def _reach_root(color: DataFrame, e: DataFrame, key: str) -> DataFrame:
