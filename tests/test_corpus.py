@@ -128,3 +128,24 @@ def test_goal_goldens_on_app(spark):
     ctx = out["agent_context"].collect()[0]
     assert ctx.status == "available" and ctx.target == "auth.py" and ctx.complexity == "Medium"
     assert ctx.n_companions == 4 and ctx.n_routes == 3
+
+
+def test_reports_on_app(spark):
+    from archspark.operators import facts as fx
+    from archspark.plans import reports
+    from archspark.sources import dims
+    a = build_analysis(spark, _corpus(spark), src.parse_commit_log(_log(spark)))
+    ev = {r.evidence_type: (r.status, r.coverage_pct) for r in fx.evidence_records(a["coverage"]).collect()}
+    assert ev == {"ast": ("available", 100), "dependency": ("available", 100), "git": ("available", 86),
+                  "route": ("available", 100)}
+    brief = a["brief"].collect()[0]
+    assert brief.project_type == "Python" and brief.n_files == 7 and brief.n_risks == 2
+    rv = reports.review(a["files"], a["profile"], a["coverage"], a["risks"], a["dependencies"], dims.advice(spark))
+    sections = {}
+    for r in rv.collect():
+        sections.setdefault(r.section, []).append((r.item, r.value))
+    assert ("main.py", None) in sections["entry_points"]
+    assert sorted(sections["layers"]) == [("api", "1"), ("models", "1"), ("services", "1")]
+    assert [v for _, v in sorted(sections["risks"], key=lambda x: x[1])] == ["auth.py", "database.py"]
+    assert ("Modular Design", None) not in sections.get("strengths", [])       # 7 files, not more than 10
+    assert ("Explicit Entrypoints", None) in sections["strengths"]
