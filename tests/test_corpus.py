@@ -149,3 +149,16 @@ def test_reports_on_app(spark):
     assert [v for _, v in sorted(sections["risks"], key=lambda x: x[1])] == ["auth.py", "database.py"]
     assert ("Modular Design", None) not in sections.get("strengths", [])       # 7 files, not more than 10
     assert ("Explicit Entrypoints", None) in sections["strengths"]
+
+
+def test_directory_loader_keeps_underscore_files(spark):
+    root = tempfile.mkdtemp(prefix="tree-", dir="/tmp")
+    os.makedirs(os.path.join(root, "pkg"))
+    os.makedirs(os.path.join(root, "node_modules", "dep"))
+    for rel, text in [("pkg/__init__.py", ""), ("pkg/_x.py", "import os\n"), ("main.py", "import pkg\n"),
+                      ("node_modules/dep/index.js", "x"), ("bad.py", "\\xff")]:
+        with open(os.path.join(root, rel), "w") as fh:
+            fh.write(text)
+    corpus = src.load_directories(spark, {"r": root}, partitions=4)
+    paths = sorted(r.path for r in src.inventory(corpus).collect())
+    assert paths == ["bad.py", "main.py", "pkg/__init__.py", "pkg/_x.py"]   # ignored dir pruned, '_' names kept
