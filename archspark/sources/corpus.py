@@ -46,18 +46,39 @@ def _read_files(batches):
         yield pd.DataFrame({"repo_id": pdf["repo_id"], "path": pdf["path"], "size": sizes, "content": contents})
 
 
-def load_directories(spark: SparkSession, roots: dict[str, str], partitions: int = 64) -> DataFrame:
-    """A1 directory loader: list file *names* on the driver, read contents in tasks.
+def _walk_entries(batches):
+    """List every file under each (repo, root, entry) in the task that holds it."""
+    for pdf in batches:
+        repos, roots, paths = [], [], []
+        for repo, root, entry in zip(pdf["repo_id"], pdf["root"], pdf["entry"]):
+            full = os.path.join(root, entry)
+            if os.path.isdir(full):
+                for d, _dirs, files in os.walk(full):
+                    for name in files:
+                        repos.append(repo)
+                        roots.append(root)
+                        paths.append(os.path.relpath(os.path.join(d, name), root).replace(os.sep, "/"))
+            else:
+                repos.append(repo)
+                roots.append(root)
+                paths.append(entry)
+        yield pd.DataFrame({"repo_id": repos, "root": roots, "path": paths})
 
-    Spark's file sources skip names starting with '_' or '.', which would drop
-    ``__init__.py``; this loader keeps every file. Only paths pass the driver.
+
+def load_directories(spark: SparkSession, roots: dict[str, str], partitions: int = 64) -> DataFrame:
+    """A1 directory loader over a file system every executor can see.
+
+    The driver lists only the first level of each root; each top-level entry is walked
+    in a task, the listing is repartitioned, and contents are read in tasks, so no full
+    file list passes through the driver and one large folder does not make one large task
+    read. Spark's file sources skip names starting with '_' or '.', which would drop
+    ``__init__.py``; this loader keeps every file (ignored folders are pruned by
+    ``inventory``).
     """
-    rows = []
-    for repo, root in roots.items():
-        for d, dirs, files in os.walk(root):
-            for name in files:
-                rows.append((repo, root, os.path.relpath(os.path.join(d, name), root).replace(os.sep, "/")))
-    listing = spark.createDataFrame(rows, "repo_id string, root string, path string")
+    entries = [(repo, root, name) for repo, root in roots.items() for name in sorted(os.listdir(root))]
+    top = spark.createDataFrame(entries, "repo_id string, root string, entry string")
+    listing = top.repartition(max(1, min(partitions, len(entries)))).mapInPandas(
+        _walk_entries, "repo_id string, root string, path string")
     return listing.repartition(partitions).mapInPandas(_read_files, CORPUS_SCHEMA)
 
 
