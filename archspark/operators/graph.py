@@ -61,19 +61,41 @@ def reverse_deps(edges: DataFrame, key: str = "repo_id") -> DataFrame:
 
 
 def _trim(edges: DataFrame, key: str) -> DataFrame:
-    """Drop edges touching nodes without in- or out-edges, until stable; cycles survive."""
-    e = edges
-    n = e.count()
-    while n:
-        has_out = _fresh(e.select(key, F.col("src").alias("dst")).distinct())
-        has_in = _fresh(e.select(key, F.col("dst").alias("src")).distinct())
-        e2 = cut_lineage(e.join(has_out, [key, "dst"], "left_semi").join(has_in, [key, "src"], "left_semi"))
-        n2 = e2.count()
-        e = e2
-        if n2 == n:
-            break
-        n = n2
-    return e
+    """Drop nodes that cannot be on a cycle (no remaining in- or out-edge), repeatedly.
+
+    Degree peeling, semi-naive: degrees are counted once; each round removes the nodes whose
+    in- or out-degree reached zero and decrements only their neighbours, so work follows the
+    peeled frontier, not the whole graph. Returns the edges among surviving nodes.
+    """
+    e = edges.select(key, "src", "dst")
+    outd = e.groupBy(key, F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("outd"))
+    ind = _fresh(e).groupBy(key, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("ind"))
+    nodes = (e.select(key, F.col("src").alias("node")).union(e.select(key, F.col("dst").alias("node"))).distinct())
+    deg = cut_lineage(nodes.join(outd, [key, "node"], "left").join(ind, [key, "node"], "left")
+                      .select(key, "node", F.coalesce("outd", F.lit(0)).alias("outd"),
+                              F.coalesce("ind", F.lit(0)).alias("ind")))
+    frontier = cut_lineage(deg.where((F.col("outd") == 0) | (F.col("ind") == 0)).select(key, "node"))
+    removed = frontier
+    while frontier.count():
+        f = _fresh(frontier)
+        # an edge u -> v loses its endpoint: v's in-degree drops when u is removed, u's out-degree when v is
+        dec_in = (e.join(f.select(key, F.col("node").alias("src")), [key, "src"])
+                  .groupBy(key, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("d_in")))
+        dec_out = (e.join(f.select(key, F.col("node").alias("dst")), [key, "dst"])
+                   .groupBy(key, F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("d_out")))
+        touched = (dec_in.join(dec_out, [key, "node"], "full_outer")
+                   .select(key, "node", F.coalesce("d_in", F.lit(0)).alias("d_in"),
+                           F.coalesce("d_out", F.lit(0)).alias("d_out"))
+                   .join(_fresh(removed), [key, "node"], "left_anti"))
+        upd = cut_lineage(_fresh(deg).join(touched, [key, "node"])
+                          .select(key, "node", (F.col("outd") - F.col("d_out")).alias("outd"),
+                                  (F.col("ind") - F.col("d_in")).alias("ind")))
+        deg = cut_lineage(deg.join(_fresh(upd.select(key, "node")), [key, "node"], "left_anti").unionByName(upd))
+        frontier = cut_lineage(upd.where((F.col("outd") == 0) | (F.col("ind") == 0)).select(key, "node"))
+        removed = cut_lineage(removed.unionByName(frontier))
+    keep = _fresh(deg.join(_fresh(removed), [key, "node"], "left_anti").select(key, "node"))
+    return cut_lineage(e.join(keep.select(key, F.col("node").alias("src")), [key, "src"], "left_semi")
+                       .join(keep.select(key, F.col("node").alias("dst")), [key, "dst"], "left_semi"))
 
 
 def transitive_closure(edges: DataFrame, key: str = "repo_id", max_rounds: int | None = None) -> DataFrame:
