@@ -76,7 +76,7 @@ def _trim(edges: DataFrame, key: str) -> DataFrame:
                               F.coalesce("ind", F.lit(0)).alias("ind")))
     frontier = cut_lineage(deg.where((F.col("outd") == 0) | (F.col("ind") == 0)).select(key, "node"))
     removed = frontier
-    while frontier.count():
+    while not frontier.isEmpty():
         f = _fresh(frontier)
         # an edge u -> v loses its endpoint: v's in-degree drops when u is removed, u's out-degree when v is
         dec_in = (e.join(f.select(key, F.col("node").alias("src")), [key, "src"])
@@ -110,7 +110,7 @@ def transitive_closure(edges: DataFrame, key: str = "repo_id", max_rounds: int |
         step = (delta.select(key, "src", F.col("dst").alias("mid")).join(nxt, [key, "mid"])
                 .select(key, "src", F.col("to").alias("dst")).distinct())
         new = cut_lineage(step.join(_fresh(reach), [key, "src", "dst"], "left_anti"))
-        if new.count() == 0 or (max_rounds is not None and rounds >= max_rounds):
+        if new.isEmpty() or (max_rounds is not None and rounds >= max_rounds):
             return reach
         reach = cut_lineage(reach.unionByName(new))
         delta = new
@@ -126,7 +126,7 @@ def _min_color(nodes: DataFrame, e: DataFrame, key: str) -> DataFrame:
                .groupBy(key, F.col("dst").alias("node")).agg(F.min("c").alias("c")))
         updates = cut_lineage(_fresh(color).join(inc, [key, "node"]).where(F.col("c") < F.col("color"))
                               .select(key, "node", F.col("c").alias("color")))
-        if updates.count() == 0:
+        if updates.isEmpty():
             return color
         color = cut_lineage(color.join(_fresh(updates.select(key, "node")), [key, "node"], "left_anti")
                             .unionByName(updates))
@@ -146,7 +146,7 @@ def _reach_root(color: DataFrame, e: DataFrame, key: str) -> DataFrame:
         step = (same.join(_fresh(frontier.select(key, F.col("node").alias("dst"), "c")), [key, "dst", "c"])
                 .select(key, F.col("src").alias("node"), "c").distinct())
         new = cut_lineage(step.join(_fresh(reached), [key, "node", "c"], "left_anti"))
-        if new.count() == 0:
+        if new.isEmpty():
             return reached
         reached = cut_lineage(reached.unionByName(new))
         frontier = new
@@ -162,7 +162,7 @@ def strongly_connected(edges: DataFrame, key: str = "repo_id") -> DataFrame:
     nodes = cut_lineage(e.select(key, F.col("src").alias("node")).union(e.select(key, F.col("dst").alias("node")))
                         .distinct())
     found = None
-    while nodes.count():
+    while not nodes.isEmpty():
         color = _min_color(nodes, e, key)
         comp = _reach_root(color, e, key).select(key, "node", F.col("c").alias("component"))
         found = comp if found is None else cut_lineage(found.unionByName(comp))
@@ -231,7 +231,7 @@ def dependency_depth(edges: DataFrame, nodes: DataFrame | None = None, key: str
             _fresh(depth).join(succ, [key, "c"])
             .where(F.col("w") + F.col("m") > F.col("depth"))
             .select(key, "c", "w", (F.col("w") + F.col("m")).alias("depth")))
-        if updates.count() == 0 or (max_rounds is not None and rounds >= max_rounds):
+        if updates.isEmpty() or (max_rounds is not None and rounds >= max_rounds):
             break
         depth = cut_lineage(depth.join(_fresh(updates.select(key, "c")), [key, "c"], "left_anti")
                             .unionByName(updates))
