@@ -162,3 +162,11 @@ def test_directory_loader_keeps_underscore_files(spark):
     corpus = src.load_directories(spark, {"r": root}, partitions=4)
     paths = sorted(r.path for r in src.inventory(corpus).collect())
     assert paths == ["bad.py", "main.py", "pkg/__init__.py", "pkg/_x.py"]   # ignored dir pruned, '_' names kept
+
+
+def test_ownership_on_app(spark):
+    a = build_analysis(spark, _corpus(spark), src.parse_commit_log(_log(spark)))
+    own = {r.path: (r.layer, r.related_files, r.entry_points, r.routes) for r in a["ownership"].collect()}
+    assert own["auth.py"] == ("Authentication Layer", 1, 1, 3)       # routes.py shares the layer; main.py imports auth
+    assert own["database.py"][0] == "Database Layer" and own["database.py"][2] == 1   # main.py imports database
+    assert own["main.py"][0] == "Core Runtime Layer" and own["main.py"][2] == 1       # an entry point in its own layer
