@@ -64,8 +64,10 @@ def _trim(edges: DataFrame, key: str) -> DataFrame:
     """Drop nodes that cannot be on a cycle (no remaining in- or out-edge), repeatedly.
 
     Degree peeling, semi-naive: degrees are counted once; each round removes the nodes whose
-    in- or out-degree reached zero and decrements only their neighbours, so work follows the
-    peeled frontier, not the whole graph. Returns the edges among surviving nodes.
+    in- or out-degree reached zero (flag ``gone``) and decrements only their neighbours, so
+    work follows the peeled frontier, not the whole graph. The degree table and the frontier
+    are checkpointed each round; the per-round update rows are only persisted within the round.
+    Returns the edges among surviving nodes.
     """
     e = edges.select(key, "src", "dst")
     outd = e.groupBy(key, F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("outd"))
@@ -73,9 +75,11 @@ def _trim(edges: DataFrame, key: str) -> DataFrame:
     nodes = (e.select(key, F.col("src").alias("node")).union(e.select(key, F.col("dst").alias("node"))).distinct())
     deg = cut_lineage(nodes.join(outd, [key, "node"], "left").join(ind, [key, "node"], "left")
                       .select(key, "node", F.coalesce("outd", F.lit(0)).alias("outd"),
-                              F.coalesce("ind", F.lit(0)).alias("ind")))
-    frontier = cut_lineage(deg.where((F.col("outd") == 0) | (F.col("ind") == 0)).select(key, "node"))
-    removed = frontier
+                              F.coalesce("ind", F.lit(0)).alias("ind"))
+                      .withColumn("gone", (F.col("outd") == 0) | (F.col("ind") == 0)))
+    # temporaries that feed the next round are checkpointed too: a persisted frontier would keep
+    # its plan, which doubles each round (it feeds two joins)
+    frontier = cut_lineage(deg.where("gone").select(key, "node"))
     while not frontier.isEmpty():
         f = _fresh(frontier)
         # an edge u -> v loses its endpoint: v's in-degree drops when u is removed, u's out-degree when v is
@@ -85,15 +89,15 @@ def _trim(edges: DataFrame, key: str) -> DataFrame:
                    .groupBy(key, F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("d_out")))
         touched = (dec_in.join(dec_out, [key, "node"], "full_outer")
                    .select(key, "node", F.coalesce("d_in", F.lit(0)).alias("d_in"),
-                           F.coalesce("d_out", F.lit(0)).alias("d_out"))
-                   .join(_fresh(removed), [key, "node"], "left_anti"))
-        upd = cut_lineage(_fresh(deg).join(touched, [key, "node"])
-                          .select(key, "node", (F.col("outd") - F.col("d_out")).alias("outd"),
-                                  (F.col("ind") - F.col("d_in")).alias("ind")))
+                           F.coalesce("d_out", F.lit(0)).alias("d_out")))
+        upd = (_fresh(deg).where(~F.col("gone")).join(touched, [key, "node"])
+               .select(key, "node", (F.col("outd") - F.col("d_out")).alias("outd"),
+                       (F.col("ind") - F.col("d_in")).alias("ind"))
+               .withColumn("gone", (F.col("outd") == 0) | (F.col("ind") == 0))).persist()
         deg = cut_lineage(deg.join(_fresh(upd.select(key, "node")), [key, "node"], "left_anti").unionByName(upd))
-        frontier = cut_lineage(upd.where((F.col("outd") == 0) | (F.col("ind") == 0)).select(key, "node"))
-        removed = cut_lineage(removed.unionByName(frontier))
-    keep = _fresh(deg.join(_fresh(removed), [key, "node"], "left_anti").select(key, "node"))
+        frontier = cut_lineage(upd.where("gone").select(key, "node"))
+        upd.unpersist()
+    keep = _fresh(deg.where(~F.col("gone")).select(key, "node"))
     return cut_lineage(e.join(keep.select(key, F.col("node").alias("src")), [key, "src"], "left_semi")
                        .join(keep.select(key, F.col("node").alias("dst")), [key, "dst"], "left_semi"))
 
