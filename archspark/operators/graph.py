@@ -244,14 +244,28 @@ def dependency_depth(edges: DataFrame, nodes: DataFrame | None = None, key: str
             .select(key, "node", F.col("depth").cast("bigint").alias("depth")))
 
 
+def within_hops(edges: DataFrame, hops: int, key: str = "repo_id") -> DataFrame:
+    """(key, src, dst) for every dst reachable from src in 1..hops import steps (no self pairs)."""
+    e = edges.select(key, "src", "dst").distinct()
+    out, frontier = e, e
+    for _ in range(hops - 1):
+        nxt = _fresh(e.select(key, F.col("src").alias("mid"), F.col("dst").alias("to")))
+        frontier = (frontier.select(key, "src", F.col("dst").alias("mid")).join(nxt, [key, "mid"])
+                    .select(key, "src", F.col("to").alias("dst")).distinct())
+        out = out.unionByName(frontier)
+    return out.where(F.col("src") != F.col("dst")).distinct()
+
+
 def blast_radius(static_edges: DataFrame, temporal: DataFrame, key: str = "repo_id",
-                 w_static: int = 40, w_temporal: int = 60) -> DataFrame:
+                 w_static: int = 40, w_temporal: int = 60, hops: int = 1) -> DataFrame:
     """D4 + J5 + F6 for every target at once.
 
     static_edges: (key, src, dst); temporal: (key, a, b, pct) directional ratios.
     -> (key, target, file, static, pct, impact_weight, relationship)
     ``impact_weight = min((100*w_s*static + w_t*pct) div 100, 100)`` in integers.
     """
+    if hops > 1:  # optional reach beyond direct imports (the analysed tool uses one hop)
+        static_edges = within_hops(static_edges, hops, key)
     s = static_edges.select(key, F.col("src").alias("target"), F.col("dst").alias("file"),
                             F.lit(1).alias("static")).distinct()
     t = temporal.select(key, F.col("a").alias("target"), F.col("b").alias("file"), "pct")

@@ -190,3 +190,13 @@ def test_dependency_depth_random_dag_vs_dp(spark):
         memo[v] = 1 + max((memo[b] for a, b in edges if a == v), default=0)
     got = {r.node: r.depth for r in graph.dependency_depth(df).collect()}
     assert got == memo
+
+
+def test_blast_radius_hops(spark):
+    e = spark.createDataFrame([("r", "a", "b"), ("r", "b", "c"), ("r", "c", "a")], "repo_id string, src string, dst string")
+    tm = spark.createDataFrame([("r", "a", "d", 80)], "repo_id string, a string, b string, pct bigint")
+    one = {(r.target, r.file): (r.impact_weight, r.relationship) for r in graph.blast_radius(e, tm).collect()}
+    assert one[("a", "b")] == (40, "Direct Import") and one[("a", "d")] == (48, "Shadow Coupling (Git History)")
+    assert ("a", "c") not in one
+    two = {(r.target, r.file) for r in graph.blast_radius(e, tm, hops=2).collect()}
+    assert ("a", "c") in two and ("a", "a") not in two
