@@ -1,6 +1,6 @@
 """Import graph operators: resolution, fan-in/out, cycles, depth, blast radius.
 
-Edges are a long table ``(key, src, dst)``. Iterative operators (closure, depth) are
+Edges are a long table ``(key, src, dst)``. Iterative operators (trimming, SCC coloring, depth) are
 DataFrame loops: one join + aggregate per round, lineage cut with a reliable
 ``checkpoint`` into the session's checkpoint folder, stopping when nothing changes.
 """
@@ -102,24 +102,6 @@ def _trim(edges: DataFrame, key: str) -> DataFrame:
                        .join(keep.select(key, F.col("node").alias("dst")), [key, "dst"], "left_semi"))
 
 
-def transitive_closure(edges: DataFrame, key: str = "repo_id", max_rounds: int | None = None) -> DataFrame:
-    """All (key, src, dst) with a path src -> dst (semi-naive iteration, exact)."""
-    e = edges.select(key, "src", "dst").distinct()
-    reach = cut_lineage(e)
-    delta = reach
-    rounds = 0
-    while True:
-        rounds += 1
-        nxt = _fresh(e.select(key, F.col("src").alias("mid"), F.col("dst").alias("to")))
-        step = (delta.select(key, "src", F.col("dst").alias("mid")).join(nxt, [key, "mid"])
-                .select(key, "src", F.col("to").alias("dst")).distinct())
-        new = cut_lineage(step.join(_fresh(reach), [key, "src", "dst"], "left_anti"))
-        if new.isEmpty() or (max_rounds is not None and rounds >= max_rounds):
-            return reach
-        reach = cut_lineage(reach.unionByName(new))
-        delta = new
-
-
 def _min_color(nodes: DataFrame, e: DataFrame, key: str) -> DataFrame:
     """Forward min-label propagation: color(v) = smallest node that reaches v (v included).
     Semi-naive: each round pushes only the colors that changed in the previous round."""

@@ -91,12 +91,6 @@ def file_concepts(vocab_df: DataFrame, files: DataFrame, key: str = "repo_id") -
     return hits.select(key, "path", "concept", F.lower(basename("path")).contains(F.col("concept")).alias("in_name"))
 
 
-def concept_hits(goal_concepts_df: DataFrame, files: DataFrame, key: str = "repo_id") -> DataFrame:
-    """(goal_id, key, path, concept): every goal concept that is a substring of a file's lower path."""
-    fc = file_concepts(goal_concepts_df.select("concept").distinct(), files, key)
-    return goal_concepts_df.join(fc, "concept").select("goal_id", key, "path", "concept")
-
-
 # numerator of the exact score over the per-goal denominator 3 * d1 * d2 (see candidate_scores)
 _NUM = ("greatest(75 * least(p, d1) * d2, CASE WHEN floor22 THEN 66 * d1 * d2 ELSE 0 END)"
         " + 75 * least(q, d2) * d1 + b3 * d1 * d2")

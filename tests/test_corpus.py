@@ -170,3 +170,17 @@ def test_ownership_on_app(spark):
     assert own["auth.py"] == ("Authentication Layer", 1, 1, 3)       # routes.py shares the layer; main.py imports auth
     assert own["database.py"][0] == "Database Layer" and own["database.py"][2] == 1   # main.py imports database
     assert own["main.py"][0] == "Core Runtime Layer" and own["main.py"][2] == 1       # an entry point in its own layer
+
+
+def test_read_commit_log_file_and_temporal_json(spark):
+    d = tempfile.mkdtemp(prefix="log-", dir="/tmp")
+    text = "commit:h2|ann\nauth.py\ndatabase.py\n\ncommit:h1|bob\nmain.py\n"
+    with open(os.path.join(d, "log.txt"), "w") as fh:
+        fh.write(text)
+    cf = src.read_commit_log(spark, os.path.join(d, "log.txt"), "app")
+    rows = sorted((r.commit_id, r.author, r.path) for r in cf.collect())
+    assert rows == [("h1", "bob", "main.py"), ("h2", "ann", "auth.py"), ("h2", "ann", "database.py")]
+    seq = {r.commit_id: r.seq for r in cf.collect()}
+    assert seq["h2"] < seq["h1"]                      # file order: newer first, as the log prints
+    tj = spark.createDataFrame([("app", '{"auth.py": {"database.py": 0.5}}')], "repo_id string, value string")
+    assert [(r.a, r.b, r.ratio) for r in src.temporal_from_json(tj).collect()] == [("auth.py", "database.py", 0.5)]
