@@ -65,8 +65,9 @@ def _trim(edges: DataFrame, key: str) -> DataFrame:
 
     Degree peeling, semi-naive: degrees are counted once; each round removes the nodes whose
     in- or out-degree reached zero (flag ``gone``) and decrements only their neighbours, so
-    work follows the peeled frontier, not the whole graph. The degree table and the frontier
-    are checkpointed each round; the per-round update rows are only persisted within the round.
+    the edge joins follow the peeled frontier, not the whole graph. The degree table (with
+    flags ``gone`` and ``fresh`` = removed this round) is the only state and is checkpointed
+    once per round.
     Returns the edges among surviving nodes.
     """
     e = edges.select(key, "src", "dst")
@@ -76,12 +77,14 @@ def _trim(edges: DataFrame, key: str) -> DataFrame:
     deg = cut_lineage(nodes.join(outd, [key, "node"], "left").join(ind, [key, "node"], "left")
                       .select(key, "node", F.coalesce("outd", F.lit(0)).alias("outd"),
                               F.coalesce("ind", F.lit(0)).alias("ind"))
-                      .withColumn("gone", (F.col("outd") == 0) | (F.col("ind") == 0)))
-    # temporaries that feed the next round are checkpointed too: a persisted frontier would keep
-    # its plan, which doubles each round (it feeds two joins)
-    frontier = cut_lineage(deg.where("gone").select(key, "node"))
-    while not frontier.isEmpty():
-        f = _fresh(frontier)
+                      .withColumn("gone", (F.col("outd") == 0) | (F.col("ind") == 0))
+                      .withColumn("fresh", F.col("gone")))
+    while True:
+        # the frontier is a filter of the checkpointed state, so plans stay one round deep
+        frontier = deg.where("fresh")
+        if frontier.isEmpty():
+            break
+        f = _fresh(frontier.select(key, "node"))
         # an edge u -> v loses its endpoint: v's in-degree drops when u is removed, u's out-degree when v is
         dec_in = (e.join(f.select(key, F.col("node").alias("src")), [key, "src"])
                   .groupBy(key, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("d_in")))
@@ -90,13 +93,15 @@ def _trim(edges: DataFrame, key: str) -> DataFrame:
         touched = (dec_in.join(dec_out, [key, "node"], "full_outer")
                    .select(key, "node", F.coalesce("d_in", F.lit(0)).alias("d_in"),
                            F.coalesce("d_out", F.lit(0)).alias("d_out")))
-        upd = (_fresh(deg).where(~F.col("gone")).join(touched, [key, "node"])
-               .select(key, "node", (F.col("outd") - F.col("d_out")).alias("outd"),
-                       (F.col("ind") - F.col("d_in")).alias("ind"))
-               .withColumn("gone", (F.col("outd") == 0) | (F.col("ind") == 0))).persist()
-        deg = cut_lineage(deg.join(_fresh(upd.select(key, "node")), [key, "node"], "left_anti").unionByName(upd))
-        frontier = cut_lineage(upd.where("gone").select(key, "node"))
-        upd.unpersist()
+        nd = (_fresh(deg).join(touched, [key, "node"], "left")
+              .select(key, "node", "gone",
+                      F.when(F.col("gone"), F.col("outd")).otherwise(F.col("outd") - F.coalesce("d_out", F.lit(0)))
+                      .alias("outd"),
+                      F.when(F.col("gone"), F.col("ind")).otherwise(F.col("ind") - F.coalesce("d_in", F.lit(0)))
+                      .alias("ind")))
+        fresh = ~F.col("gone") & ((F.col("outd") == 0) | (F.col("ind") == 0))
+        deg = cut_lineage(nd.select(key, "node", "outd", "ind", (F.col("gone") | fresh).alias("gone"),
+                                    fresh.alias("fresh")))
     keep = _fresh(deg.where(~F.col("gone")).select(key, "node"))
     return cut_lineage(e.join(keep.select(key, F.col("node").alias("src")), [key, "src"], "left_semi")
                        .join(keep.select(key, F.col("node").alias("dst")), [key, "dst"], "left_semi"))
@@ -104,19 +109,19 @@ def _trim(edges: DataFrame, key: str) -> DataFrame:
 
 def _min_color(nodes: DataFrame, e: DataFrame, key: str) -> DataFrame:
     """Forward min-label propagation: color(v) = smallest node that reaches v (v included).
-    Semi-naive: each round pushes only the colors that changed in the previous round."""
-    color = cut_lineage(nodes.select(key, "node", F.col("node").alias("color")))
-    changed = color
+    Semi-naive: a round pushes only the colors that changed in the previous round (flag
+    ``chg`` in the checkpointed state), so the edge join follows the changing frontier and
+    each round costs one checkpoint."""
+    color = cut_lineage(nodes.select(key, "node", F.col("node").alias("color"), F.lit(True).alias("chg")))
     while True:
+        changed = color.where("chg")
+        if changed.isEmpty():
+            return color.drop("chg")
         inc = (e.join(_fresh(changed.select(key, F.col("node").alias("src"), F.col("color").alias("c"))), [key, "src"])
                .groupBy(key, F.col("dst").alias("node")).agg(F.min("c").alias("c")))
-        updates = cut_lineage(_fresh(color).join(inc, [key, "node"]).where(F.col("c") < F.col("color"))
-                              .select(key, "node", F.col("c").alias("color")))
-        if updates.isEmpty():
-            return color
-        color = cut_lineage(color.join(_fresh(updates.select(key, "node")), [key, "node"], "left_anti")
-                            .unionByName(updates))
-        changed = updates
+        color = cut_lineage(color.join(inc, [key, "node"], "left")
+                            .select(key, "node", F.least("color", F.coalesce("c", "color")).alias("color"),
+                                    F.coalesce(F.col("c") < F.col("color"), F.lit(False)).alias("chg")))
 
 
 def _reach_root(color: DataFrame, e: DataFrame, key: str) -> DataFrame:
@@ -126,16 +131,17 @@ def _reach_root(color: DataFrame, e: DataFrame, key: str) -> DataFrame:
     c_dst = _fresh(color.select(key, F.col("node").alias("dst"), F.col("color").alias("cd")))
     same = cut_lineage(e.join(c_src, [key, "src"]).join(c_dst, [key, "dst"])
                        .where(F.col("cs") == F.col("cd")).select(key, "src", "dst", F.col("cs").alias("c")))
-    reached = cut_lineage(color.where(F.col("node") == F.col("color")).select(key, "node", F.col("color").alias("c")))
-    frontier = reached
+    reached = cut_lineage(color.where(F.col("node") == F.col("color"))
+                          .select(key, "node", F.col("color").alias("c"), F.lit(True).alias("new")))
     while True:
+        frontier = reached.where("new")
+        if frontier.isEmpty():
+            return reached.drop("new")
         step = (same.join(_fresh(frontier.select(key, F.col("node").alias("dst"), "c")), [key, "dst", "c"])
-                .select(key, F.col("src").alias("node"), "c").distinct())
-        new = cut_lineage(step.join(_fresh(reached), [key, "node", "c"], "left_anti"))
-        if new.isEmpty():
-            return reached
-        reached = cut_lineage(reached.unionByName(new))
-        frontier = new
+                .select(key, F.col("src").alias("node"), "c").distinct()
+                .join(_fresh(reached.select(key, "node", "c")), [key, "node", "c"], "left_anti"))
+        reached = cut_lineage(reached.select(key, "node", "c", F.lit(False).alias("new"))
+                              .unionByName(step.select(key, "node", "c", F.lit(True).alias("new"))))
 
 
 def strongly_connected(edges: DataFrame, key: str = "repo_id") -> DataFrame:
@@ -202,26 +208,23 @@ def dependency_depth(edges: DataFrame, nodes: DataFrame | None = None, key: str
            .select(key, "cs", "cd").distinct())
     dag = cut_lineage(dag)
     # semi-naive relaxation: a round recomputes only the predecessors of components whose
-    # depth changed in the previous round, so work shrinks to the changing frontier
-    depth = cut_lineage(weight.select(key, "c", "w", F.col("w").alias("depth")))
-    changed = depth.select(key, "c")
+    # depth changed in the previous round (flag ``chg``); one checkpoint per round
+    depth = cut_lineage(weight.select(key, "c", "w", F.col("w").alias("depth"), F.lit(True).alias("chg")))
     rounds = 0
     while True:
+        changed = depth.where("chg")
+        if changed.isEmpty() or (max_rounds is not None and rounds >= max_rounds):
+            break
         rounds += 1
         preds = (dag.join(_fresh(changed.select(key, F.col("c").alias("cd"))), [key, "cd"])
                  .select(key, F.col("cs").alias("c")).distinct())
         succ = (dag.join(_fresh(preds.select(key, F.col("c").alias("cs"))), [key, "cs"])
                 .join(_fresh(depth.select(key, F.col("c").alias("cd"), F.col("depth").alias("dd"))), [key, "cd"])
                 .groupBy(key, F.col("cs").alias("c")).agg(F.max("dd").alias("m")))
-        updates = cut_lineage(
-            _fresh(depth).join(succ, [key, "c"])
-            .where(F.col("w") + F.col("m") > F.col("depth"))
-            .select(key, "c", "w", (F.col("w") + F.col("m")).alias("depth")))
-        if updates.isEmpty() or (max_rounds is not None and rounds >= max_rounds):
-            break
-        depth = cut_lineage(depth.join(_fresh(updates.select(key, "c")), [key, "c"], "left_anti")
-                            .unionByName(updates))
-        changed = updates.select(key, "c")
+        depth = cut_lineage(_fresh(depth).join(succ, [key, "c"], "left")
+                            .select(key, "c", "w",
+                                    F.greatest("depth", F.col("w") + F.coalesce("m", F.lit(0))).alias("depth"),
+                                    F.coalesce(F.col("w") + F.col("m") > F.col("depth"), F.lit(False)).alias("chg")))
     return (node_comp.join(_fresh(depth.select(key, "c", "depth")), [key, "c"])
             .select(key, "node", F.col("depth").cast("bigint").alias("depth")))
 
