@@ -387,7 +387,7 @@ SELECT repo_id, 2, 'Circular Dependency Loop', CAST(node AS VARCHAR), 'High', CA
 FROM comp WHERE node = component
 UNION ALL
 SELECT repo_id, 3, 'Deep Dependency Chain', CAST(node AS VARCHAR), 'Medium', CAST(0.90 AS DOUBLE), 'dependency'
-FROM nd WHERE depth > 3
+FROM nd WHERE depth > 4
 UNION ALL
 SELECT repo_id, 4, 'Route Concentration Bottleneck', path, 'High', CAST(0.95 AS DOUBLE), 'route'
 FROM routes GROUP BY repo_id, path HAVING count(*) > 5

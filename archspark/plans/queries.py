@@ -249,7 +249,7 @@ def risk_union(spark, sf_dir):
     return risks.union_risks(
         risks.risk_oversized(ff),
         risks.risk_cycles(graph.cycle_components(ne)),
-        risks.risk_deep(graph.dependency_depth(ne), threshold=3),
+        risks.risk_deep(graph.dependency_depth(ne)),
         risks.risk_routes(pages_ff),
         risks.risk_missing_tests(risks.missing_tests(ff, B.benchmark_tests(t), same_repo=False)))
 
