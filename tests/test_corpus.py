@@ -1,8 +1,11 @@
 """Corpus path: log parsing, JSON adjacency, the analysis on a re-typed application, streaming."""
 
 import os
+import sys
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from archspark.plans.analysis import build_analysis
@@ -184,3 +187,25 @@ def test_read_commit_log_file_and_temporal_json(spark):
     assert seq["h2"] < seq["h1"]                      # file order: newer first, as the log prints
     tj = spark.createDataFrame([("app", '{"auth.py": {"database.py": 0.5}}')], "repo_id string, value string")
     assert [(r.a, r.b, r.ratio) for r in src.temporal_from_json(tj).collect()] == [("auth.py", "database.py", 0.5)]
+
+
+@pytest.mark.skipif(not os.environ.get("ARCHSPARK_CLI_TEST"), reason="starts a second JVM; set ARCHSPARK_CLI_TEST=1")
+def test_analyze_cli(spark):
+    import subprocess
+    d = tempfile.mkdtemp(prefix="cli-", dir="/tmp")
+    app = os.path.join(d, "app")
+    os.makedirs(os.path.join(app, "api"))
+    for rel, text in APP.items():
+        os.makedirs(os.path.dirname(os.path.join(app, rel)), exist_ok=True)
+        with open(os.path.join(app, rel), "w") as fh:
+            fh.write(text)
+    with open(os.path.join(d, "log.txt"), "w") as fh:
+        fh.write("".join(f"commit:h{4 - i}|dev\n" + "\n".join(fs) + "\n\n" for i, fs in enumerate(reversed(COMMITS))))
+    script = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "scripts", "analyze.py")
+    # a separate process: the script stops its own session
+    out = subprocess.run([sys.executable, script, "--repo", f"app={app}", "--log", f"app={d}/log.txt",
+                          "--goal", "Add JWT authentication to protect routes", "--out", f"{d}/out"],
+                         capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stderr[-2000:]
+    ctx = spark.read.parquet(f"{d}/out/agent_context").collect()
+    assert ctx[0].target == "auth.py" and ctx[0].n_companions == 4
