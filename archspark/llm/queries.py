@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archspark.llm import sharding, token_counts
+from archspark.llm import sharding, simhash, token_counts
 from archspark.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,11 @@ def op3_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op5_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+
+
 @query
 def op9_sharding(spark, sf_dir):
     rows = sharding.assign_shards(table(spark, sf_dir, "documents"), n_shards=24)
