@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archspark.llm import decontaminate, sharding, simhash, token_counts
+from archspark.llm import decontaminate, quality, sharding, simhash, token_counts
 from archspark.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,11 @@ def op5_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+@query
+def op8_quality(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents")).drop("distance")
+
+
 @query
 def op9_sharding(spark, sf_dir):
     rows = sharding.assign_shards(table(spark, sf_dir, "documents"), n_shards=24)
