@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archspark.llm import decontaminate, quality, sharding, simhash, token_counts
+from archspark.llm import decontaminate, pii, quality, secrets, sharding, simhash, token_counts
 from archspark.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,33 @@ def op5_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+def _joined(spans, kinds):
+    """kind:start:end of an array of (start, k, end), comma-joined."""
+    names = F.array(*map(F.lit, kinds))
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", names[x["k"]], x["start"], x["end"])), ",")
+
+
+def _count(spans, k):
+    return F.size(F.filter(spans, lambda x: x["k"] == k)).cast("long")
+
+
+@query
+def op6_pii(spark, sf_dir):
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    kinds = (*pii.KINDS, "term")
+    return found.select("doc_id", *(_count("base", k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)),
+                        F.sha2(_joined("base", kinds), 256).alias("base_sha256"), _joined("spans", kinds).alias("spans"))
+
+
+@query
+def op7_secrets(spark, sf_dir):
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["k"] < len(secrets.KINDS))
+    kinds = (*secrets.KINDS, "random")
+    return found.select("doc_id", *(_count("spans", k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS)),
+                        F.sha2(_joined(base, kinds), 256).alias("base_sha256"), _joined("spans", kinds).alias("spans"))
+
+
 @query
 def op8_quality(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents")).drop("distance")
