@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archspark.llm import decontaminate, piece_codec, pii, quality, secrets, sharding, simhash, token_counts, toxicity
+from archspark.llm import decontaminate, piece_codec, pii, quality, secrets, sharding, simhash, token_counts, token_store, toxicity
 from archspark.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,8 @@ def op9_sharding(spark, sf_dir):
     rows = sharding.assign_shards(table(spark, sf_dir, "documents"), n_shards=24)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op10_token_store(spark, sf_dir):
+    return token_store.store_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)

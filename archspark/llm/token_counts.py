@@ -79,14 +79,16 @@ class WordLengths:
 
     def __init__(self, encoder, batch_bytes: int, most: int = 1_000_000, longest: int = 64):
         self.encoder, self.batch_bytes, self.most, self.longest = encoder, batch_bytes, most, longest
-        self.known: dict[bytes, int] = {}
+        self.known: dict = {}
 
-    def learn(self, words: set[bytes]) -> dict[bytes, int]:
+    value = staticmethod(len)  # what is kept of a word's encoding
+
+    def learn(self, words: set[bytes]) -> dict:
         new = list(words)
-        found: dict[bytes, int] = {}
+        found = {}
         for at, some in batches([(i, w.decode()) for i, w in enumerate(new)], self.batch_bytes):
             for i, x in zip(at, self.encoder.encode_batch_fast(some, add_special_tokens=False)):
-                found[new[i]] = len(x)
+                found[new[i]] = self.value(x)
         return found
 
     def __call__(self, texts: list[bytes]) -> list[int]:
