@@ -67,6 +67,11 @@ def block_masks(radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def _bits(x: np.ndarray) -> np.ndarray:
+    """Set bits of signed 64-bit numbers (bitwise_count alone counts those of the absolute value)."""
+    return np.bitwise_count(x.view(np.uint64))
+
+
 def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """A spanning forest of the links within one bucket, found by breadth-first search."""
     left, out = fps, []
@@ -74,7 +79,7 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
         front, left = [left[0]], left[1:]
         while front and len(left):
             x = front.pop()
-            near = np.bitwise_count(left ^ x) <= radius
+            near = _bits(left ^ x) <= radius
             if near.any():
                 out += [(int(x), int(y)) for y in left[near]]
                 front += list(left[near])
@@ -92,7 +97,7 @@ def bucket_links(groups: np.ndarray, fps: np.ndarray, radius: int, small: int =
         if lag >= len(groups):
             break
         hit = (groups[lag:] == groups[:-lag]) & little[lag:]
-        hit &= np.bitwise_count(fps[lag:] ^ fps[:-lag]) <= radius
+        hit &= _bits(fps[lag:] ^ fps[:-lag]) <= radius
         out += list(zip(fps[lag:][hit].tolist(), fps[:-lag][hit].tolist()))
     for a, n in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist()):
         out += _forest(np.unique(fps[a : a + n]), radius)
@@ -151,8 +156,10 @@ def near_links(fps: DataFrame, radius: int, bucket: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 3, bucket: int = 4096,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fingerprint (16 hex digits), component_id (smallest id reachable over links).
+                    id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, carried columns, fingerprint (16 hex digits), component_id (smallest id reachable over links).
+
+    group_fp, a fingerprint of the component, tells apart components without any id.
 
     Null, empty and blank texts have fingerprint zero, linked like any other; repeated rows share
     a fingerprint and so a component; a null id is no candidate for the smallest id (a component of
@@ -165,13 +172,37 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 3, bucke
 
         return work
 
-    rows = cut_lineage(annotate(docs, make, "fp long", id_col=id_col, text_col=text_col))
+    rows = cut_lineage(annotate(docs, make, "fp long", id_col=id_col, text_col=text_col, carry=carry))
     first = rows.groupBy("fp").agg(F.min(id_col).alias("first"))
     links = near_links(first.select("fp"), radius, bucket)
     roots = components(links)
     member = roots.join(first.withColumnRenamed("fp", "node"), "node")
     least = member.groupBy("root").agg(F.min("first").alias("least"))
-    linked = roots.join(least, "root").select(F.col("node").alias("fp"), "least")
-    groups = first.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    linked = roots.join(least, "root").select(F.col("node").alias("fp"), "root", "least")
+    groups = first.join(linked, "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"),
+                                                     F.coalesce("root", "fp").alias("group_fp"))
     return (rows.join(groups, "fp")
-            .select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
+            .select(id_col, *(c for c in carry if c != id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+                    "component_id", "group_fp"))
+
+
+def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` without near-duplicates: of each component the row with the smallest id stays.
+
+    Rows with an id come before rows without, equal ids go by a hash of the whole row, and of rows
+    equal in all columns one stays. Texts are shuffled only if the removed rows are too many to be
+    broadcast (the planner decides by their size).
+    """
+    columns = docs.columns
+    keyed = docs.withColumn("__row", F.xxhash64(*columns))
+    found = near_duplicates(keyed, id_col=id_col, text_col=text_col, carry=("__row",), **how)
+    rows = cut_lineage(found.select(id_col, "__row", "group_fp").groupBy(id_col, "__row", "group_fp").agg(F.count("*").alias("n")))
+    first = F.min(F.struct(F.col(id_col).isNull().alias("x"), F.col(id_col).alias("y"), F.col("__row").alias("z")))
+    stays = rows.groupBy("group_fp").agg(first["z"].alias("__row"))
+    gone = rows.join(stays, "__row", "left_anti").select("__row")
+    kept = keyed.join(gone, "__row", "left_anti")
+    repeated = rows.join(stays, "__row", "left_semi").filter("n > 1").select("__row")
+    if not repeated.isEmpty():  # equal rows: all have stayed so far
+        again = kept.join(repeated, "__row", "left_semi").dropDuplicates(["__row"])
+        kept = kept.join(repeated, "__row", "left_anti").unionByName(again)
+    return kept.select(*columns)
