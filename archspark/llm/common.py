@@ -51,15 +51,18 @@ def annotate(docs: DataFrame, make: Callable[[], Callable[[pa.Array], Sequence]]
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kinds = list(to_arrow_schema(new).types)
-    text_at = "__text"
+    read = [F.col(c) for c in keep]
+    if text_col not in keep or docs.schema[text_col].dataType != T.StringType():
+        read.append(F.col(text_col).cast("string").alias("__text"))
+    at = len(keep) if len(read) > len(keep) else keep.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            found = work(batch.column(batch.num_columns - 1))
+            found = work(batch.column(at))
             made = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, type=k) for x, k in zip(found, kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*keep, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, *names])
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias(text_at)).mapInArrow(run, out)
+    return docs.select(*read).mapInArrow(run, out)

@@ -199,12 +199,13 @@ def contained_windows(docs: DataFrame, items: DataFrame, *, window: int = 10, bl
         sent.unpersist()
         blocks.append(spark.sparkContext.broadcast(block))
     windows.unpersist()
-    rows = docs.select(id_col, *(c for c in carry if c != id_col), F.col(text_col).alias("__words"),
+    kept = [c for c in carry if c not in (id_col, text_col)]
+    rows = docs.select(id_col, *kept, F.col(text_col).cast("string").alias("__words"),
                        F.lit(None).cast("binary").alias("__hit"), F.array().cast("array<string>").alias("__items"))
     for block in blocks:
         rows = _pass(rows, block)
-    return rows.select(id_col, *(c for c in carry if c != id_col), F.col("__n").alias("n_words"),
-                       F.col("__h").alias("n_hit"), F.col("__items").alias("items"))
+    text = [F.col("__words").alias(text_col)] if text_col in carry else []
+    return rows.select(id_col, *kept, *text, F.col("__n").alias("n_words"), F.col("__h").alias("n_hit"), F.col("__items").alias("items"))
 
 
 def _pass(rows: DataFrame, block) -> DataFrame:

@@ -162,24 +162,26 @@ def codec(path: str) -> PieceCodec:
     return _CODECS[path]
 
 
-def encode_decode(docs: DataFrame, path: str, *, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text",
+def encode_decode(docs: DataFrame, path: str, *, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text",
                   carry: tuple[str, ...] = ()) -> DataFrame:
-    """id, carried columns, n_tokens, ids_sha256, decoded_sha256 for every row; ids and decoded too if ``with_ids``.
+    """id, carried columns, n_tokens, ids_sha256, decoded_sha256 for every row.
+
+    ``keep`` may name ids (little-endian 32-bit numbers) and decoded (the text), to return them too.
 
     Ids include the begin and end ids. Null and empty texts have just these two and decode to the
     empty text; repeated rows each get their row; an empty table gives an empty result. Other
     columns are not read.
     """
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    if with_ids:
-        schema += ", ids array<int>, decoded string"
+    more = {"ids": "binary", "decoded": "string"}
+    schema += "".join(f", {k} {more[k]}" for k in keep)
 
     def make():
         c = codec(path)
         begin, end = (np.array([i], "<u4").tobytes() for i in (c.begin, c.end))
 
         def work(texts):
-            n, ids_sha, decoded_sha, all_ids, decoded = [], [], [], [], []
+            n, ids_sha, decoded_sha, kept = [], [], [], {"ids": [], "decoded": []}
             for text in texts.to_pylist():
                 raw = begin + c.encode(text or "") + end
                 ids = np.frombuffer(raw, "<u4").tolist()
@@ -187,10 +189,9 @@ def encode_decode(docs: DataFrame, path: str, *, with_ids: bool = False, id_col:
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(raw).hexdigest())
                 decoded_sha.append(hashlib.sha256(back.encode()).hexdigest())
-                if with_ids:
-                    all_ids.append(ids)
-                    decoded.append(back)
-            return [n, ids_sha, decoded_sha, *([all_ids, decoded] if with_ids else [])]
+                for k in keep:
+                    kept[k].append(raw if k == "ids" else back)
+            return [n, ids_sha, decoded_sha, *(kept[k] for k in keep)]
 
         return work
 

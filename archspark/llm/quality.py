@@ -26,12 +26,12 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: (name, transformed statistic, smallest standard deviation)
 FEATURES = [
-    ("x0", F.log1p("n_words"), 0.5),
-    ("x1", F.log(F.col("word_chars") / F.col("n_words")), 0.05),
-    ("x2", F.sqrt(F.col("n_symbols") / F.col("word_chars")), 0.04),
-    ("x3", F.sqrt(F.col("n_dup_lines") / F.col("n_lines")), 0.15),
-    ("x4", F.sqrt(F.col("n_repeat_words") / F.col("n_words")), 0.15),
-    ("x5", F.log(F.col("n_distinct") / F.col("n_words")), 0.08),
+    ("x0", "log1p(n_words)", 0.5),
+    ("x1", "ln(word_chars / n_words)", 0.05),
+    ("x2", "sqrt(n_symbols / word_chars)", 0.04),
+    ("x3", "sqrt(n_dup_lines / n_lines)", 0.15),
+    ("x4", "sqrt(n_repeat_words / n_words)", 0.15),
+    ("x5", "ln(n_distinct / n_words)", 0.08),
 ]
 D = len(FEATURES)
 #: above this many groups their estimates (about 0.5 kB each) are joined by a shuffle instead of a broadcast
@@ -179,7 +179,7 @@ def quality(docs: DataFrame, *, min_rows: int = 60, tail: float = 1e-10, part: f
     stats = statistics(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, source_col=source_col)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     stats = stats.withColumn("base_failed", failed)
-    vector = [F.when(F.col("n_words") > 0, F.greatest(f, F.lit(-20.0))).otherwise(F.lit(0.0)).alias(n) for n, f, _ in FEATURES]
+    vector = [F.when(F.col("n_words") > 0, F.greatest(F.expr(f), F.lit(-20.0))).otherwise(F.lit(0.0)).alias(n) for n, f, _ in FEATURES]
     rows = cut_lineage(stats.select("*", *vector, (~F.col("base_failed")).alias("learn")))
     rows = with_cells(rows, min_rows)
     scored = _distances(rows, robust_cells(rows, part=part, steps=steps))

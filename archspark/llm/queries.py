@@ -68,7 +68,7 @@ def op4_toxicity(spark, sf_dir):
 
 @query
 def op5_simhash(spark, sf_dir):
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3).drop("group_fp")
 
 
 def _joined(spans, kinds):

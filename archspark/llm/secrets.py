@@ -41,6 +41,7 @@ KEY_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234
 KINDS = ("assign", "access", "hex")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
+MARK = "[secret]"
 BINS = 20
 BAND = 4
 ALPHABETS = {
@@ -205,12 +206,12 @@ def find_secrets(docs: DataFrame, *, shortest: int = 20, fdr: float = 0.05, id_c
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
-    """The text with every (merged) span replaced by a mark; an assignment keeps its left side out too."""
+    """The text with every (merged) span replaced by a mark."""
     out, at = [], 0
     for start, _, end in spans:
         if end <= at:
             continue
         if start >= at:
-            out += [text[at:start], "[secret]"]
+            out += [text[at:start], MARK]
         at = end
     return "".join(out) + text[at:]
