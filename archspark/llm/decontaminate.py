@@ -210,7 +210,7 @@ def contained_windows(docs: DataFrame, items: DataFrame, *, window: int = 10, bl
 
 def _pass(rows: DataFrame, block) -> DataFrame:
     """One narrow pass: adds the block's hits to each document's hit bits and items."""
-    keep = [c for c in rows.columns if not c.startswith("__")]
+    keep = [c for c in rows.columns if c not in ("__words", "__hit", "__items", "__n", "__h")]
     schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("__words", T.StringType()), T.StructField("__hit", T.BinaryType()),
                            T.StructField("__items", T.ArrayType(T.StringType())), T.StructField("__n", T.LongType()), T.StructField("__h", T.LongType())])
     names = schema.fieldNames()

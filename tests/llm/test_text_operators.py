@@ -306,7 +306,7 @@ def test_disclosive_terms(frame):
     assert got.count() == len(rows)
     assert (13, 4, 24) in spans[101] and not spans[0] and not spans[200]
     assert [k for _, k, _ in spans[202]] == [0]  # seen once: nothing to learn from
-    text = {r.doc_id: r.text for r in pii.sanitised(frame(rows[40:43], "doc_id long, text string")).collect()}
+    text = {r.doc_id: r.text for r in pii.sanitised(frame(rows[:43], "doc_id long, text string")).collect()}
     assert "zan@" not in text[101] and "Zanzibarius" not in text[101] and "[email]" in text[101]
     assert not pii.find_personal_data(frame([], "doc_id long, text string")).collect()
 
@@ -315,7 +315,7 @@ def test_random_tokens_are_found_and_words_are_not(frame):
     r = random.Random(1)
     keys = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(40)) for _ in range(60)]
     rows = [(i, f"the key {k} is here") for i, k in enumerate(keys)]
-    plain = ["aaaaaaaaaaaaaaaaaaaa1111111111aaaaaaaaaa", "chapter1chapter1chapter1chapter1chapter1", "x" * 39 + "1"]
+    plain = ["zzzzzzzzzzzzzzzzzzzz1111111111zzzzzzzzzz", "chapter1chapter1chapter1chapter1chapter1", "x" * 39 + "1"]
     rows += [(1000 + i, f"see {plain[i % 3]} for more") for i in range(60)] + [(3000, None), (3001, "")]
     got = {x.doc_id: x for x in secrets.find_secrets(frame(rows, "doc_id long, text string")).collect()}
     found = [bool(got[i].spans) for i in range(60) if any(c.isdigit() for c in keys[i])]
