@@ -1,10 +1,11 @@
-"""Per-file code facts (B1-B7): one ``mapInPandas`` job over the corpus.
-
-Each Python source is parsed with the standard library ``ast`` inside the task that
-holds it; the result is one row per file with nested arrays, which downstream
-operators ``explode``. A file that fails to parse yields ``parsed = false`` and empty
-arrays; a task never fails on one bad file. Bytes are decoded with
-``errors="ignore"`` (Spark's own ``decode`` raises on malformed input).
+"""Per-file code facts (B1-B7): one ``mapInPandas`` job over the corpus, then Spark expressions.
+
+The Python worker only turns each source into flat syntax rows: imports, classes and
+functions, each with its line, the row it stands in, and the dotted names around it (bases,
+decorators, assigned names, called constructors). What counts as a model, an endpoint or a
+plain function is decided by the expressions below, on the JVM side. A file that fails to parse
+yields ``parsed = false`` and empty arrays; a task never fails on one bad file. Bytes are
+decoded with ``errors="ignore"`` (Spark's own ``decode`` raises on malformed input).
 """
 
 from __future__ import annotations
@@ -13,146 +14,153 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FACTS_SCHEMA = (
-    "repo_id string, path string, parsed boolean, "
-    "imports array<struct<module:string,name:string,line:int>>, "
-    "classes array<struct<name:string,bases:array<string>,methods:array<string>,line:int>>, "
-    "functions array<struct<name:string,args:array<string>,line:int>>, "
-    "endpoints array<struct<path:string,method:string,handler:string,line:int>>, "
-    "models array<struct<name:string,fields:array<string>,line:int>>"
+_DECORATOR = "struct<name:string,called:boolean,first:string,methods:array<string>>"
+SYNTAX_SCHEMA = (
+    "repo_id string, path string, parsed boolean, rows array<struct<id:int,within:int,kind:string,name:string,line:int,"
+    f"names:array<string>,calls:array<string>,fields:array<string>,decorators:array<{_DECORATOR}>>>"
 )
 
-# FIXED VALUES: decorator words that mark an endpoint, model base names and
-# field-constructor words.
+# FIXED VALUES: decorator words that mark an endpoint, words that name its method, model base
+# names and suffixes, field-constructor words, first arguments of methods.
 ENDPOINT_WORDS = ["route", "get", "post", "put", "delete", "patch"]
+METHOD_WORDS = ["post", "put", "delete", "patch"]
 MODEL_BASES = ["Base", "Model", "SQLModel", "models.Model", "declarative_base"]
 MODEL_BASE_SUFFIXES = [".Model", ".SQLModel", ".Base"]
 FIELD_CALL_WORDS = ["Column", "Field", "ForeignKey", "relationship"]
+SELF_WORDS = ["self", "cls"]
 
 
-def dotted_name(node) -> str:
-    """``a.b.c`` for Name/Attribute chains, '' otherwise."""
-    if isinstance(node, ast.Name):
-        return node.id
-    if isinstance(node, ast.Attribute):
-        return f"{dotted_name(node.value)}.{node.attr}"
-    return ""
+def _dotted(node: ast.AST) -> str:
+    """The dotted name of a chain of attributes; what is not a name at its root is empty."""
+    parts: list[str] = []
+    while isinstance(node, ast.Attribute):
+        parts.insert(0, node.attr)
+        node = node.value
+    return ".".join([node.id if isinstance(node, ast.Name) else "", *parts]) if parts or isinstance(node, ast.Name) else ""
 
 
-def _endpoint(dec, handler: str, line: int):
-    """A *called* decorator whose dotted name contains an endpoint word."""
-    if not isinstance(dec, ast.Call):
-        return None
-    name = dotted_name(dec.func)
-    if not any(w in name for w in ENDPOINT_WORDS):
-        return None
-    path = "/"
-    if dec.args and isinstance(dec.args[0], ast.Constant):
-        path = str(dec.args[0].value)
-    low = name.lower()
-    method = "GET"
-    for word in ("post", "put", "delete", "patch"):
-        if word in low:
-            method = word.upper()
-            break
-    else:
-        if "route" in low:
-            for kw in dec.keywords:
-                if kw.arg == "methods" and isinstance(kw.value, ast.List):
-                    ms = [str(el.value).upper() for el in kw.value.elts if isinstance(el, ast.Constant)]
-                    if ms:
-                        method = ",".join(ms)
-    return {"path": path, "method": method, "handler": handler, "line": line}
-
-
-def _is_model(cls: ast.ClassDef) -> bool:
-    """B2."""
-    for base in cls.bases:
-        name = base.id if isinstance(base, ast.Name) else dotted_name(base) if isinstance(base, ast.Attribute) else ""
-        if name in MODEL_BASES or any(name.endswith(s) for s in MODEL_BASE_SUFFIXES):
-            return True
-    for item in cls.body:
-        if isinstance(item, ast.Assign) and isinstance(item.value, ast.Call):
-            if any(w in dotted_name(item.value.func) for w in FIELD_CALL_WORDS):
-                return True
-    return False
-
-
-def _model_fields(cls: ast.ClassDef) -> list[str]:
-    out = []
-    for item in cls.body:
-        if isinstance(item, ast.Assign):
-            out += [t.id for t in item.targets if isinstance(t, ast.Name)]
-        elif isinstance(item, ast.AnnAssign) and isinstance(item.target, ast.Name):
-            out.append(item.target.id)
-    return out
+def _decorator(node: ast.expr) -> dict:
+    called = isinstance(node, ast.Call)
+    row = {"name": _dotted(node.func if called else node), "called": called, "first": None, "methods": []}
+    if called and node.args and isinstance(node.args[0], ast.Constant):
+        row["first"] = str(node.args[0].value)
+    lists = [k.value for k in node.keywords if k.arg == "methods"] if called else []
+    row["methods"] = [str(x.value) for v in lists if isinstance(v, ast.List) for x in v.elts if isinstance(x, ast.Constant)]
+    return row
+
+
+def _class_row(node: ast.ClassDef) -> dict:
+    assigned = [s for s in node.body if isinstance(s, ast.Assign)]
+    targets = [t for s in node.body for t in (s.targets if isinstance(s, ast.Assign) else [s.target] if isinstance(s, ast.AnnAssign) else [])]
+    return {"kind": "class", "name": node.name, "names": [_dotted(b) for b in node.bases if isinstance(b, (ast.Name, ast.Attribute))],
+            "calls": [_dotted(s.value.func) for s in assigned if isinstance(s.value, ast.Call)],
+            "fields": [t.id for t in targets if isinstance(t, ast.Name)]}
 
 
-def parse_source(text: str, include_async: bool = False) -> dict:
-    """Facts of one source text (B1-B6). ``include_async`` also reads ``async def`` functions
-    and endpoints (the analysed tool skips them)."""
-    empty = {"parsed": False, "imports": [], "classes": [], "functions": [], "endpoints": [], "models": []}
+def _function_row(node) -> dict:
+    kind = "async" if isinstance(node, ast.AsyncFunctionDef) else "def"
+    return {"kind": kind, "name": node.name, "names": [a.arg for a in node.args.args], "decorators": [_decorator(d) for d in node.decorator_list]}
+
+
+def _rows_of(node: ast.AST) -> list[dict]:
+    if isinstance(node, ast.ClassDef):
+        return [_class_row(node)]
+    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+        return [_function_row(node)]
+    if isinstance(node, ast.Import):
+        return [{"kind": "import", "name": a.name} for a in node.names]
+    if isinstance(node, ast.ImportFrom) and node.module:
+        return [{"kind": "import", "name": node.module}]
+    return []
+
+
+def syntax_rows(text: str) -> list[dict] | None:
+    """Flat rows of one source in source order; None if it does not parse. Walks without recursion."""
     try:
-        tree = ast.parse(text)
+        todo: list[tuple[ast.AST, int]] = [(ast.parse(text), -1)]
     except Exception:  # noqa: BLE001 - any parse failure is a fact, not an error
-        return empty
-    facts = {"parsed": True, "imports": [], "classes": [], "functions": [], "endpoints": [], "models": []}
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Import):  # B5
-            for alias in node.names:
-                facts["imports"].append({"module": alias.name.split(".")[0], "name": alias.name,
-                                         "line": node.lineno})
-        elif isinstance(node, ast.ImportFrom):
-            if node.module:
-                facts["imports"].append({"module": node.module.split(".")[0], "name": node.module,
-                                         "line": node.lineno})
-        elif isinstance(node, ast.ClassDef):  # B1
-            bases = [b.id if isinstance(b, ast.Name) else b.attr for b in node.bases
-                     if isinstance(b, (ast.Name, ast.Attribute))]
-            kinds = (ast.FunctionDef, ast.AsyncFunctionDef) if include_async else (ast.FunctionDef,)
-            methods = [n.name for n in node.body if isinstance(n, kinds)]
-            facts["classes"].append({"name": node.name, "bases": bases, "methods": methods, "line": node.lineno})
-            if _is_model(node):
-                facts["models"].append({"name": node.name, "fields": _model_fields(node), "line": node.lineno})
-        elif isinstance(node, ast.FunctionDef) or (include_async and isinstance(node, ast.AsyncFunctionDef)):
-            # B3, B4 (async defs only with include_async, as the analysed tool skips them)
-            args = [a.arg for a in node.args.args]
-            is_method = bool(args) and args[0] in ("self", "cls")
-            eps = [e for e in (_endpoint(d, node.name, node.lineno) for d in node.decorator_list) if e]
-            facts["endpoints"] += eps
-            if not is_method and not eps:
-                facts["functions"].append({"name": node.name, "args": args, "line": node.lineno})
-    return facts
-
-
-def _extract_batches(batches: Iterator[pd.DataFrame], include_async: bool = False) -> Iterator[pd.DataFrame]:
+        return None
+    rows: list[dict] = []
+    while todo:
+        node, within = todo.pop()
+        for row in _rows_of(node):
+            rows.append({"id": len(rows), "within": within, "line": node.lineno, "calls": [], "fields": [], "names": [], "decorators": []} | row)
+        # only what stands directly in a class body is within the class
+        scope = isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef))
+        inner = len(rows) - 1 if scope else -1
+        todo += [(child, inner) for child in reversed(list(ast.iter_child_nodes(node)))]
+    return rows
+
+
+def _syntax_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = []
-        for repo, path, content in zip(pdf["repo_id"], pdf["path"], pdf["content"]):
-            if isinstance(content, (bytes, bytearray, memoryview)):
-                text = bytes(content).decode("utf-8", errors="ignore")
-            else:
-                text = content or ""
-            f = parse_source(text, include_async)
-            f["repo_id"], f["path"] = repo, path
-            rows.append(f)
-        yield pd.DataFrame(rows, columns=["repo_id", "path", "parsed", "imports", "classes", "functions",
-                                          "endpoints", "models"])
+        raw = (bytes(c).decode("utf-8", errors="ignore") if isinstance(c, (bytes, bytearray, memoryview)) else c or "" for c in pdf["content"])
+        found = [syntax_rows(text) for text in raw]
+        yield pd.DataFrame({"repo_id": pdf["repo_id"], "path": pdf["path"], "parsed": [r is not None for r in found], "rows": [r or [] for r in found]})
+
+
+def _any_of(words: list[str], test) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | test(F.lit(w))
+    return out
+
+
+def _is_endpoint(d: Column) -> Column:
+    """A called decorator whose dotted name holds an endpoint word."""
+    return d["called"] & _any_of(ENDPOINT_WORDS, d["name"].contains)
+
+
+def _method(d: Column) -> Column:
+    """By the decorator's name, else by the methods= list of a route, else GET."""
+    low, out = F.lower(d["name"]), F.when(F.lit(False), F.lit(""))
+    for w in METHOD_WORDS:
+        out = out.when(low.contains(w), F.lit(w.upper()))
+    return out.when(low.contains("route") & (F.size(d["methods"]) > 0), F.upper(F.array_join(d["methods"], ","))).otherwise(F.lit("GET"))
+
+
+def _is_model(c: Column) -> Column:
+    """B2: by a base's name or by a constructor called in the body."""
+    base = F.exists(c["names"], lambda b: b.isin(MODEL_BASES) | _any_of(MODEL_BASE_SUFFIXES, b.endswith))
+    return base | F.exists(c["calls"], lambda n: _any_of(FIELD_CALL_WORDS, n.contains))
+
+
+def _endpoints_of(f: Column) -> Column:
+    return F.transform(F.filter(f["decorators"], _is_endpoint), lambda d: F.struct(
+        F.coalesce(d["first"], F.lit("/")).alias("path"), _method(d).alias("method"), f["name"].alias("handler"), f["line"].alias("line")))
 
 
 def code_facts(corpus: DataFrame, content: str = "content", python_only: bool = True,
                include_async: bool = False) -> DataFrame:
-    """B-job: (repo_id, path, content) -> code_facts rows (one per Python file).
+    """B-job: (repo_id, path, content) -> one row per Python file with nested facts.
 
     Only the three needed columns enter the Python worker; Arrow moves them in batches.
+    ``include_async`` also reads ``async def`` functions and endpoints (skipped by default).
     """
     src = corpus.select("repo_id", "path", F.col(content).alias("content"))
     if python_only:
         src = src.where(F.col("path").endswith(".py"))
-    return src.mapInPandas(lambda it: _extract_batches(it, include_async), FACTS_SCHEMA)
+    rows = F.col("rows")
+    defs = ["def", "async"] if include_async else ["def"]
+    of = lambda *kinds: F.filter(rows, lambda r: r["kind"].isin(*kinds))
+    classes = F.transform(of("class"), lambda c: F.struct(  # B1
+        c["name"].alias("name"), F.transform(c["names"], lambda b: F.element_at(F.split(b, r"\."), -1)).alias("bases"),
+        F.transform(F.filter(rows, lambda r: r["kind"].isin(*defs) & (r["within"] == c["id"])), lambda r: r["name"]).alias("methods"),
+        c["line"].alias("line")))
+    plain = F.filter(of(*defs), lambda f: ~F.coalesce(F.get(f["names"], F.lit(0)).isin(SELF_WORDS), F.lit(False))  # B3
+                     & ~F.exists(f["decorators"], _is_endpoint))
+    return src.mapInPandas(_syntax_batches, SYNTAX_SCHEMA).select(
+        "repo_id", "path", "parsed",
+        F.transform(of("import"), lambda i: F.struct(F.split(i["name"], r"\.")[0].alias("module"), i["name"].alias("name"),  # B5
+                                                     i["line"].alias("line"))).alias("imports"),
+        classes.alias("classes"),
+        F.transform(plain, lambda f: F.struct(f["name"].alias("name"), f["names"].alias("args"), f["line"].alias("line"))).alias("functions"),
+        F.flatten(F.transform(of(*defs), _endpoints_of)).alias("endpoints"),
+        F.transform(F.filter(of("class"), _is_model), lambda c: F.struct(c["name"].alias("name"), c["fields"].alias("fields"),
+                                                                         c["line"].alias("line"))).alias("models"))
 
 
 def explode_facts(facts: DataFrame, what: str) -> DataFrame:

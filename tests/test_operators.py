@@ -16,21 +16,33 @@ USER = ("from sqlalchemy import Column\nclass User(Base):\n    id = Column(int)\
         "    @staticmethod\n    def make():\n        pass\n")
 
 
-def test_parse_source_facts():
-    f = extract.parse_source(MAIN)
+def _facts(spark, text, **how):
+    one = spark.createDataFrame([("r", "x.py", text.encode())], "repo_id string, path string, content binary")
+    return extract.code_facts(one, **how).first()
+
+
+def test_source_facts(spark):
+    f = _facts(spark, MAIN)
     assert f["parsed"] and [i["module"] for i in f["imports"]] == ["auth", "database"]
     assert [x["name"] for x in f["functions"]] == ["run"]
-    a = extract.parse_source(AUTH)
+    a = _facts(spark, AUTH)
     assert a["classes"][0]["methods"] == ["__init__", "login", "logout"] and a["functions"] == []
-    r = extract.parse_source(ROUTES)
+    r = _facts(spark, ROUTES)
     eps = {(e["path"], e["method"], e["handler"]) for e in r["endpoints"]}
     assert eps == {("/login", "POST", "login"), ("/health", "GET", "health"), ("/items", "GET,POST", "items")}
     assert [x["name"] for x in r["functions"]] == ["bare"]  # bare decorator is no endpoint; async ignored
-    u = extract.parse_source(USER)
+    u = _facts(spark, USER)
     assert u["models"][0]["name"] == "User" and u["models"][0]["fields"] == ["id", "name"]
     # static method without self counts as a function and as a method
     assert [x["name"] for x in u["functions"]] == ["make"]
-    assert extract.parse_source("def broken(:\n")["parsed"] is False
+    assert _facts(spark, "def broken(:\n")["parsed"] is False
+    n = _facts(spark, "class A(x.y.B, f().C, 1):\n    if 1:\n        def hidden(self):\n            import a.b\n    def seen(self):\n"
+                      "        class In(SQLModel): z: int = 1\n    q = db.Column(1)\nfrom . import c\nfrom .d import e\n"
+                      "@app.get(x, methods=['put'])\n@app.route(methods=['a', 'b'])\n@get\ndef h(): pass\n")
+    assert [(c["name"], c["bases"], c["methods"]) for c in n["classes"]] == [("A", ["B", "C"], ["seen"]), ("In", ["SQLModel"], [])]
+    assert [(m["name"], m["fields"]) for m in n["models"]] == [("A", ["q"]), ("In", ["z"])]
+    assert sorted(i["module"] for i in n["imports"]) == ["a", "d"]
+    assert [(e["path"], e["method"]) for e in n["endpoints"]] == [("/", "GET"), ("/", "A,B")] and n["functions"] == []
 
 
 def test_code_facts_job(spark):
@@ -136,8 +148,8 @@ def test_contains_join_fallback_equals_broadcast(spark):
 
 def test_options_async_foldcase_dotted(spark):
     src_async = "@router.get('/a')\nasync def a():\n    pass\n"
-    assert extract.parse_source(src_async)["endpoints"] == []
-    assert [e["path"] for e in extract.parse_source(src_async, include_async=True)["endpoints"]] == ["/a"]
+    assert _facts(spark, src_async)["endpoints"] == []
+    assert [e["path"] for e in _facts(spark, src_async, include_async=True)["endpoints"]] == ["/a"]
     files = spark.createDataFrame([("r", p) for p in ["pkg/__init__.py", "pkg/mod.py", "pkg/sub/deep.py", "top.py",
                                                       "x.py"]], "repo_id string, path string")
     raw = spark.createDataFrame([("r", "x.py", "pkg.mod.func"), ("r", "x.py", "pkg.other"),
