@@ -14,7 +14,7 @@ def _c(c) -> Column:
 
 def normalise(path) -> Column:
     """Back slashes to forward slashes."""
-    return F.regexp_replace(_c(path), r"\\\\", "/")
+    return F.translate(_c(path), "\\", "/")
 
 
 def basename(path) -> Column:
@@ -80,7 +80,8 @@ def url_path(url) -> Column:
 
 
 def path_parts(df, path: str = "path"):
-    """C1-C7 as columns of one projection."""
+    """C1-C7 as columns of one projection, on the slash-normalised path."""
+    df = df.withColumn(path, normalise(path))
     return df.select("*", basename(path).alias("basename"), extension(path).alias("extension"),
                      stem(path).alias("stem"), first_segment(path).alias("first_segment"),
                      is_code_file(path).alias("is_code"), is_database_file(path).alias("is_database"),

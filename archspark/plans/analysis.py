@@ -6,11 +6,11 @@ every table the questions need; nothing is computed until a table is written or
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from archspark.functions import vocab
-from archspark.functions.paths import is_database_file, is_test_path
+from archspark.functions.paths import is_database_file, is_test_path, normalise
 from archspark.operators import companions, extract, facts, graph, history, layers, risks
 from archspark.plans import reports
 from archspark.sources import corpus as src
@@ -25,11 +25,27 @@ def module_table(inv: DataFrame) -> DataFrame:
 
 
 def build_analysis(spark: SparkSession, corpus: DataFrame, commit_files: DataFrame | None = None,
-                   latest_n: int | None = vocab.LATEST_COMMITS, k_companions: int = 8) -> dict[str, DataFrame]:
+                   latest_n: int | None = None, k_companions: int = 8, commits: DataFrame | None = None,
+                   store: str | None = None) -> dict[str, DataFrame]:
+    """All derived tables. ``latest_n`` keeps only the newest commits of each repository (F1) and
+    then needs ``commits`` (repo_id, commit_id, seq), which also holds commits without files.
+
+    With ``store`` (a folder all executors share) the parsed facts, the import edges and the
+    co-change ratios are written there once and read back, so each source is parsed once
+    however many tables are used; without it they are recomputed by every table that reads them.
+    """
+    def kept(name: str, df: DataFrame) -> DataFrame:
+        if store is None:
+            return df
+        df.write.mode("overwrite").parquet(f"{store}/{name}")
+        return spark.read.parquet(f"{store}/{name}")
+
     inv = src.inventory(corpus)
-    code = extract.code_facts(corpus.join(inv.select("repo_id", "path"), ["repo_id", "path"], "left_semi"))
+    kept_paths = inv.select("repo_id", "path")
+    sources = corpus.withColumn("path", normalise("path"))
+    code = kept("code_facts", extract.code_facts(sources.join(kept_paths, ["repo_id", "path"], "left_semi")))
     raw = code.select("repo_id", F.col("path").alias("src"), F.explode("imports.module").alias("module"))
-    imports = graph.resolve_imports(raw, module_table(inv))
+    imports = kept("imports", graph.resolve_imports(raw, module_table(inv)))
     routes = extract.routes(code)
     ff = facts.file_facts(inv, code, imports)
     out: dict[str, DataFrame] = {"files": inv, "code_facts": code, "imports": imports, "routes": routes,
@@ -39,12 +55,14 @@ def build_analysis(spark: SparkSession, corpus: DataFrame, commit_files: DataFra
     cochange_raw = None
     if commit_files is not None:
         cf = commit_files
-        if latest_n is not None and "seq" in cf.columns:
-            commits = cf.select("repo_id", "commit_id", F.col("seq")).distinct()
-            win = history.latest_commits(commits.withColumn("commit_ts", -F.col("seq")), latest_n)
+        if latest_n is not None:
+            if commits is None:
+                raise ValueError("a window of commits needs the table of commits, also those without files")
+            newest = Window.partitionBy("repo_id").orderBy("seq", "commit_id")
+            win = commits.select("repo_id", "commit_id", "seq", F.row_number().over(newest).alias("rank")).where(F.col("rank") <= latest_n)
             cf = history.restrict_to_window(cf, win)
         out["file_history"] = history.file_history(cf)
-        cochange_raw = history.cochange_ratios(cf)
+        cochange_raw = kept("cochange_raw", history.cochange_ratios(cf))
         out["cochange_raw"] = cochange_raw
         out["temporal_matrix"] = history.temporal_matrix(cf, code_only=True)
         history_files = cf.select("repo_id", "path").distinct()

@@ -7,11 +7,13 @@ reading only ``(repo_id, path, size)`` prunes the content column at the scan.
 from __future__ import annotations
 
 import os
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from archspark.functions import vocab
 from archspark.functions.paths import extension, is_ignored, normalise
 
 CORPUS_SCHEMA = "repo_id string, path string, size bigint, content binary"
@@ -46,35 +48,42 @@ def _read_files(batches):
         yield pd.DataFrame({"repo_id": pdf["repo_id"], "path": pdf["path"], "size": sizes, "content": contents})
 
 
+#: files listed in one frame; a larger folder gives several
+LISTED_AT_ONCE = 5000
+
+
+def _files_under(root: str, entry: str):
+    """Relative paths of the files under one top-level entry; ignored folders are never entered."""
+    full = os.path.join(root, entry)
+    if not os.path.isdir(full):
+        yield entry
+    elif entry not in vocab.IGNORED_DIRS:
+        for folder, inner, files in os.walk(full):
+            inner[:] = [d for d in inner if d not in vocab.IGNORED_DIRS]
+            for name in files:
+                yield os.path.relpath(os.path.join(folder, name), root).replace(os.sep, "/")
+
+
 def _walk_entries(batches):
     """List every file under each (repo, root, entry) in the task that holds it."""
     for pdf in batches:
-        repos, roots, paths = [], [], []
         for repo, root, entry in zip(pdf["repo_id"], pdf["root"], pdf["entry"]):
-            full = os.path.join(root, entry)
-            if os.path.isdir(full):
-                for d, _dirs, files in os.walk(full):
-                    for name in files:
-                        repos.append(repo)
-                        roots.append(root)
-                        paths.append(os.path.relpath(os.path.join(d, name), root).replace(os.sep, "/"))
-            else:
-                repos.append(repo)
-                roots.append(root)
-                paths.append(entry)
-        yield pd.DataFrame({"repo_id": repos, "root": roots, "path": paths})
-
-
-def load_directories(spark: SparkSession, roots: dict[str, str], partitions: int = 64) -> DataFrame:
+            files = _files_under(root, entry)
+            while some := list(islice(files, LISTED_AT_ONCE)):
+                yield pd.DataFrame({"repo_id": repo, "root": root, "path": some})
+
+
+def load_directories(spark: SparkSession, roots: dict[str, str], partitions: int | None = None) -> DataFrame:
     """A1 directory loader over a file system every executor can see.
 
     The driver lists only the first level of each root; each top-level entry is walked
     in a task, the listing is repartitioned, and contents are read in tasks, so no full
     file list passes through the driver and one large folder does not make one large task
     read. Spark's file sources skip names starting with '_' or '.', which would drop
-    ``__init__.py``; this loader keeps every file (ignored folders are pruned by
-    ``inventory``).
+    ``__init__.py``; this loader keeps every file outside ignored folders, which the walk
+    never enters. ``partitions`` defaults to the session's shuffle partitions.
     """
+    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = [(repo, root, name) for repo, root in roots.items() for name in sorted(os.listdir(root))]
     top = spark.createDataFrame(entries, "repo_id string, root string, entry string")
     listing = top.repartition(max(1, min(partitions, len(entries)))).mapInPandas(
@@ -82,32 +91,44 @@ def load_directories(spark: SparkSession, roots: dict[str, str], partitions: int
     return listing.repartition(partitions).mapInPandas(_read_files, CORPUS_SCHEMA)
 
 
-def parse_commit_log(log: DataFrame, code_only: bool = False) -> DataFrame:
-    """A3/A4: records of ``commit:<hash>[|<author>]`` followed by one path per line.
+def commit_records(log: DataFrame) -> DataFrame:
+    """A3/A4: one row per commit record ``commit:<hash>[|<author>]`` followed by one path per line.
 
-    ``log`` has one row per commit record (``repo_id, value``, optionally ``seq``, the
-    record position; smaller = newer, as ``git log`` prints). -> (repo_id, commit_id,
-    seq, author, path). Records without files yield no rows (they still count for a
-    window when ``seq`` is kept by the caller).
+    ``log`` has one row per record (``repo_id, value``, optionally ``seq``, the record's position;
+    smaller = newer, as ``git log`` prints). -> (repo_id, commit_id, seq, author, files). A header
+    without an author gives a null author; line ends and blanks around names are dropped.
     """
     if "seq" not in log.columns:
         log = log.withColumn("seq", F.monotonically_increasing_id())
-    lines = F.split(F.regexp_replace(F.col("value"), r"^\s*(commit:)?", ""), "\n")
-    rec = log.select("repo_id", "seq", lines.alias("lines"))
-    header = F.element_at("lines", 1)
-    rec = rec.select("repo_id", "seq", F.split(header, r"\|").getItem(0).alias("commit_id"),
-                     F.split(header, r"\|").getItem(1).alias("author"),
-                     F.slice("lines", 2, 1 << 30).alias("files"))
-    out = (rec.select("repo_id", "commit_id", "seq", "author", F.explode("files").alias("path"))
-           .select("repo_id", "commit_id", "seq", "author", normalise(F.trim("path")).alias("path"))
-           .where(F.length("path") > 0))
-    return out
+    clean = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    lines = F.transform(F.split(F.regexp_replace("value", r"^\s*(commit:)?", ""), "\n"), clean)
+    header = F.split(lines[0], r"\|")
+    files = F.filter(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), normalise), lambda p: F.length(p) > 0)
+    return log.select("repo_id", clean(header[0]).alias("commit_id"), "seq", clean(F.get(header, F.lit(1))).alias("author"),
+                      files.alias("files"))
 
 
-def read_commit_log(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
-    """A3/A4 from an exported log file: records split at ``\\ncommit:`` by the reader."""
+def parse_commit_log(log: DataFrame) -> DataFrame:
+    """A3/A4: (repo_id, commit_id, seq, author, path), a row per file; see ``commit_records`` for
+    commits without files, which count for a window of commits."""
+    return commit_records(log).select("repo_id", "commit_id", "seq", "author", F.explode("files").alias("path"))
+
+
+def read_log_records(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
+    """Records (repo_id, value, seq) of an exported log file or a folder of them.
+
+    Records are split at ``\\ncommit:`` by the reader. ``seq`` orders them by file name, then by
+    place in the file, so several files (newest first by name) keep the order of the log.
+    """
     raw = spark.read.option("lineSep", "\ncommit:").text(path)
-    return parse_commit_log(raw.select(F.lit(repo_id).alias("repo_id"), "value"))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("row"))
+    return raw.select(F.lit(repo_id).alias("repo_id"), "value", place.alias("seq"))
+
+
+def read_commit_log(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
+    """A3/A4 from exported log files, a row per file of a commit."""
+    return parse_commit_log(read_log_records(spark, path, repo_id))
 
 
 def adjacency_from_json(df: DataFrame, value: str = "value") -> DataFrame:

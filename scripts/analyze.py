@@ -30,21 +30,23 @@ def _pairs(values: list[str]) -> dict[str, str]:
     return out
 
 
-def main() -> None:
+def main(argv: list[str] | None = None, spark=None) -> None:
+    """Run on the given session (left open), or on an own one."""
     ap = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     ap.add_argument("--repo", action="append", required=True, help="NAME=PATH of a source tree")
     ap.add_argument("--log", action="append", default=[], help="NAME=PATH of an exported commit log")
     ap.add_argument("--goal", action="append", default=[], help="goal sentence (repeatable)")
     ap.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
-    args = ap.parse_args()
+    args = ap.parse_args(argv)
 
-    spark = build_session()
+    own = spark is None
+    spark = spark or build_session()
     corpus = src.load_directories(spark, _pairs(args.repo))
     commit_files = None
     for repo, path in _pairs(args.log).items():
         cf = src.read_commit_log(spark, path, repo)
         commit_files = cf if commit_files is None else commit_files.unionByName(cf)
-    tables = build_analysis(spark, corpus, commit_files)
+    tables = build_analysis(spark, corpus, commit_files, store=os.path.join(args.out, "stored"))
     if args.goal:
         goals = spark.createDataFrame([(f"g{i}", g) for i, g in enumerate(args.goal, start=1)],
                                       "goal_id string, goal string")
@@ -52,7 +54,8 @@ def main() -> None:
     tables.pop("code_facts", None)  # nested facts stay recomputable from the corpus; flat tables are written
     src.save_analysis(tables, args.out)
     print("wrote", ", ".join(sorted(tables)), "to", args.out)
-    spark.stop()
+    if own:
+        spark.stop()
 
 
 if __name__ == "__main__":

@@ -1,11 +1,8 @@
 """Corpus path: log parsing, JSON adjacency, the analysis on a re-typed application, streaming."""
 
 import os
-import sys
 import tempfile
 
-import pytest
-
 from pyspark.sql import functions as F
 
 from archspark.plans.analysis import build_analysis
@@ -189,9 +186,8 @@ def test_read_commit_log_file_and_temporal_json(spark):
     assert [(r.a, r.b, r.ratio) for r in src.temporal_from_json(tj).collect()] == [("auth.py", "database.py", 0.5)]
 
 
-@pytest.mark.skipif(not os.environ.get("ARCHSPARK_CLI_TEST"), reason="starts a second JVM; set ARCHSPARK_CLI_TEST=1")
 def test_analyze_cli(spark):
-    import subprocess
+    from importlib.util import module_from_spec, spec_from_file_location
     d = tempfile.mkdtemp(prefix="cli-", dir="/tmp")
     app = os.path.join(d, "app")
     os.makedirs(os.path.join(app, "api"))
@@ -202,10 +198,56 @@ def test_analyze_cli(spark):
     with open(os.path.join(d, "log.txt"), "w") as fh:
         fh.write("".join(f"commit:h{4 - i}|dev\n" + "\n".join(fs) + "\n\n" for i, fs in enumerate(reversed(COMMITS))))
     script = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "scripts", "analyze.py")
-    # a separate process: the script stops its own session
-    out = subprocess.run([sys.executable, script, "--repo", f"app={app}", "--log", f"app={d}/log.txt",
-                          "--goal", "Add JWT authentication to protect routes", "--out", f"{d}/out"],
-                         capture_output=True, text=True, timeout=600)
-    assert out.returncode == 0, out.stderr[-2000:]
+    spec = spec_from_file_location("analyze_script", script)
+    module = module_from_spec(spec)
+    spec.loader.exec_module(module)
+    module.main(["--repo", f"app={app}", "--log", f"app={d}/log.txt", "--goal", "Add JWT authentication to protect routes",
+                 "--out", f"{d}/out"], spark)
     ctx = spark.read.parquet(f"{d}/out/agent_context").collect()
     assert ctx[0].target == "auth.py" and ctx[0].n_companions == 4
+
+
+def test_log_header_without_author_and_line_ends(spark):
+    df = spark.createDataFrame([("r", 0, "commit:aa\r\n a.py\r\nb\\c\\d.py \r\n\r\n"), ("r", 1, "bb|ann \r\nx.py"), ("r", 2, "cc|bob")],
+                               "repo_id string, seq int, value string")
+    rows = sorted((r.commit_id, r.author, r.path) for r in src.parse_commit_log(df).collect())
+    assert rows == [("aa", None, "a.py"), ("aa", None, "b/c/d.py"), ("bb", "ann", "x.py")]
+    assert sorted((r.commit_id, len(r.files)) for r in src.commit_records(df).collect()) == [("aa", 2), ("bb", 1), ("cc", 0)]
+
+
+def test_several_log_files_keep_their_order_and_empty_commits_count(spark):
+    d = tempfile.mkdtemp(prefix="logs-", dir="/tmp")
+    for name, first in (("2024.log", 6), ("2025.log", 3)):  # sizes would put the second file first
+        with open(os.path.join(d, name), "w") as fh:
+            fh.write("".join(f"commit:h{i}\n" + ("" if i % 2 else f"f{i}.py\n") + "x" * (0 if i > 3 else 0) for i in range(first, first - 3, -1)))
+    log = src.read_log_records(spark, d, "r")
+    records = src.commit_records(log)
+    assert [r.commit_id for r in records.orderBy("seq").collect()] == ["h6", "h5", "h4", "h3", "h2", "h1"]
+    corpus = spark.createDataFrame([("r", "f6.py", 1, b"")], src.CORPUS_SCHEMA)
+    a = build_analysis(spark, corpus, src.parse_commit_log(log), latest_n=4, commits=records.select("repo_id", "commit_id", "seq"))
+    assert sorted(r.path for r in a["file_history"].collect()) == ["f4.py", "f6.py"]  # h6 h5 h4 h3, two of them empty
+    everything = build_analysis(spark, corpus, src.parse_commit_log(log))
+    assert everything["file_history"].count() == 3
+
+
+def test_normalise_single_back_slashes(spark):
+    from archspark.functions.paths import path_parts
+    r = path_parts(spark.createDataFrame([("a\\b\\test_c.py",)], "path string")).first()
+    assert (r.path, r.basename, r.first_segment, r.is_test) == ("a/b/test_c.py", "test_c.py", "a", True)
+
+
+def test_store_parses_each_source_once(spark, monkeypatch):
+    from archspark.operators import extract
+    counter = spark.sparkContext.accumulator(0)
+    batches = extract._syntax_batches
+
+    def counting(it):
+        for pdf in batches(it):
+            counter.add(len(pdf))
+            yield pdf
+
+    monkeypatch.setattr(extract, "_syntax_batches", counting)
+    a = build_analysis(spark, _corpus(spark), src.parse_commit_log(_log(spark)), store=tempfile.mkdtemp(prefix="kept-", dir="/tmp"))
+    for name in ("file_facts", "coverage", "risks", "change_impact", "companions"):
+        a[name].collect()
+    assert counter.value == sum(p.endswith(".py") for p in APP)
