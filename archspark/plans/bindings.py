@@ -5,8 +5,9 @@ These bindings are what the DuckDB oracles re-state in SQL (``archspark.plans.or
 * commits         = orders: repo = order priority, commit = order, ts = order date, author = customer
 * part_commits    = distinct (order, part) of lineitem: a commit touching "files" = parts
 * supplier_commits= distinct (order, supplier) of lineitem
-* nation_edges    = for each customer nation its top-2 other supplier nations by line count
-* supplier_edges  = each supplier's top-1 co-changed partner (per repo), ties by smaller key
+* nation_edges    = customer nation -> each other supplier nation with at least one and a half times its mean lines
+* supplier_edges  = supplier -> each partner it meets two standard deviations more often than its mean partner (per repo)
+* part_edges      = part -> each partner it changed with at least twice (per repo); part_graph: over all orders
 * part_files      = part as a file inventory: path = <type>/<name words>_<key>.py, size = p_size*100
 * document_files  = documents as a file inventory: path = <source>/<lang>/<doc_id>.txt, size = n_chars
 """
@@ -44,7 +45,7 @@ def supplier_commits(t: Tables) -> DataFrame:
 
 
 def nation_edges(t: Tables) -> DataFrame:
-    """(repo_id, src, dst) nation graph; 2 edges per nation, has cycles."""
+    """(repo_id, src, dst): src buys from dst at least 1.5 times as much as from its mean partner nation."""
     li = t.lineitem.select("l_orderkey", "l_suppkey")
     o = t.orders.select("o_orderkey", "o_custkey")
     c = t.customer.select("c_custkey", "c_nationkey")
@@ -56,17 +57,17 @@ def nation_edges(t: Tables) -> DataFrame:
              .where(F.col("c_nationkey") != F.col("s_nationkey"))
              .groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"))
              .agg(F.count(F.lit(1)).alias("n")))
-    w = Window.partitionBy("src").orderBy(F.col("n").desc(), F.col("dst"))
-    return (lines.withColumn("r", F.row_number().over(w)).where("r <= 2")
+    w = Window.partitionBy("src")
+    return (lines.withColumn("c", F.count("*").over(w)).withColumn("s", F.sum("n").over(w)).where("2 * n * c >= 3 * s")
             .select(F.lit("nations").alias(REPO), F.col("src").cast("bigint").alias("src"),
                     F.col("dst").cast("bigint").alias("dst")))
 
 
 def supplier_edges(t: Tables, ratios: DataFrame | None = None, **pair_opts) -> DataFrame:
-    """(repo_id, src, dst): each supplier's strongest co-change partner (ties: smaller key)."""
+    """(repo_id, src, dst): joint count above mean + 2 sqrt(mean) of the supplier's pairs (in integers)."""
     r = ratios if ratios is not None else history.cochange_ratios(supplier_commits(t), **pair_opts)
-    w = Window.partitionBy(REPO, "a").orderBy(F.col("joint").desc(), F.col("b"))
-    return (r.withColumn("r", F.row_number().over(w)).where("r = 1")
+    per = r.groupBy(REPO, "a").agg(F.count("*").alias("c"), F.sum("joint").alias("s"))
+    return (r.join(per, [REPO, "a"]).where("joint * c > s AND (joint * c - s) * (joint * c - s) > 4 * s * c")
             .select(REPO, F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
@@ -119,10 +120,9 @@ def page_routes(t: Tables) -> DataFrame:
 
 
 def part_edges(t: Tables, ratios: DataFrame | None = None, **pair_opts) -> DataFrame:
-    """(repo_id, src, dst): each part's strongest co-change partner per repo (ties: smaller key)."""
+    """(repo_id, src, dst): parts changed together at least twice in a repo."""
     r = ratios if ratios is not None else history.cochange_ratios(part_commits(t), **pair_opts)
-    w = Window.partitionBy(REPO, "a").orderBy(F.col("joint").desc(), F.col("b"))
-    return (r.withColumn("r", F.row_number().over(w)).where("r = 1")
+    return (r.where("joint >= 2")
             .select(REPO, F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
@@ -153,13 +153,13 @@ def supplier_models(t: Tables) -> DataFrame:
 
 
 def supplier_routes(t: Tables) -> DataFrame:
-    """(repo_id, path, route): a supplier 'serves' the part type it supplies most (ties: name)."""
+    """(repo_id, path, route): a supplier 'serves' the part types it supplies more than its mean type."""
     li = t.lineitem.select("l_suppkey", "l_partkey")
     p = t.part.select("p_partkey", "p_type")
     counts = (li.join(p, li.l_partkey == p.p_partkey).groupBy("l_suppkey", "p_type")
               .agg(F.count(F.lit(1)).alias("n")))
-    w = Window.partitionBy("l_suppkey").orderBy(F.col("n").desc(), F.col("p_type"))
-    top = (counts.withColumn("r", F.row_number().over(w)).where("r = 1")
+    w = Window.partitionBy("l_suppkey")
+    top = (counts.withColumn("c", F.count("*").over(w)).withColumn("s", F.sum("n").over(w)).where("n * c > s")
            .select(F.col("l_suppkey").alias("path"), F.concat(F.lit("/"), F.lower("p_type")).alias("route")))
     return supplier_files(t).join(top, "path").select(REPO, "path", "route")
 
@@ -193,11 +193,10 @@ def part_path_rules(spark):
 
 
 def part_graph(t: Tables, **pair_opts) -> DataFrame:
-    """(repo_id='parts', src, dst) over part file paths: each part's strongest partner across all orders."""
+    """(repo_id='parts', src, dst) over part file paths: parts together in at least two orders."""
     cf = _commit_files(t, "l_partkey").withColumn(REPO, F.lit("parts"))
     r = history.cochange_ratios(cf, **pair_opts)
-    w = Window.partitionBy(REPO, "a").orderBy(F.col("joint").desc(), F.col("b"))
-    top = r.withColumn("r", F.row_number().over(w)).where("r = 1").select(REPO, "a", "b")
+    top = r.where("joint >= 2").select(REPO, "a", "b")
     pf = part_files(t)
     ps = pf.select(F.col("key").alias("a"), F.col("path").alias("src"))
     pd = pf.select(F.col("key").alias("b"), F.col("path").alias("dst"))

@@ -94,17 +94,17 @@ NATION_EDGES = """nl AS (
   JOIN customer c ON o.o_custkey = c.c_custkey JOIN supplier s ON l.l_suppkey = s.s_suppkey
   WHERE c.c_nationkey <> s.s_nationkey GROUP BY c.c_nationkey, s.s_nationkey),
 e AS (SELECT 'nations' AS repo_id, CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst FROM (
-  SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS rk FROM nl) WHERE rk <= 2)"""
+  SELECT src, dst, n, count(*) OVER (PARTITION BY src) AS c, sum(n) OVER (PARTITION BY src) AS s FROM nl)
+  WHERE 2 * n * c >= 3 * s)"""
 
 SUPP_EDGES = SUPP_CF + "," + RATIOS + """,
 e AS (SELECT repo_id, a AS src, b AS dst FROM (
-  SELECT repo_id, a, b, row_number() OVER (PARTITION BY repo_id, a ORDER BY joint DESC, b) AS rk
-  FROM ratios) WHERE rk = 1)"""
+  SELECT repo_id, a, b, joint, count(*) OVER (PARTITION BY repo_id, a) AS c,
+         sum(joint) OVER (PARTITION BY repo_id, a) AS s
+  FROM ratios) WHERE joint * c > s AND (joint * c - s) * (joint * c - s) > 4 * s * c)"""
 
 PART_EDGES = PART_CF + "," + RATIOS + """,
-e AS (SELECT repo_id, a AS src, b AS dst FROM (
-  SELECT repo_id, a, b, row_number() OVER (PARTITION BY repo_id, a ORDER BY joint DESC, b) AS rk
-  FROM ratios) WHERE rk = 1)"""
+e AS (SELECT repo_id, a AS src, b AS dst FROM ratios WHERE joint >= 2)"""
 
 CLOSURE = """reach(repo_id, src, dst) AS (
   SELECT repo_id, src, dst FROM e
@@ -202,7 +202,8 @@ models AS (SELECT f.repo_id, f.path, 'nation_' || CAST(s.s_nationkey AS VARCHAR)
 tc AS (SELECT l.l_suppkey AS path, p.p_type, count(*) AS n FROM lineitem l
        JOIN part p ON l.l_partkey = p.p_partkey GROUP BY ALL),
 troute AS (SELECT path, '/' || lower(p_type) AS route FROM (
-  SELECT path, p_type, row_number() OVER (PARTITION BY path ORDER BY n DESC, p_type) AS rk FROM tc) WHERE rk = 1),
+  SELECT path, p_type, n, count(*) OVER (PARTITION BY path) AS c, sum(n) OVER (PARTITION BY path) AS s FROM tc)
+  WHERE n * c > s),
 routes AS (SELECT f.repo_id, f.path, r.route FROM files f JOIN troute r ON r.path = f.path),
 pairs AS (
   SELECT t.repo_id, t.path AS target, f.path AS file FROM files t JOIN files f
@@ -295,8 +296,7 @@ pfreq AS (SELECT path, count(*) AS total FROM pcf GROUP BY path),
 pj AS (SELECT x.path AS a, y.path AS b, count(*) AS joint FROM pcf x JOIN pcf y
        ON x.commit_id = y.commit_id AND x.path < y.path GROUP BY ALL),
 psym AS (SELECT a, b, joint FROM pj UNION ALL SELECT b, a, joint FROM pj),
-ptop AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY joint DESC, b) AS rk
-         FROM psym) WHERE rk = 1),
+ptop AS (SELECT a, b FROM psym WHERE joint >= 2),
 ge AS (SELECT 'parts' AS repo_id, s.path AS src, d.path AS dst FROM ptop
        JOIN pf s ON s.key = ptop.a JOIN pf d ON d.key = ptop.b),
 nb AS (SELECT repo_id, src AS path, dst AS nb FROM ge UNION ALL SELECT repo_id, dst AS path, src AS nb FROM ge),
