@@ -6,7 +6,9 @@ two engines cannot disagree on rounding.
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from archspark.plans.code_oracles import ORACLES as _CODE_ORACLES
+
+ORACLES: dict[str, str] = dict(_CODE_ORACLES)
 
 COMMITS = """commits AS (
   SELECT o_orderpriority AS repo_id, o_orderkey AS commit_id, o_orderdate AS commit_ts,

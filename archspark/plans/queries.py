@@ -15,6 +15,7 @@ from archspark.operators import companions, extract, facts, graph, history, inte
 from archspark.functions import paths
 from archspark.sources import corpus, dims, manifests
 from archspark.plans import bindings as B
+from archspark.plans import code_corpus
 from archspark.plans import reports
 from archspark.sources.tables import Tables
 
@@ -26,6 +27,9 @@ def query(fn):
     return fn
 
 
+REGISTRY |= code_corpus.QUERIES
+
+
 # ---------------------------------------------------------------- history
 
 @query
