@@ -25,6 +25,30 @@ def _fresh(df: DataFrame) -> DataFrame:
     return df.select([F.col(c).alias(c) for c in df.columns])
 
 
+def _grams(text, short: bool):
+    """Distinct three-character pieces of a text (and all shorter ones if ``short``)."""
+    n = F.length(text)
+    at = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(k)))
+    return F.array_distinct(F.concat(at(1), at(2), at(3)) if short else at(3))
+
+
+def gram_join(needles: DataFrame, needle: str, texts: DataFrame, text: str, on: list[str]) -> DataFrame:
+    """Distinct (on, needle, text) with the text holding the needle, both in the same ``on`` group.
+
+    One plan for every size: each needle is looked up under the rarest of its three-character
+    pieces (a needle of one or two characters is its own piece), a text under all of its pieces;
+    the candidates that share a piece are verified. Empty needles never match.
+    """
+    n = needles.select(*on, F.col(needle).alias("_n")).where(F.length("_n") > 0).distinct()
+    pieces = n.select(*on, "_n", F.explode(F.when(F.length("_n") < 3, F.array("_n")).otherwise(_grams(F.col("_n"), False))).alias("_g"))
+    common = pieces.groupBy(*on, "_g").agg(F.count(F.lit(1)).alias("_c"))
+    key = pieces.join(common, [*on, "_g"]).groupBy(*on, "_n").agg(F.min(F.struct("_c", "_g"))["_g"].alias("_g"))
+    t = texts.select(*on, F.col(text).alias("_t")).distinct()
+    looked = t.select(*on, "_t", F.explode(_grams(F.col("_t"), True)).alias("_g"))
+    hits = looked.join(key, [*on, "_g"]).where(F.col("_t").contains(F.col("_n")))
+    return hits.select(*on, F.col("_n").alias(needle), F.col("_t").alias(text))
+
+
 def contains_join(texts: DataFrame, text_col: str, needles: DataFrame, needle_col: str,
                   small: str = "needles", max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Every (texts row, needles row) pair with ``texts[text_col]`` containing

@@ -1,10 +1,7 @@
 """Risk detectors R1-R6, their union G1, and the substring joins D10/D11 (with F5).
 
-Substring joins ("the test path contains the file stem") have no hash key. When the
-haystack side is small (checked by count) it is broadcast into a nested-loop join;
-otherwise every substring of the haystack up to the longest needle is enumerated and
-the join becomes an exact equi join on that substring, which shuffles like any
-other join and scales with the data.
+The substring joins ("the test path contains the file stem") meet on a three-character piece
+of the stem within the repository (``joins.gram_join``): an equi join at every size.
 """
 
 from __future__ import annotations
@@ -14,22 +11,13 @@ from pyspark.sql import functions as F
 
 from archspark.functions import vocab
 from archspark.functions.paths import stem
-from archspark.operators.joins import contains_join
-
-BROADCAST_HAYSTACK_ROWS = 200_000
+from archspark.operators.joins import gram_join
 
 
 def _fresh(df: DataFrame) -> DataFrame:
     return df.select([F.col(c).alias(c) for c in df.columns])
 
 
-def substring_pairs(left: DataFrame, needle: str, right: DataFrame, hay: str,
-                    max_broadcast_rows: int = BROADCAST_HAYSTACK_ROWS) -> DataFrame:
-    """All (left row, right row) with ``right[hay]`` containing ``left[needle]``; the haystack
-    side (test paths) is the one tried for a broadcast."""
-    return contains_join(right, hay, left, needle, small="texts", max_broadcast_rows=max_broadcast_rows)
-
-
 def missing_tests(file_facts_df: DataFrame, test_paths: DataFrame, key: str = "repo_id",
                   top: int = vocab.MISSING_TEST_TOP, min_bytes: int = vocab.MISSING_TEST_MIN_BYTES,
                   same_repo: bool = True, fold_case: bool = False) -> DataFrame:
@@ -40,13 +28,12 @@ def missing_tests(file_facts_df: DataFrame, test_paths: DataFrame, key: str = "r
                                & ~F.lower("path").contains("setup") & (F.col("size") > min_bytes))
            .select(key, F.col("path").alias("file"), "size",
                    (F.lower(stem("path")) if fold_case else stem("path")).alias("_stem")))
-    tests = test_paths.select(*([F.col(key).alias("_tk")] if same_repo else []),
-                              F.lower("path").alias("_tpath"))
-    hits = substring_pairs(src, "_stem", tests, "_tpath")
-    if same_repo:
-        hits = hits.where(F.col(key) == F.col("_tk"))
-    has_test = hits.select(key, "file").distinct()
-    cand = src.join(has_test, [key, "file"], "left_anti")
+    on = [key] if same_repo else []
+    hits = gram_join(src, "_stem", test_paths.select(*on, F.lower("path").alias("_tpath")), "_tpath", on)
+    # an empty stem is part of every path
+    tested = hits.select(*on, "_stem").unionByName(
+        test_paths.select(*on, F.lit("").alias("_stem"))).distinct()
+    cand = src.join(tested, [*on, "_stem"], "left_anti")
     w = Window.partitionBy(key).orderBy(F.col("size").desc(), F.col("file"))
     return (cand.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= top)
             .select(key, "file", "size", "rank"))
@@ -56,12 +43,12 @@ def affected_tests(files: DataFrame, test_paths: DataFrame, key: str = "repo_id"
                    same_repo: bool = True) -> DataFrame:
     """(key, file, test) where the lower-cased test path contains the file's stem."""
     src = files.select(key, F.col("path").alias("file"), stem("path").alias("_stem"))
-    tests = test_paths.select(*([F.col(key).alias("_tk")] if same_repo else []),
-                              F.col("path").alias("test"), F.lower("path").alias("_tpath"))
-    hits = substring_pairs(src, "_stem", tests, "_tpath")
-    if same_repo:
-        hits = hits.where(F.col(key) == F.col("_tk"))
-    return hits.select(key, "file", "test").distinct()
+    on = [key] if same_repo else []
+    tests = test_paths.select(*on, F.col("path").alias("test"), F.lower("path").alias("_tpath"))
+    hits = gram_join(src, "_stem", tests, "_tpath", on).unionByName(
+        tests.select(*on, F.lit("").alias("_stem"), "_tpath").distinct())  # an empty stem is part of every path
+    return (src.join(hits, [*on, "_stem"]).join(tests, [*on, "_tpath"])
+            .select(key, "file", "test").distinct())
 
 
 def _risk(df: DataFrame, key: str, detector: int, title, file_col: str, severity, evidence_type: str):

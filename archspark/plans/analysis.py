@@ -124,6 +124,6 @@ def answer_goals(spark: SparkSession, analysis: dict[str, DataFrame], goals: Dat
     def comp_fn(targets):
         return companions.companions(analysis["files"], analysis["imports"], models, routes, cc, targets=targets)
 
-    tests = analysis["files"].where(is_test_path("path")).select("path")
+    tests = analysis["files"].where(is_test_path("path")).select("repo_id", "path")
     ctx = reports.agent_context(cands, goals, comp_fn, analysis["risks"], analysis["routes"], tests)
     return {"candidates": cands, "agent_context": ctx}

@@ -90,10 +90,11 @@ def plan_level(complexity_col: str = "complexity", risks_col: str = "n_risks"):
     return F.when((c == "High") | (r > 2), "CRITICAL").when((c == "Medium") | (r > 0), "HIGH").otherwise("LOW")
 
 
-def checklist(goals: DataFrame, targets: DataFrame, tests: DataFrame) -> DataFrame:
-    """K7: verification items per goal -> (goal_id, ord, item).
+def checklist(goals: DataFrame, targets: DataFrame, tests: DataFrame, key: str = "repo_id") -> DataFrame:
+    """K7: verification items per goal and repository -> (goal_id, key, ord, item).
 
-    targets (goal_id, target); tests (goal_id, test) for the goal's affected files."""
+    targets (goal_id, key, target); tests (goal_id, key, test) for the goal's affected files."""
+    each = ["goal_id", key]
     g = goals.join(targets, "goal_id")
     low = F.lower("goal")
     auth = low.contains("auth") | low.contains("jwt") | low.contains("login")
@@ -105,12 +106,12 @@ def checklist(goals: DataFrame, targets: DataFrame, tests: DataFrame) -> DataFra
                                         F.lit("`.")), F.lit("Bench-test partitioned document query latency.")))
              .otherwise(F.array(F.concat(F.lit("Verify static import trees before applying structural changes in `"),
                                          t, F.lit("`.")))))
-    first = g.select("goal_id", F.posexplode(items).alias("ord", "item"))
-    tt = tests.select("goal_id", "test").distinct()
-    runs = tt.select("goal_id", F.lit(10).alias("ord"),
+    first = g.select(*each, F.posexplode(items).alias("ord", "item"))
+    tt = tests.select(*each, "test").distinct()
+    runs = tt.select(*each, F.lit(10).alias("ord"),
                      F.concat(F.lit("Run test suite command: `pytest "), F.col("test"), F.lit("`")).alias("item"))
-    default = (goals.select("goal_id").join(tt.select("goal_id").distinct(), "goal_id", "left_anti")
-               .select("goal_id", F.lit(10).alias("ord"),
+    default = (targets.select(*each).distinct().join(tt.select(*each).distinct(), each, "left_anti")
+               .select(*each, F.lit(10).alias("ord"),
                        F.lit("Run default regression test suite: `pytest` or `python -m unittest`").alias("item")))
     return first.unionByName(runs).unionByName(default)
 
@@ -152,13 +153,15 @@ def repo_brief(profile: DataFrame, cov: DataFrame | None, risks_df: DataFrame |
 def agent_context(candidates: DataFrame, goals: DataFrame, companion_fn, risks_df: DataFrame | None,
                   routes: DataFrame | None, test_paths: DataFrame | None, key: str = "repo_id",
                   min_score: int = 10) -> DataFrame:
-    """K2 + K9 (+ C13, D11, D14, D15, J13, K7): one row per goal.
+    """K2 + K9 (+ C13, D11, D14, D15, J13, K7): one row per goal and repository.
 
-    The recommended target is the best candidate; below ``min_score`` (or without
-    candidates) the goal gets status 'unavailable'. Affected files = target + ranked
-    companions; risks, routes and tests of affected files are counted through semi joins.
+    The recommended target is the repository's best candidate; below ``min_score`` the pair
+    gets status 'unavailable', as does a goal without candidates anywhere (no repository). Affected
+    files = target + ranked companions; their risks, routes and tests are counted within the
+    repository. ``test_paths`` without the key column is a suite shared by all repositories.
     ``companion_fn(targets)`` returns companion rows restricted to those targets.
     """
+    each = ["goal_id", key]
     best = cut_lineage(candidates.where(F.col("rank") == 1).select(
         "goal_id", key, F.col("path").alias("target"), F.col("layer").alias("target_layer"),
         F.col("score").alias("target_score")))  # one row per goal, reused by every branch below
@@ -172,38 +175,39 @@ def agent_context(candidates: DataFrame, goals: DataFrame, companion_fn, risks_d
     out = ok.join(n_comp, [key, "target"], "left")
     if risks_df is not None:
         r = (affected.join(_fresh(risks_df.select(key, "file", "title")), [key, "file"])
-             .groupBy("goal_id").agg(F.count(F.lit(1)).alias("n_risks")))
-        out = out.join(r, "goal_id", "left")
+             .groupBy(*each).agg(F.count(F.lit(1)).alias("n_risks")))
+        out = out.join(r, each, "left")
     else:
         out = out.withColumn("n_risks", F.lit(0))
     if routes is not None:
         rf = routes.select(key, F.split("handler", ":").getItem(0).alias("file"))
-        rr = affected.join(_fresh(rf), [key, "file"]).groupBy("goal_id").agg(F.count(F.lit(1)).alias("n_routes"))
-        out = out.join(rr, "goal_id", "left")
+        rr = affected.join(_fresh(rf), [key, "file"]).groupBy(*each).agg(F.count(F.lit(1)).alias("n_routes"))
+        out = out.join(rr, each, "left")
     else:
         out = out.withColumn("n_routes", F.lit(0))
     tests = None
     if test_paths is not None:
         from archspark.operators.risks import affected_tests  # local import keeps module deps one-way
         files = affected.select(key, F.col("file").alias("path")).distinct()
-        at = affected_tests(files, test_paths, key=key, same_repo=False)
-        tests = (affected.select("goal_id", key, "file").join(at, [key, "file"])
-                 .select("goal_id", "test").distinct())
-        out = out.join(tests.groupBy("goal_id").agg(F.count(F.lit(1)).alias("n_tests")), "goal_id", "left")
+        at = affected_tests(files, test_paths, key=key, same_repo=key in test_paths.columns)
+        tests = (affected.select(*each, "file").join(at, [key, "file"])
+                 .select(*each, "test").distinct())
+        out = out.join(tests.groupBy(*each).agg(F.count(F.lit(1)).alias("n_tests")), each, "left")
     else:
         out = out.withColumn("n_tests", F.lit(0))
     cx = plan_complexity(goals)
     out = out.join(cx, "goal_id", "left").fillna(0, ["n_companions", "n_risks", "n_routes", "n_tests"])
     out = out.withColumn("level", plan_level("complexity", "n_risks"))
-    checks = checklist(goals.join(ok.select("goal_id"), "goal_id", "left_semi"), ok.select("goal_id", "target"),
-                       tests if tests is not None else ok.select("goal_id", F.lit(None).cast("string").alias("test"))
-                       .where(F.lit(False)))
-    n_checks = checks.groupBy("goal_id").agg(F.count(F.lit(1)).alias("n_checks"))
-    out = out.join(n_checks, "goal_id", "left")
-
-    unavailable = (goals.select("goal_id").join(ok.select("goal_id"), "goal_id", "left_anti")
-                   .select("goal_id", F.lit("unavailable").alias("status"),
-                           F.lit("Evidence not available.").alias("reason")))
+    checks = checklist(goals, ok.select(*each, "target"),
+                       tests if tests is not None else ok.select(*each, F.lit(None).cast("string").alias("test"))
+                       .where(F.lit(False)), key)
+    n_checks = checks.groupBy(*each).agg(F.count(F.lit(1)).alias("n_checks"))
+    out = out.join(n_checks, each, "left")
+
+    weak = best.where(F.col("target_score") < min_score).select(*each)
+    none = (goals.select("goal_id").join(best.select("goal_id").distinct(), "goal_id", "left_anti")
+            .select("goal_id", F.lit(None).cast(best.schema[key].dataType).alias(key)))
+    unavailable = weak.unionByName(none).select(*each, F.lit("unavailable").alias("status"), F.lit("Evidence not available.").alias("reason"))
     avail = out.select("goal_id", F.lit("available").alias("status"), F.lit(None).cast("string").alias("reason"),
                        key, "target", "target_layer", "target_score",
                        *[F.col(c).cast("bigint").alias(c) for c in ("n_companions", "n_risks", "n_routes",

@@ -82,12 +82,30 @@ def test_cycles_and_depth(spark):
     assert depth == {"a": 2, "b": 2, "c": 3, "d": 4, "x": 4, "y": 4, "z": 4, "w": 1}
 
 
-def test_substring_join_paths_agree(spark):
-    left = spark.createDataFrame([("r", "auth"), ("r", "db"), ("r", "zzz")], "repo_id string, stem string")
-    right = spark.createDataFrame([("tests/test_auth.py",), ("tests/db_test.py",), ("x",)], "hay string")
-    a = risks.substring_pairs(left, "stem", right, "hay").select("stem", "hay").collect()
-    b = risks.substring_pairs(left, "stem", right, "hay", max_broadcast_rows=0).select("stem", "hay").collect()
-    assert sorted(a) == sorted(b) == sorted([("auth", "tests/test_auth.py"), ("db", "tests/db_test.py")])
+def test_gram_join_equals_brute_force(spark):
+    from archspark.operators.joins import gram_join
+    needles = [(r, n) for r in "ab" for n in ("auth", "db", "z", "", "aaa", "test_auth", "é文")]
+    texts = [("a", "tests/test_auth.py"), ("a", "tests/db_test.py"), ("a", ""), ("b", "xaaay"), ("b", "z"), ("b", "aé文"), ("c", "auth")]
+    left, right = spark.createDataFrame(needles, "r string, n string"), spark.createDataFrame(texts, "r string, t string")
+    got = {tuple(x) for x in gram_join(left, "n", right, "t", ["r"]).collect()}
+    assert got == {(r, n, t) for r, n in needles for s, t in texts if r == s and n and n in t}
+    got = {tuple(x) for x in gram_join(left, "n", right, "t", []).collect()}
+    assert got == {(n, t) for _, n in needles for _, t in texts if n and n in t}
+
+
+def test_agent_context_keeps_repositories_apart(spark):
+    from archspark.plans import reports
+    goals = spark.createDataFrame([("g", "add login"), ("h", "nothing")], "goal_id string, goal string")
+    cands = spark.createDataFrame([("g", r, "auth.py", "L", 50 if r != "r3" else 3, 1) for r in ("r1", "r2", "r3")],
+                                  "goal_id string, repo_id string, path string, layer string, score int, rank int")
+    found = spark.createDataFrame([("r1", "auth.py", t) for t in ("A", "B", "C")], "repo_id string, file string, title string")
+    tests = spark.createDataFrame([("r2", "tests/test_auth.py")], "repo_id string, path string")
+    routes = spark.createDataFrame([("r2", "auth.py:login")], "repo_id string, handler string")
+    none = cands.select("repo_id", F.col("path").alias("target"), F.col("path").alias("file")).where("false")
+    rows = reports.agent_context(cands, goals, lambda targets: none, found, routes, tests).collect()
+    got = {(r.goal_id, r.repo_id): (r.status, r.n_risks, r.n_routes, r.n_tests, r.n_checks, r.level) for r in rows}
+    assert got == {("g", "r1"): ("available", 3, 0, 0, 3, "CRITICAL"), ("g", "r2"): ("available", 0, 1, 1, 3, "HIGH"),
+                   ("g", "r3"): ("unavailable", None, None, None, None, None), ("h", None): ("unavailable", None, None, None, None, None)}
 
 
 def test_layers_on_app(spark):
