@@ -27,9 +27,11 @@ EDGES = np.unique(np.concatenate(([0, 256], np.round(512 * (65_536 / 512) ** (np
 SIZES = np.diff(EDGES)
 B = len(SIZES)
 RANGE_OF = np.repeat(np.arange(B), SIZES)
-STEP = np.where(np.arange(B + 1) > np.arange(B)[:, None], INC, 0).astype(np.int32)
+START, WIDTH = EDGES.astype(np.uint64), SIZES.astype(np.uint64)  # coder arithmetic is unsigned throughout
+STEP = np.where(np.arange(B + 1) > np.arange(B)[:, None], INC, 0).astype(np.uint64)
+ONE = np.uint64(1)
 #: starting counts of (order 2, order 1, neither) where: no table, order 1, order 2, both, both and agreeing
-PRIOR = np.array([[0, 0, 1], [0, 1, 2], [1, 0, 1], [1, 1, 2], [3, 0, 1]], np.int32)
+PRIOR = np.array([[0, 0, 1], [0, 1, 2], [1, 0, 1], [1, 1, 2], [3, 0, 1]], np.uint64)
 
 
 class _Lanes:
@@ -40,7 +42,7 @@ class _Lanes:
         self.lengths = lengths
         self.t1, self.t2 = np.zeros(n * H1, np.uint16), np.zeros(n * H2, np.uint16)  # id + 1; 0: nothing yet
         self.flags = np.tile(PRIOR.ravel(), n)
-        self.cum = np.tile(np.arange(B + 1, dtype=np.int32), (n, 1))
+        self.cum = np.tile(np.arange(B + 1, dtype=np.uint64), (n, 1))
         self.lane = np.arange(n)
         self.p1, self.p2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
@@ -56,7 +58,7 @@ class _Lanes:
         return i1, i2, c1, c2, at, f0, f1, f0 + f1 + self.flags[at + 2]
 
     def update(self, k: int, i1, i2, at, sym, y) -> None:
-        self.flags[at + sym] += INC
+        self.flags[at + sym] += np.uint64(INC)
         self.t1[i1] = y
         self.t2[i2] = y
         self.p2[:k] = self.p1[:k]
@@ -77,13 +79,15 @@ class _Writer:
         self.pos = np.zeros(n, np.int64)
 
     def put(self, sel, start, freq, total) -> None:
-        r = self.range[sel] // total.astype(np.uint64)
-        low = self.low[sel] + r * start.astype(np.uint64)
-        width = r * freq.astype(np.uint64)
-        lanes = np.arange(sel.stop) if isinstance(sel, slice) else sel
-        over = low > MASK
-        if over.any():
-            at, i = lanes[over], self.pos[lanes[over]] - 1
+        width = self.range[sel] // total
+        low = self.low[sel] + width * start
+        if freq is not ONE:
+            width *= freq
+        whole = isinstance(sel, slice)
+        over = np.flatnonzero(low > MASK)
+        if len(over):
+            at = over if whole else sel[over]
+            i = self.pos[at] - 1
             while len(at):
                 self.out[at, i] += np.uint16(1)
                 more = self.out[at, i] == 0
@@ -91,10 +95,11 @@ class _Writer:
             low &= MASK
         short = np.flatnonzero(width < TOP)
         if len(short):
-            at = lanes[short]
-            self.out[at, self.pos[at]] = low[short] >> np.uint64(32)
-            self.pos[at] += 1
-            low[short] = (low[short] & LOW32) << WORD
+            at = short if whole else sel[short]
+            here, done = self.pos[at], low[short]
+            self.out[at, here] = done >> np.uint64(32)
+            self.pos[at] = here + 1
+            low[short] = (done & LOW32) << WORD
             width[short] <<= WORD
         self.low[sel], self.range[sel] = low, width
 
@@ -119,13 +124,12 @@ class _Reader:
 
     def value(self, sel, total) -> np.ndarray:
         """The code's place within ``total``; call take() with the interval next."""
-        total = total.astype(np.uint64)
         self.r = self.range[sel] // total
-        return np.minimum(self.code[sel] // self.r, total - np.uint64(1)).astype(np.int64)
+        return np.minimum(self.code[sel] // self.r, total - ONE)
 
     def take(self, sel, start, freq) -> None:
-        code = self.code[sel] - self.r * start.astype(np.uint64)
-        width = self.r * freq.astype(np.uint64)
+        code = self.code[sel] - self.r * start
+        width = self.r if freq is ONE else self.r * freq
         short = np.flatnonzero(width < TOP)
         if len(short):
             at = short if isinstance(sel, slice) else sel[short]
@@ -155,15 +159,16 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         i1, i2, c1, c2, at, f0, f1, total = m.predict(k)
         second = c2 == y
         sym = np.where(second, 0, np.where(c1 == y, 1, 2))
-        w.put(slice(0, k), np.where(sym == 0, 0, np.where(sym == 1, f0, f0 + f1)), m.flags[at + sym], total)
+        w.put(slice(0, k), f0 * (sym > 0) + f1 * (sym > 1), m.flags[at + sym], total)
         m.update(k, i1, i2, at, sym, y)
         miss = np.flatnonzero(sym == 2)
         if len(miss):
             b = RANGE_OF[x[miss]]
-            start = m.cum[miss, b]
-            w.put(miss, start, m.cum[miss, b + 1] - start, m.cum[miss, B])
+            flat, row = m.cum.reshape(-1), miss * (B + 1)
+            start = flat[row + b]
+            w.put(miss, start, flat[row + b + 1] - start, flat[row + B])
             m.cum[miss] += STEP[b]
-            w.put(miss, x[miss] - EDGES[b], np.ones(len(miss), np.int64), SIZES[b])
+            w.put(miss, x[miss].astype(np.uint64) - START[b], ONE, WIDTH[b])
     done = w.finish()
     out: list[bytes] = [b""] * len(blocks)
     for lane, b in enumerate(order.tolist()):
@@ -184,20 +189,20 @@ def decode(payloads: list[bytes], lengths: list[int]) -> list[np.ndarray]:
         i1, i2, c1, c2, at, f0, f1, total = m.predict(k)
         v = r.value(here, total)
         sym = (v >= f0).astype(np.int64) + (v >= f0 + f1)
-        r.take(here, np.where(sym == 0, 0, np.where(sym == 1, f0, f0 + f1)), m.flags[at + sym])
+        r.take(here, f0 * (sym > 0) + f1 * (sym > 1), m.flags[at + sym])
         y = np.where(sym == 0, c2, c1)
         miss = np.flatnonzero(sym == 2)
         if len(miss):
             rows = m.cum[miss]
             v = r.value(miss, rows[:, B])
             b = (rows[:, 1:] <= v[:, None]).sum(axis=1)
-            lane = np.arange(len(miss))
-            start = rows[lane, b]
-            r.take(miss, start, rows[lane, b + 1] - start)
+            flat, row = rows.reshape(-1), np.arange(len(miss)) * (B + 1) + b
+            start = flat[row]
+            r.take(miss, start, flat[row + 1] - start)
             m.cum[miss] = rows + STEP[b]
-            inner = r.value(miss, SIZES[b])
-            r.take(miss, inner, np.ones(len(miss), np.int64))
-            y[miss] = EDGES[b] + inner + 1
+            inner = r.value(miss, WIDTH[b])
+            r.take(miss, inner, ONE)
+            y[miss] = START[b] + inner + ONE
         m.update(k, i1, i2, at, sym, y)
         ids[t, :k] = y.astype(np.int64) - 1
     out: list[np.ndarray] = [ids[:0, 0]] * len(payloads)
