@@ -28,7 +28,7 @@ SIZES = np.diff(EDGES)
 B = len(SIZES)
 RANGE_OF = np.repeat(np.arange(B), SIZES)
 START, WIDTH = EDGES.astype(np.uint64), SIZES.astype(np.uint64)  # coder arithmetic is unsigned throughout
-STEP = np.where(np.arange(B + 1) > np.arange(B)[:, None], INC, 0).astype(np.uint64)
+STEP = np.where(np.arange(B + 1) > np.arange(B)[:, None], INC, 0).astype(np.uint32)
 ONE = np.uint64(1)
 #: starting counts of (order 2, order 1, neither) where: no table, order 1, order 2, both, both and agreeing
 PRIOR = np.array([[0, 0, 1], [0, 1, 2], [1, 0, 1], [1, 1, 2], [3, 0, 1]], np.uint64)
@@ -42,7 +42,7 @@ class _Lanes:
         self.lengths = lengths
         self.t1, self.t2 = np.zeros(n * H1, np.uint16), np.zeros(n * H2, np.uint16)  # id + 1; 0: nothing yet
         self.flags = np.tile(PRIOR.ravel(), n)
-        self.cum = np.tile(np.arange(B + 1, dtype=np.uint64), (n, 1))
+        self.cum = np.tile(np.arange(B + 1, dtype=np.uint32), (n, 1))
         self.lane = np.arange(n)
         self.p1, self.p2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
@@ -165,8 +165,8 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         if len(miss):
             b = RANGE_OF[x[miss]]
             flat, row = m.cum.reshape(-1), miss * (B + 1)
-            start = flat[row + b]
-            w.put(miss, start, flat[row + b + 1] - start, flat[row + B])
+            start, end, total = (flat[row + i].astype(np.uint64) for i in (b, b + 1, B))
+            w.put(miss, start, end - start, total)
             m.cum[miss] += STEP[b]
             w.put(miss, x[miss].astype(np.uint64) - START[b], ONE, WIDTH[b])
     done = w.finish()
@@ -194,12 +194,13 @@ def decode(payloads: list[bytes], lengths: list[int]) -> list[np.ndarray]:
         miss = np.flatnonzero(sym == 2)
         if len(miss):
             rows = m.cum[miss]
-            v = r.value(miss, rows[:, B])
-            b = (rows[:, 1:] <= v[:, None]).sum(axis=1)
+            v = r.value(miss, rows[:, B].astype(np.uint64))
+            b = np.count_nonzero(rows[:, 1:] <= v.astype(np.uint32)[:, None], axis=1)
             flat, row = rows.reshape(-1), np.arange(len(miss)) * (B + 1) + b
-            start = flat[row]
-            r.take(miss, start, flat[row + 1] - start)
-            m.cum[miss] = rows + STEP[b]
+            start, end = (flat[row + i].astype(np.uint64) for i in (0, 1))
+            r.take(miss, start, end - start)
+            rows += STEP[b]
+            m.cum[miss] = rows
             inner = r.value(miss, WIDTH[b])
             r.take(miss, inner, ONE)
             y[miss] = START[b] + inner + ONE
