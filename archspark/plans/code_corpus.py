@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from archspark.functions import paths
 from archspark.functions.paths import is_database_file, is_test_path
 from archspark.operators import extract, facts, graph, risks
+from archspark.plans import answers
 from archspark.plans.analysis import module_table
 from archspark.sources import corpus as src
 from archspark.sources.tables import Tables
@@ -134,6 +135,16 @@ def corpus_affected_tests(spark, sf_dir):
     return risks.affected_tests(c.inventory, c.tests)
 
 
+def corpus_impact_lists(spark, sf_dir):
+    return answers.impact_lists(Code(Tables(spark, sf_dir)).imports)
+
+
+def corpus_risk_evidence(spark, sf_dir):
+    c = Code(Tables(spark, sf_dir))
+    comps = graph.cycle_components(c.imports)
+    return answers.risk_evidence(c.file_facts, comps, graph.dependency_depth(c.imports), risks.missing_tests(c.file_facts, c.tests))
+
+
 QUERIES = {f.__name__: f for f in (
     corpus_code_facts, corpus_path_parts, corpus_imports, corpus_routes, corpus_file_facts, corpus_coverage, corpus_evidence,
-    corpus_health, corpus_oversized, corpus_missing_tests, corpus_affected_tests)}
+    corpus_health, corpus_oversized, corpus_missing_tests, corpus_affected_tests, corpus_impact_lists, corpus_risk_evidence)}

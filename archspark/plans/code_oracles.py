@@ -92,6 +92,16 @@ SELECT repo_id, CAST(1 AS BIGINT) AS detector, 'Oversized Module / God Object' A
     "corpus_missing_tests": """
 SELECT repo_id, file, size, rank FROM (
   SELECT repo_id, path AS file, size, row_number() OVER (PARTITION BY repo_id ORDER BY size DESC, path) AS rank FROM st s
+  WHERE extension = '.py' AND NOT contains(lower(path), 'test') AND NOT contains(lower(path), 'setup') AND size > 1000
+    AND NOT EXISTS (SELECT 1 FROM tests t WHERE t.repo_id = s.repo_id AND contains(lower(t.path), s.stem))) WHERE rank <= 4""",
+    "corpus_impact_lists": """
+SELECT repo_id, src AS path, 'direct' AS relation, dst AS other, CAST(0 AS BIGINT) AS pct FROM imp WHERE src <> dst
+UNION ALL SELECT repo_id, dst, 'reverse', src, 0 FROM imp WHERE src <> dst""",
+    "corpus_risk_evidence": """
+SELECT repo_id, CAST(1 AS BIGINT) AS detector, path AS file, 'size' AS measure, size AS value FROM ff WHERE extension = '.py' AND (size > 30720 OR function_count > 20)
+UNION ALL SELECT repo_id, 1, path, 'functions', function_count FROM ff WHERE extension = '.py' AND (size > 30720 OR function_count > 20)
+UNION ALL SELECT repo_id, 6, file, 'size', size FROM (
+  SELECT repo_id, path AS file, CAST(size AS BIGINT) AS size, row_number() OVER (PARTITION BY repo_id ORDER BY size DESC, path) AS rank FROM st s
   WHERE extension = '.py' AND NOT contains(lower(path), 'test') AND NOT contains(lower(path), 'setup') AND size > 1000
     AND NOT EXISTS (SELECT 1 FROM tests t WHERE t.repo_id = s.repo_id AND contains(lower(t.path), s.stem))) WHERE rank <= 4""",
     "corpus_affected_tests": """

@@ -186,6 +186,15 @@ radius AS (
   FROM fused)"""
 
 oracle("blast_radius", f"WITH {BLAST} SELECT * FROM radius")
+oracle("blast_radius_ranked", f"""
+WITH {BLAST} SELECT *, row_number() OVER (PARTITION BY repo_id, target ORDER BY impact_weight DESC, file) AS rank FROM radius
+""")
+oracle("impact_lists", f"""
+WITH {SUPP_EDGES}
+SELECT DISTINCT repo_id, src AS path, 'direct' AS relation, dst AS other, CAST(0 AS BIGINT) AS pct FROM e
+UNION ALL SELECT DISTINCT repo_id, dst, 'reverse', src, 0 FROM e
+UNION ALL SELECT repo_id, a, 'cochange', b, CAST(pct AS BIGINT) FROM ratios WHERE total_a >= 2 AND pct > 10
+""")
 oracle("global_impact", f"""
 WITH {BLAST},
 g AS (SELECT repo_id, target, sum(impact_weight) AS s, count(*) AS modules_affected FROM radius GROUP BY ALL)
@@ -615,6 +624,12 @@ SELECT repo_id, target, file,
 FROM ranked WHERE rank <= 8
 """)
 
+oracle("impact_nodes", f"""
+WITH {COMPANIONS}
+SELECT repo_id, path AS target, path AS node, 'center' AS kind, CAST(100 AS BIGINT) AS confidence_pct FROM files
+UNION ALL SELECT repo_id, target, file, 'companion', confidence_pct FROM ranked WHERE rank <= 8
+""")
+
 oracle("adjacency_json", f"""
 WITH {NATION_EDGES}
 SELECT DISTINCT repo_id, CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst FROM e

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from archspark.operators import companions, extract, facts, graph, history, intent, layers, risks
 from archspark.functions import paths
 from archspark.sources import corpus, dims, manifests
+from archspark.plans import answers
 from archspark.plans import bindings as B
 from archspark.plans import code_corpus
 from archspark.plans import reports
@@ -136,6 +137,25 @@ def global_impact(spark, sf_dir):
     return graph.global_impact(r).withColumn("risk_level", graph.risk_level())
 
 
+@query
+def blast_radius_ranked(spark, sf_dir):
+    return answers.ranked_radius(_part_radius(Tables(spark, sf_dir)))
+
+
+@query
+def impact_lists(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    ratios = history.cochange_ratios(B.supplier_commits(t))
+    e = B.supplier_edges(t, ratios)
+    return answers.impact_lists(e, ratios.where((F.col("total_a") >= 2) & (F.col("pct") > 10)))
+
+
+@query
+def impact_nodes(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return answers.impact_nodes(B.supplier_files(t), _supplier_companions(t))
+
+
 # ---------------------------------------------------------------- companions
 
 def _supplier_companions(t, k=8):
