@@ -52,23 +52,19 @@ class Model:
 
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Word ids of all texts, one after the other, and the number of words of each."""
-        words = [words_of(t) for t in texts]
-        n = np.array([len(w) for w in words], np.int64)
-        n += 1  # the end of the text counts as an unknown word, so an empty text has a ratio too
-        ids = np.zeros(int(n.sum()), np.int64)
-        at, get = 0, self.vocab.get
-        for w in words:
-            ids[at : at + len(w)] = np.fromiter(map(get, w, repeat(0)), np.int64, len(w))
-            at += len(w) + 1
-        return ids, n
+        get, end, parts = self.vocab.get, np.zeros(1, np.int32), []
+        for t in texts:  # the end of the text counts as an unknown word, so an empty text has a ratio too
+            w = words_of(t)
+            parts += [np.fromiter(map(get, w, repeat(0)), np.int32, len(w)), end]
+        n = np.array([len(p) + 1 for p in parts[::2]], np.int64)
+        return np.concatenate(parts) if parts else end[:0], n
 
     def keys(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(left neighbour, bigram key) of each word; a text's first word has neighbour size."""
-        left = np.concatenate(([0], ids[:-1])) if len(ids) else ids
         size = len(self.vocab) + 1
-        first = np.cumsum(n) - n
-        left = left.copy()
-        left[first] = size
+        left = np.empty(len(ids), np.int64)
+        left[1:] = ids[:-1]
+        left[np.cumsum(n) - n] = size
         return left, left * size + ids
 
     def gather(self, texts: dict[int, list[str]], shared: np.ndarray) -> None:
@@ -94,14 +90,13 @@ class Model:
 
     def fit(self, z: float) -> None:
         size = len(self.vocab) + 1
-        v, w = self.seen // size, self.seen % size
-        own = {}
+        own = []
         for c in (0, 1):
-            key, n = self.counts[c]
-            own[c] = np.zeros(len(self.seen))
-            own[c][np.searchsorted(self.seen, key)] = n
-        words = self.telling(*(np.bincount(w, weights=own[c], minlength=size) for c in (0, 1)), z)
-        pairs = self.telling(own[0], own[1], z)
+            own.append(np.zeros(len(self.seen), np.float32))
+            own[c][np.searchsorted(self.seen, self.counts[c][0])] = self.counts[c][1]
+        words = self.telling(*(np.bincount(self.seen % size, weights=own[c], minlength=size) for c in (0, 1)), z)
+        pairs = np.flatnonzero(self.telling(*own, z))
+        v, w = self.seen[pairs] // size, self.seen[pairs] % size
         logs = []
         for c in (0, 1):
             key, n = self.counts[c]
@@ -109,13 +104,12 @@ class Model:
             kept = np.where(words, np.maximum(k - _discount(k[k > 0]), 0), 0.0)
             total = max(1, int(k.sum()))
             word = kept / total + (1 - kept.sum() / total) * self.base
-            held = np.where(pairs, np.maximum(own[c] - _discount(n), 0), 0.0)
-            left = np.maximum(np.bincount(v, weights=own[c], minlength=size + 1), 1)
+            held = np.maximum(own[c][pairs] - _discount(n), 0)
+            left = np.maximum(np.bincount(key // size, weights=n, minlength=size + 1), 1)
             back = 1 - np.bincount(v, weights=held, minlength=size + 1) / left
             logs.append((np.log(word), np.log(np.maximum(back, 1e-9)), np.log(held / left[v] + np.maximum(back[v], 1e-9) * word[w])))
         self.unigram, self.left, self.bigram = (np.float32(b - a) for a, b in zip(*logs))
         self.known = self.seen[pairs]  # of the others the two models say the same up to their backoffs
-        self.bigram = self.bigram[pairs]
 
     def mean_ratio(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Log-likelihood ratio per word of each text."""
@@ -184,7 +178,7 @@ def sample(docs: DataFrame, labels: DataFrame, *, sample_rows: int, sample_bytes
     order = Window.partitionBy("part").orderBy("at", id_col, "bytes")
     kept = cut_lineage(sizes.withColumn("sum", F.sum("bytes").over(order)).filter(F.col("sum") <= sample_bytes).select(id_col, "toxic", "part").distinct())
     rows = docs.select(id_col, text.alias("text")).join(F.broadcast(kept), id_col).select("part", "toxic", "text")
-    return sorted(tuple(r) for r in rows.collect())
+    return sorted(zip(*(c.to_pylist() for c in rows.toArrow().columns)))
 
 
 def shared_counts(docs: DataFrame, sent, text_col: str) -> np.ndarray:
@@ -201,9 +195,9 @@ def shared_counts(docs: DataFrame, sent, text_col: str) -> np.ndarray:
 
     small_batches(docs.sparkSession)
     parts = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word int, n long")
+    found = parts.groupBy("word").agg(F.sum("n").alias("n")).toArrow()  # a row for each word of the bounded model
     out = np.zeros(len(sent.value.vocab) + 1)
-    for r in parts.groupBy("word").agg(F.sum("n").alias("n")).collect():  # one row for each word of the bounded model
-        out[r["word"]] = r["n"]
+    out[found["word"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
