@@ -7,12 +7,10 @@ Scale notes
 -----------
 * E1/E2 are single aggregations with a distinct inside; Spark plans them with one
   shuffle on the grouping key after a map-side partial aggregate.
-* D8 (pairs within a commit) is quadratic in the commit size by definition. Commits up
-  to ``heavy_commit_files`` files generate their pairs from a per-commit sorted array
-  (one shuffle, no join). Larger commits are *salted*: the left side is spread over
-  ``salt_buckets`` by a hash of the path and the right side is replicated to every
-  bucket, so each pair is produced exactly once and a giant commit is split over
-  ``salt_buckets`` tasks instead of one. Nothing is dropped or capped.
+* D8 (pairs within a commit) is quadratic in the commit size by definition. The files of a
+  commit are dealt into blocks of about ``block_files``; each pair of blocks is one row with two
+  bounded arrays, whose pairs are generated in place. One plan serves all sizes: an ordinary
+  commit is a single row, a giant one spreads over many tasks. Nothing is dropped or capped.
 * Pairs are generated once (``a < b``), counted with a partial aggregate, and
   mirrored afterwards (G5), which halves the shuffled pair volume.
 """
@@ -73,94 +71,57 @@ def file_history(commit_files: DataFrame, key: str = "repo_id", commit: str = "c
             .withColumn("density", scores.density_bucket("commits")))
 
 
-def _array_pairs(arr: DataFrame, key: str) -> DataFrame:
-    """Pairs (a < b) generated in place from each commit's sorted file array (JVM-side
-    higher-order functions, no self join)."""
-    n = F.size("_fs")
-    pairs = F.flatten(F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.transform(F.slice("_fs", i + 1, n), lambda y: F.struct(F.element_at("_fs", i).alias("a"),
-                                                                             y.alias("b")))))
-    return arr.select(key, F.explode(pairs).alias("_p")).select(key, "_p.a", "_p.b")
-
-
-def _pairs_by_salted_join(heavy_rows: DataFrame, key: str, commit: str, path: str, salt_buckets: int) -> DataFrame:
-    """Pairs of large commits: the left side is spread over ``salt_buckets`` by a hash of the
-    path, the right side is replicated to every bucket, so each pair appears exactly once and
-    one commit is split over ``salt_buckets`` join tasks."""
-    left = heavy_rows.withColumn("_salt", F.pmod(F.xxhash64(path), F.lit(salt_buckets)).cast("int"))
-    right = heavy_rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-    x, y = left.alias("x"), right.alias("y")
-    cond = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in (key, commit, "_salt")] + \
-        [F.col(f"x.{path}") < F.col(f"y.{path}")]
-    return x.join(y, cond).select(F.col(f"x.{key}").alias(key), F.col(f"x.{path}").alias("a"),
-                                  F.col(f"y.{path}").alias("b"))
-
-
-def _pairs_and_files(commit_files: DataFrame, key: str, commit: str, path: str, code_only: bool,
-                     heavy_commit_files: int | None, salt_buckets: int):
-    """Unordered pairs (key, a, b) of every commit and the commit's files (key, path), one row
-    per (commit, file), from a single grouping of the commit table.
-
-    Commits with at most ``heavy_commit_files`` rows become one sorted array each (bounded);
-    the same aggregate feeds both outputs, so the commit table is shuffled once. Larger
-    commits are kept as rows and paired by the salted self join.
+def _blocks(commit_files: DataFrame, key: str, commit: str, path: str, code_only: bool, block_files: int) -> DataFrame:
+    """One row for each pair of blocks (i <= j) of a commit, with the files of both as bounded arrays.
+
+    A commit's files are dealt into ceil(n / block_files) blocks by a hash, so a commit of ordinary
+    size is one row and a giant one spreads over many; the exchange by (commit, i, j) puts its
+    rows into different tasks. The arrays are sets, so repeated rows count once.
     """
     cf = commit_files.select(key, commit, path)
     if code_only:
         cf = cf.where(is_code_file(path))
-    if heavy_commit_files is None:
-        rows = cf.distinct()
-        x, y = rows.alias("x"), rows.alias("y")
-        cond = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in (key, commit)] + [F.col(f"x.{path}") < F.col(f"y.{path}")]
-        pairs = x.join(y, cond).select(F.col(f"x.{key}").alias(key), F.col(f"x.{path}").alias("a"),
-                                       F.col(f"y.{path}").alias("b"))
-        return pairs, rows.select(key, path)
-    # routing by raw row counts (an upper bound of the distinct file count) is safe:
-    # every commit sent to the array path has at most heavy_commit_files rows
-    sizes = cf.groupBy(key, commit).agg(F.count(F.lit(1)).alias("_n"))  # partial aggregate, tiny output
-    heavy = sizes.where(F.col("_n") > heavy_commit_files).select(key, commit)
-    n_heavy = heavy.count()
-    light = cf
-    heavy_rows = None
-    if n_heavy:
-        # at most rows / heavy_commit_files heavy commits; broadcast their keys only when few
-        hb = F.broadcast(heavy) if n_heavy <= 10000 else heavy
-        light = cf.join(hb, [key, commit], "left_anti")
-        heavy_rows = cf.join(hb, [key, commit], "left_semi").distinct()
-    arr = light.groupBy(key, commit).agg(F.array_sort(F.collect_set(path)).alias("_fs"))  # set: dedupes
-    pairs = _array_pairs(arr, key)
-    files = arr.select(key, F.explode("_fs").alias(path))
-    if heavy_rows is not None:
-        pairs = pairs.unionByName(_pairs_by_salted_join(heavy_rows, key, commit, path, salt_buckets))
-        files = files.unionByName(heavy_rows.select(key, path))
-    return pairs, files
+    n = F.count(F.lit(1)).over(Window.partitionBy(key, commit))
+    blocks = F.ceil(n / F.lit(block_files)).cast("int")
+    own = cf.withColumn("_k", blocks).withColumn("_b", F.pmod(F.xxhash64(path), F.col("_k")).cast("int"))
+    met = own.select(key, commit, path, "_b", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_o"))
+    met = met.select(key, commit, path, "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+    of = lambda side: F.array_sort(F.collect_set(F.when(F.col("_b") == F.col(side), F.col(path))))
+    return (met.repartition(key, commit, "_i", "_j").groupBy(key, commit, "_i", "_j")
+            .agg(of("_i").alias("_x"), of("_j").alias("_y")))
+
+
+def _block_pairs(rows: DataFrame, key: str) -> DataFrame:
+    """Pairs (a < b) generated in place: within a block, or across two blocks (JVM-side, no join)."""
+    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    within = F.transform("_x", lambda a, i: F.transform(F.slice("_x", i + 2, F.size("_x")), lambda b: pair(a, b)))
+    across = F.transform("_x", lambda a: F.transform("_y", lambda b: pair(a, b)))
+    pairs = F.flatten(F.when(F.col("_i") == F.col("_j"), within).otherwise(across))
+    return rows.select(key, F.explode(pairs).alias("_p")).select(key, "_p.a", "_p.b")
 
 
 def cooccurrence(commit_files: DataFrame, key: str = "repo_id", commit: str = "commit_id",
-                 path: str = "path", code_only: bool = False,
-                 heavy_commit_files: int | None = 1000, salt_buckets: int = 64) -> DataFrame:
+                 path: str = "path", code_only: bool = False, block_files: int = 256) -> DataFrame:
     """Joint commit count of each unordered file pair -> (key, a, b, joint) with a < b.
 
-    Exact for every commit size; nothing is dropped. ``heavy_commit_files=None`` uses a plain
-    self join instead of the array / salted split.
+    Exact for every commit size, by one plan; nothing is dropped.
     """
-    pairs, _ = _pairs_and_files(commit_files, key, commit, path, code_only, heavy_commit_files, salt_buckets)
-    return pairs.groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("joint"))
+    rows = _blocks(commit_files, key, commit, path, code_only, block_files)
+    return _block_pairs(rows, key).groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("joint"))
 
 
 def cochange_ratios(commit_files: DataFrame, key: str = "repo_id", commit: str = "commit_id",
-                    path: str = "path", code_only: bool = False,
-                    heavy_commit_files: int | None = 1000, salt_buckets: int = 64) -> DataFrame:
+                    path: str = "path", code_only: bool = False, block_files: int = 256) -> DataFrame:
     """E3 + G5: directional ratio joint(a,b)/commits(a) for every co-changed pair.
 
-    Pair counts and per-file commit counts come from the same per-commit grouping.
+    Pair counts and per-file commit counts come from the same grouping of the commit table.
     -> (key, a, b, joint, total_a, pct) with ``pct`` the half-up integer percentage.
     """
-    pairs, files = _pairs_and_files(commit_files, key, commit, path, code_only, heavy_commit_files, salt_buckets)
-    joint = pairs.groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("joint"))
+    rows = _blocks(commit_files, key, commit, path, code_only, block_files)
+    joint = _block_pairs(rows, key).groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("joint"))
     both = joint.unionByName(joint.select(key, F.col("b").alias("a"), F.col("a").alias("b"), "joint"))
-    freq = files.groupBy(key, F.col(path).alias("a")).agg(F.count(F.lit(1)).alias("total_a"))
+    files = rows.where("_i = _j").select(key, F.explode("_x").alias("a"))  # a file is in one block of its commit
+    freq = files.groupBy(key, "a").agg(F.count(F.lit(1)).alias("total_a"))
     return (both.join(freq, [key, "a"])
             .withColumn("pct", scores.pct("joint", "total_a"))
             .select(key, "a", "b", "joint", "total_a", "pct"))

@@ -53,14 +53,18 @@ def test_code_facts_job(spark):
     assert [(r.path, r.parsed) for r in f] == [("auth.py", True), ("bad.py", False), ("main.py", True)]
 
 
-def test_salted_pairs_equal_plain(spark):
-    rows = [("r", 1, f"f{i}") for i in range(12)] + [("r", 2, "f1"), ("r", 2, "f2"), ("s", 3, "f1"), ("s", 3, "x")]
+def test_pairs_do_not_depend_on_blocks(spark):
+    from itertools import combinations
+    rows = [("r", 1, f"f{i:03d}") for i in range(60)] + [("r", 2, "f001"), ("r", 2, "f002"), ("r", 2, "f001"), ("s", 3, "f001"), ("s", 3, "x"), ("s", 4, "x")]
     cf = spark.createDataFrame(rows, "repo_id string, commit_id int, path string")
-    plain = history.cooccurrence(cf, heavy_commit_files=None).collect()
-    salted = history.cooccurrence(cf, heavy_commit_files=3, salt_buckets=4).collect()
-    assert sorted(plain) == sorted(salted)
-    assert len(plain) == 66 + 1  # C(12,2) pairs in commit 1 (f1,f2 counted twice), one pair in repo s
-    assert {(r.a, r.b): r.joint for r in plain if r.repo_id == "r"}[("f1", "f2")] == 2
+    want = {}
+    for c in {(r, c) for r, c, _ in rows}:
+        for a, b in combinations(sorted({p for r, k, p in rows if (r, k) == c}), 2):
+            want[c[0], a, b] = want.get((c[0], a, b), 0) + 1
+    for block in (256, 7, 1):
+        assert {(r.repo_id, r.a, r.b): r.joint for r in history.cooccurrence(cf, block_files=block).collect()} == want
+    totals = {(r.repo_id, r.a): r.total_a for r in history.cochange_ratios(cf, block_files=7).collect()}
+    assert totals["r", "f001"] == 2 and totals["r", "f003"] == 1 and totals["s", "x"] == 2
 
 
 def test_temporal_matrix_golden(spark):
