@@ -94,6 +94,7 @@ def file_concepts(vocab_df: DataFrame, files: DataFrame, key: str = "repo_id") -
 # numerator of the exact score over the per-goal denominator 3 * d1 * d2 (see candidate_scores)
 _NUM = ("greatest(75 * least(p, d1) * d2, CASE WHEN floor22 THEN 66 * d1 * d2 ELSE 0 END)"
         " + 75 * least(q, d2) * d1 + b3 * d1 * d2")
+_SCORE = "least(greatest(num div (3 * d1 * d2), 5), 100)"
 
 
 def _b3(t: int):
@@ -108,13 +109,13 @@ def candidate_scores(goals: DataFrame, files: DataFrame, file_facts_df: DataFram
     """J7 + J8 + F3: the top ``k`` files per (goal, repository), exactly.
 
     score = clamp(trunc(path + name + layer + dependency + responsibility), 5, 100) as in
-    the analysed tool; ranking is by the untruncated score (an exact integer numerator
-    over a per-goal denominator), then path.
+    the analysed tool, from an exact integer numerator over a per-goal denominator;
+    ranking is by this integer score, then path.
 
     Plan, without a goal x file product:
     1. files -> contained concepts (substring equi join); files with the same concept
-       signature, layer and floor-folder flag form a group and share every goal's
-       concept part of the score;
+       signature, layer, floor-folder flag and goal-independent points form a group and
+       have the same score for every goal;
     2. goals x groups through the concept key; per goal the groups are ranked by their
        best file and only the top ``k`` groups are expanded (a file in the top k belongs to
        a group whose best file is in the top k);
@@ -143,19 +144,15 @@ def candidate_scores(goals: DataFrame, files: DataFrame, file_facts_df: DataFram
     # 1. concept signatures and groups
     fc = file_concepts(gc.select("concept").distinct(), f.select(key, "path"), key)
     sig = fc.groupBy(key, "path").agg(F.array_sort(F.collect_set(F.struct("concept", "in_name"))).alias("sig"))
-    gid = F.sha2(F.to_json(F.struct(F.col(key), "sig", "layer", "special")), 256)
+    gid = F.sha2(F.to_json(F.struct(F.col(key), "sig", "layer", "special", "b3_0", "b3_1")), 256)
     fg = cut_lineage(f.join(sig, [key, "path"]).withColumn("gid", gid))
     groups = fg.groupBy("gid").agg(F.first("sig").alias("sig"), F.first("layer").alias("layer"),
                                    F.first("special").alias("special"), F.first(key).alias(key))
     group_concepts = groups.select("gid", key, "layer", "special", F.explode("sig").alias("c")) \
         .select("gid", key, "layer", "special", F.col("c.concept").alias("concept"), F.col("c.in_name").alias("in_name"))
-    heads = []
-    for t in (0, 1):
-        w = Window.partitionBy("gid").orderBy(F.col(f"b3_{t}").desc(), F.col("path"))
-        heads.append(fg.withColumn(f"r{t}", F.row_number().over(w)))
-    gheads = cut_lineage(heads[0].join(_fresh(heads[1].select("gid", "path", "r1")), ["gid", "path"])
-                         .where((F.col("r0") <= k) | (F.col("r1") <= k))
-                         .select("gid", key, "path", "layer", "special", "b3_0", "b3_1", "r0", "r1"))
+    by_path = Window.partitionBy("gid").orderBy("path")  # the files of a group score alike: its first k by path
+    gheads = cut_lineage(fg.withColumn("r", F.row_number().over(by_path)).where(F.col("r") <= k)
+                         .select("gid", key, "path", "layer", "special", "b3_0", "b3_1", "r"))
 
     # 2. goals x groups, ranked by each group's best file; expand the top k groups
     gg = (gc.join(group_concepts, "concept")
@@ -165,17 +162,14 @@ def candidate_scores(goals: DataFrame, files: DataFrame, file_facts_df: DataFram
     gg = (gg.join(m, "goal_id").join(tl, ["goal_id", "layer"], "left")
           .withColumn("t", F.coalesce("t", F.lit(0)))
           .withColumn("floor22", F.col("special") & F.col("has_ui")))
-    best = _fresh(gheads.where((F.col("r0") == 1) | (F.col("r1") == 1))
-                  .select("gid", "path", "b3_0", "b3_1", "r0", "r1"))
+    best = _fresh(gheads.where(F.col("r") == 1).select("gid", "path", "b3_0", "b3_1"))
     gb = (gg.join(best, "gid")
-          .where(((F.col("t") == 0) & (F.col("r0") == 1)) | ((F.col("t") == 1) & (F.col("r1") == 1)))
           .withColumn("b3", F.when(F.col("t") == 1, F.col("b3_1")).otherwise(F.col("b3_0")))
-          .withColumn("num", F.expr(_NUM)))
-    wg = Window.partitionBy("goal_id", key).orderBy(F.col("num").desc(), F.col("path"))
+          .withColumn("num", F.expr(_NUM)).withColumn("score", F.expr(_SCORE)))
+    wg = Window.partitionBy("goal_id", key).orderBy(F.col("score").desc(), F.col("path"))
     top_groups = (gb.withColumn("_g", F.row_number().over(wg)).where(F.col("_g") <= k)
                   .select("goal_id", "gid", "t", "p", "q", "matched"))
-    hit_pairs = (top_groups.join(_fresh(gheads.select("gid", key, "path", "r0", "r1")), "gid")
-                 .where(((F.col("t") == 0) & (F.col("r0") <= k)) | ((F.col("t") == 1) & (F.col("r1") <= k)))
+    hit_pairs = (top_groups.join(_fresh(gheads.select("gid", key, "path")), "gid")
                  .select("goal_id", key, "path", "p", "q", "matched"))
 
     # 3. base candidates: per layer, the best k files under each (in target?, ui floor?) variant
@@ -183,7 +177,8 @@ def candidate_scores(goals: DataFrame, files: DataFrame, file_facts_df: DataFram
     for t in (0, 1):
         for u in (False, True):
             s = F.col(f"b3_{t}") + (F.when(F.col("special"), 66).otherwise(0) if u else F.lit(0))
-            orders.append(F.row_number().over(Window.partitionBy(key, "layer").orderBy(s.desc(), F.col("path"))))
+            points = F.least(F.greatest(F.floor(s / 3), F.lit(5)), F.lit(100))
+            orders.append(F.row_number().over(Window.partitionBy(key, "layer").orderBy(points.desc(), F.col("path"))))
     ranked = f.select(key, "path", "layer", *[o.alias(f"_r{i}") for i, o in enumerate(orders)])
     lheads = cut_lineage(ranked.where(" OR ".join(f"_r{i} <= {k}" for i in range(len(orders))))
                          .select(key, "path", "layer"))
@@ -202,8 +197,8 @@ def candidate_scores(goals: DataFrame, files: DataFrame, file_facts_df: DataFram
               .withColumn("floor22", F.col("special") & F.col("has_ui"))
               .withColumn("b3", F.when(F.col("t") == 1, F.col("b3_1")).otherwise(F.col("b3_0")))
               .withColumn("num", F.expr(_NUM))
-              .withColumn("score", F.expr("least(greatest(num div (3 * d1 * d2), 5), 100)").cast("bigint")))
-    w = Window.partitionBy("goal_id", key).orderBy(F.col("num").desc(), F.col("path"))
+              .withColumn("score", F.expr(_SCORE).cast("bigint")))
+    w = Window.partitionBy("goal_id", key).orderBy(F.col("score").desc(), F.col("path"))
     top = scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
     lname = F.lower(basename("path"))
     ext = extension("path")
