@@ -22,13 +22,17 @@ def _fresh(df: DataFrame) -> DataFrame:
     return df.select([F.col(c).alias(c) for c in df.columns])
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = MAX_DICTIONARY_ROWS) -> DataFrame:
-    """Broadcast regex rules only after checking their size. Regex rules have no equi-join
-    form, so an unbounded rule table is refused (rules are configuration, not data)."""
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"dictionary has {n} rows (> {max_rows}); it is not a broadcastable dimension")
-    return F.broadcast(df)
+def rule_hits(files: DataFrame, text, rules: DataFrame, block_rows: int = MAX_DICTIONARY_ROWS) -> DataFrame:
+    """Files x the regex rules that match ``text``. Regex rules have no equi-join form, so the rule
+    table is held against the files in blocks of about ``block_rows`` rules, each small enough to be
+    broadcast; one block is the usual case."""
+    blocks = max(1, -(-rules.count() // block_rows))
+    part = F.pmod(F.xxhash64(*rules.columns), F.lit(blocks))
+    out = None
+    for i in range(blocks):
+        hits = _fresh(files).join(F.broadcast(_fresh(rules.where(part == i))), F.regexp_like(text, F.col("pattern")))
+        out = hits if out is None else out.unionByName(hits)
+    return out
 
 
 def layer_contributions(files: DataFrame, taxonomy: DataFrame, path_rules: DataFrame | None = None,
@@ -43,8 +47,7 @@ def layer_contributions(files: DataFrame, taxonomy: DataFrame, path_rules: DataF
     parts = [kw.select(key, "path", "layer",
                        F.when(F.col("_ln").contains(F.col("keyword")), 6).otherwise(3).alias("points"))]
     if path_rules is not None:
-        rules = checked_broadcast(path_rules.select("grp", "ord", "layer", "pattern", "points"))
-        hits = f.join(rules, F.regexp_like(lp, F.col("pattern")))
+        hits = rule_hits(f, lp, path_rules.select("grp", "ord", "layer", "pattern", "points"))
         w = Window.partitionBy(key, "path", "grp").orderBy("ord")
         parts.append(hits.withColumn("_r", F.row_number().over(w)).where("_r = 1")
                      .select(key, "path", "layer", "points"))

@@ -112,6 +112,14 @@ def test_agent_context_keeps_repositories_apart(spark):
                    ("g", "r3"): ("unavailable", None, None, None, None, None), ("h", None): ("unavailable", None, None, None, None, None)}
 
 
+def test_rules_in_blocks(spark):
+    files = spark.createDataFrame([("r", p) for p in ("a/x.py", "b/x.py", "c.py")], "repo_id string, path string")
+    rules = spark.createDataFrame([("g", i, "L", p, 1) for i, p in enumerate(["^a/", "x", "^c", "zzz", "py$"])],
+                                  "grp string, ord int, layer string, pattern string, points int")
+    got = [sorted(tuple(r) for r in layers.rule_hits(files, F.lower(F.col("path")), rules, n).collect()) for n in (100, 2, 1)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 1 + 2 + 1 + 0 + 3
+
+
 def test_layers_on_app(spark):
     files = spark.createDataFrame([("r", p) for p in ["auth.py", "database.py", "models/user.py", "api/routes.py",
                                                       "main.py", "static/app.css"]], "repo_id string, path string")
