@@ -98,6 +98,8 @@ def test_streaming_commit_frequency(spark):
     st.run_available_now(st.commit_frequency_stream(stream), os.path.join(out, "t"), name=os.path.basename(out))
     got = {r.path: r.commits for r in st.current_counts(spark, os.path.join(out, "t")).collect()}
     assert got["auth.py"] == 2 and got["database.py"] == 2 and got["main.py"] == 1
+    compact = spark.read.parquet(st.compact_counts(spark, os.path.join(out, "t"), os.path.join(out, "c")))
+    assert {r.path: r.commits for r in compact.collect()} == got and compact.count() == len(got)
 
 
 def test_analysis_store(spark):
