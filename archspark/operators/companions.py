@@ -24,9 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _fresh(df: DataFrame) -> DataFrame:
-    return df.select([F.col(c).alias(c) for c in df.columns])
+from archspark.operators.frames import fresh as _fresh
 
 
 def _group_heads(members: DataFrame, key: str, group_cols: list[str], n: int) -> DataFrame:

@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 
 from archspark.functions import vocab
 from archspark.functions.paths import is_readme, is_test_path
-
-
-def _fresh(df: DataFrame) -> DataFrame:
-    return df.select([F.col(c).alias(c) for c in df.columns])
+from archspark.operators.frames import fresh as _fresh
 
 
 def file_facts(inventory: DataFrame, facts: DataFrame | None, edges: DataFrame | None,

@@ -10,14 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from archspark.operators.frames import fresh as _fresh
 from archspark.session import cut_lineage
 
 
-def _fresh(df: DataFrame) -> DataFrame:
-    """Re-alias every column so a self join sees distinct attributes."""
-    return df.select([F.col(c).alias(c) for c in df.columns])
-
-
 def resolve_imports(raw_imports: DataFrame, modules: DataFrame, key: str = "repo_id") -> DataFrame:
     """D1 + G4: (key, src, module) joined to (key, module, file) -> distinct (key, src, dst), no self edges.
 

@@ -22,16 +22,13 @@ from pyspark.sql import functions as F
 
 from archspark.functions import vocab
 from archspark.functions.paths import basename, extension
+from archspark.operators.frames import fresh as _fresh
 from archspark.operators.joins import bounded_broadcast, contains_join
 from archspark.session import cut_lineage
 
 WORD_RX = r"[\p{L}\p{N}_]+"
 
 
-def _fresh(df: DataFrame) -> DataFrame:
-    return df.select([F.col(c).alias(c) for c in df.columns])
-
-
 def goal_words(goals: DataFrame, stop_words: DataFrame) -> DataFrame:
     """Words of each goal: Unicode word tokens longer than one character, minus stop words."""
     w = goals.select("goal_id", F.explode(F.regexp_extract_all(F.lower("goal"), F.lit(WORD_RX), 0)).alias("concept"))

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from archspark.operators.frames import fresh as _fresh
+
 MAX_BROADCAST_ROWS = 100_000
 
 
@@ -21,10 +23,6 @@ def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tupl
     return (F.broadcast(df), True) if n <= max_rows else (df, False)
 
 
-def _fresh(df: DataFrame) -> DataFrame:
-    return df.select([F.col(c).alias(c) for c in df.columns])
-
-
 def _grams(text, short: bool):
     """Distinct three-character pieces of a text (and all shorter ones if ``short``)."""
     n = F.length(text)

@@ -12,16 +12,13 @@ from pyspark.sql import functions as F
 
 from archspark.functions import vocab
 from archspark.functions.paths import basename
+from archspark.operators.frames import fresh as _fresh
 from archspark.operators.joins import contains_join
 from archspark.session import cut_lineage
 
 MAX_DICTIONARY_ROWS = 100_000
 
 
-def _fresh(df: DataFrame) -> DataFrame:
-    return df.select([F.col(c).alias(c) for c in df.columns])
-
-
 def rule_hits(files: DataFrame, text, rules: DataFrame, block_rows: int = MAX_DICTIONARY_ROWS) -> DataFrame:
     """Files x the regex rules that match ``text``. Regex rules have no equi-join form, so the rule
     table is held against the files in blocks of about ``block_rows`` rules, each small enough to be

@@ -11,13 +11,10 @@ from pyspark.sql import functions as F
 
 from archspark.functions import vocab
 from archspark.functions.paths import stem
+from archspark.operators.frames import fresh as _fresh
 from archspark.operators.joins import gram_join
 
 
-def _fresh(df: DataFrame) -> DataFrame:
-    return df.select([F.col(c).alias(c) for c in df.columns])
-
-
 def missing_tests(file_facts_df: DataFrame, test_paths: DataFrame, key: str = "repo_id",
                   top: int = vocab.MISSING_TEST_TOP, min_bytes: int = vocab.MISSING_TEST_MIN_BYTES,
                   same_repo: bool = True, fold_case: bool = False) -> DataFrame:

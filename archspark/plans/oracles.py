@@ -256,8 +256,9 @@ SELECT repo_id, target, file, score, confidence_pct, CAST(confidence AS DOUBLE)
 
 oracle("simulated_impact", f"""
 WITH {COMPANIONS}
-SELECT repo_id, target, CAST(floor(avg(confidence_pct)) AS BIGINT) AS impact_score
-FROM ranked WHERE rank <= 8 GROUP BY repo_id, target
+SELECT f.repo_id, f.path AS target, CAST(coalesce(floor(avg(r.confidence_pct)), 10) AS BIGINT) AS impact_score
+FROM files f LEFT JOIN (SELECT * FROM ranked WHERE rank <= 8) r ON r.repo_id = f.repo_id AND r.target = f.path
+GROUP BY f.repo_id, f.path
 """)
 
 PART_LAYER_CTES = """pf AS (

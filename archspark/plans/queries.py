@@ -173,7 +173,7 @@ def companion_files(spark, sf_dir):
 @query
 def simulated_impact(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return companions.impact_score(_supplier_companions(t))
+    return answers.simulated_impact(B.supplier_files(t), _supplier_companions(t))
 
 
 # ---------------------------------------------------------------- layers

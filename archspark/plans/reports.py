@@ -12,13 +12,10 @@ from pyspark.sql import functions as F
 from archspark.functions import vocab
 from archspark.functions.paths import is_entry_point
 from archspark.operators import graph
+from archspark.operators.frames import fresh as _fresh
 from archspark.session import cut_lineage
 
 
-def _fresh(df: DataFrame) -> DataFrame:
-    return df.select([F.col(c).alias(c) for c in df.columns])
-
-
 def change_impact(ff: DataFrame, assignments: DataFrame, risks_df: DataFrame | None,
                   cochange: DataFrame | None, key: str = "repo_id") -> DataFrame:
     """K3 + J11 for every file: counts of direct / reverse / co-change dependencies and
