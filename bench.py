@@ -28,7 +28,8 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    names = sys.argv[1:] or [n for n in HEADLINE if n in REGISTRY]
+    # names as arguments; --all: every query of the analysis; none: the headline set of all rounds
+    names = list(REGISTRY) if sys.argv[1:] == ["--all"] else sys.argv[1:] or [n for n in HEADLINE if n in REGISTRY]
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, app="archspark-bench")
     # warm-up (not timed): JVM start, Parquet footer reads and code paths used by every query
     spark.read.parquet(os.path.join(sf_dir, "orders.parquet")).select("o_orderkey").limit(1000).count()
