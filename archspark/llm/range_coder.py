@@ -23,12 +23,12 @@ BLOCK_IDS, INC = 4096, 12
 MOST_IDS = 65_535
 H1, H2 = 1 << 11, 1 << 12
 #: order-0 ranges: two of 256 ids (the bytes), then growing ones
-EDGES = np.unique(np.concatenate(([0, 256], np.round(512 * (65_536 / 512) ** (np.arange(31) / 30))))).astype(np.int64)
+EDGES = np.unique(np.concatenate(([0, 256], np.round(512 * (65_536 / 512) ** (np.arange(15) / 14))))).astype(np.int64)
 SIZES = np.diff(EDGES)
 B = len(SIZES)
 RANGE_OF = np.repeat(np.arange(B), SIZES)
 START, WIDTH = EDGES.astype(np.uint64), SIZES.astype(np.uint64)  # coder arithmetic is unsigned throughout
-STEP = np.where(np.arange(B + 1) > np.arange(B)[:, None], INC, 0).astype(np.uint32)
+ABOVE = np.arange(B + 1, dtype=np.uint8)[:, None]
 ONE = np.uint64(1)
 #: starting counts of (order 2, order 1, neither) where: no table, order 1, order 2, both, both and agreeing
 PRIOR = np.array([[0, 0, 1], [0, 1, 2], [1, 0, 1], [1, 1, 2], [3, 0, 1]], np.uint64)
@@ -42,18 +42,21 @@ class _Lanes:
         self.lengths = lengths
         self.t1, self.t2 = np.zeros(n * H1, np.uint16), np.zeros(n * H2, np.uint16)  # id + 1; 0: nothing yet
         self.flags = np.tile(PRIOR.ravel(), n)
-        self.cum = np.tile(np.arange(B + 1, dtype=np.uint32), (n, 1))
-        self.lane = np.arange(n)
+        # cumulated order-0 counts, a row for each range and a column for each lane: whole rows are fast
+        self.cum = np.repeat(np.arange(B + 1, dtype=np.uint16)[:, None], n, axis=1)
+        self.n, self.lane = n, np.arange(n)
+        self.base1, self.base2, self.base = self.lane * H1, self.lane * H2, self.lane * 15
         self.p1, self.p2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
     def predict(self, k: int):
         """Table places, predictions and the mixing state's place for the first k lanes."""
-        p1, p2, lane = self.p1[:k], self.p2[:k], self.lane[:k]
-        i1 = lane * H1 + ((p1 * 40_503 >> 4) & (H1 - 1))
-        i2 = lane * H2 + (((p1 * 40_503 + p2 * 60_493) >> 4) & (H2 - 1))
+        mixed = self.p1[:k] * 40_503
+        i1 = ((mixed >> 4) & (H1 - 1)) + self.base1[:k]
+        mixed += self.p2[:k] * 60_493
+        i2 = ((mixed >> 4) & (H2 - 1)) + self.base2[:k]
         c1, c2 = self.t1[i1], self.t2[i2]
-        state = (c1 > 0) + 2 * (c2 > 0) + ((c1 == c2) & (c1 > 0))
-        at = lane * 15 + state * 3
+        one = c1 > 0
+        at = (one + 2 * (c2 > 0) + ((c1 == c2) & one)) * 3 + self.base[:k]
         f0, f1 = self.flags[at], self.flags[at + 1]
         return i1, i2, c1, c2, at, f0, f1, f0 + f1 + self.flags[at + 2]
 
@@ -64,6 +67,15 @@ class _Lanes:
         self.p2[:k] = self.p1[:k]
         self.p1[:k] = y
 
+    def interval(self, at: np.ndarray, b: np.ndarray):
+        """(start, end, total) of range b in the order-0 counts of the lanes ``at``."""
+        flat = self.cum.reshape(-1)
+        return (flat[i * self.n + at].astype(np.uint64) for i in (b, b + 1, B))
+
+    def count(self, k: int, b: np.ndarray) -> None:
+        """Count range b (B: none) in each of the first k lanes."""
+        self.cum[:, :k] += (ABOVE > b) * np.uint16(INC)
+
     def at_work(self):
         """(step, lanes still at work) until the longest block ends."""
         top = int(self.lengths[0]) if len(self.lengths) else 0
@@ -84,16 +96,16 @@ class _Writer:
         if freq is not ONE:
             width *= freq
         whole = isinstance(sel, slice)
-        over = np.flatnonzero(low > MASK)
-        if len(over):
-            at = over if whole else sel[over]
+        over = low > MASK
+        if over.any():
+            at = over.nonzero()[0] if whole else sel[over]
             i = self.pos[at] - 1
             while len(at):
                 self.out[at, i] += np.uint16(1)
                 more = self.out[at, i] == 0
                 at, i = at[more], i[more] - 1
             low &= MASK
-        short = np.flatnonzero(width < TOP)
+        short = (width < TOP).nonzero()[0]
         if len(short):
             at = short if whole else sel[short]
             here, done = self.pos[at], low[short]
@@ -130,7 +142,7 @@ class _Reader:
     def take(self, sel, start, freq) -> None:
         code = self.code[sel] - self.r * start
         width = self.r if freq is ONE else self.r * freq
-        short = np.flatnonzero(width < TOP)
+        short = (width < TOP).nonzero()[0]
         if len(short):
             at = short if isinstance(sel, slice) else sel[short]
             code[short] = (code[short] << WORD) | self.words[at, np.minimum(self.pos[at], self.words.shape[1] - 1)]
@@ -158,16 +170,16 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         y = (x + 1).astype(np.uint16)
         i1, i2, c1, c2, at, f0, f1, total = m.predict(k)
         second = c2 == y
-        sym = np.where(second, 0, np.where(c1 == y, 1, 2))
+        sym = np.where(second, 0, 2 - (c1 == y))
         w.put(slice(0, k), f0 * (sym > 0) + f1 * (sym > 1), m.flags[at + sym], total)
         m.update(k, i1, i2, at, sym, y)
-        miss = np.flatnonzero(sym == 2)
+        miss = (sym == 2).nonzero()[0]
         if len(miss):
-            b = RANGE_OF[x[miss]]
-            flat, row = m.cum.reshape(-1), miss * (B + 1)
-            start, end, total = (flat[row + i].astype(np.uint64) for i in (b, b + 1, B))
+            ranges = np.full(k, B, np.uint8)
+            ranges[miss] = b = RANGE_OF[x[miss]]
+            start, end, total = m.interval(miss, b)
             w.put(miss, start, end - start, total)
-            m.cum[miss] += STEP[b]
+            m.count(k, ranges)
             w.put(miss, x[miss].astype(np.uint64) - START[b], ONE, WIDTH[b])
     done = w.finish()
     out: list[bytes] = [b""] * len(blocks)
@@ -191,16 +203,17 @@ def decode(payloads: list[bytes], lengths: list[int]) -> list[np.ndarray]:
         sym = (v >= f0).astype(np.int64) + (v >= f0 + f1)
         r.take(here, f0 * (sym > 0) + f1 * (sym > 1), m.flags[at + sym])
         y = np.where(sym == 0, c2, c1)
-        miss = np.flatnonzero(sym == 2)
+        miss = (sym == 2).nonzero()[0]
         if len(miss):
-            rows = m.cum[miss]
-            v = r.value(miss, rows[:, B].astype(np.uint64))
-            b = np.count_nonzero(rows[:, 1:] <= v.astype(np.uint32)[:, None], axis=1)
-            flat, row = rows.reshape(-1), np.arange(len(miss)) * (B + 1) + b
-            start, end = (flat[row + i].astype(np.uint64) for i in (0, 1))
+            v = r.value(miss, m.cum[B, miss].astype(np.uint64))
+            place = np.zeros(k, np.uint16)
+            place[miss] = v
+            b = np.add.reduce(m.cum[1:, :k] <= place, axis=0, dtype=np.uint8)[miss].astype(np.int64)
+            start, end, _ = m.interval(miss, b)
             r.take(miss, start, end - start)
-            rows += STEP[b]
-            m.cum[miss] = rows
+            ranges = np.full(k, B, np.uint8)
+            ranges[miss] = b
+            m.count(k, ranges)
             inner = r.value(miss, WIDTH[b])
             r.take(miss, inner, ONE)
             y[miss] = START[b] + inner + ONE

@@ -15,8 +15,10 @@ from those of their pieces; ids themselves are never gathered.
 from __future__ import annotations
 
 import math
+import re
 import uuid
 import zlib
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +34,53 @@ from archspark.session import cut_lineage, ensure_checkpoint_dir
 LANES = 2048
 
 
+#: a lower-case word with the marks behind it: the pre-tokeniser parts just these two
+PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]*)([].,!*$&%#|;:?()\"[{}/+=~^@_-]*)")
+
+
+def _byte_level() -> dict[int, str]:
+    """The characters that byte-level models use for bytes: printable ones for themselves, then from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordIds(WordLengths):
-    """Ids of texts by their words, for tokenizers that drop white space (see token_counts)."""
+    """Ids of texts by their words, for tokenizers that drop white space (see token_counts).
 
-    def __init__(self, encoder, batch_bytes: int = 262_144, most: int = 800_000, longest: int = 64, lower: bool = False):
+    With ``lower`` (the tokenizer lowers case itself and has the usual letter pattern) words are lowered first, and plain
+    words go to the library's merge model directly, past the normaliser and pre-tokeniser, which leave them as they are.
+    """
+
+    BYTES = _byte_level()
+
+    def __init__(self, encoder, batch_bytes: int = 262_144, most: int = 400_000, longest: int = 64, lower: bool = False):
         super().__init__(encoder, batch_bytes, most, longest)
         self.lower = lower
+        self.older: dict[bytes, bytes] = {}
 
     @staticmethod
     def value(encoding) -> bytes:
         return np.array(encoding.ids, "<u4").tobytes()
 
+    def learn(self, words: set[bytes]) -> dict:
+        if not self.lower:
+            return super().learn(words)
+        tokenize, bytes_of, found, other = self.encoder.model.tokenize, self.BYTES, {}, set()
+        for w in words:
+            m = PLAIN.fullmatch(w.decode())
+            if m is None:
+                other.add(w)
+                continue
+            letters, marks = m.groups()
+            if not letters.isascii():
+                letters = "".join(map(bytes_of.__getitem__, letters.encode()))
+            ids = [x.id for x in tokenize(letters)] if letters else []
+            if marks:
+                ids += [x.id for x in tokenize(marks)]
+            found[w] = pack(f"<{len(ids)}I", *ids)
+        return found | super().learn(other)
+
     def words(self, text: str) -> list[bytes]:
         raw = text.encode()
         # the tokenizer lowers case itself; special tokens are matched before that, so their texts stay
@@ -51,11 +89,12 @@ class WordIds(WordLengths):
     def __call__(self, texts: list[str]) -> list[bytes]:
         words = [self.words(t) for t in texts]
         got = [list(map(self.known.get, w)) for w in words]
-        new = {w for ws, ns in zip(words, got) if None in ns for w, n in zip(ws, ns) if n is None}
-        found = self.learn(new)
+        missed = {w for ws, ns in zip(words, got) if None in ns for w, n in zip(ws, ns) if n is None}
+        found = {w: n for w in missed if (n := self.older.get(w)) is not None}
+        found |= self.learn(missed - found.keys())
         out = [b"".join(ns if None not in ns else [found[w] if n is None else n for w, n in zip(ws, ns)]) for ws, ns in zip(words, got)]
         if len(self.known) + len(found) > self.most:
-            self.known = {}
+            self.older, self.known = self.known, {}  # words in use come back from the older half
         self.known |= {w: n for w, n in found.items() if len(w) <= self.longest}
         return out
 
@@ -70,7 +109,11 @@ def encoder(path: str):
             tok = load(path)
             ids = lambda t: tok.encode(t, add_special_tokens=False).ids
             same = all(ids(chr(c)) == ids(chr(c).lower()) for c in range(65, 91)) and ids("AbCXYZ") == ids("abcxyz")
-            _WORDS[path] = WordIds(tok, lower=same)
+            words = WordIds(tok, lower=same)
+            samples = ["thonne", "über.,", "café***", "ß!!", ")(", "naïve|", "a", "_", "x--"]
+            if same and any(words.learn({w.encode()})[w.encode()] != WordIds.value(tok.encode(w, add_special_tokens=False)) for w in samples):
+                words = WordIds(tok)  # another pre-tokeniser: every word through all of the library's steps
+            _WORDS[path] = words
         return _WORDS[path]
     tok = load(path)
     return lambda texts: [WordIds.value(tok.encode(t, add_special_tokens=False)) for t in texts]
