@@ -108,12 +108,12 @@ def corpus_file_facts(spark, sf_dir):
 
 def corpus_coverage(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return Code(t).coverage(t)
+    return Code(t).coverage(t).fillna(-1, ["git_pct", "route_pct"])  # -1: not available
 
 
 def corpus_evidence(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return facts.evidence_records(Code(t).coverage(t)).select("repo_id", "evidence_type", "status", "coverage_pct", "confidence_pct")
+    return facts.evidence_records(Code(t).coverage(t)).select("repo_id", "evidence_type", "status", "coverage_pct", "confidence_pct").fillna(-1, ["coverage_pct"])
 
 
 def corpus_health(spark, sf_dir):

@@ -71,12 +71,12 @@ FROM inv WHERE py""",
 SELECT repo_id, path, '/' || ty AS route, 'POST' AS method, path || ':h' AS handler FROM inv WHERE py AND ok AND z % 2 = 1
 UNION ALL SELECT repo_id, path, '/r', 'GET,PUT', path || ':g' FROM inv WHERE py AND ok AND k % 4 = 0""",
     "corpus_file_facts": "SELECT * FROM ff",
-    "corpus_coverage": "SELECT repo_id, n_files, ast_pct, dep_pct, git_pct, route_pct, overall_pct, confidence_pct FROM cov",
+    "corpus_coverage": "SELECT repo_id, n_files, ast_pct, dep_pct, coalesce(git_pct, -1) AS git_pct, coalesce(route_pct, -1) AS route_pct, overall_pct, confidence_pct FROM cov",
     "corpus_evidence": """
 SELECT repo_id, 'ast' AS evidence_type, 'available' AS status, ast_pct AS coverage_pct, confidence_pct FROM cov
 UNION ALL SELECT repo_id, 'dependency', 'available', dep_pct, confidence_pct FROM cov
-UNION ALL SELECT repo_id, 'git', CASE WHEN git_pct IS NULL THEN 'unavailable' ELSE 'available' END, git_pct, confidence_pct FROM cov
-UNION ALL SELECT repo_id, 'route', CASE WHEN route_pct IS NULL THEN 'unavailable' ELSE 'available' END, route_pct, confidence_pct FROM cov""",
+UNION ALL SELECT repo_id, 'git', CASE WHEN git_pct IS NULL THEN 'unavailable' ELSE 'available' END, coalesce(git_pct, -1), confidence_pct FROM cov
+UNION ALL SELECT repo_id, 'route', CASE WHEN route_pct IS NULL THEN 'unavailable' ELSE 'available' END, coalesce(route_pct, -1), confidence_pct FROM cov""",
     "corpus_health": """
 SELECT repo_id, count(*) AS n_files,
   CAST(least(greatest((300000 - least(600 * sum(function_count + 2 * class_count), 60000) - least(1000 * sum(import_count), 45000)
