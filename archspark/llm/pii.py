@@ -8,12 +8,14 @@ entities. Corpus co-occurrence then tells which other terms reveal an entity: wi
 
 is the information that term t discloses about entity e, and IC(e) = log2(N / n(e)) is all there
 is to disclose. A term is disclosive if PMI >= ``share`` * IC(e) with at least ``support``
-documents in which they stand together. Terms are generalised to their class in the sanitised
-text; entities are removed.
+documents in which they stand together. A term that is disclosive for some entity is marked wherever
+it stands, in every text, with the entity or without it. Terms are generalised to their class in the
+sanitised text; entities are removed.
 
 Only the pairs of an entity with the few words around it are counted, so the pair table grows with
 the entities found and not with the words of the corpus; n(t) is then counted over all documents
-for the terms of those pairs. A bit map of fixed size keeps other words from leaving a task.
+for the terms of those pairs. A bit map of fixed size keeps other words from leaving a task; the
+words that pass it are held against the terms themselves by a join.
 Copies are no evidence: n(e) and n(e, t) count distinct texts. Texts are never shuffled.
 """
 
@@ -40,6 +42,7 @@ LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 KINDS = ("email", "ip", "card", "phone")
 #: bits of the map of terms
 BITS = 1 << 24
+SPANS = "array<struct<start int, k int, end int>>"
 WORD = re.compile(r"[^\W\d_]{3,}")
 
 
@@ -99,20 +102,43 @@ def _bit(term: str) -> int:
     return xxhash.xxh64_intdigest(term) % BITS
 
 
-def _bit_map(terms: DataFrame) -> np.ndarray:
-    """BITS bits, set for the given terms; at most BITS / 64 rows reach the driver."""
+def _digest(text: str) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(text), "big", signed=True)
+
+
+def _bit_map(rows: DataFrame) -> np.ndarray:
+    """BITS bits, set for the given terms (or digests); at most BITS / 64 rows reach the driver."""
     def run(batches):
         for batch in batches:
-            at = [_bit(t) for t in batch.column(0).to_pylist()]
+            at = [_bit(x) if isinstance(x, str) else x % BITS for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([b >> 6 for b in at], pa.int64()), pa.array([b & 63 for b in at], pa.int32())], names=["w", "b"])
 
     one = F.expr("bit_or(shiftleft(1L, b))").alias("m")
     out = np.zeros(BITS // 64, np.int64)
-    for r in terms.mapInArrow(run, "w long, b int").groupBy("w").agg(one).collect():
+    for r in rows.mapInArrow(run, "w long, b int").groupBy("w").agg(one).collect():
         out[r["w"]] = r["m"]
     return out.view(np.uint64)
 
 
+def _holds(bits: np.ndarray, at: int) -> bool:
+    return bool(int(bits[at >> 6]) >> (at & 63) & 1)
+
+
+class _Terms:
+    """Words of texts -> the terms they are, if the bit map has them; remembers words."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.known = bits, {}
+
+    def __getitem__(self, word: str) -> str | None:
+        if word not in self.known:
+            if len(self.known) > 500_000:
+                self.known = {}
+            term = word.lower()
+            self.known[word] = term if _holds(self.bits, _bit(term)) else None
+        return self.known[word]
+
+
 def _term_counts(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
     """(term, nt): documents that hold each of the given terms."""
     sent = docs.sparkSession.sparkContext.broadcast(_bit_map(terms))
@@ -143,6 +169,45 @@ def _sums(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
 
 
+def outside(text: str, spans: list[tuple[int, int, int]]):
+    """Words (start, end, word) of the text between the spans."""
+    at = 0
+    for start, end in [*((s, e) for s, _, e in sorted(spans)), (len(text), len(text))]:
+        if start > at:
+            yield from ((m.start(), m.end(), m.group()) for m in WORD.finditer(text, at, start))
+        at = max(at, end)
+
+
+def _everywhere(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
+    """(digest, more): the spans of all given terms in all texts that hold one, once for each distinct text."""
+    sent = docs.sparkSession.sparkContext.broadcast(_bit_map(terms))
+
+    def run(batches):
+        term_of, done = _Terms(sent.value), set()
+        for batch in batches:
+            rows = []
+            for text in batch.column(0).to_pylist():
+                if not text or all(term_of[w] is None for w in set(WORD.findall(text))):
+                    continue
+                digest = _digest(text)
+                if digest in done:
+                    continue
+                if len(done) < 100_000:
+                    done.add(digest)
+                places: dict[str, list] = {}
+                for a, b, w in outside(text, base_spans(text)):
+                    if (t := term_of[w]) is not None:
+                        places.setdefault(t, []).append({"start": a, "k": 4, "end": b})
+                rows += [(digest, t, at) for t, at in places.items()]
+            cols = list(zip(*rows)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], spots)], names=["digest", "term", "at"])
+
+    spots = pa.list_(pa.struct([("start", pa.int32()), ("k", pa.int32()), ("end", pa.int32())]))
+    found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, f"digest long, term string, at {SPANS}")
+    once = found.groupBy("digest", "term").agg(F.first("at").alias("at")).join(terms, "term", "left_semi")
+    return once.groupBy("digest").agg(F.flatten(F.collect_list("at")).alias("more"))  # places of one text
+
+
 def _found(docs: DataFrame, reach: int, id_col: str, text_col: str) -> DataFrame:
     """id, digest of the text, base spans, and the words near each entity; texts are left behind."""
     def make():
@@ -150,7 +215,7 @@ def _found(docs: DataFrame, reach: int, id_col: str, text_col: str) -> DataFrame
             digest, base, near = [], [], []
             for text in texts.to_pylist():
                 spans = base_spans(text) if text else []
-                digest.append(int.from_bytes(xxhash.xxh64_digest(text), "big", signed=True) if spans else None)
+                digest.append(_digest(text) if text else None)
                 base.append([{"start": s, "k": k, "end": e} for s, k, e in spans])
                 near.append([{"entity": f"{KINDS[k]}:{text[s:e]}", "words": [{"term": w, "start": a, "end": b} for a, b, w in around]}
                              for (s, k, e), around in zip(spans, contexts(text, spans, reach) if spans else [])])
@@ -180,22 +245,20 @@ def find_personal_data(docs: DataFrame, *, reach: int = 4, share: float = 0.5, s
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, base and spans (arrays of start, k, end) for every row of ``docs``.
 
-    k counts the kinds email, ip, card, phone; 4 is a disclosive term. Offsets are code points,
-    ends exclusive. Null and empty texts have no spans; repeated rows each get their row, as one
+    k counts the kinds email, ip, card, phone; 4 is a disclosive term, at every place where it stands
+    outside the base spans. Offsets are code points, ends exclusive. Null and empty texts have no spans; repeated rows each get their row, as one
     text in the statistics; an empty table gives an empty result. Other columns are not read.
     """
     found = _found(docs, reach, id_col, text_col)
     some = found.filter(F.size("base") > 0)
     near = some.select("digest", F.explode("near").alias("x")).select("digest", "x.entity", "x.words").distinct()
     terms = disclosive_terms(docs, near, share=share, support=support, text_col=text_col)
-    words = near.select("digest", "entity", F.explode("words").alias("w")).select("digest", "entity", "w.*")
-    more = (words.join(terms.select("entity", "term"), ["entity", "term"])
-            .groupBy("digest").agg(F.collect_set(F.struct("start", F.lit(4).alias("k"), "end")).alias("more")))  # few words around each entity of one text
-    joined = some.join(more, "digest", "left")
-    kind = "array<struct<start int, k int, end int>>"
-    spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(kind))))
-    none = found.filter(F.size("base") == 0).select(id_col, "base", F.col("base").alias("spans"))
-    return joined.select(id_col, "base", spans.cast(kind).alias("spans")).unionByName(none)
+    # stored, so that the join deals it anew and can split the rows of a text with many copies
+    more = cut_lineage(_everywhere(docs, cut_lineage(terms.select("term").distinct()), text_col))
+    joined = found.filter("digest IS NOT NULL").drop("near").join(more, "digest", "left")
+    spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPANS))))
+    none = found.filter("digest IS NULL").select(id_col, "base", F.col("base").alias("spans"))
+    return joined.select(id_col, "base", spans.cast(SPANS).alias("spans")).unionByName(none)
 
 
 def sanitise(text: str, spans: list[tuple[int, int, int]]) -> str:

@@ -311,6 +311,17 @@ def test_disclosive_terms(frame):
     assert not pii.find_personal_data(frame([], "doc_id long, text string")).collect()
 
 
+def test_disclosive_terms_are_marked_in_every_text(frame):
+    rows = [(i, f"ordinary words here and then lines {'x' * i}") for i in range(40)]
+    rows += [(100 + i, f"please reach Zanzibarius at zan@home.example.org {'q' * 9 * i}") for i in range(3)]
+    far = "zan@home.example.org " + "ordinary words here and then lines " * 9
+    rows += [(200, "today ZANZIBARIUS came, zanzibarius left"), (201, far + "Zanzibarius"), (202, "xZanzibarius zan@zanzibarius.org")]
+    got = {r.doc_id: [(x.start, x.k, x.end) for x in r.spans] for r in pii.find_personal_data(frame(rows, "doc_id long, text string")).collect()}
+    assert got[200] == [(6, 4, 17), (24, 4, 35)]
+    assert (len(far), 4, len(far) + 11) in got[201]
+    assert got[202] == [(13, 0, 32)] and not got[0]  # neither inside a word nor inside an entity
+
+
 def test_random_tokens_are_found_and_words_are_not(frame):
     r = random.Random(1)
     keys = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(40)) for _ in range(60)]
