@@ -16,7 +16,7 @@ Only the pairs of an entity with the few words around it are counted, so the pai
 the entities found and not with the words of the corpus; n(t) is then counted over all documents
 for the terms of those pairs. A bit map of fixed size keeps other words from leaving a task; the
 words that pass it are held against the terms themselves by a join.
-Copies are no evidence: n(e) and n(e, t) count distinct texts. Texts are never shuffled.
+Copies are no evidence: N and all counts are of distinct texts. Texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -139,34 +139,55 @@ class _Terms:
         return self.known[word]
 
 
-def _term_counts(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
-    """(term, nt): documents that hold each of the given terms."""
-    sent = docs.sparkSession.sparkContext.broadcast(_bit_map(terms))
+def _term_counts(docs: DataFrame, terms: DataFrame, copied: DataFrame, text_col: str) -> DataFrame:
+    """(term, nt): distinct texts that hold each of the given terms; ``copied``: digests of more than one row.
+
+    A text outside the bit map of copied digests is there once and is counted in its task; the few others
+    leave it as (digest, terms) and are counted once for each digest.
+    """
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast((_bit_map(terms), _bit_map(copied)))
 
     def run(batches):
-        bits, seen, known = sent.value, Counter(), {}
+        bits, more_rows = sent.value
+        term_of, seen, done, many = _Terms(bits), Counter(), set(), []
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for w in set(WORD.findall((text or "").lower())):
-                    take = known.get(w)
-                    if take is None:
-                        if len(known) > 500_000:
-                            known = {}
-                        b = _bit(w)
-                        take = known[w] = bool(int(bits[b >> 6]) >> (b & 63) & 1)
-                    if take:
-                        seen[w] += 1
+                if not text:
+                    continue
+                digest = _digest(text)
+                several = _holds(more_rows, digest % BITS)
+                if several and digest in done:
+                    continue
+                held = {t for w in set(WORD.findall(text)) if (t := term_of[w]) is not None}
+                if not several:
+                    seen.update(held)
+                elif held:
+                    many.append((digest, list(held)))
+                    if len(done) < 100_000:
+                        done.add(digest)
+            if many:
+                yield _sums({}, many)
+                many = []
             if len(seen) > 500_000:
-                yield _sums(seen)
+                yield _sums(seen, [])
                 seen = Counter()
-        yield _sums(seen)
+        yield _sums(seen, [])
 
-    parts = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "term string, n long")
-    return parts.groupBy("term").agg(F.sum("n").alias("nt")).join(terms, "term", "left_semi")
+    parts = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "digest long, terms array<string>, n long")
+    # a copy's terms are a function of its digest, so the first row of each digest stands for all
+    once = parts.groupBy("digest", F.when(F.col("digest").isNull(), F.col("terms")[0]).alias("only")).agg(
+        F.first("terms").alias("terms"), F.sum("n").alias("n"))
+    counts = once.select(F.explode("terms").alias("term"), F.when(F.col("digest").isNull(), F.col("n")).otherwise(1).alias("n"))
+    return counts.groupBy("term").agg(F.sum("n").alias("nt")).join(terms, "term", "left_semi")
 
 
-def _sums(seen: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
+def _sums(seen: dict[str, int], many: list[tuple[int, list[str]]]) -> pa.RecordBatch:
+    """Counts of single terms (no digest), and the terms of texts that may have copies."""
+    return pa.RecordBatch.from_arrays([
+        pa.array([None] * len(seen) + [d for d, _ in many], pa.int64()),
+        pa.array([[t] for t in seen] + [t for _, t in many], pa.list_(pa.string())),
+        pa.array([*seen.values(), *(1 for _ in many)], pa.int64())], names=["digest", "terms", "n"])
 
 
 def outside(text: str, spans: list[tuple[int, int, int]]):
@@ -228,13 +249,13 @@ def _found(docs: DataFrame, reach: int, id_col: str, text_col: str) -> DataFrame
     return cut_lineage(annotate(docs, make, schema, id_col=id_col, text_col=text_col))
 
 
-def disclosive_terms(docs: DataFrame, near: DataFrame, *, share: float, support: int, text_col: str) -> DataFrame:
-    """(entity, term, pmi, ic) of the terms that reveal an entity; ``near`` (digest, entity, words)."""
-    n_docs = float(max(docs.count(), 1))
+def disclosive_terms(docs: DataFrame, near: DataFrame, texts: DataFrame, *, share: float, support: int, text_col: str) -> DataFrame:
+    """(entity, term, pmi, ic) of the terms that reveal an entity; ``near`` (digest, entity, words), ``texts`` (digest, copies)."""
+    n_docs = float(max(texts.count(), 1))
     entities = near.groupBy("entity").agg(F.countDistinct("digest").alias("ne"))
     pairs = near.select("digest", "entity", F.explode("words.term").alias("term"))
     together = cut_lineage(pairs.groupBy("entity", "term").agg(F.countDistinct("digest").alias("net")).filter(F.col("net") >= support))
-    nt = _term_counts(docs, together.select("term").distinct(), text_col)
+    nt = _term_counts(docs, together.select("term").distinct(), texts.filter("copies > 1").select("digest"), text_col)
     pmi = F.log2(F.col("net") * n_docs / (F.col("ne") * F.greatest("nt", "net")))
     ic = F.log2(n_docs / F.col("ne"))
     scored = together.join(entities, "entity").join(nt, "term").select("entity", "term", pmi.alias("pmi"), ic.alias("ic"))
@@ -250,9 +271,10 @@ def find_personal_data(docs: DataFrame, *, reach: int = 4, share: float = 0.5, s
     text in the statistics; an empty table gives an empty result. Other columns are not read.
     """
     found = _found(docs, reach, id_col, text_col)
+    texts = cut_lineage(found.filter("digest IS NOT NULL").groupBy("digest").agg(F.count("*").alias("copies")))
     some = found.filter(F.size("base") > 0)
     near = some.select("digest", F.explode("near").alias("x")).select("digest", "x.entity", "x.words").distinct()
-    terms = disclosive_terms(docs, near, share=share, support=support, text_col=text_col)
+    terms = disclosive_terms(docs, near, texts, share=share, support=support, text_col=text_col)
     # stored, so that the join deals it anew and can split the rows of a text with many copies
     more = cut_lineage(_everywhere(docs, cut_lineage(terms.select("term").distinct()), text_col))
     joined = found.filter("digest IS NOT NULL").drop("near").join(more, "digest", "left")

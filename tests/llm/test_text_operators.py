@@ -322,6 +322,13 @@ def test_disclosive_terms_are_marked_in_every_text(frame):
     assert got[202] == [(13, 0, 32)] and not got[0]  # neither inside a word nor inside an entity
 
 
+def test_copies_are_no_evidence_on_terms(frame):
+    rows = [(i, f"ordinary words {'x' * i} here") for i in range(200)]
+    rows += [(1000 + i, "write Zanzibarius at zan@home.example.org") for i in range(500)] + [(2000, "see Zanzibarius: zan@home.example.org soon")]
+    got = {r.doc_id: [(x.start, x.k, x.end) for x in r.spans] for r in pii.find_personal_data(frame(rows, "doc_id long, text string")).collect()}
+    assert (6, 4, 17) in got[1000] and (4, 4, 15) in got[2000] and not got[0]
+
+
 def test_random_tokens_are_found_and_words_are_not(frame):
     r = random.Random(1)
     keys = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(40)) for _ in range(60)]
