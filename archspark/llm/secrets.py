@@ -11,10 +11,12 @@ from that alphabet:
 
 The smallest of the three p-values, times three, is the token's p-value; random tokens spread
 over (0, 1], words and identifiers fall near 0. Short tokens have weak tests, so false
-discoveries are controlled by length: over the whole corpus the p-values of each (encoding,
-length band) are counted in a histogram; the count above one half estimates the number of
+discoveries are controlled by length: over the whole corpus the p-values of the distinct tokens of
+each (encoding, length band) are counted in a histogram, so a copied token has one vote; the count above one half estimates the number of
 random tokens, and the band's threshold is the smallest p-value at which the estimated share of
-ordinary tokens among those accepted stays below ``fdr``. Spark sums the histograms; the table of
+ordinary tokens among those accepted stays below ``fdr``. Tokens of p below ``UNLIKELY`` have a bin of
+their own, -1: few distinct ordinary tokens pass as a share of many random ones, so this bin is accepted
+only if ``fdr`` holds within it. Spark counts distinct token hashes; the table of
 thresholds is bounded by encodings times bands times bins.
 """
 
@@ -25,6 +27,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,7 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 MARK = "[secret]"
 BINS = 20
+UNLIKELY = 0.001
 BAND = 4
 ALPHABETS = {
     "digit": "0123456789",
@@ -141,37 +145,47 @@ def tested(text: str, base: list[tuple[int, int, int]], shortest: int):
             continue
         kind, written = encoding(token)
         p = randomness(written, kind)
-        yield start, end, kind, min(len(token) // BAND, 64), min(int(p * BINS), BINS - 1)
+        yield start, end, kind, min(len(token) // BAND, 64), min(int(p * BINS), BINS - 1) if p >= UNLIKELY else -1
 
 
 def histogram(docs: DataFrame, shortest: int, text_col: str) -> DataFrame:
-    """(kind, band, bin, n) over the candidates of the whole corpus."""
+    """(kind, band, bin, n) over the distinct candidates of the whole corpus."""
     def run(batches):
-        seen: Counter = Counter()
+        sent: set[int] = set()  # spares rows only: Spark makes the hashes distinct
         for batch in batches:
+            rows = []
             for text in batch.column(0).to_pylist():
-                if text:
-                    seen.update(t[2:] for t in tested(text, base_spans(text), shortest))
-        cols = list(zip(*((*k, n) for k, n in seen.items()))) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])],
-                                         names=["kind", "band", "bin", "n"])
+                if not text:
+                    continue
+                for start, end, *cell in tested(text, base_spans(text), shortest):
+                    h = int.from_bytes(xxhash.xxh64_digest(text[start:end]), "big", signed=True)
+                    if h in sent:
+                        continue
+                    if len(sent) < 200_000:
+                        sent.add(h)
+                    rows.append((h, *cell))
+            cols = list(zip(*rows)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), *(pa.array(c, pa.int64()) for c in cols[2:])],
+                                             names=["h", "kind", "band", "bin"])
 
     small_batches(docs.sparkSession)
-    parts = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "kind string, band long, bin long, n long")
-    return parts.groupBy("kind", "band", "bin").agg(F.sum("n").alias("n"))
+    tokens = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "h long, kind string, band long, bin long").distinct()
+    return tokens.groupBy("kind", "band", "bin").agg(F.count("*").alias("n"))
 
 
 def thresholds(counts: dict[tuple[str, int], list[int]], fdr: float) -> dict[tuple[str, int], int]:
-    """Smallest accepted bin of each (encoding, band); BINS where no bin keeps the rate."""
+    """Smallest accepted bin of each (encoding, band); BINS where no bin keeps the rate. Lists start with bin -1."""
     out = {}
-    for key, n in counts.items():
+    for key, (unlikely, *n) in counts.items():
         random = sum(n[BINS // 2 :]) / 0.5  # random tokens have p-values spread evenly
         out[key] = BINS
         for b in range(BINS // 2, -1, -1):
             taken = sum(n[b:])
-            wrong = max(0.0, taken - random * (BINS - b) / BINS)
+            wrong = max(0.0, taken - random * (1 - max(b / BINS, UNLIKELY)))
             if taken and wrong / taken <= fdr:
                 out[key] = b
+        if out[key] == 0 and unlikely and (unlikely - random * UNLIKELY) / unlikely <= fdr:
+            out[key] = -1
     return out
 
 
@@ -180,12 +194,12 @@ def find_secrets(docs: DataFrame, *, shortest: int = 20, fdr: float = 0.05, id_c
     """id, carried columns, spans (array of start, k, end; code points, end exclusive), redacted text.
 
     k counts the kinds assign, access, hex; 3 is a random token. Spans are sorted by start, then k. Null texts have no spans and
-    stay null; empty texts have none; repeated rows each get their row (and count in the
-    histogram); an empty table gives an empty result. Other columns are not read.
+    stay null; empty texts have none; repeated rows each get their row (and one vote in
+    the histogram); an empty table gives an empty result. Other columns are not read.
     """
     counts: dict[tuple[str, int], list[int]] = {}
-    for r in histogram(docs, shortest, text_col).collect():  # at most 4 encodings x 65 bands x 20 bins
-        counts.setdefault((r["kind"], r["band"]), [0] * BINS)[r["bin"]] = r["n"]
+    for r in histogram(docs, shortest, text_col).collect():  # at most 4 encodings x 65 bands x 21 bins
+        counts.setdefault((r["kind"], r["band"]), [0] * (BINS + 1))[r["bin"] + 1] = r["n"]
     least = thresholds(counts, fdr)
 
     def make():

@@ -344,6 +344,24 @@ def test_random_tokens_are_found_and_words_are_not(frame):
     assert not secrets.find_secrets(frame([], "doc_id long, text string")).collect()
 
 
+def test_copied_tokens_have_one_vote(frame):
+    r = random.Random(3)
+    keys = []
+    while len(keys) < 130:
+        k = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(40))
+        if any(c.isdigit() for c in k):
+            keys.append(k)
+    p = lambda k: secrets.randomness(k, "base64")
+    low, high = next(k for k in keys[100:] if 0.2 < p(k) < 0.4), next(k for k in keys[100:] if p(k) > 0.6)
+    found = []
+    for copies in (1, 400):
+        for token in (low, high):
+            rows = [(i, f"the key {k} is here") for i, k in enumerate(keys[:100])] + [(1000 + i, f"see {token} for more") for i in range(copies)]
+            got = secrets.find_secrets(frame(rows, "doc_id long, text string")).filter("doc_id < 100 AND size(spans) > 0")
+            found.append(sorted(x.doc_id for x in got.collect()))
+    assert found[:2] == found[2:] and len(found[0]) > 70
+
+
 # ------------------------------------------------------------------ sharding (9)
 
 def test_sharding_query(spark):
