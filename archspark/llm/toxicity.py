@@ -10,7 +10,8 @@ class). Both back off to the same lowest level: word counts of the whole corpus,
 n counts the class's texts with a bigram, k a word's distinct left neighbours, S the shared
 counts. An expression too rare to tell the classes apart (the two shares of counts that are its differ
 by less than ``z`` standard errors) gives all its mass to the backoff in both models, so
-it gets the same probability from either. A text's score is the logistic of its log-likelihood ratio
+it gets the same probability from either; with ``z`` = 0 every expression counts, smoothed by the discount
+and the backoff alone, which is tried first. A text's score is the logistic of its log-likelihood ratio
 per word; slope, offset and z are fitted on labelled rows that the models have not seen.
 
 The corpus pass sends, from each task, the counts of the model's words; nothing else leaves the
@@ -124,7 +125,7 @@ class Model:
         z = self.slope * self.mean_ratio(*self.ids(texts)) + self.offset
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
-    def choose(self, texts: list[str], labels: list[int], grid: tuple[float, ...] = (4.0, 6.0, 8.0, 10.0, 12.0)) -> None:
+    def choose(self, texts: list[str], labels: list[int], grid: tuple[float, ...] = (0.0, 1.0, 2.0, 4.0, 6.0, 8.0, 10.0, 12.0)) -> None:
         """Fit z, slope and offset on labelled texts the models have not seen (the first z of equals)."""
         y, (ids, n) = np.array(labels, np.float64), self.ids(texts)
         best = None

@@ -54,6 +54,16 @@ def test_toxicity_learns_nothing_from_fold_zero(spark, frame):
     assert all(p == i % 2 for i, _, p, _ in got[0])
 
 
+def test_toxicity_knows_individually_rare_expressions(frame):
+    words = "the of and to in is that for it as was with be by on not he his but at are this have from or".split()
+    docs = [(i, " ".join([words[(i * 7 + j * j) % 25] for j in range(20)] + [("vile" if i % 2 else "kind") + "abcdefghijklmnopqrstuvwxyz"[(i // 2) % 26] + "xyzuvw"[(i // 52) % 6]]))
+            for i in range(1200)]  # 156 expressions of each class, each in about 4 texts
+    got = toxicity.score_toxicity(frame(docs, "doc_id long, text string"), frame([(i, i % 2) for i in range(1200)], "doc_id long, toxic int"))
+    held = [r for r in got.collect() if r.held_out]
+    assert sum(r.predicted for r in held if r.doc_id % 2) > 0.85 * sum(r.doc_id % 2 for r in held)
+    assert sum(r.predicted for r in held if r.doc_id % 2 == 0) < 0.1 * len(held)
+
+
 def test_toxicity_odd_rows(frame):
     none = frame([], "doc_id long, toxic int")
     for labels in (none, frame([(2, None), (4, 1), (4, 0), (None, 1), (3, 7)], "doc_id long, toxic int")):
