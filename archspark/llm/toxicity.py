@@ -2,20 +2,22 @@
 
 Two interpolated Kneser-Ney models, one of toxic and one of ordinary texts, are learnt from a
 bounded sample of labelled rows (``sample_rows`` rows and ``sample_bytes`` bytes of text for each
-class). Both back off to the same lowest level: word counts of the whole corpus, labelled or not.
+class). Both back off to the same lowest level: the continuation counts of the whole corpus, labelled or not.
 
     P(w|v) = max(n(vw) - D, 0) / n(v) + g(v) * P(w)
     P(w)   = max(k(w) - D, 0) / K     + g    * S(w)
 
-n counts the class's texts with a bigram, k a word's distinct left neighbours, S the shared
-counts. An expression too rare to tell the classes apart (the two shares of counts that are its differ
+n counts the class's texts with a bigram, k a word's distinct left neighbours in the class, S the shared
+level: a word's distinct left neighbours in the corpus, of all its pairs. A word that neither class
+has seen gets S times the class's backoff mass from both, so its own S cancels in the ratio. An expression too rare to tell the classes apart (the two shares of counts that are its differ
 by less than ``z`` standard errors) gives all its mass to the backoff in both models, so
 it gets the same probability from either; with ``z`` = 0 every expression counts, smoothed by the discount
 and the backoff alone, which is tried first. A text's score is the logistic of its log-likelihood ratio
 per word; slope, offset and z are fitted on labelled rows that the models have not seen.
 
-The corpus pass sends, from each task, the counts of the model's words; nothing else leaves the
-tasks, and the model that is broadcast is bounded by the sample, not by the corpus.
+The corpus pass sends, from each task, its distinct pairs of neighbouring words as hashes; each bucket of
+hashes is made distinct in one place and counted, so what is gathered grows with the corpus. The model
+that is broadcast is bounded by the sample.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,7 +72,7 @@ class Model:
         return left, left * size + ids
 
     def gather(self, texts: dict[int, list[str]], shared: np.ndarray) -> None:
-        """Counts of the class samples (0, 1); shared: corpus counts of each id, 0 holding all other words."""
+        """Counts of the class samples (0, 1); shared: the corpus's continuation counts of each id, 0 holding all other words."""
         size = len(self.vocab) + 1
         self.base = (shared + 0.5) / (shared.sum() + 0.5 * size)
         self.counts = {}
@@ -182,37 +185,116 @@ def sample(docs: DataFrame, labels: DataFrame, *, sample_rows: int, sample_bytes
     return sorted(zip(*(c.to_pylist() for c in rows.toArrow().columns)))
 
 
-def shared_counts(docs: DataFrame, sent, text_col: str) -> np.ndarray:
-    """Occurrences in the whole corpus of each word of the model; at 0 those of all others."""
-    def run(batches):
-        model = sent.value
-        total = np.zeros(len(model.vocab) + 1, np.int64)
+class _Codes(dict):
+    """Word -> its id in the model, or a 64-bit hash with the top bit set; remembered."""
+
+    def __init__(self, vocab: dict[bytes, int]):
+        super().__init__(vocab)
+        self.vocab = vocab
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > len(self.vocab) + 300_000:
+            self.clear()
+            self.update(self.vocab)
+        code = self[word] = xxhash.xxh64_intdigest(word) | 1 << 63
+        return code
+
+
+#: pairs of neighbours are dealt by so many leading bits of their hash; 8 at least, as the first byte is not sent
+BUCKET_BITS = 10
+
+
+def _packed(key: np.ndarray, word: np.ndarray) -> bytes:
+    """Hashes without their first byte, then the steps of the sorted words by planes of bytes, which compress well."""
+    order = np.argsort(word, kind="stable")
+    steps = np.diff(word[order], prepend=np.int32(0)).astype("<i4")
+    return key[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes() + steps.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(blob) // 11
+    raw = np.frombuffer(blob, np.uint8)
+    key = np.zeros((n, 8), np.uint8)
+    key[:, :7] = raw[: 7 * n].reshape(n, 7)
+    return key.view("<u8")[:, 0], np.cumsum(np.ascontiguousarray(raw[7 * n :].reshape(4, n).T).view("<i4")[:, 0])
+
+
+def shared_counts(docs: DataFrame, vocab: dict[bytes, int], text_col: str, *, most: int = 1 << 21) -> np.ndarray:
+    """Distinct left neighbours in the whole corpus of each word of the model; at 0 the sum of those of all others.
+
+    A text's start is a neighbour too. Tasks send their distinct pairs, by hash; each bucket of hashes is
+    made distinct in one place.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(vocab)
+
+    def pairs(batches):
+        codes, keys, words, held = _Codes(sent.value), [], [], 0
+
+        def rows():
+            first = np.searchsorted(keys[0], np.arange(1, 1 << BUCKET_BITS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS))
+            found = [(b, _packed(k, w)) for b, (k, w) in enumerate(zip(np.split(keys[0], first), np.split(words[0], first))) if len(k)]
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([p for _, p in found], pa.binary())], names=["bucket", "pairs"])
+
         for batch in batches:
-            ids, n = model.ids(batch.column(0).to_pylist())
-            total += np.bincount(ids, minlength=len(total))
-            total[0] -= len(n)  # the ends of texts
+            for text in batch.column(0).to_pylist():
+                w = words_of(text)
+                if not w:
+                    continue
+                code = np.fromiter(map(codes.__getitem__, w), np.uint64, len(w))
+                left = np.zeros_like(code)
+                left[1:] = code[:-1]
+                key = left * np.uint64(0x9E3779B97F4A7C15) ^ code * np.uint64(0xC2B2AE3D27D4EB4F)
+                key = (key ^ key >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+                keys.append(key ^ key >> np.uint64(32))
+                words.append(np.where(code >> np.uint64(63) == 0, code, 0).astype(np.int32))
+                held += len(w)
+            if held > 2 * most:
+                keys, words = _distinct(keys, words)
+                held = len(keys[0])
+                if held > most:
+                    yield rows()
+                    keys, words, held = [], [], 0
+        if keys:
+            keys, words = _distinct(keys, words)
+            yield rows()
+
+    def counts(batches):
+        total, now, keys, words = np.zeros(len(sent.value) + 1, np.int64), None, [], []
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if bucket != now and keys:
+                    total += np.bincount(_distinct(keys, words)[1][0], minlength=len(total))
+                    keys, words = [], []
+                now = bucket
+                key, word = _unpacked(blob)
+                keys.append(key)
+                words.append(word)
+        if keys:
+            total += np.bincount(_distinct(keys, words)[1][0], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["word", "n"])
 
     small_batches(docs.sparkSession)
-    parts = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word int, n long")
-    found = parts.groupBy("word").agg(F.sum("n").alias("n")).toArrow()  # a row for each word of the bounded model
-    out = np.zeros(len(sent.value.vocab) + 1)
+    dealt = docs.select(F.col(text_col).cast("string")).mapInArrow(pairs, "bucket int, pairs binary").repartition("bucket").sortWithinPartitions("bucket")
+    found = dealt.mapInArrow(counts, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()  # a row for each word of the bounded model
+    sent.unpersist()
+    out = np.zeros(len(vocab) + 1)
     out[found["word"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
+def _distinct(keys: list[np.ndarray], words: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    key, at = np.unique(np.concatenate(keys), return_index=True)
+    return [key], [np.concatenate(words)[at]]
+
+
 def learn(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 3000, sample_bytes: int = 24_000_000,
           id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The model; with no rows of one class in the sample it gives every text a low score."""
     rows = sample(docs, labels, sample_rows=sample_rows, sample_bytes=sample_bytes, id_col=id_col, text_col=text_col)
     texts = {p: [t for q, _, t in rows if q == p] for p in range(3)}
     model = Model(sorted({w for p in (0, 1) for t in texts[p] for w in words_of(t)}))
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-    shared = shared_counts(docs, sent, text_col)
-    sent.unpersist()
-    model.gather(texts, shared)
+    model.gather(texts, shared_counts(docs, model.vocab, text_col))
     model.choose(texts[2], [y for q, y, _ in rows if q == 2])
     return model
 

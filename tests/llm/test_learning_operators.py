@@ -64,6 +64,20 @@ def test_toxicity_knows_individually_rare_expressions(frame):
     assert sum(r.predicted for r in held if r.doc_id % 2 == 0) < 0.1 * len(held)
 
 
+def test_toxicity_continuation_counts_of_the_whole_corpus(frame):
+    texts = ["san francisco san francisco", "in San Francisco", "the end of the day", "of the end", None, "", "zebra francisco"] * 3
+    vocab = {b"francisco": 1, b"the": 2, b"end": 3, b"absent": 4}
+    left = {}
+    for t in texts:
+        w = toxicity.words_of(t)
+        for a, b in zip([None, *w], w):
+            left.setdefault(b, set()).add(a)
+    others = sum(len(v) for w, v in left.items() if w not in vocab)
+    docs = frame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert toxicity.shared_counts(docs, vocab, "text").tolist() == [others, *(len(left.get(w, ())) for w in vocab)]
+    assert not toxicity.shared_counts(docs.limit(0), {}, "text").any()
+
+
 def test_toxicity_odd_rows(frame):
     none = frame([], "doc_id long, toxic int")
     for labels in (none, frame([(2, None), (4, 1), (4, 0), (None, 1), (3, 7)], "doc_id long, toxic int")):
