@@ -37,6 +37,9 @@ LANES = 2048
 #: a lower-case word with the marks behind it: the pre-tokeniser parts just these two
 PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]*)([].,!*$&%#|;:?()\"[{}/+=~^@_-]*)")
 
+#: a capital before a character that may compose with it; all marks that do are of U+0300 to U+037F (lead bytes CC and CD)
+MARKED = re.compile(rb"[A-Z][\x80-\xff]").search
+
 
 def _byte_level() -> dict[int, str]:
     """The characters that byte-level models use for bytes: printable ones for themselves, then from U+0100 on."""
@@ -84,7 +87,12 @@ class WordIds(WordLengths):
     def words(self, text: str) -> list[bytes]:
         raw = text.encode()
         # the tokenizer lowers case itself; special tokens are matched before that, so their texts stay
-        return (raw.lower() if self.lower and b"<|" not in raw else raw).split()
+        if not self.lower or b"<|" in raw:
+            return raw.split()
+        if (b"\xcc" in raw or b"\xcd" in raw) and MARKED(raw):
+            # it composes before it lowers, and some capitals lack the composed form: such words stay
+            return [w if MARKED(w) else w.lower() for w in raw.split()]
+        return raw.lower().split()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         words = [self.words(t) for t in texts]

@@ -125,6 +125,15 @@ def test_store_ids_equal_the_library():
         assert np.frombuffer(enc([t])[0], "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_store_ids_of_capitals_with_combining_marks():
+    tok, enc = Tokenizer.from_file(WORD_BPE), token_store.encoder(WORD_BPE)
+    texts = [a + m for a, m in zip("JHTWY", "\u030c\u0331\u0308\u030a\u030a")]
+    texts += [f"Some {chr(c)}{chr(m)}Ab Words" for c in range(65, 91) for m in range(0x300, 0x346)]
+    texts += [f"{chr(c)}\u0591\u030c {chr(c)}\u0323\u0340x" for c in range(65, 91)]
+    for t in texts:
+        assert np.frombuffer(enc([t])[0], "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
 def test_store_query(spark):
     tok, got, start = Tokenizer.from_file(WORD_BPE), result(spark, "op10_token_store"), 0
     for i, t in sorted(texts(spark).items()):
