@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archspark.llm import decontaminate, piece_codec, pii, quality, secrets, sharding, simhash, token_counts, token_store, toxicity
+from archspark.llm import (conversation_repair, decontaminate, piece_codec, pii, prefix_hash, quality, secrets, sharding, simhash,
+                           token_counts, token_store, toxicity, whitening)
 from archspark.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +114,76 @@ def op9_sharding(spark, sf_dir):
 @query
 def op10_token_store(spark, sf_dir):
     return token_store.store_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+@query
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
+@query
+def op12_fingerprints(spark, sf_dir):
+    return prefix_hash.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_conversations(spark, sf_dir):
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def _least(*options: str) -> str:
+    """Least (cost, audit, turns) of the options that exist."""
+    return f"list_sort([{', '.join(options)}], 'ASC', 'NULLS LAST')[1]"
+
+
+def _step(state: str, cost: str, letter: str, turn: str | None) -> str:
+    turns = f"list_append({state}.t, {turn})" if turn else f"{state}.t"
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {turns}}} END"
+
+
+def _stay(state: str, want: str) -> str:
+    """The row kept or rerolled where the grammar wants ``want`` after ``state``."""
+    name = {"u": "user", "a": "assistant"}.get(want)
+    keep = _step(state, "(CASE WHEN broken THEN 5 ELSE 0 END)", "K", "role || ':' || text")
+    change = _step(state, "(CASE WHEN broken THEN 6 ELSE 1 END)", "R", f"'{name}:' || text") if name else "NULL"
+    return f"CASE WHEN NOT forced THEN CASE WHEN ini = '{want}' THEN {keep} ELSE {change} END END"
+
+
+_CONV_STATE = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR[])"
+
+# the same minimum over the four states of the grammar, row by row, instead of an alignment to each length
+ORACLES["op13_conversations"] = f"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+drawn AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT)),
+        lambda h, b: list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384))),
+    4294967295) % 20 AS f FROM keyed),
+damaged AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy,
+    CASE WHEN f = 1 THEN '' WHEN f = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM drawn WHERE f <> 0),
+placed AS (SELECT *, left(role, 1) AS ini, row_number() OVER w AS i,
+    NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS open FROM damaged
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text), copy)),
+judged AS (SELECT *, blank OR again AS forced, open AND NOT blank AND NOT again AS broken,
+    ini || lead(ini) OVER (PARTITION BY conv_id ORDER BY i) AS pair FROM placed),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n,
+    count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (broken) AS truncated,
+    count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id),
+dp AS (SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 't': []}}::{_CONV_STATE} AS q0, NULL::{_CONV_STATE} AS q1,
+    NULL::{_CONV_STATE} AS q2, NULL::{_CONV_STATE} AS q3 FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, {_step('q0', '2', 'D', None)}, {_least(_step('q1', '2', 'D', None), _stay('q0', 's'))},
+    {_least(_step('e2', '2', 'D', None), *(_stay(q, 'u') for q in ('q0', 'q1', 'e3')))},
+    {_least(_step('e3', '2', 'D', None), _stay('e2', 'a'))}
+  FROM (SELECT *, {_least('q3', _step('e2', '5', 'I', "'assistant:'"))} AS e3 FROM (
+    SELECT dp.conv_id, judged.i, q0, q1, q3, role, text, ini, forced, broken,
+      {_least('q2', *(_step(q, '5', 'I', "'user:'") for q in ('q0', 'q1', 'q3')))} AS e2
+    FROM dp JOIN judged ON dp.conv_id IS NOT DISTINCT FROM judged.conv_id AND judged.i = dp.i + 1))),
+ended AS (SELECT conv_id, i, {_least('q0', 'q3', _step('e2', '5', 'I', "'assistant:'"))} AS best FROM (
+    SELECT *, {_least('q2', *(_step(q, '5', 'I', "'user:'") for q in ('q0', 'q1', 'q3')))} AS e2 FROM dp))
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+    coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, best.c::BIGINT AS cost, best.a AS audit,
+    sha256(array_to_string(best.t, chr(10))) AS repaired_sha256
+FROM ended e LEFT JOIN counted c ON e.conv_id IS NOT DISTINCT FROM c.conv_id WHERE e.i = coalesce(c.n, 0)
+"""
