@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from archspark.llm.common import annotate, small_batches
 from archspark.session import cut_lineage
@@ -224,7 +225,7 @@ def common_prefixes(pairs: DataFrame, left: str, right: str, *, at: tuple[int, i
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[*batch.schema.names, name])
 
     small_batches(pairs.sparkSession)
-    return pairs.mapInArrow(run, pairs.schema.add(name, "long"))
+    return pairs.mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
