@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -282,7 +283,19 @@ def test_repair_agrees_with_sql(spark, tmp_path):
     for segment in (256, 7):
         got = repair.repair(df.withColumn("head", df.turn).withColumn("same", df.text).repartition(7), segment).select(*names).collect()
         assert sorted(map(tuple, got), key=repr) == want
-    assert any("I" in r[7] for r in want) and any("R" in r[7] for r in want) and any(r[4] for r in want)
+    assert any("R" in r[7] for r in want) and any(r[4] for r in want)
+
+
+def test_inserted_turns_are_written():
+    """No cheapest audit of whole conversations needs an insert; segments and other costs may."""
+    head = {**dict.fromkeys(repair.COUNTS, 0), "audit": "KIRDI"}
+    batch = pa.RecordBatch.from_pylist([
+        {"conv_id": 1, "head": head, "role": None, "text": None, "times": None},
+        {"conv_id": 1, "head": None, "role": "system", "text": "a", "times": 1},
+        {"conv_id": 1, "head": None, "role": "user", "text": "b\nc", "times": 2}])
+    got = [r for b in repair._digests(iter([batch])) for r in b.to_pylist()]
+    want = "system:a\nuser:\nassistant:b\nc\nuser:"
+    assert [r["repaired_sha256"] for r in got] == [hashlib.sha256(want.encode()).hexdigest()]
 
 
 def test_repair_of_nothing(spark):
