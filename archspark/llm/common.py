@@ -34,6 +34,20 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: what a Python worker remembers between tasks, by operator
+_MEMORY: dict[str, dict] = {}
+
+
+def memory(owner: str) -> dict:
+    """What this worker remembers for an operator; what it remembers for any other is dropped.
+
+    Workers are reused by later stages, so without this they would carry the memories of all operators.
+    """
+    for other in [k for k in _MEMORY if k != owner]:
+        del _MEMORY[other]
+    return _MEMORY.setdefault(owner, {})
+
+
 def annotate(docs: DataFrame, make: Callable[[], Callable[[pa.Array], Sequence]], schema: str, *,
              id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """``id, *carry, *new columns`` for every row of ``docs``.
@@ -56,7 +70,10 @@ def annotate(docs: DataFrame, make: Callable[[], Callable[[pa.Array], Sequence]]
         read.append(F.col(text_col).cast("string").alias("__text"))
     at = len(keep) if len(read) > len(keep) else keep.index(text_col)
 
+    owner = make.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory(owner)
         work = make()
         for batch in batches:
             if not batch.num_rows:

@@ -14,7 +14,7 @@ in that order and remembered for each pair.
 
 A text is cut first where no piece can reach across: before a space mark after another character,
 and around characters that occur in no longer piece. Words recur, so each worker remembers the ids
-of words up to a bounded number. Characters that are no piece become their bytes.
+of words up to a bounded number (about 60 MB with the pairs), and drops them when it turns to another operator. Characters that are no piece become their bytes.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
 
-from archspark.llm.common import annotate
+from archspark.llm.common import annotate, memory
 
 SPACE = "▁"  # the mark that stands for a space
 
@@ -34,7 +34,7 @@ SPACE = "▁"  # the mark that stands for a space
 class PieceCodec:
     """Encoder and decoder for a sentencepiece BPE model with byte fallback and no normalisation."""
 
-    def __init__(self, path: str, known_words: int = 400_000, known_pairs: int = 1_000_000):
+    def __init__(self, path: str, known_words: int = 200_000, known_pairs: int = 250_000):
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -59,7 +59,7 @@ class PieceCodec:
         self.matcher.make_automaton()
         self.most_words, self.most_pairs = known_words, known_pairs
         self.words: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by the two ids in one number
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging its characters in the model's order."""
@@ -77,11 +77,12 @@ class PieceCodec:
 
     def compatible(self, left: str, right: str) -> bool:
         """Whether the two pieces stay as they are when they meet."""
-        found = self.pairs.get((left, right))
+        both = self.ids[left] << 32 | self.ids[right]
+        found = self.pairs.get(both)
         if found is None:
             if len(self.pairs) >= self.most_pairs:
                 self.pairs = {}
-            found = self.pairs[left, right] = self.merged(left + right) == [left, right]
+            found = self.pairs[both] = self.merged(left + right) == [left, right]
         return found
 
     def pieces(self, word: str) -> list[str]:
@@ -150,16 +151,16 @@ class PieceCodec:
 
 #: a run of space marks with what follows up to the next mark or line end; other white space alone
 PARTS = re.compile(f"{SPACE}*[^{SPACE}\\n]+|{SPACE}+|\\n")
-_CODECS: dict[str, PieceCodec] = {}
 
 
 def codec(path: str) -> PieceCodec:
-    if path not in _CODECS:
+    known = memory(__name__)
+    if path not in known:
         c = PieceCodec(path)
         if "\n" in c.joining:
             raise ValueError("only models whose longer pieces hold no line end are supported")
-        _CODECS[path] = c
-    return _CODECS[path]
+        known[path] = c
+    return known[path]
 
 
 def encode_decode(docs: DataFrame, path: str, *, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text",

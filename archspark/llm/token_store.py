@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from archspark.llm import range_coder
-from archspark.llm.common import small_batches
+from archspark.llm.common import memory, small_batches
 from archspark.llm.token_counts import WordLengths, drops_space, load
 from archspark.session import cut_lineage, ensure_checkpoint_dir
 
@@ -107,13 +107,11 @@ class WordIds(WordLengths):
         return out
 
 
-_WORDS: dict[str, WordIds] = {}
-
-
 def encoder(path: str):
     """texts -> ids of each as little-endian 32-bit numbers, exactly as the tokenizers library gives them."""
     if drops_space(path):
-        if path not in _WORDS:
+        known = memory(__name__)
+        if path not in known:
             tok = load(path)
             ids = lambda t: tok.encode(t, add_special_tokens=False).ids
             same = all(ids(chr(c)) == ids(chr(c).lower()) for c in range(65, 91)) and ids("AbCXYZ") == ids("abcxyz")
@@ -121,8 +119,8 @@ def encoder(path: str):
             samples = ["thonne", "über.,", "café***", "ß!!", ")(", "naïve|", "a", "_", "x--"]
             if same and any(words.learn({w.encode()})[w.encode()] != WordIds.value(tok.encode(w, add_special_tokens=False)) for w in samples):
                 words = WordIds(tok)  # another pre-tokeniser: every word through all of the library's steps
-            _WORDS[path] = words
-        return _WORDS[path]
+            known[path] = words
+        return known[path]
     tok = load(path)
     return lambda texts: [WordIds.value(tok.encode(t, add_special_tokens=False)) for t in texts]
 

@@ -16,8 +16,9 @@ and the backoff alone, which is tried first. A text's score is the logistic of i
 per word; slope, offset and z are fitted on labelled rows that the models have not seen.
 
 The corpus pass sends, from each task, its distinct pairs of neighbouring words as hashes; each bucket of
-hashes is made distinct in one place and counted, so what is gathered grows with the corpus. The model
-that is broadcast is bounded by the sample.
+hashes is made distinct in one place and counted, so what is gathered grows with the corpus, and so does
+the number of buckets, a bucket standing for about ``BUCKET_BYTES`` of text. The model that is broadcast
+is bounded by the sample.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from archspark.llm.common import annotate, small_batches
+from archspark.llm.common import annotate, memory, small_batches
 from archspark.session import cut_lineage
 
 #: ASCII letters in lower case and bytes of other characters make words, all else parts them
@@ -167,7 +168,8 @@ def folds(id_col: str):
 def sample(docs: DataFrame, labels: DataFrame, *, sample_rows: int, sample_bytes: int, id_col: str, text_col: str) -> list:
     """(part, toxic, text): parts 0 and 1 are the class samples, part 2 the rows for the fit.
 
-    Rows are taken in the order of a hash of the id up to both bounds; fold 0 gives none.
+    Rows are taken in the order of a hash of the id up to both bounds; fold 0 gives none. A row of more
+    than a tenth of ``sample_bytes`` comes after all shorter ones, so it cannot keep them out.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isin(0, 1)).groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic"))
     part = F.when(folds(id_col) == FOLDS - 1, F.lit(2)).otherwise(F.col("toxic"))
@@ -179,7 +181,7 @@ def sample(docs: DataFrame, labels: DataFrame, *, sample_rows: int, sample_bytes
     picked = cut_lineage(picked)  # at most 3 * sample_rows ids: small enough to broadcast
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     sizes = docs.select(id_col, F.octet_length(text).alias("bytes")).join(F.broadcast(picked), id_col)
-    order = Window.partitionBy("part").orderBy("at", id_col, "bytes")
+    order = Window.partitionBy("part").orderBy(F.col("bytes") > sample_bytes // 10, "at", id_col, "bytes")
     kept = cut_lineage(sizes.withColumn("sum", F.sum("bytes").over(order)).filter(F.col("sum") <= sample_bytes).select(id_col, "toxic", "part").distinct())
     rows = docs.select(id_col, text.alias("text")).join(F.broadcast(kept), id_col).select("part", "toxic", "text")
     return sorted(zip(*(c.to_pylist() for c in rows.toArrow().columns)))
@@ -200,8 +202,8 @@ class _Codes(dict):
         return code
 
 
-#: pairs of neighbours are dealt by so many leading bits of their hash; 8 at least, as the first byte is not sent
-BUCKET_BITS = 10
+#: text of a bucket of pairs; buckets are leading bits of the hash, 8 at least, as the first byte is not sent, and 20 at most
+BUCKET_BYTES = 1 << 21
 
 
 def _packed(key: np.ndarray, word: np.ndarray) -> bytes:
@@ -219,58 +221,93 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return key.view("<u8")[:, 0], np.cumsum(np.ascontiguousarray(raw[7 * n :].reshape(4, n).T).view("<i4")[:, 0])
 
 
+class _Pairs:
+    """Distinct (key, word) pairs in two fixed arrays, sorted by key where asked; one key has one word."""
+
+    def __init__(self, room: int):
+        self.keys, self.words, self.n = np.empty(room, np.uint64), np.empty(room, np.int32), 0
+
+    def add(self, keys: np.ndarray, words: np.ndarray) -> None:
+        self.keys[self.n: self.n + len(keys)], self.words[self.n: self.n + len(keys)] = keys, words
+        self.n += len(keys)
+
+    def distinct(self) -> int:
+        """Sort, drop repeats, both within the arrays; the number left."""
+        order = np.argsort(self.keys[: self.n])
+        self.keys[: self.n] = self.keys[order]
+        self.words[: self.n] = self.words[order]
+        del order
+        first = np.ones(self.n, bool)
+        np.not_equal(self.keys[1: self.n], self.keys[: max(self.n - 1, 0)], out=first[1:])
+        left = int(first.sum())
+        self.keys[:left], self.words[:left] = self.keys[: self.n][first], self.words[: self.n][first]
+        self.n = left
+        return left
+
+
 def shared_counts(docs: DataFrame, vocab: dict[bytes, int], text_col: str, *, most: int = 1 << 21) -> np.ndarray:
     """Distinct left neighbours in the whole corpus of each word of the model; at 0 the sum of those of all others.
 
-    A text's start is a neighbour too. Tasks send their distinct pairs, by hash; each bucket of hashes is
-    made distinct in one place.
+    A text's start is a neighbour too. Tasks send their distinct pairs, by hash, once ``most`` are held; each
+    bucket of hashes is made distinct in one place.
     """
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    bits = min(20, max(8, int(size // BUCKET_BYTES).bit_length()))
     sent = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def pairs(batches):
-        codes, keys, words, held = _Codes(sent.value), [], [], 0
+        memory("toxicity")
+        codes, held = _Codes(sent.value), _Pairs(2 * most)
 
         def rows():
-            first = np.searchsorted(keys[0], np.arange(1, 1 << BUCKET_BITS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS))
-            found = [(b, _packed(k, w)) for b, (k, w) in enumerate(zip(np.split(keys[0], first), np.split(words[0], first))) if len(k)]
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([p for _, p in found], pa.binary())], names=["bucket", "pairs"])
+            keys, words = held.keys[: held.n], held.words[: held.n]
+            first = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+            cuts = np.concatenate(([0], first, [held.n]))
+            full = np.flatnonzero(np.diff(cuts))
+            found = [_packed(keys[cuts[b]: cuts[b + 1]], words[cuts[b]: cuts[b + 1]]) for b in full]
+            held.n = 0
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(found, pa.binary())], names=["bucket", "pairs"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                w = words_of(text)
-                if not w:
-                    continue
-                code = np.fromiter(map(codes.__getitem__, w), np.uint64, len(w))
-                left = np.zeros_like(code)
-                left[1:] = code[:-1]
-                key = left * np.uint64(0x9E3779B97F4A7C15) ^ code * np.uint64(0xC2B2AE3D27D4EB4F)
-                key = (key ^ key >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-                keys.append(key ^ key >> np.uint64(32))
-                words.append(np.where(code >> np.uint64(63) == 0, code, 0).astype(np.int32))
-                held += len(w)
-            if held > 2 * most:
-                keys, words = _distinct(keys, words)
-                held = len(keys[0])
-                if held > most:
-                    yield rows()
-                    keys, words, held = [], [], 0
-        if keys:
-            keys, words = _distinct(keys, words)
+            for text in batch.column(0):
+                w = words_of(text.as_py())
+                for at in range(0, len(w), most):  # a very long text in pieces, each with the word before it
+                    piece = w[max(at - 1, 0): at + most]
+                    code = np.fromiter(map(codes.__getitem__, piece), np.uint64, len(piece))
+                    left = np.zeros_like(code)
+                    left[1:] = code[:-1]
+                    key = left * np.uint64(0x9E3779B97F4A7C15) ^ code * np.uint64(0xC2B2AE3D27D4EB4F)
+                    key = (key ^ key >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+                    own = slice(1 if at else 0, None)
+                    if held.n + len(piece) > 2 * most and held.distinct() > most:
+                        yield rows()
+                    held.add((key ^ key >> np.uint64(32))[own], np.where(code >> np.uint64(63) == 0, code, 0).astype(np.int32)[own])
+        if held.n:
+            held.distinct()
             yield rows()
 
     def counts(batches):
         total, now, keys, words = np.zeros(len(sent.value) + 1, np.int64), None, [], []
+
+        def close():
+            held = _Pairs(sum(map(len, keys)))
+            for k, w in zip(keys, words):
+                held.add(k, w)
+            held.distinct()
+            total[:] += np.bincount(held.words[: held.n], minlength=len(total))
+            keys.clear()
+            words.clear()
+
         for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if bucket != now and keys:
-                    total += np.bincount(_distinct(keys, words)[1][0], minlength=len(total))
-                    keys, words = [], []
+                    close()
                 now = bucket
-                key, word = _unpacked(blob)
+                key, word = _unpacked(blob.as_py())
                 keys.append(key)
                 words.append(word)
         if keys:
-            total += np.bincount(_distinct(keys, words)[1][0], minlength=len(total))
+            close()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["word", "n"])
 
@@ -283,11 +320,6 @@ def shared_counts(docs: DataFrame, vocab: dict[bytes, int], text_col: str, *, mo
     return out
 
 
-def _distinct(keys: list[np.ndarray], words: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    key, at = np.unique(np.concatenate(keys), return_index=True)
-    return [key], [np.concatenate(words)[at]]
-
-
 def learn(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 3000, sample_bytes: int = 24_000_000,
           id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The model; with no rows of one class in the sample it gives every text a low score."""
