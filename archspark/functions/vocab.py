@@ -121,6 +121,11 @@ RISK_DB = "Direct Database Access in Views"
 RISK_TESTS = "Missing Unit Test Coverage"
 RISK_CONFIDENCE = {1: 0.95, 2: 0.99, 3: 0.90, 4: 0.95, 5: 0.88, 6: 0.90}
 
+# FIXED VALUES: evidence sentences of an import cycle; the first is followed by its path, nodes joined by the arrow.
+CYCLE_EVIDENCE = "AST import path forms a dependency loop: "
+CYCLE_ARROW = " -> "
+CYCLE_EFFECT = "Causes class loader coupling and initialization order fragility"
+
 # FIXED VALUES: recommendation per risk title (ordinal, title, advice).
 ADVICE = [
     (1, RISK_OVERSIZED, "Split functions/methods into smaller cohesive sibling modules."),

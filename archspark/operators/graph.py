@@ -1,8 +1,7 @@
 """Import graph operators: resolution, fan-in/out, cycles, depth, blast radius.
 
-Edges are a long table ``(key, src, dst)``. Iterative operators (trimming, SCC coloring, depth) are
-DataFrame loops: one join + aggregate per round, lineage cut with a reliable
-``checkpoint`` into the session's checkpoint folder, stopping when nothing changes.
+Edges are a long table ``(key, src, dst)``. Components and depth come from ``operators/contraction``; loops
+cut their lineage with a reliable ``checkpoint`` into the session's checkpoint folder.
 """
 
 from __future__ import annotations
@@ -10,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from archspark.operators.contraction import SMALL, chain_depths, strongly_connected
 from archspark.operators.frames import fresh as _fresh
 from archspark.session import cut_lineage
 
@@ -56,173 +56,79 @@ def reverse_deps(edges: DataFrame, key: str = "repo_id") -> DataFrame:
     return edges.select(key, F.col("dst").alias("file"), F.col("src").alias("importer")).distinct()
 
 
-def _trim(edges: DataFrame, key: str) -> DataFrame:
-    """Drop nodes that cannot be on a cycle (no remaining in- or out-edge), repeatedly.
+def cycle_components(edges: DataFrame, key: str = "repo_id", stats: dict | None = None, small: int = SMALL) -> DataFrame:
+    """H1 (deterministic contract): nodes that lie on a cycle, with their strongly
+    connected component -> (key, node, component, component_size).
 
-    Degree peeling, semi-naive: degrees are counted once; each round removes the nodes whose
-    in- or out-degree reached zero (flag ``gone``) and decrements only their neighbours, so
-    the edge joins follow the peeled frontier, not the whole graph. The degree table (with
-    flags ``gone`` and ``fresh`` = removed this round) is the only state and is checkpointed
-    once per round.
-    Returns the edges among surviving nodes.
+    ``component`` is the smallest node of the component. Components are found by contraction
+    (``operators/contraction``); all reachable pairs are never materialised. A node is on a
+    cycle when its component has two or more nodes or it has an edge to itself.
     """
-    e = edges.select(key, "src", "dst")
-    outd = e.groupBy(key, F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("outd"))
-    ind = _fresh(e).groupBy(key, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("ind"))
-    nodes = (e.select(key, F.col("src").alias("node")).union(e.select(key, F.col("dst").alias("node"))).distinct())
-    deg = cut_lineage(nodes.join(outd, [key, "node"], "left").join(ind, [key, "node"], "left")
-                      .select(key, "node", F.coalesce("outd", F.lit(0)).alias("outd"),
-                              F.coalesce("ind", F.lit(0)).alias("ind"))
-                      .withColumn("gone", (F.col("outd") == 0) | (F.col("ind") == 0))
-                      .withColumn("fresh", F.col("gone")))
-    while True:
-        # the frontier is a filter of the checkpointed state, so plans stay one round deep
-        frontier = deg.where("fresh")
-        if frontier.isEmpty():
-            break
-        f = _fresh(frontier.select(key, "node"))
-        # an edge u -> v loses its endpoint: v's in-degree drops when u is removed, u's out-degree when v is
-        dec_in = (e.join(f.select(key, F.col("node").alias("src")), [key, "src"])
-                  .groupBy(key, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("d_in")))
-        dec_out = (e.join(f.select(key, F.col("node").alias("dst")), [key, "dst"])
-                   .groupBy(key, F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("d_out")))
-        touched = (dec_in.join(dec_out, [key, "node"], "full_outer")
-                   .select(key, "node", F.coalesce("d_in", F.lit(0)).alias("d_in"),
-                           F.coalesce("d_out", F.lit(0)).alias("d_out")))
-        nd = (_fresh(deg).join(touched, [key, "node"], "left")
-              .select(key, "node", "gone",
-                      F.when(F.col("gone"), F.col("outd")).otherwise(F.col("outd") - F.coalesce("d_out", F.lit(0)))
-                      .alias("outd"),
-                      F.when(F.col("gone"), F.col("ind")).otherwise(F.col("ind") - F.coalesce("d_in", F.lit(0)))
-                      .alias("ind")))
-        fresh = ~F.col("gone") & ((F.col("outd") == 0) | (F.col("ind") == 0))
-        deg = cut_lineage(nd.select(key, "node", "outd", "ind", (F.col("gone") | fresh).alias("gone"),
-                                    fresh.alias("fresh")))
-    keep = _fresh(deg.where(~F.col("gone")).select(key, "node"))
-    return cut_lineage(e.join(keep.select(key, F.col("node").alias("src")), [key, "src"], "left_semi")
-                       .join(keep.select(key, F.col("node").alias("dst")), [key, "dst"], "left_semi"))
-
-
-def _min_color(nodes: DataFrame, e: DataFrame, key: str) -> DataFrame:
-    """Forward min-label propagation: color(v) = smallest node that reaches v (v included).
-    Semi-naive: a round pushes only the colors that changed in the previous round (flag
-    ``chg`` in the checkpointed state), so the edge join follows the changing frontier and
-    each round costs one checkpoint."""
-    color = cut_lineage(nodes.select(key, "node", F.col("node").alias("color"), F.lit(True).alias("chg")))
-    while True:
-        changed = color.where("chg")
-        if changed.isEmpty():
-            return color.drop("chg")
-        inc = (e.join(_fresh(changed.select(key, F.col("node").alias("src"), F.col("color").alias("c"))), [key, "src"])
-               .groupBy(key, F.col("dst").alias("node")).agg(F.min("c").alias("c")))
-        color = cut_lineage(color.join(inc, [key, "node"], "left")
-                            .select(key, "node", F.least("color", F.coalesce("c", "color")).alias("color"),
-                                    F.coalesce(F.col("c") < F.col("color"), F.lit(False)).alias("chg")))
-
-
-def _reach_root(color: DataFrame, e: DataFrame, key: str) -> DataFrame:
-    """Backward search from each color's root (the node whose color is itself) over edges whose
-    two ends share that color: the nodes reached form the root's strongly connected component."""
-    c_src = _fresh(color.select(key, F.col("node").alias("src"), F.col("color").alias("cs")))
-    c_dst = _fresh(color.select(key, F.col("node").alias("dst"), F.col("color").alias("cd")))
-    same = cut_lineage(e.join(c_src, [key, "src"]).join(c_dst, [key, "dst"])
-                       .where(F.col("cs") == F.col("cd")).select(key, "src", "dst", F.col("cs").alias("c")))
-    reached = cut_lineage(color.where(F.col("node") == F.col("color"))
-                          .select(key, "node", F.col("color").alias("c"), F.lit(True).alias("new")))
-    while True:
-        frontier = reached.where("new")
-        if frontier.isEmpty():
-            return reached.drop("new")
-        step = (same.join(_fresh(frontier.select(key, F.col("node").alias("dst"), "c")), [key, "dst", "c"])
-                .select(key, F.col("src").alias("node"), "c").distinct()
-                .join(_fresh(reached.select(key, "node", "c")), [key, "node", "c"], "left_anti"))
-        reached = cut_lineage(reached.select(key, "node", "c", F.lit(False).alias("new"))
-                              .unionByName(step.select(key, "node", "c", F.lit(True).alias("new"))))
-
-
-def strongly_connected(edges: DataFrame, key: str = "repo_id") -> DataFrame:
-    """Every strongly connected component by the coloring method, without a closure:
-    (1) color each node with the smallest node that reaches it; (2) a node whose color is
-    itself is the smallest node of its component, which is exactly the set of same-colored
-    nodes that reach it; (3) remove the components found and repeat on the rest.
-    Memory stays linear in nodes + edges. -> (key, node, component)"""
     e = cut_lineage(edges.select(key, "src", "dst").distinct())
-    nodes = cut_lineage(e.select(key, F.col("src").alias("node")).union(e.select(key, F.col("dst").alias("node")))
-                        .distinct())
-    found = None
-    while not nodes.isEmpty():
-        color = _min_color(nodes, e, key)
-        comp = _reach_root(color, e, key).select(key, "node", F.col("c").alias("component"))
-        found = comp if found is None else cut_lineage(found.unionByName(comp))
-        nodes = cut_lineage(nodes.join(_fresh(comp.select(key, "node")), [key, "node"], "left_anti"))
-        keep = _fresh(nodes.select(key, "node"))
-        e = cut_lineage(e.join(keep.select(key, F.col("node").alias("src")), [key, "src"], "left_semi")
-                        .join(keep.select(key, F.col("node").alias("dst")), [key, "dst"], "left_semi"))
-    if found is None:
-        return nodes.select(key, "node", F.col("node").alias("component"))
-    return found
+    comp = strongly_connected(e, key, stats, small)
+    sizes = _fresh(comp).groupBy(key, "component").agg(F.count(F.lit(1)).alias("component_size"))
+    loops = (_fresh(e).where(F.col("src") == F.col("dst")).select(key, F.col("src").alias("node"))
+             .join(_fresh(comp.select(key, "node")), [key, "node"], "left_anti"))
+    return (comp.join(sizes, [key, "component"]).select(key, "node", "component", "component_size")
+            .unionByName(loops.select(key, "node", F.col("node").alias("component"), F.lit(1).cast("long").alias("component_size"))))
 
 
-def cycle_components(edges: DataFrame, key: str = "repo_id") -> DataFrame:
-    """H1 (deterministic contract): nodes that lie on a cycle, with their strongly
-    connected component -> (key, node, component, component_size).
+def simple_cycles(edges: DataFrame, max_length: int, key: str = "repo_id") -> DataFrame:
+    """H1(b): every simple cycle of at most ``max_length`` edges, once, from its smallest node on
+    -> (key, cycle, length); ``cycle`` lists its nodes, the first one not repeated.
 
-    ``component`` is the smallest node of the component. The graph is first trimmed of
-    nodes that cannot be on a cycle; components are then found by the coloring method
-    (``strongly_connected``), which never materialises all reachable pairs. A node is on a
-    cycle when its component has two or more nodes or it has an edge to itself.
+    Paths are grown from each node over larger nodes of its component only. For every start the fewest
+    edges that lead back from each node are found first (backwards, a round for each edge), and a
+    path is only extended to nodes from which the start is still within reach, so no path is grown
+    that all walks of the rest's length would have to leave open.
     """
-    # materialise the input once, so the loops below never recompute its upstream plan
-    core = _trim(cut_lineage(edges.select(key, "src", "dst").distinct()), key)
-    comp = strongly_connected(core, key)
-    sizes = _fresh(comp).groupBy(key, "component").agg(F.count(F.lit(1)).alias("component_size"))
-    loops = core.where(F.col("src") == F.col("dst")).select(key, F.col("src").alias("node"), F.lit(True).alias("_self"))
-    return (comp.join(sizes, [key, "component"]).join(loops, [key, "node"], "left")
-            .where((F.col("component_size") > 1) | F.col("_self").isNotNull())
-            .select(key, "node", "component", "component_size"))
+    e = cut_lineage(edges.select(key, "src", "dst").distinct())
+    comp = cut_lineage(strongly_connected(e, key))
+    of = _fresh(comp)
+    inner = (e.join(of.select(key, F.col("node").alias("src"), F.col("component").alias("cs")), [key, "src"])
+             .join(_fresh(comp).select(key, F.col("node").alias("dst"), F.col("component").alias("cd")), [key, "dst"])
+             .where("cs = cd AND src <> dst").select(key, "src", "dst"))
+    inner = cut_lineage(inner)
+    # fewest edges from v back to start, over nodes larger than start
+    home = cut_lineage(_fresh(inner).where("src > dst").select(key, F.col("dst").alias("start"), F.col("src").alias("v"), F.lit(1).alias("back")))
+    for step in range(2, max_length):
+        last = home.where(F.col("back") == step - 1)
+        if last.isEmpty():
+            break
+        new = (_fresh(last).join(_fresh(inner).select(key, F.col("src").alias("u"), F.col("dst").alias("v")), [key, "v"]).where("u > start")
+               .select(key, "start", F.col("u").alias("v")).distinct()
+               .join(_fresh(home.select(key, "start", "v")), [key, "start", "v"], "left_anti"))
+        home = cut_lineage(home.unionByName(new.withColumn("back", F.lit(step))))
+    steps = cut_lineage(_fresh(inner).where("dst > src").select(key, F.col("src").alias("start"), F.col("dst").alias("v"))
+                        .join(_fresh(home), [key, "start", "v"]).where(F.col("back") < max_length)
+                        .select(key, "start", F.array("start", "v").alias("cycle"), "v", "back"))
+    loops = _fresh(e).where("src = dst").select(key, F.array("src").alias("cycle"))
+    found, paths = loops, steps
+    for length in range(2, max_length + 1):
+        found = found.unionByName(_fresh(paths).where("back = 1").select(key, "cycle"))
+        if length == max_length or paths.isEmpty():
+            break
+        grown = (_fresh(paths).drop("back").join(_fresh(inner).select(key, F.col("src").alias("v"), F.col("dst").alias("w")), [key, "v"])
+                 .where("w > start AND NOT array_contains(cycle, w)")
+                 .join(_fresh(home).select(key, "start", F.col("v").alias("w"), "back"), [key, "start", "w"])
+                 .where(F.col("back") <= max_length - length))
+        paths = cut_lineage(grown.select(key, "start", F.array_append("cycle", F.col("w")).alias("cycle"), F.col("w").alias("v"), "back"))
+    return found.select(key, "cycle", F.size("cycle").cast("long").alias("length"))
 
 
-def dependency_depth(edges: DataFrame, nodes: DataFrame | None = None, key: str = "repo_id",
-                     max_rounds: int | None = None) -> DataFrame:
+def dependency_depth(edges: DataFrame, nodes: DataFrame | None = None, key: str = "repo_id", stats: dict | None = None,
+                     small: int = SMALL) -> DataFrame:
     """H2: number of nodes on the longest import chain from each node (a leaf is 1).
 
-    Cycles are collapsed to their component, which weighs its node count. Relaxation
-    ``depth(c) = w(c) + max depth(successor)`` runs on the condensed DAG until stable.
+    Cycles are collapsed to their component, which weighs its node count; the heaviest chains of the
+    condensed graph are found by rake and compress (``operators/contraction``).
     -> (key, node, depth)
     """
-    e = cut_lineage(edges.select(key, "src", "dst").distinct())
+    depth = chain_depths(edges, key, stats, small)
     if nodes is None:
-        nodes = e.select(key, F.col("src").alias("node")).union(e.select(key, F.col("dst").alias("node"))).distinct()
-    comps = cycle_components(e, key).select(key, "node", "component")
-    node_comp = (nodes.select(key, "node").distinct().join(comps, [key, "node"], "left")
-                 .select(key, "node", F.coalesce("component", "node").alias("c")))
-    node_comp = cut_lineage(node_comp)
-    weight = node_comp.groupBy(key, "c").agg(F.count(F.lit(1)).alias("w"))
-    src_c = _fresh(node_comp.select(key, F.col("node").alias("src"), F.col("c").alias("cs")))
-    dst_c = _fresh(node_comp.select(key, F.col("node").alias("dst"), F.col("c").alias("cd")))
-    dag = (e.join(src_c, [key, "src"]).join(dst_c, [key, "dst"]).where(F.col("cs") != F.col("cd"))
-           .select(key, "cs", "cd").distinct())
-    dag = cut_lineage(dag)
-    # semi-naive relaxation: a round recomputes only the predecessors of components whose
-    # depth changed in the previous round (flag ``chg``); one checkpoint per round
-    depth = cut_lineage(weight.select(key, "c", "w", F.col("w").alias("depth"), F.lit(True).alias("chg")))
-    rounds = 0
-    while True:
-        changed = depth.where("chg")
-        if changed.isEmpty() or (max_rounds is not None and rounds >= max_rounds):
-            break
-        rounds += 1
-        preds = (dag.join(_fresh(changed.select(key, F.col("c").alias("cd"))), [key, "cd"])
-                 .select(key, F.col("cs").alias("c")).distinct())
-        succ = (dag.join(_fresh(preds.select(key, F.col("c").alias("cs"))), [key, "cs"])
-                .join(_fresh(depth.select(key, F.col("c").alias("cd"), F.col("depth").alias("dd"))), [key, "cd"])
-                .groupBy(key, F.col("cs").alias("c")).agg(F.max("dd").alias("m")))
-        depth = cut_lineage(_fresh(depth).join(succ, [key, "c"], "left")
-                            .select(key, "c", "w",
-                                    F.greatest("depth", F.col("w") + F.coalesce("m", F.lit(0))).alias("depth"),
-                                    F.coalesce(F.col("w") + F.col("m") > F.col("depth"), F.lit(False)).alias("chg")))
-    return (node_comp.join(_fresh(depth.select(key, "c", "depth")), [key, "c"])
-            .select(key, "node", F.col("depth").cast("bigint").alias("depth")))
+        return depth
+    return (_fresh(nodes.select(key, "node").distinct()).join(_fresh(depth), [key, "node"], "left")
+            .select(key, "node", F.coalesce("depth", F.lit(1)).cast("bigint").alias("depth")))
 
 
 def within_hops(edges: DataFrame, hops: int, key: str = "repo_id") -> DataFrame:

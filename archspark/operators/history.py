@@ -8,9 +8,10 @@ Scale notes
 * E1/E2 are single aggregations with a distinct inside; Spark plans them with one
   shuffle on the grouping key after a map-side partial aggregate.
 * D8 (pairs within a commit) is quadratic in the commit size by definition. The files of a
-  commit are dealt into blocks of about ``block_files``; each pair of blocks is one row with two
-  bounded arrays, whose pairs are generated in place. One plan serves all sizes: an ordinary
-  commit is a single row, a giant one spreads over many tasks. Nothing is dropped or capped.
+  giant commit are dealt into blocks of about ``block_files``; each pair of blocks is one row with two
+  bounded arrays, whose pairs are generated in place. An ordinary commit is a single row, a giant
+  one spreads over many tasks. Nothing is dropped or capped; where thresholds follow (C12), pairs of
+  giant commits that cannot reach them are not generated.
 * Pairs are generated once (``a < b``), counted with a partial aggregate, and
   mirrored afterwards (G5), which halves the shuffled pair volume.
 """
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from archspark.functions import scores, vocab
 from archspark.functions.paths import is_code_file
+from archspark.operators.frames import fresh as _fresh
 
 
 def latest_commits(commits: DataFrame, n: int | None = vocab.LATEST_COMMITS, key: str = "repo_id",
@@ -71,24 +73,58 @@ def file_history(commit_files: DataFrame, key: str = "repo_id", commit: str = "c
             .withColumn("density", scores.density_bucket("commits")))
 
 
-def _blocks(commit_files: DataFrame, key: str, commit: str, path: str, code_only: bool, block_files: int) -> DataFrame:
+def _blocks(commit_files: DataFrame, key: str, commit: str, path: str, code_only: bool, block_files: int,
+            thresholds: tuple[int, int] | None = None) -> DataFrame:
     """One row for each pair of blocks (i <= j) of a commit, with the files of both as bounded arrays.
 
-    A commit's files are dealt into ceil(n / block_files) blocks by a hash, so a commit of ordinary
-    size is one row and a giant one spreads over many; the exchange by (commit, i, j) puts its
-    rows into different tasks. The arrays are sets, so repeated rows count once.
+    A commit of at most ``block_files`` rows is one block. The others (found by a partially aggregated
+    count, so no commit meets in one task) deal their files into blocks by a hash, and each pair of blocks is
+    a row of its own: a giant commit spreads over many tasks. The arrays are sets, so repeated rows count once.
+
+    With ``thresholds`` (least support, percentage to exceed), giant commits are pruned by count: a file below the
+    support (rare) has one chance only, as the other end of a file with so few commits that the joint ones exceed
+    the percentage (lifted). Rare files meet blocks of lifted files (``kind`` rare) and nothing else: a first
+    commit that adds a million files, most of them never touched again, costs what its few living files cost.
     """
     cf = commit_files.select(key, commit, path)
     if code_only:
         cf = cf.where(is_code_file(path))
-    n = F.count(F.lit(1)).over(Window.partitionBy(key, commit))
-    blocks = F.ceil(n / F.lit(block_files)).cast("int")
-    own = cf.withColumn("_k", blocks).withColumn("_b", F.pmod(F.xxhash64(path), F.col("_k")).cast("int"))
-    met = own.select(key, commit, path, "_b", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_o"))
-    met = met.select(key, commit, path, "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
-    of = lambda side: F.array_sort(F.collect_set(F.when(F.col("_b") == F.col(side), F.col(path))))
-    return (met.repartition(key, commit, "_i", "_j").groupBy(key, commit, "_i", "_j")
-            .agg(of("_i").alias("_x"), of("_j").alias("_y")))
+    n_blocks = lambda n: F.ceil(n / F.lit(block_files)).cast("int")
+    giants = cf.groupBy(key, commit).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_files)
+    own = cf.join(_fresh(giants), [key, commit], "left")
+    dealt = lambda k: F.pmod(F.xxhash64(path), k).cast("int")
+    row = lambda kind, i, j, left: F.struct(F.lit(kind).alias("_kind"), i.alias("_i"), j.alias("_j"), left.alias("_left"))
+    zero, yes = F.lit(0), F.lit(True)
+    plain = own.where("_n IS NULL").select(key, commit, path, F.array(row("all", zero, zero, yes)).alias("_to"))
+    big = own.where("_n IS NOT NULL")
+
+    def meets(k):
+        """The block pairs of a file among the ``k`` blocks of its commit."""
+        mine = dealt(k)
+        return F.transform(F.sequence(zero, k - 1), lambda o: row("all", F.least(mine, o), F.greatest(mine, o), mine <= o))
+
+    if thresholds is None:
+        spread = big.select(key, commit, path, meets(n_blocks(F.col("_n"))).alias("_to"))
+    else:
+        support, percent = thresholds
+        chance = max(support - 1, 0)  # joint commits of a rare file at most; the most commits of which they exceed the percentage
+        once = max((t for t in range(1, 200 * chance + 1) if (200 * chance + t) // (2 * t) > percent), default=0)
+        totals = _fresh(cf.groupBy(key, path).agg(F.countDistinct(commit).alias("_t")))
+        big = big.join(totals, [key, path]).select(key, commit, path, (F.col("_t") < support).alias("_rare"),
+                                                   F.col("_t").between(support, once).alias("_lifted"))
+        counts = _fresh(big).groupBy(key, commit).agg(
+            n_blocks(F.count_if(~F.col("_rare"))).alias("_ka"), n_blocks(F.count_if("_lifted")).alias("_kl"), n_blocks(F.count_if("_rare")).alias("_kr"))
+        none = F.array().cast("array<struct<_kind:string,_i:int,_j:int,_left:boolean>>")
+        upto = lambda k: F.when(k > 0, F.sequence(zero, k - 1)).otherwise(F.array().cast("array<int>"))
+        ka, kl, kr = F.col("_ka"), F.col("_kl"), F.col("_kr")
+        lifted = F.transform(upto(kr), lambda o: row("rare", dealt(kl), o, yes))
+        rare = F.transform(upto(kl), lambda o: row("rare", o, dealt(kr), F.lit(False)))
+        spread = big.join(counts, [key, commit]).select(key, commit, path, F.when(F.col("_rare"), rare).otherwise(
+            F.concat(meets(ka), F.when(F.col("_lifted"), lifted).otherwise(none))).alias("_to"))
+    met = plain.unionByName(spread).select(key, commit, path, F.explode("_to").alias("_to")).select(key, commit, path, "_to.*")
+    return (met.groupBy(key, commit, "_kind", "_i", "_j")
+            .agg(F.array_sort(F.collect_set(F.when(F.col("_left"), F.col(path)))).alias("_x"),
+                 F.array_sort(F.collect_set(F.when(~F.col("_left"), F.col(path)))).alias("_y")))
 
 
 def _block_pairs(rows: DataFrame, key: str) -> DataFrame:
@@ -96,7 +132,7 @@ def _block_pairs(rows: DataFrame, key: str) -> DataFrame:
     pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     within = F.transform("_x", lambda a, i: F.transform(F.slice("_x", i + 2, F.size("_x")), lambda b: pair(a, b)))
     across = F.transform("_x", lambda a: F.transform("_y", lambda b: pair(a, b)))
-    pairs = F.flatten(F.when(F.col("_i") == F.col("_j"), within).otherwise(across))
+    pairs = F.flatten(F.when((F.col("_kind") == "all") & (F.col("_i") == F.col("_j")), within).otherwise(across))
     return rows.select(key, F.explode(pairs).alias("_p")).select(key, "_p.a", "_p.b")
 
 
@@ -104,39 +140,49 @@ def cooccurrence(commit_files: DataFrame, key: str = "repo_id", commit: str = "c
                  path: str = "path", code_only: bool = False, block_files: int = 256) -> DataFrame:
     """Joint commit count of each unordered file pair -> (key, a, b, joint) with a < b.
 
-    Exact for every commit size, by one plan; nothing is dropped.
+    Exact for every commit size; nothing is dropped.
     """
     rows = _blocks(commit_files, key, commit, path, code_only, block_files)
     return _block_pairs(rows, key).groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("joint"))
 
 
 def cochange_ratios(commit_files: DataFrame, key: str = "repo_id", commit: str = "commit_id",
-                    path: str = "path", code_only: bool = False, block_files: int = 256) -> DataFrame:
+                    path: str = "path", code_only: bool = False, block_files: int = 256,
+                    thresholds: tuple[int, int] | None = None) -> DataFrame:
     """E3 + G5: directional ratio joint(a,b)/commits(a) for every co-changed pair.
 
-    Pair counts and per-file commit counts come from the same grouping of the commit table.
+    Pair counts and per-file commit counts come from the same grouping of the commit table. With ``thresholds``
+    only the rows that reach them are sure to be there, with right numbers (``_blocks``).
     -> (key, a, b, joint, total_a, pct) with ``pct`` the half-up integer percentage.
     """
-    rows = _blocks(commit_files, key, commit, path, code_only, block_files)
+    rows = _blocks(commit_files, key, commit, path, code_only, block_files, thresholds)
     joint = _block_pairs(rows, key).groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("joint"))
     both = joint.unionByName(joint.select(key, F.col("b").alias("a"), F.col("a").alias("b"), "joint"))
-    files = rows.where("_i = _j").select(key, F.explode("_x").alias("a"))  # a file is in one block of its commit
+    # a file is in one block of its commit; rare files of giant commits, which no ratio needs, are in none
+    files = rows.where("_kind = 'all' AND _i = _j").select(key, F.explode("_x").alias("a"))
     freq = files.groupBy(key, "a").agg(F.count(F.lit(1)).alias("total_a"))
     return (both.join(freq, [key, "a"])
             .withColumn("pct", scores.pct("joint", "total_a"))
             .select(key, "a", "b", "joint", "total_a", "pct"))
 
 
+def thresholded(ratios: DataFrame, min_support: int = vocab.MIN_COMMIT_SUPPORT, min_pct_exclusive: int = vocab.MIN_RATIO_PCT) -> DataFrame:
+    """The ratios of files with enough commits that exceed the percentage."""
+    return ratios.where((F.col("total_a") >= min_support) & (F.col("pct") > min_pct_exclusive))
+
+
 def temporal_matrix(commit_files: DataFrame, key: str = "repo_id", commit: str = "commit_id",
                     path: str = "path", code_only: bool = True,
                     min_support: int = vocab.MIN_COMMIT_SUPPORT,
                     min_pct_exclusive: int = vocab.MIN_RATIO_PCT, **pair_opts) -> DataFrame:
     """E4 + C12: code files only, support >= ``min_support``, rounded ratio > 10 %.
 
-    A file with no surviving partner simply has no rows.
+    A file with no surviving partner simply has no rows. Pairs of giant commits that cannot reach the
+    thresholds are not generated. (A prefix filter, as set-similarity joins have it, would have to keep nine
+    tenths of each file's commits at a ratio of 10 %, so counts decide alone.)
     """
-    r = cochange_ratios(commit_files, key, commit, path, code_only, **pair_opts)
-    return r.where((F.col("total_a") >= min_support) & (F.col("pct") > min_pct_exclusive))
+    r = cochange_ratios(commit_files, key, commit, path, code_only, thresholds=(min_support, min_pct_exclusive), **pair_opts)
+    return thresholded(r, min_support, min_pct_exclusive)
 
 
 def windowed_history(commits: DataFrame, commit_files: DataFrame, n: int | None = vocab.LATEST_COMMITS,

@@ -48,13 +48,13 @@ def affected_tests(files: DataFrame, test_paths: DataFrame, key: str = "repo_id"
             .select(key, "file", "test").distinct())
 
 
-def _risk(df: DataFrame, key: str, detector: int, title, file_col: str, severity, evidence_type: str):
+def _risk(df: DataFrame, key: str, detector: int, title, file_col: str, severity, evidence_type: str, *more: str):
     return df.select(key, F.lit(detector).cast("bigint").alias("detector"),
                      (title if not isinstance(title, str) else F.lit(title)).alias("title"),
                      F.col(file_col).cast("string").alias("file"),
                      (severity if not isinstance(severity, str) else F.lit(severity)).alias("severity"),
                      F.lit(vocab.RISK_CONFIDENCE[detector]).alias("confidence"),
-                     F.lit(evidence_type).alias("evidence_type"))
+                     F.lit(evidence_type).alias("evidence_type"), *more)
 
 
 def risk_oversized(ff: DataFrame, key: str = "repo_id") -> DataFrame:
@@ -74,6 +74,25 @@ def risk_cycles(components: DataFrame, key: str = "repo_id") -> DataFrame:
     return _risk(c, key, 2, vocab.RISK_CYCLE, "component", "High", "dependency")
 
 
+def cycle_path(cycle="cycle"):
+    """A cycle's nodes in order, the first one again at the end, joined by arrows."""
+    names = F.col(cycle).cast("array<string>")
+    return F.array_join(F.array_append(names, names[0]), vocab.CYCLE_ARROW)
+
+
+def risk_cycle_paths(cycles: DataFrame, key: str = "repo_id") -> DataFrame:
+    """R2: one risk per simple cycle (``graph.simple_cycles``), on its smallest file, with its path."""
+    c = cycles.select(key, F.col("cycle")[0].alias("_first"), cycle_path().alias("path"), "length")
+    return _risk(c, key, 2, vocab.RISK_CYCLE, "_first", "High", "dependency", "path", "length")
+
+
+def cycle_evidence(cycles: DataFrame, key: str = "repo_id") -> DataFrame:
+    """R2: the evidence sentences of each cycle -> (key, file, path, ord, evidence)."""
+    c = cycles.select(key, F.col("cycle")[0].cast("string").alias("file"), cycle_path().alias("path"))
+    sentences = F.array(F.concat(F.lit(vocab.CYCLE_EVIDENCE), F.col("path")), F.lit(vocab.CYCLE_EFFECT))
+    return c.select(key, "file", "path", F.posexplode(sentences).alias("ord", "evidence")).withColumn("ord", F.col("ord").cast("long"))
+
+
 def risk_deep(depths: DataFrame, key: str = "repo_id", threshold: int = vocab.DEEP_CHAIN) -> DataFrame:
     """R3."""
     return _risk(depths.where(F.col("depth") > threshold), key, 3, vocab.RISK_DEEP, "node", "Medium", "dependency")

@@ -170,6 +170,33 @@ oracle("supplier_cycles", f"WITH RECURSIVE {SUPP_EDGES}, {CLOSURE} {CYCLES_SELEC
 oracle("dependency_depth", f"WITH RECURSIVE {NATION_EDGES}, {CLOSURE}, {DEPTH}")
 oracle("supplier_depth", f"WITH RECURSIVE {SUPP_EDGES}, {CLOSURE}, {DEPTH}")
 
+
+
+def _simple_cycles(edges: str, longest: int) -> str:
+    """Walks from each node over larger ones, without repeats, closed by an edge back."""
+    return f"""WITH RECURSIVE {edges}, de AS (SELECT DISTINCT repo_id, src, dst FROM e),
+walk(repo_id, start, cur, nodes) AS (
+  SELECT repo_id, src, dst, [src, dst] FROM de WHERE dst > src
+  UNION ALL
+  SELECT w.repo_id, w.start, d.dst, list_append(w.nodes, d.dst) FROM walk w JOIN de d ON d.repo_id = w.repo_id AND d.src = w.cur
+  WHERE d.dst > w.start AND NOT list_contains(w.nodes, d.dst) AND len(w.nodes) < {longest}),
+cyc AS (
+  SELECT w.repo_id, w.start, w.nodes FROM walk w JOIN de d ON d.repo_id = w.repo_id AND d.src = w.cur AND d.dst = w.start
+  UNION ALL SELECT repo_id, src, [src] FROM de WHERE src = dst),
+paths AS (SELECT repo_id, CAST(start AS VARCHAR) AS file, CAST(len(nodes) AS BIGINT) AS length,
+    array_to_string(list_append(nodes, start), ' -> ') AS path FROM cyc)
+"""
+
+
+oracle("nation_simple_cycles", _simple_cycles(NATION_EDGES, 6) + "SELECT repo_id, path, length FROM paths")
+oracle("supplier_simple_cycles", _simple_cycles(SUPP_EDGES, 4) + "SELECT repo_id, path, length FROM paths")
+oracle("cycle_risks", _simple_cycles(NATION_EDGES, 5) + """
+SELECT repo_id, CAST(2 AS BIGINT) AS detector, 'Circular Dependency Loop' AS title, file, 'High' AS severity,
+  CAST(0.99 AS DOUBLE) AS confidence, 'dependency' AS evidence_type, path, length FROM paths""")
+oracle("cycle_risk_evidence", _simple_cycles(NATION_EDGES, 5) + """
+SELECT repo_id, file, path, CAST(0 AS BIGINT) AS ord, 'AST import path forms a dependency loop: ' || path AS evidence FROM paths
+UNION ALL SELECT repo_id, file, path, 1, 'Causes class loader coupling and initialization order fragility' FROM paths""")
+
 BLAST = PART_EDGES.replace("\ne AS (", "\nse AS (") + """,
 tm AS (SELECT repo_id, a, b, pct FROM ratios WHERE total_a >= 2 AND pct > 10),
 fused AS (

@@ -120,6 +120,32 @@ def supplier_depth(spark, sf_dir):
     return graph.dependency_depth(B.supplier_edges(t))
 
 
+@query
+def nation_simple_cycles(spark, sf_dir):
+    """H1(b): every simple cycle of at most six edges of the nation graph, as a path."""
+    cycles = graph.simple_cycles(B.nation_edges(Tables(spark, sf_dir)), 6)
+    return cycles.select("repo_id", risks.cycle_path().alias("path"), "length")
+
+
+@query
+def supplier_simple_cycles(spark, sf_dir):
+    """H1(b): every simple cycle of at most four edges of the supplier graph, as a path."""
+    cycles = graph.simple_cycles(B.supplier_edges(Tables(spark, sf_dir)), 4)
+    return cycles.select("repo_id", risks.cycle_path().alias("path"), "length")
+
+
+@query
+def cycle_risks(spark, sf_dir):
+    """R2: one risk row for each simple cycle of at most five edges, with its path."""
+    return risks.risk_cycle_paths(graph.simple_cycles(B.nation_edges(Tables(spark, sf_dir)), 5))
+
+
+@query
+def cycle_risk_evidence(spark, sf_dir):
+    """R2: the evidence sentences of each of these cycles."""
+    return risks.cycle_evidence(graph.simple_cycles(B.nation_edges(Tables(spark, sf_dir)), 5))
+
+
 def _part_radius(t):
     ratios = history.cochange_ratios(B.part_commits(t))  # one pair count feeds both inputs
     temporal = ratios.where((F.col("total_a") >= 2) & (F.col("pct") > 10))

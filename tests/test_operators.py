@@ -67,6 +67,26 @@ def test_pairs_do_not_depend_on_blocks(spark):
     assert totals["r", "f001"] == 2 and totals["r", "f003"] == 1 and totals["s", "x"] == 2
 
 
+def test_thresholds_prune_giant_commits(spark):
+    """The matrix is that of all pairs; of a giant commit of files that are never touched again no pair is generated."""
+    import random
+    rnd = random.Random(9)
+    rows = [("r", 0, f"f{i:03d}.py") for i in range(150)]  # first commit: everything
+    rows += [("r", c, f"f{rnd.randrange(40) if c % 3 else rnd.randrange(12):03d}.py") for c in range(1, 60) for _ in range(rnd.randrange(1, 5))]
+    rows += [("s", 0, f"g{i}.py") for i in range(50)] + [("r", 3, f"n{i}.md") for i in range(20)]
+    cf = spark.createDataFrame(rows, "repo_id string, commit_id int, path string")
+    for support, percent in ((2, 10), (3, 10), (2, 45), (1, 0), (4, 60)):
+        plain = history.thresholded(history.cochange_ratios(cf, code_only=True), support, percent)
+        want = sorted(map(tuple, plain.collect()))
+        for block in (256, 8):
+            got = history.temporal_matrix(cf, min_support=support, min_pct_exclusive=percent, block_files=block)
+            assert sorted(map(tuple, got.collect())) == want
+    made = lambda th: history._block_pairs(history._blocks(cf, "repo_id", "commit_id", "path", True, 8, th), "repo_id").count()
+    everything, kept = made(None), made((2, 10))
+    # 110 files of the first commit are touched once: they only meet files of at most nine commits
+    assert everything > 11_000 and kept < 0.45 * everything
+
+
 def test_temporal_matrix_golden(spark):
     commits = [(1, ["main.py", "database.py", "models/user.py"]), (2, ["auth.py"]),
                (3, ["api/routes.py", "services/payment.py"]), (4, ["auth.py", "database.py"])]
