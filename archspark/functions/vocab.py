@@ -141,6 +141,28 @@ PLAN_COMPLEXITY = [
     (["redis", "cache"], "Medium"),
 ]
 
+# FIXED VALUES: (steps, checks) of a plan, in the order of PLAN_COMPLEXITY and then for all other goals; {target} is the
+# recommended file, {others} the first two further files it affects.
+PLAN_TEXTS = [
+    (["Review authentication structure inside `{target}`.",
+      "Verify token signatures and signature keys in config files.",
+      "Update dependent controllers: {others} to intercept request credentials."],
+     ["Assert password hashes are salted and not exposed in `{target}`.",
+      "Verify JWT middleware intercepts unauthorized requests."]),
+    (["Identify connection settings and queries in `{target}`.",
+      "Re-point connection contexts to new Cosmos/NoSQL document collections.",
+      "Update schemas and ORM mapping imports in {others}."],
+     ["Verify database connection pool initializes successfully from `{target}`.",
+      "Bench-test partitioned document query latency."]),
+    (["De-reference cache dependencies in `{target}`.",
+      "Implement safe thread-locked fallback storage dictionary."],
+     ["Verify application starts with zero active Redis servers required.",
+      "Assert thread-locked cache eviction runs successfully."]),
+    (["Identify logical targets in `{target}`.",
+      "Verify static import trees before applying structural changes."],
+     ["Verify script builds cleanly on dev environment."]),
+]
+
 # FIXED VALUES: numeric thresholds.
 LATEST_COMMITS = 150
 MIN_COMMIT_SUPPORT = 2

@@ -72,16 +72,15 @@ def target_layers(goal_concepts_df: DataFrame, layer_vocab: DataFrame,
 
 def file_concepts(vocab_df: DataFrame, files: DataFrame, key: str = "repo_id") -> DataFrame:
     """(key, path, concept, in_name) for every vocabulary concept that is a substring of the
-    lower-cased path; substrings up to the longest concept are enumerated per file and
+    lower-cased path; substrings of the lengths that concepts have are enumerated per file and
     equi-joined to the vocabulary (no nested loop over concepts x files). The vocabulary
     is broadcast when a count shows it small, so the enumerated substrings never shuffle;
     only the matches are de-duplicated."""
-    max_len = vocab_df.agg(F.max(F.length("concept"))).first()[0] or 1
+    # lengths that occur: at most as many as the longest concept has characters
+    lens = sorted(r[0] for r in vocab_df.select(F.length("concept")).distinct().collect() if r[0])
     lp = files.select(key, "path", F.lower("path").alias("lp"))
-    subs = (lp.withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(F.length("lp"), F.lit(1)))))
-            .withColumn("_n", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_len),
-                                                                     F.length("lp") - F.col("_i") + 1))))
-            .where(F.col("_n") >= 1)
+    subs = (lp.withColumn("_n", F.explode(F.filter(F.array(*[F.lit(n) for n in lens]).cast("array<int>"), lambda n: n <= F.length("lp"))))
+            .withColumn("_i", F.explode(F.sequence(F.lit(1), F.length("lp") - F.col("_n") + 1)))
             .select(key, "path", F.expr("substring(lp, _i, _n)").alias("concept")))
     vb, _ = bounded_broadcast(vocab_df.select("concept"), 1_000_000)
     hits = subs.join(vb, "concept").distinct()
@@ -100,6 +99,64 @@ def _b3(t: int):
             + F.least(F.col("resp_x"), F.lit(15)) * 2)
 
 
+#: groups of a posting block; step of the goal-independent points by which blocks are told apart (a third of a point)
+BLOCK_GROUPS, POINT_STEP = 256, 45
+
+
+def posting_blocks(groups: DataFrame, key: str, block_groups: int = BLOCK_GROUPS) -> DataFrame:
+    """Posting lists of the concepts in blocks of groups that share all that bounds their scores.
+
+    -> (key, concept, layer, special, n_sig, n_name, u_0, u_1, members): a group of the block matches at most n_sig
+    concepts, n_name of them in names, and has at most u_0 or u_1 goal-independent points; members are (gid, in_name).
+    """
+    up = lambda c: (F.ceil(F.col(c) / POINT_STEP) * POINT_STEP).cast("long")
+    shape = [key, "concept", "layer", "special", "n_sig", "n_name", "u_0", "u_1"]
+    p = groups.select("gid", key, "layer", "special", F.size("sig").alias("n_sig"), F.size(F.filter("sig", lambda c: c["in_name"])).alias("n_name"),
+                      up("b3_0").alias("u_0"), up("b3_1").alias("u_1"), F.explode("sig").alias("c"))
+    p = p.select("gid", F.col("c.in_name").alias("in_name"), F.col("c.concept").alias("concept"), *[c for c in shape if c != "concept"])
+    n = p.groupBy(*shape).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_groups)).alias("_k"))
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"n.{c}")) for c in shape]
+    dealt = p.alias("p").join(_fresh(n).alias("n"), reduce(lambda a, b: a & b, same)).select(
+        *[F.col(f"p.{c}").alias(c) for c in shape], F.pmod(F.xxhash64("p.gid"), F.col("n._k")).alias("_b"), F.struct("p.gid", "p.in_name").alias("x"))
+    return dealt.groupBy(*shape, "_b").agg(F.collect_list("x").alias("members")).drop("_b")
+
+
+def scored_groups(gc: DataFrame, m: DataFrame, tl: DataFrame, groups: DataFrame, k: int, key: str) -> DataFrame:
+    """Matches of goals and groups that can be among a goal's ``k`` best -> (goal_id, gid, key, layer, special, p, q, matched).
+
+    A threshold algorithm: (1) of each concept and repository the ``k`` groups with the most concepts are scored
+    exactly; the goal's k-th best score among them can only rise. (2) Goals meet posting blocks, not groups, on the
+    concept; a block whose greatest possible score is below that threshold is left out with all its groups
+    (equal scores stay, the path decides). A block's bound is the same under each of its groups' concepts, so
+    the matches of a group that stays are complete.
+    """
+    wide = Window.partitionBy(key, "concept").orderBy(F.col("n_name").desc(), F.col("n_sig").desc(), F.col("b3_1").desc(), "gid")
+    heads = (groups.select("gid", key, F.size("sig").alias("n_sig"), F.size(F.filter("sig", lambda c: c["in_name"])).alias("n_name"),
+                           "b3_1", F.explode("sig.concept").alias("concept"))
+             .withColumn("_r", F.row_number().over(wide)).where(F.col("_r") <= k).select("gid", "concept"))
+    own = gc.groupBy("goal_id").agg(F.collect_set("concept").alias("cs"))
+    seeds = gc.select("goal_id", "concept").join(_fresh(heads), "concept").select("goal_id", "gid").distinct()
+    seeds = (seeds.join(_fresh(groups), "gid").join(_fresh(own), "goal_id").join(_fresh(m), "goal_id").join(_fresh(tl), ["goal_id", "layer"], "left"))
+    hit = F.filter("sig", lambda c: F.array_contains("cs", c["concept"]))
+    seeds = (seeds.select("goal_id", key, "d1", "d2", F.size(hit).alias("p"), F.size(F.filter(hit, lambda c: c["in_name"])).alias("q"),
+                          (F.col("special") & F.col("has_ui")).alias("floor22"),
+                          F.when(F.col("t") == 1, F.col("b3_1")).otherwise(F.col("b3_0")).alias("b3"))
+             .withColumn("num", F.expr(_NUM)).withColumn("score", F.expr(_SCORE)))
+    w = Window.partitionBy("goal_id", key).orderBy(F.col("score").desc())
+    least = (seeds.select("goal_id", key, "score").withColumn("_r", F.row_number().over(w)).where(F.col("_r") == k)
+             .select("goal_id", key, F.col("score").alias("least")))
+    met = (gc.select("goal_id", "concept").join(_fresh(posting_blocks(groups, key)), "concept")
+           .join(_fresh(m), "goal_id").join(_fresh(tl), ["goal_id", "layer"], "left").join(_fresh(least), ["goal_id", key], "left"))
+    bound = (met.withColumn("p", F.least("m", "n_sig")).withColumn("q", F.least("m", "n_name"))
+             .withColumn("floor22", F.col("special") & F.col("has_ui"))
+             .withColumn("b3", F.when(F.col("t") == 1, F.col("u_1")).otherwise(F.col("u_0")))
+             .withColumn("num", F.expr(_NUM)).withColumn("most", F.expr(_SCORE)))
+    kept = bound.where(F.col("most") >= F.coalesce("least", F.lit(0))).select("goal_id", key, "layer", "special", "concept", F.explode("members").alias("x"))
+    return (kept.groupBy("goal_id", F.col("x.gid").alias("gid"), key, "layer", "special")
+            .agg(F.count(F.lit(1)).alias("p"), F.sum(F.col("x.in_name").cast("int")).alias("q"),
+                 F.slice(F.array_sort(F.collect_list("concept")), 1, 3).alias("matched")))
+
+
 def candidate_scores(goals: DataFrame, files: DataFrame, file_facts_df: DataFrame, assignments: DataFrame,
                      concepts: DataFrame, stop_words: DataFrame, layer_vocab: DataFrame, layer_names: list[str],
                      k: int = 10, key: str = "repo_id", fallback: str = vocab.FALLBACK_LAYER) -> DataFrame:
@@ -113,9 +170,9 @@ def candidate_scores(goals: DataFrame, files: DataFrame, file_facts_df: DataFram
     1. files -> contained concepts (substring equi join); files with the same concept
        signature, layer, floor-folder flag and goal-independent points form a group and
        have the same score for every goal;
-    2. goals x groups through the concept key; per goal the groups are ranked by their
-       best file and only the top ``k`` groups are expanded (a file in the top k belongs to
-       a group whose best file is in the top k);
+    2. goals x groups through the concept key, by a threshold algorithm over blocks of posting lists
+       (``scored_groups``); per goal the groups are ranked by their best file and only the top ``k``
+       groups are expanded (a file in the top k belongs to a group whose best file is in the top k);
     3. files without a hit compete through the per-layer best ``k`` files under each
        (layer-target, floor) variant.
     -> (goal_id, key, path, layer, score, rank, reasons)
@@ -143,19 +200,15 @@ def candidate_scores(goals: DataFrame, files: DataFrame, file_facts_df: DataFram
     sig = fc.groupBy(key, "path").agg(F.array_sort(F.collect_set(F.struct("concept", "in_name"))).alias("sig"))
     gid = F.sha2(F.to_json(F.struct(F.col(key), "sig", "layer", "special", "b3_0", "b3_1")), 256)
     fg = cut_lineage(f.join(sig, [key, "path"]).withColumn("gid", gid))
-    groups = fg.groupBy("gid").agg(F.first("sig").alias("sig"), F.first("layer").alias("layer"),
-                                   F.first("special").alias("special"), F.first(key).alias(key))
-    group_concepts = groups.select("gid", key, "layer", "special", F.explode("sig").alias("c")) \
-        .select("gid", key, "layer", "special", F.col("c.concept").alias("concept"), F.col("c.in_name").alias("in_name"))
+    groups = fg.groupBy("gid").agg(F.first("sig").alias("sig"), F.first("layer").alias("layer"), F.first("special").alias("special"),
+                                   F.first(key).alias(key), F.first("b3_0").alias("b3_0"), F.first("b3_1").alias("b3_1"))
+    groups = cut_lineage(groups)
     by_path = Window.partitionBy("gid").orderBy("path")  # the files of a group score alike: its first k by path
     gheads = cut_lineage(fg.withColumn("r", F.row_number().over(by_path)).where(F.col("r") <= k)
                          .select("gid", key, "path", "layer", "special", "b3_0", "b3_1", "r"))
 
-    # 2. goals x groups, ranked by each group's best file; expand the top k groups
-    gg = (gc.join(group_concepts, "concept")
-          .groupBy("goal_id", "gid", key, "layer", "special")
-          .agg(F.count(F.lit(1)).alias("p"), F.sum(F.col("in_name").cast("int")).alias("q"),
-               F.slice(F.array_sort(F.collect_list("concept")), 1, 3).alias("matched")))
+    # 2. goals x groups, as far as their bounds reach the goal's k-th best, ranked by each group's best file; expand the top k
+    gg = scored_groups(gc, m, tl, groups, k, key)
     gg = (gg.join(m, "goal_id").join(tl, ["goal_id", "layer"], "left")
           .withColumn("t", F.coalesce("t", F.lit(0)))
           .withColumn("floor22", F.col("special") & F.col("has_ui")))

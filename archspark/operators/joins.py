@@ -33,16 +33,19 @@ def _grams(text, short: bool):
 def gram_join(needles: DataFrame, needle: str, texts: DataFrame, text: str, on: list[str]) -> DataFrame:
     """Distinct (on, needle, text) with the text holding the needle, both in the same ``on`` group.
 
-    One plan for every size: each needle is looked up under the rarest of its three-character
-    pieces (a needle of one or two characters is its own piece), a text under all of its pieces;
+    One plan for every size: each needle is looked up under that of its three-character pieces (a needle of one
+    or two characters is its own piece) which the fewest texts have, a text under all of its pieces;
     the candidates that share a piece are verified. Empty needles never match.
     """
     n = needles.select(*on, F.col(needle).alias("_n")).where(F.length("_n") > 0).distinct()
     pieces = n.select(*on, "_n", F.explode(F.when(F.length("_n") < 3, F.array("_n")).otherwise(_grams(F.col("_n"), False))).alias("_g"))
-    common = pieces.groupBy(*on, "_g").agg(F.count(F.lit(1)).alias("_c"))
-    key = pieces.join(common, [*on, "_g"]).groupBy(*on, "_n").agg(F.min(F.struct("_c", "_g"))["_g"].alias("_g"))
     t = texts.select(*on, F.col(text).alias("_t")).distinct()
     looked = t.select(*on, "_t", F.explode(_grams(F.col("_t"), True)).alias("_g"))
+    common = looked.groupBy(*on, "_g").agg(F.count(F.lit(1)).alias("_c"))
+    # a piece that no text has decides as well: such a needle matches nothing
+    key = (pieces.join(_fresh(common), [*on, "_g"], "left").groupBy(*on, "_n")
+           .agg(F.min(F.struct(F.coalesce("_c", F.lit(0)).alias("_c"), F.col("_g").alias("_g"))).alias("_m"))
+           .where("_m._c > 0").select(*on, "_n", F.col("_m._g").alias("_g")))
     hits = looked.join(key, [*on, "_g"]).where(F.col("_t").contains(F.col("_n")))
     return hits.select(*on, F.col("_n").alias(needle), F.col("_t").alias(text))
 

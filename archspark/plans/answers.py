@@ -1,13 +1,17 @@
 """The content of the answers as long tables: impact lists (K3), ranked radius (F6), nodes of the impact
-graph (H5), measured evidence of risks (R1-R6), related files of an owner (K4) and change plans (K9)."""
+graph (H5), measured evidence of risks (R1-R6), related files and routes of an owner (K4), the brief (K1), risks and
+routes of what a change affects (D14, D15), change plans and their steps (K9, J13)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from archspark.functions import vocab
-from archspark.functions.paths import is_entry_point
+from archspark.functions.paths import is_database_file, is_entry_point
+from archspark.operators.facts import evidence_records
 
 
 def impact_lists(edges: DataFrame, cochange: DataFrame | None = None, key: str = "repo_id") -> DataFrame:
@@ -82,3 +86,69 @@ def change_plan(context: DataFrame, companions: DataFrame, key: str = "repo_id")
     near = (ok.join(companions.select(key, "target", "file", "reason", "confidence_pct"), [key, "target"])
             .select("goal_id", key, "file", F.lit("companion").alias("role"), "reason", "confidence_pct", "level"))
     return target.unionByName(near)
+
+
+def layer_routes(assignments: DataFrame, routes: DataFrame, key: str = "repo_id") -> DataFrame:
+    """(key, layer, route, method, handler): routes whose handler's file is in the layer."""
+    r = routes.select(key, F.split("handler", ":")[0].alias("path"), "route", "method", "handler")
+    return r.join(assignments.select(key, "path", "layer"), [key, "path"]).select(key, "layer", "route", "method", "handler")
+
+
+def affected_content(affected: DataFrame, risks_df: DataFrame, routes: DataFrame, key: str = "repo_id") -> DataFrame:
+    """D14 + D15: risks and routes of the files a change affects -> (key, target, file, kind, item, detail).
+
+    affected (key, target, file); an item is a risk's title with its severity, or a route with its method."""
+    a = affected.select(key, "target", "file").distinct()
+    risk = risks_df.select(key, "file", F.lit("risk").alias("kind"), F.col("title").alias("item"), F.col("severity").alias("detail"))
+    route = routes.select(key, F.split("handler", ":")[0].alias("file"), F.lit("route").alias("kind"), F.col("route").alias("item"), F.col("method").alias("detail"))
+    return a.join(risk.unionByName(route), [key, "file"]).select(key, "target", "file", "kind", "item", "detail")
+
+
+def brief(profile: DataFrame, inventory: DataFrame, assignments: DataFrame, risks_df: DataFrame, cov: DataFrame, key: str = "repo_id") -> DataFrame:
+    """K1: the content of the brief of each repository -> (key, section, item, value): project type, entry points,
+    subsystems with their files, databases, risks with their files, confidence, evidence with status and coverage."""
+    none = F.lit(None).cast("string")
+
+    def rows(df, section, item, value=none):
+        return df.select(key, F.lit(section).alias("section"), item.cast("string").alias("item"), value.cast("string").alias("value"))
+
+    per_layer = assignments.groupBy(key, "layer").agg(F.count(F.lit(1)).alias("n"))
+    evidence = evidence_records(cov)
+    parts = [rows(profile, "project type", F.col("project_type")), rows(inventory.where(is_entry_point("path")), "entry point", F.col("path")),
+             rows(per_layer, "subsystem", F.col("layer"), F.col("n")),
+             rows(inventory.where(is_database_file("path")), "database", F.col("path")),
+             rows(risks_df, "risk", F.col("title"), F.col("file")), rows(cov, "confidence", F.col("confidence_pct")),
+             rows(evidence, "evidence", F.concat_ws(" ", "evidence_type", "status"), F.col("coverage_pct"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def plan_steps(goals: DataFrame, affected: DataFrame, key: str = "repo_id") -> DataFrame:
+    """The plan of each goal -> (goal_id, key, complexity, part, ord, text); part is step or check.
+
+    goals (goal_id, key, target, goal): the wording picks the plan (first of auth, database, cache, other);
+    affected (key, target, file): the first two other files by name are named in the step on dependents."""
+    others = (affected.groupBy(key, "target").agg(F.array_join(F.slice(F.array_sort(F.collect_set("file")), 1, 2), ", ").alias("others")))
+    g = goals.join(others, [key, "target"], "left")
+    low = F.lower("goal")
+    said = lambda words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+
+    def fill(texts):
+        """Sentences with the target and the other files put in; one that needs others goes without any."""
+        made = []
+        for text in texts:
+            at = F.replace(F.replace(F.lit(text), F.lit("{target}"), F.col("target")), F.lit("{others}"), F.coalesce("others", F.lit("")))
+            made.append(F.when(F.col("others").isNotNull(), at) if "{others}" in text else at)
+        return F.array_compact(F.array(*made))
+
+    def pick(part):
+        out = None
+        for (words, _), plan in zip(vocab.PLAN_COMPLEXITY, vocab.PLAN_TEXTS):
+            out = F.when(said(words), fill(plan[part])) if out is None else out.when(said(words), fill(plan[part]))
+        return out.otherwise(fill(vocab.PLAN_TEXTS[-1][part]))
+
+    level = F.lit("Low")
+    for words, named in reversed(vocab.PLAN_COMPLEXITY):
+        level = F.when(said(words), named).otherwise(level)
+    rows = [g.select("goal_id", key, level.alias("complexity"), F.lit(name).alias("part"), F.posexplode(pick(i)).alias("ord", "text"))
+            for i, name in enumerate(("step", "check"))]
+    return rows[0].unionByName(rows[1]).withColumn("ord", F.col("ord").cast("long"))

@@ -7,8 +7,9 @@ two engines cannot disagree on rounding.
 from __future__ import annotations
 
 from archspark.plans.code_oracles import ORACLES as _CODE_ORACLES
+from archspark.plans.service_oracles import ORACLES as _SERVICE_ORACLES
 
-ORACLES: dict[str, str] = dict(_CODE_ORACLES)
+ORACLES: dict[str, str] = _CODE_ORACLES | _SERVICE_ORACLES
 
 COMMITS = """commits AS (
   SELECT o_orderpriority AS repo_id, o_orderkey AS commit_id, o_orderdate AS commit_ts,

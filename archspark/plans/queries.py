@@ -17,7 +17,7 @@ from archspark.sources import corpus, dims, manifests
 from archspark.plans import answers
 from archspark.plans import bindings as B
 from archspark.plans import code_corpus
-from archspark.plans import reports
+from archspark.plans import reports, service_corpus
 from archspark.sources.tables import Tables
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +28,7 @@ def query(fn):
     return fn
 
 
-REGISTRY |= code_corpus.QUERIES
+REGISTRY |= code_corpus.QUERIES | service_corpus.QUERIES
 
 
 # ---------------------------------------------------------------- history
