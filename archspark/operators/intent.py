@@ -2,9 +2,8 @@
 
 Goals are a table ``(goal_id, goal)``; every goal is answered in the same job.
 
-Concept hits (a concept is a substring of a file path) are found with an exact equi
-join: every substring of each lower-cased path up to the longest concept is
-enumerated once per file and joined to the distinct concept vocabulary, so no
+Concept hits (a concept is a substring of a file path) are found by one pass of the
+lower-cased paths through an automaton of the distinct concept vocabulary, so no
 goal x file product is formed. Files without a hit for a goal differ only by a
 per-file base score and by whether their layer is a target of the goal; per layer
 the best ``k`` files under each of those variants are the only ones that can
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from archspark.functions import vocab
 from archspark.functions.paths import basename, extension
 from archspark.operators.frames import fresh as _fresh
-from archspark.operators.joins import bounded_broadcast, contains_join
+from archspark.operators.joins import automaton_join, contains_join, dictionary
 from archspark.session import cut_lineage
 
 WORD_RX = r"[\p{L}\p{N}_]+"
@@ -72,18 +71,15 @@ def target_layers(goal_concepts_df: DataFrame, layer_vocab: DataFrame,
 
 def file_concepts(vocab_df: DataFrame, files: DataFrame, key: str = "repo_id") -> DataFrame:
     """(key, path, concept, in_name) for every vocabulary concept that is a substring of the
-    lower-cased path; substrings of the lengths that concepts have are enumerated per file and
-    equi-joined to the vocabulary (no nested loop over concepts x files). The vocabulary
-    is broadcast when a count shows it small, so the enumerated substrings never shuffle;
-    only the matches are de-duplicated."""
-    # lengths that occur: at most as many as the longest concept has characters
-    lens = sorted(r[0] for r in vocab_df.select(F.length("concept")).distinct().collect() if r[0])
+    lower-cased path: by one automaton of the vocabulary, or, beyond its counted bound, by an equi join on the
+    substrings of the lengths that concepts have (no nested loop over concepts x files either way)."""
     lp = files.select(key, "path", F.lower("path").alias("lp"))
-    subs = (lp.withColumn("_n", F.explode(F.filter(F.array(*[F.lit(n) for n in lens]).cast("array<int>"), lambda n: n <= F.length("lp"))))
-            .withColumn("_i", F.explode(F.sequence(F.lit(1), F.length("lp") - F.col("_n") + 1)))
-            .select(key, "path", F.expr("substring(lp, _i, _n)").alias("concept")))
-    vb, _ = bounded_broadcast(vocab_df.select("concept"), 1_000_000)
-    hits = subs.join(vb, "concept").distinct()
+    words = vocab_df.select("concept").distinct()
+    patterns = dictionary(words, "concept")
+    if patterns is not None:
+        hits = automaton_join(lp, "lp", patterns, "concept").select(key, "path", "concept").distinct()
+    else:
+        hits = contains_join(lp, "lp", words, "concept", max_broadcast_rows=0).select(key, "path", "concept").distinct()
     return hits.select(key, "path", "concept", F.lower(basename("path")).contains(F.col("concept")).alias("in_name"))
 
 

@@ -1,20 +1,30 @@
 """Join helpers shared by the operators: size-checked broadcast and exact substring joins.
 
-A substring join ("text contains needle") has no hash key. When the side that is
-expected to be small is small (checked by a count, not assumed), it is broadcast into
-a nested-loop join. Otherwise the text side is cut into every substring whose length
-equals some needle length, and the join becomes an exact equi join on that substring,
-which Spark shuffles like any other join (and AQE splits if a key is hot).
+A substring join ("text contains needle") has no hash key. Three exact ways, by counted sizes:
+
+* a handful of needles is broadcast into a nested-loop join, which stays in the JVM;
+* dictionaries of up to ``MAX_PATTERN_CHARS`` characters become one Aho-Corasick automaton, broadcast as its
+  patterns; texts pass through it in Arrow batches, in time that follows their length and their hits,
+  not the number of needles, without a shuffle;
+* beyond that the text side is cut into every substring whose length equals some needle length, and the join
+  becomes an equi join on that substring, which Spark shuffles like any other join (and AQE splits if a key is hot).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from importlib.util import find_spec
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from archspark.operators.frames import fresh as _fresh
 
-MAX_BROADCAST_ROWS = 100_000
+#: needles that a nested loop takes; rows of a broadcast dictionary; characters of an automaton's patterns (a node
+#: each at most, some 200 MB in a worker) and of its longest one
+FEW_NEEDLES, MAX_BROADCAST_ROWS, MAX_PATTERN_CHARS = 64, 100_000, 2_000_000
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
@@ -50,6 +60,40 @@ def gram_join(needles: DataFrame, needle: str, texts: DataFrame, text: str, on:
     return hits.select(*on, F.col("_n").alias(needle), F.col("_t").alias(text))
 
 
+def dictionary(needles: DataFrame, needle: str, max_chars: int = MAX_PATTERN_CHARS) -> list[str] | None:
+    """The distinct non-empty needles, if a count shows that an automaton can hold them; else None."""
+    distinct = needles.select(F.col(needle).alias("_n")).where(F.length("_n") > 0).distinct()
+    if find_spec("ahocorasick") is None or (distinct.agg(F.sum(F.length("_n"))).first()[0] or 0) > max_chars:
+        return None
+    return sorted(r[0] for r in distinct.collect())
+
+
+def automaton_join(texts: DataFrame, text_col: str, patterns: list[str], name: str) -> DataFrame:
+    """``texts`` with a column ``name``: one row for each distinct pattern that the text holds. Nulls hold none."""
+    sent = texts.sparkSession.sparkContext.broadcast(patterns)
+    at = texts.columns.index(text_col)
+    schema = T.StructType([*texts.schema.fields, T.StructField(name, T.StringType())])
+    names = schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for p in sent.value:
+            machine.add_word(p, p)
+        machine.make_automaton()
+        for batch in batches:
+            rows, found = [], []
+            for i, text in enumerate(batch.column(at).to_pylist()):
+                hits = {p for _, p in machine.iter(text)} if text and sent.value else ()
+                rows += [i] * len(hits)
+                found += hits
+            out = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(found, pa.string())], names=names)
+
+    return texts.mapInArrow(run, schema)
+
+
 def contains_join(texts: DataFrame, text_col: str, needles: DataFrame, needle_col: str,
                   small: str = "needles", max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Every (texts row, needles row) pair with ``texts[text_col]`` containing
@@ -59,11 +103,13 @@ def contains_join(texts: DataFrame, text_col: str, needles: DataFrame, needle_co
     """
     needles = needles.where(F.length(needle_col) > 0)
     side = needles if small == "needles" else texts
-    b, ok = bounded_broadcast(side, max_broadcast_rows)
+    b, ok = bounded_broadcast(side, min(FEW_NEEDLES, max_broadcast_rows) if small == "needles" else max_broadcast_rows)
     if ok:
         if small == "needles":
             return texts.join(b, F.col(text_col).contains(F.col(needle_col)))
         return needles.join(b, F.col(text_col).contains(F.col(needle_col)))
+    if small == "needles" and (patterns := dictionary(needles, needle_col, MAX_PATTERN_CHARS if max_broadcast_rows else -1)) is not None:
+        return automaton_join(texts, text_col, patterns, needle_col).join(_fresh(needles), needle_col)
     # exact equi-join fallback on enumerated substrings of the needle lengths only; the set of
     # distinct needle lengths is bounded by the longest needle, so it is read as a small list
     lens = sorted(r[0] for r in needles.select(F.length(needle_col)).distinct().collect())

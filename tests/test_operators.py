@@ -87,6 +87,28 @@ def test_thresholds_prune_giant_commits(spark):
     assert everything > 11_000 and kept < 0.45 * everything
 
 
+def test_dictionaries_of_any_size(spark):
+    """Nested loop, automaton and substring join give the same pairs; 100,000 patterns pass in one scan."""
+    import random
+
+    from archspark.operators import joins
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choices("abcdé/_.", k=n))
+    texts = [(i, word(rnd.randrange(0, 40))) for i in range(120)] + [(500, None), (501, "")]
+    t = spark.createDataFrame(texts, "id int, text string")
+    for n in (20, 300):
+        needles = sorted({word(rnd.randrange(1, 5)) for _ in range(n)} | {"", "abcd"})
+        d = spark.createDataFrame([(x, i) for i, x in enumerate(needles)] + [("abcd", -1)], "needle string, ord int")
+        want = sorted((i, x, o) for i, s in texts for o, x in [*enumerate(needles), (-1, "abcd")] if s and x and x in s)
+        for bound in (joins.MAX_BROADCAST_ROWS, 0):
+            got = joins.contains_join(t, "text", d, "needle", max_broadcast_rows=bound).select("id", "needle", "ord")
+            assert sorted(map(tuple, got.collect())) == want
+    many = [f"w{i:05d}x" for i in range(100_000)]
+    d = spark.createDataFrame([(x,) for x in many], "needle string")
+    t = spark.createDataFrame([(i, f"src/w{i % 100_000:05d}x/w{(7 * i) % 100_000:05d}x.py") for i in range(3000)], "id int, text string")
+    assert joins.contains_join(t, "text", d, "needle").count() == sum(1 if i == (7 * i) % 100_000 else 2 for i in range(3000))
+
+
 def test_temporal_matrix_golden(spark):
     commits = [(1, ["main.py", "database.py", "models/user.py"]), (2, ["auth.py"]),
                (3, ["api/routes.py", "services/payment.py"]), (4, ["auth.py", "database.py"])]
