@@ -131,16 +131,41 @@ def dependency_depth(edges: DataFrame, nodes: DataFrame | None = None, key: str
             .select(key, "node", F.coalesce("depth", F.lit(1)).cast("bigint").alias("depth")))
 
 
+def hop_distances(edges: DataFrame, hops: int, key: str = "repo_id") -> DataFrame:
+    """H4: (key, src, dst, hops): the fewest import steps, up to ``hops``, to every file reached (no self pairs).
+
+    A round extends only the pairs found in the round before, and pairs seen earlier are removed from it.
+    """
+    e = cut_lineage(edges.where("src <> dst").select(key, "src", "dst").distinct())
+    seen = e.withColumn("hops", F.lit(1))
+    for step in range(2, hops + 1):
+        last = seen.where(F.col("hops") == step - 1).select(key, "src", F.col("dst").alias("mid"))
+        new = (_fresh(last).join(_fresh(e).select(key, F.col("src").alias("mid"), F.col("dst").alias("to")), [key, "mid"]).where("src <> to")
+               .select(key, "src", F.col("to").alias("dst")).distinct()
+               .join(_fresh(seen.select(key, "src", "dst")), [key, "src", "dst"], "left_anti"))
+        seen = cut_lineage(seen.unionByName(new.withColumn("hops", F.lit(step))))
+    return seen.select(key, "src", "dst", F.col("hops").cast("long").alias("hops"))
+
+
 def within_hops(edges: DataFrame, hops: int, key: str = "repo_id") -> DataFrame:
     """(key, src, dst) for every dst reachable from src in 1..hops import steps (no self pairs)."""
-    e = edges.select(key, "src", "dst").distinct()
-    out, frontier = e, e
-    for _ in range(hops - 1):
-        nxt = _fresh(e.select(key, F.col("src").alias("mid"), F.col("dst").alias("to")))
-        frontier = (frontier.select(key, "src", F.col("dst").alias("mid")).join(nxt, [key, "mid"])
-                    .select(key, "src", F.col("to").alias("dst")).distinct())
-        out = out.unionByName(frontier)
-    return out.where(F.col("src") != F.col("dst")).distinct()
+    return hop_distances(edges, hops, key).select(key, "src", "dst")
+
+
+def reach_estimates(edges: DataFrame, hops: int, key: str = "repo_id", lg_size: int = 12) -> DataFrame:
+    """H4 by sketches: (key, node, reach): about how many files each file reaches within ``hops`` steps, itself aside.
+
+    A file's HyperLogLog sketch of itself is merged into those that import it, once a round, so a round moves at
+    most a sketch (2^lg_size bytes at most, relative error about 1.04 / sqrt(2^lg_size)) for each edge, however many
+    files are reached. ``hop_distances`` counts exactly where the pairs themselves are wanted.
+    """
+    e = cut_lineage(edges.where("src <> dst").select(key, "src", "dst").distinct())
+    nodes = e.select(key, F.col("src").alias("node")).unionAll(e.select(key, F.col("dst").alias("node"))).distinct()
+    own = cut_lineage(nodes.groupBy(key, "node").agg(F.hll_sketch_agg("node", lg_size).alias("sketch")))
+    for _ in range(hops):
+        ahead = e.join(_fresh(own).select(key, F.col("node").alias("dst"), "sketch"), [key, "dst"]).select(key, F.col("src").alias("node"), "sketch")
+        own = cut_lineage(own.unionByName(ahead).groupBy(key, "node").agg(F.hll_union_agg("sketch").alias("sketch")))
+    return own.select(key, "node", (F.hll_sketch_estimate("sketch") - 1).cast("long").alias("reach"))
 
 
 def blast_radius(static_edges: DataFrame, temporal: DataFrame, key: str = "repo_id",

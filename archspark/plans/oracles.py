@@ -198,6 +198,20 @@ oracle("cycle_risk_evidence", _simple_cycles(NATION_EDGES, 5) + """
 SELECT repo_id, file, path, CAST(0 AS BIGINT) AS ord, 'AST import path forms a dependency loop: ' || path AS evidence FROM paths
 UNION ALL SELECT repo_id, file, path, 1, 'Causes class loader coupling and initialization order fragility' FROM paths""")
 
+_HOPS = """hop(repo_id, src, dst, hops) AS (
+  SELECT DISTINCT repo_id, src, dst, 1 FROM e WHERE src <> dst
+  UNION SELECT h.repo_id, h.src, e.dst, h.hops + 1 FROM hop h JOIN e ON e.repo_id = h.repo_id AND e.src = h.dst WHERE h.hops < {n} AND e.dst <> h.src),
+near AS (SELECT repo_id, src, dst, CAST(min(hops) AS BIGINT) AS hops FROM hop GROUP BY ALL)"""
+
+oracle("supplier_hops", f"WITH RECURSIVE {SUPP_EDGES}, {_HOPS.format(n=3)} SELECT * FROM near")
+oracle("blast_radius_two_hops", f"""WITH RECURSIVE {SUPP_EDGES}, {_HOPS.format(n=2)},
+tm AS (SELECT repo_id, a, b, pct FROM ratios WHERE total_a >= 2 AND pct > 10)
+SELECT repo_id, target, file, static, pct, CAST(least((4000 * static + 60 * pct) // 100, 100) AS BIGINT) AS impact_weight,
+  CASE WHEN static = 1 AND pct > 70 THEN 'Tight Coupler (Import & Git)' WHEN static = 1 THEN 'Direct Import' ELSE 'Shadow Coupling (Git History)' END AS relationship
+FROM (SELECT coalesce(s.repo_id, t.repo_id) AS repo_id, coalesce(s.src, t.a) AS target, coalesce(s.dst, t.b) AS file,
+    CAST(CASE WHEN s.src IS NULL THEN 0 ELSE 1 END AS BIGINT) AS static, CAST(coalesce(t.pct, 0) AS BIGINT) AS pct
+  FROM near s FULL OUTER JOIN tm t ON s.repo_id = t.repo_id AND s.src = t.a AND s.dst = t.b)""")
+
 BLAST = PART_EDGES.replace("\ne AS (", "\nse AS (") + """,
 tm AS (SELECT repo_id, a, b, pct FROM ratios WHERE total_a >= 2 AND pct > 10),
 fused AS (

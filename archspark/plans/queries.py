@@ -157,6 +157,20 @@ def blast_radius(spark, sf_dir):
     return _part_radius(Tables(spark, sf_dir))
 
 
+@query
+def supplier_hops(spark, sf_dir):
+    """H4: files within three steps of each file of the supplier graph, with their distance."""
+    return graph.hop_distances(B.supplier_edges(Tables(spark, sf_dir)), 3)
+
+
+@query
+def blast_radius_two_hops(spark, sf_dir):
+    """H4 + D4: the supplier graph's blast radius with imports of imports."""
+    t = Tables(spark, sf_dir)
+    ratios = history.cochange_ratios(B.supplier_commits(t))
+    return graph.blast_radius(B.supplier_edges(t, ratios), history.thresholded(ratios), hops=2)
+
+
 @query
 def global_impact(spark, sf_dir):
     r = _part_radius(Tables(spark, sf_dir))

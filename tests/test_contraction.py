@@ -142,3 +142,21 @@ def test_connected_and_jump(spark):
     got = {r.node: r for r in jump(steps, "repo_id").collect()}
     assert {(v, got[v].nxt, got[v].tail, got[v].ring) for v in (1, 2, 3)} == {(v, 99, 3, False) for v in (1, 2, 3)}
     assert {(v, got[v].low, got[v].ring) for v in (5, 6, 7)} == {(v, 5, True) for v in (5, 6, 7)}
+
+
+def test_hops_and_sketches(spark):
+    rnd = random.Random(6)
+    edges = {(rnd.randrange(300), rnd.randrange(300)) for _ in range(700)}
+    df = spark.createDataFrame([("r", a, b) for a, b in edges], EDGES)
+    near = {v: {v: 0} for e in edges for v in e}
+    for v, found in near.items():
+        for step in (1, 2, 3):
+            for u in [u for u, d in found.items() if d == step - 1]:
+                for a, b in edges:
+                    if a == u:
+                        found.setdefault(b, step)
+    want = {(v, u, d) for v, found in near.items() for u, d in found.items() if u != v}
+    assert {(r.src, r.dst, r.hops) for r in graph.hop_distances(df, 3).collect()} == want
+    count = {v: len(found) - 1 for v, found in near.items()}
+    for r in graph.reach_estimates(df, 3).collect():
+        assert abs(r.reach - count[r.node]) <= max(1, 0.05 * count[r.node])
