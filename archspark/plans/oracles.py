@@ -600,6 +600,17 @@ SELECT DISTINCT CAST(user_id AS VARCHAR) AS repo_id, unnest(list_distinct(list_c
 FROM events
 """)
 
+oracle("manifest_variants", """
+WITH m AS (SELECT CAST(user_id AS VARCHAR) AS repo_id, CAST(event_id AS VARCHAR) AS path, event_id % 5 AS n, event_type, props FROM events)
+SELECT repo_id, path, 'dependencies' AS section, k AS dep, json_extract_string(props, '$."' || k || '"') AS version, NULL::VARCHAR AS reason
+FROM (SELECT *, unnest(json_keys(props)) AS k FROM m WHERE n = 0)
+UNION ALL SELECT repo_id, path, 'devDependencies', event_type, '*', NULL FROM m WHERE n = 0
+UNION ALL SELECT repo_id, path, NULL, NULL, NULL, 'malformed JSON' FROM m WHERE n = 1
+UNION ALL SELECT repo_id, path, 'dependencies', NULL, NULL, 'dependencies is not an object' FROM m WHERE n = 2
+UNION ALL SELECT repo_id, path, 'devDependencies', 'k', '{"v":1}', NULL FROM m WHERE n = 2
+UNION ALL SELECT repo_id, path, NULL, NULL, NULL, 'not an object' FROM m WHERE n = 3
+UNION ALL SELECT repo_id, path, NULL, NULL, NULL, 'empty' FROM m WHERE n = 4""")
+
 oracle("project_type", f"""
 WITH {REQ},
 deps AS (SELECT DISTINCT repo_id, dep FROM req WHERE length(dep) > 0),

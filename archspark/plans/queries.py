@@ -393,6 +393,18 @@ def manifest_json(spark, sf_dir):
     return manifests.dependency_set(manifests.package_json_deps(ev))
 
 
+@query
+def manifest_variants(spark, sf_dir):
+    """Manifests rendered from events, of five kinds by number: sound, cut off, list as section, list, blank."""
+    e, n = Tables(spark, sf_dir).events, F.col("event_id") % 5
+    sound = F.concat(F.lit('{"dependencies": '), F.col("props"), F.lit(', "devDependencies": {"'), F.col("event_type"), F.lit('": "*"}}'))
+    listed = F.concat(F.lit('{"dependencies": ["'), F.col("event_type"), F.lit('"], "devDependencies": {"k": {"v": 1}}}'))
+    content = (F.when(n == 0, sound).when(n == 1, F.concat(F.lit('{"dependencies": '), F.col("props"))).when(n == 2, listed)
+               .when(n == 3, F.concat(F.lit('["'), F.col("event_type"), F.lit('"]'))).otherwise("  "))
+    files = e.select(F.col("user_id").cast("string").alias("repo_id"), F.col("event_id").cast("string").alias("path"), content.alias("content"))
+    return manifests.package_manifests(files)
+
+
 @query
 def project_type(spark, sf_dir):
     t = Tables(spark, sf_dir)

@@ -38,6 +38,33 @@ def package_json_deps(files: DataFrame, content: str = "content", key: str = "re
     return files.select(key, "path", F.explode(keys).alias("dep"))
 
 
+def package_manifests(files: DataFrame, content: str = "content", key: str = "repo_id") -> DataFrame:
+    """A6 with what went wrong: (key, path, section, dep, version, reason), one row for each dependency of any kind of
+    value, and one row with a reason for each manifest or section that yields none.
+
+    Manifests are parsed once into VARIANT; the two sections are taken by path and their entries exploded, so versions
+    that are objects or numbers are kept (as JSON text). Reasons: empty, malformed JSON (repeated keys too),
+    not an object, and <section> is not an object. A section that is absent or null has no row.
+    """
+    spark = files.sparkSession
+    text = F.regexp_replace(F.coalesce(F.col(content).cast("string"), F.lit("")), _WS, "")
+    m = files.select(key, "path", text.alias("_t")).withColumn("_v", F.try_parse_json("_t"))
+    is_object = lambda v: F.schema_of_variant(v).startswith("OBJECT")
+    bad = F.when(F.col("_t") == "", "empty").when(F.col("_v").isNull(), "malformed JSON").when(~is_object(F.col("_v")), "not an object")
+    m = m.withColumn("_bad", bad)
+    none = F.lit(None).cast("string")
+    whole = m.where("_bad IS NOT NULL").select(key, "path", none.alias("section"), none.alias("dep"), none.alias("version"), F.col("_bad").alias("reason"))
+    out = whole
+    for name in ("dependencies", "devDependencies"):
+        s = m.where("_bad IS NULL").select(key, "path", F.try_variant_get("_v", f"$.{name}", "variant").alias("_s"))
+        s = s.where(F.col("_s").isNotNull() & ~F.is_variant_null("_s"))
+        entry = s.where(is_object(F.col("_s"))).lateralJoin(spark.tvf.variant_explode(F.col("_s").outer()))
+        out = out.unionByName(entry.select(key, "path", F.lit(name).alias("section"), F.col("key").alias("dep"), F.col("value").cast("string").alias("version"), none.alias("reason")))
+        out = out.unionByName(s.where(~is_object(F.col("_s"))).select(key, "path", F.lit(name).alias("section"), none.alias("dep"), none.alias("version"),
+                                                                     F.lit(f"{name} is not an object").alias("reason")))
+    return out
+
+
 def dependency_set(deps: DataFrame, key: str = "repo_id") -> DataFrame:
     """Distinct dependencies per repository, long form."""
     return deps.select(key, "dep").distinct()

@@ -253,3 +253,16 @@ def test_store_parses_each_source_once(spark, monkeypatch):
     for name in ("file_facts", "coverage", "risks", "change_impact", "companions"):
         a[name].collect()
     assert counter.value == sum(p.endswith(".py") for p in APP)
+
+
+def test_broken_manifests_are_rows(spark):
+    from archspark.sources import manifests
+    rows = [("r", "a", '{"dependencies": {"x": "1", "y": {"z": [1]}, "n": null}, "devDependencies": null}'), ("r", "b", None), ("r", "c", "{"),
+            ("r", "d", '"text"'), ("r", "e", '{"devDependencies": 5}'), ("r", "f", "{}"), ("r", "g", '{"dependencies": {}}'),
+            ("r", "h", '{"dependencies": {"x": "1"}, "dependencies": {"y": "2"}}')]
+    got = manifests.package_manifests(spark.createDataFrame(rows, "repo_id string, path string, content string")).collect()
+    assert sorted((r.path, r.section, r.dep, r.version, r.reason) for r in got if r.path in "bcdefh") == [
+        ("b", None, None, None, "empty"), ("c", None, None, None, "malformed JSON"), ("d", None, None, None, "not an object"),
+        ("e", "devDependencies", None, None, "devDependencies is not an object"), ("h", None, None, None, "malformed JSON")]
+    assert {r.dep: r.version for r in got if r.path == "a"} == {"n": None, "x": "1", "y": '{"z":[1]}'}
+    assert not [r for r in got if r.path == "f"]
