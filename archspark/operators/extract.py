@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 _DECORATOR = "struct<name:string,called:boolean,first:string,methods:array<string>>"
 SYNTAX_SCHEMA = (
     "repo_id string, path string, parsed boolean, rows array<struct<id:int,within:int,kind:string,name:string,line:int,"
-    f"names:array<string>,calls:array<string>,fields:array<string>,decorators:array<{_DECORATOR}>>>"
+    f"names:array<string>,calls:array<string>,fields:array<string>,decorators:array<{_DECORATOR}>,members:array<struct<kind:string,name:string>>>>"
 )
+#: the same rows one by one, as a table function returns them
+ROW_SCHEMA = ("kind string, name string, line int, names array<string>, calls array<string>, fields array<string>, "
+              f"decorators array<{_DECORATOR}>")
 
 # FIXED VALUES: decorator words that mark an endpoint, words that name its method, model base
 # names and suffixes, field-constructor words, first arguments of methods.
@@ -87,7 +90,9 @@ def syntax_rows(text: str) -> list[dict] | None:
     while todo:
         node, within = todo.pop()
         for row in _rows_of(node):
-            rows.append({"id": len(rows), "within": within, "line": node.lineno, "calls": [], "fields": [], "names": [], "decorators": []} | row)
+            rows.append({"id": len(rows), "within": within, "line": node.lineno, "calls": [], "fields": [], "names": [], "decorators": [], "members": []} | row)
+            if within >= 0:
+                rows[within]["members"].append({"kind": row["kind"], "name": row["name"]})
         # only what stands directly in a class body is within the class
         scope = isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef))
         inner = len(rows) - 1 if scope else -1
@@ -148,7 +153,7 @@ def code_facts(corpus: DataFrame, content: str = "content", python_only: bool =
     of = lambda *kinds: F.filter(rows, lambda r: r["kind"].isin(*kinds))
     classes = F.transform(of("class"), lambda c: F.struct(  # B1
         c["name"].alias("name"), F.transform(c["names"], lambda b: F.element_at(F.split(b, r"\."), -1)).alias("bases"),
-        F.transform(F.filter(rows, lambda r: r["kind"].isin(*defs) & (r["within"] == c["id"])), lambda r: r["name"]).alias("methods"),
+        F.transform(F.filter(c["members"], lambda r: r["kind"].isin(*defs)), lambda r: r["name"]).alias("methods"),
         c["line"].alias("line")))
     plain = F.filter(of(*defs), lambda f: ~F.coalesce(F.get(f["names"], F.lit(0)).isin(SELF_WORDS), F.lit(False))  # B3
                      & ~F.exists(f["decorators"], _is_endpoint))
@@ -163,6 +168,40 @@ def code_facts(corpus: DataFrame, content: str = "content", python_only: bool =
                                                                          c["line"].alias("line"))).alias("models"))
 
 
+class SyntaxRows:
+    """Table function: the syntax rows of one source, none if it does not parse."""
+
+    def eval(self, content):
+        text = bytes(content).decode("utf-8", errors="ignore") if isinstance(content, (bytes, bytearray)) else content or ""
+        for r in syntax_rows(text) or []:
+            decorators = [(d["name"], d["called"], d["first"], d["methods"]) for d in r["decorators"]]
+            yield r["kind"], r["name"], r["line"], r["names"], r["calls"], r["fields"], decorators
+
+
+def fact_rows(corpus: DataFrame, content: str = "content") -> DataFrame:
+    """B1-B5 as one long table -> (repo_id, path, kind, name, line, items), one row for each fact.
+
+    A Python table function yields a file's syntax rows, laterally joined to its file, so no file's facts
+    are ever one nested row; what each row is (an import, a class, a model, a plain function, endpoints) is decided by
+    expressions. Items: an import's module, a class's bases, a model's fields, a function's arguments, an
+    endpoint's path and method.
+    """
+    syntax = F.udtf(SyntaxRows, returnType=ROW_SCHEMA)
+    src = corpus.where(F.col("path").endswith(".py")).select("repo_id", "path", F.col(content).alias("content"))
+    rows = src.lateralJoin(syntax(F.col("content").outer())).drop("content")
+    row = F.struct("kind", "name", "line", "names", "calls", "fields", "decorators")
+    fact = lambda kind, items, line=F.col("line"): F.struct(F.lit(kind).alias("kind"), F.col("name").alias("name"), line.alias("line"), items.alias("items"))
+    kind, ends = F.col("kind"), _endpoints_of(row)
+    bases = F.transform("names", lambda b: F.element_at(F.split(b, r"\."), -1))
+    none = F.array().cast("array<struct<kind:string,name:string,line:int,items:array<string>>>")
+    plain = ~F.coalesce(F.get("names", F.lit(0)).isin(SELF_WORDS), F.lit(False)) & (F.size(ends) == 0)
+    found = (F.when(kind == "import", F.array(fact("import", F.slice(F.split("name", r"\."), 1, 1))))
+             .when(kind == "class", F.concat(F.array(fact("class", bases)), F.when(_is_model(row), F.array(fact("model", F.col("fields")))).otherwise(none)))
+             .when(kind == "def", F.concat(F.when(plain, F.array(fact("function", F.col("names")))).otherwise(none), F.transform(
+                 ends, lambda e: F.struct(F.lit("endpoint").alias("kind"), e["handler"].alias("name"), e["line"].alias("line"), F.array(e["path"], e["method"]).alias("items"))))))
+    return rows.select("repo_id", "path", F.explode(found).alias("f")).select("repo_id", "path", "f.*")
+
+
 def explode_facts(facts: DataFrame, what: str) -> DataFrame:
     """Child table of ``code_facts``: one row per class / function / endpoint / model / import."""
     return facts.select("repo_id", "path", F.explode(what).alias("f")).select("repo_id", "path", "f.*")

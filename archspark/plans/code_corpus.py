@@ -90,6 +90,12 @@ def corpus_code_facts(spark, sf_dir):
         .withColumn("fields0", F.array_join("fields0", ","))
 
 
+def corpus_fact_rows(spark, sf_dir):
+    corpus = code_corpus(Tables(spark, sf_dir)).withColumn("path", paths.normalise("path"))
+    found = extract.fact_rows(corpus.where(~paths.is_ignored("path")))
+    return found.select("repo_id", "path", "kind", "name", F.col("line").cast("long").alias("line"), F.array_join("items", ",").alias("items"))
+
+
 def corpus_path_parts(spark, sf_dir):
     return paths.path_parts(code_corpus(Tables(spark, sf_dir)).select("repo_id", "path"))
 
@@ -146,5 +152,5 @@ def corpus_risk_evidence(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    corpus_code_facts, corpus_path_parts, corpus_imports, corpus_routes, corpus_file_facts, corpus_coverage, corpus_evidence,
+    corpus_code_facts, corpus_fact_rows, corpus_path_parts, corpus_imports, corpus_routes, corpus_file_facts, corpus_coverage, corpus_evidence,
     corpus_health, corpus_oversized, corpus_missing_tests, corpus_affected_tests, corpus_impact_lists, corpus_risk_evidence)}

@@ -65,6 +65,15 @@ SELECT repo_id, path, ok AS parsed, CAST(CASE WHEN ok THEN imports ELSE 0 END AS
   CAST(CASE WHEN ok THEN endpoints ELSE 0 END AS BIGINT) AS n_endpoints, CAST(CASE WHEN ok THEN models ELSE 0 END AS BIGINT) AS n_models,
   CASE WHEN NOT ok OR models = 0 THEN '' WHEN z % 2 = 0 THEN 'tag,f' ELSE 'tag' END AS fields0
 FROM inv WHERE py""",
+    # lines: imports, class, tag, a field if the size is even, two for each method and function, three for each endpoint
+    "corpus_fact_rows": """, src AS (SELECT *, len(ws) AS n, len(ws) + 2 + CASE WHEN z % 2 = 0 THEN 1 ELSE 0 END + 2 * (z % 4) AS b FROM inv WHERE py AND ok AND k IS NOT NULL),
+spot AS (SELECT *, b + 2 * (k % 3) AS h, b + 2 * (k % 3) + 3 * (z % 2) AS g FROM src)
+SELECT repo_id, path, 'import' AS kind, ws[i] AS name, CAST(i AS BIGINT) AS line, ws[i] AS items FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM spot)
+UNION ALL SELECT repo_id, path, 'class', 'C' || k, n + 1, CASE z % 3 WHEN 0 THEN 'Base' WHEN 1 THEN 'object' ELSE 'Model' END FROM spot
+UNION ALL SELECT repo_id, path, 'model', 'C' || k, n + 1, CASE WHEN z % 2 = 0 THEN 'tag,f' ELSE 'tag' END FROM spot WHERE z % 3 <> 1 OR z % 2 = 0
+UNION ALL SELECT repo_id, path, 'function', 'f' || j, b + 1 + 2 * j, 'x' FROM (SELECT *, unnest(range(k % 3)) AS j FROM spot)
+UNION ALL SELECT repo_id, path, 'endpoint', 'h', h + 2, '/' || ty || ',POST' FROM spot WHERE z % 2 = 1
+UNION ALL SELECT repo_id, path, 'endpoint', 'g', g + 2, '/r,GET,PUT' FROM spot WHERE k % 4 = 0""",
     "corpus_path_parts": _PARTS,
     "corpus_imports": "SELECT repo_id, src, dst FROM imp WHERE src <> dst",
     "corpus_routes": """

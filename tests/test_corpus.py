@@ -266,3 +266,17 @@ def test_broken_manifests_are_rows(spark):
         ("e", "devDependencies", None, None, "devDependencies is not an object"), ("h", None, None, None, "malformed JSON")]
     assert {r.dep: r.version for r in got if r.path == "a"} == {"n": None, "x": "1", "y": '{"z":[1]}'}
     assert not [r for r in got if r.path == "f"]
+
+
+def test_facts_of_a_huge_file_take_linear_time(spark):
+    import time
+
+    from archspark.operators import extract
+    text = "".join(f"class C{i}(Base):\n    x = Column(1)\n    def a(self): pass\n    async def b(self): pass\n" for i in range(10_000))
+    df = spark.createDataFrame([("r", "a.py", text.encode()), ("r", "b.py", b"def (")], "repo_id string, path string, content binary")
+    start = time.time()
+    facts = {r.path: r for r in extract.code_facts(df).collect()}
+    assert len(facts["a.py"].classes) == 10_000 and {tuple(c.methods) for c in facts["a.py"].classes} == {("a",)} and not facts["b.py"].parsed
+    rows = extract.fact_rows(df).groupBy("path", "kind").count().collect()
+    assert {(r.path, r.kind): r["count"] for r in rows} == {("a.py", "class"): 10_000, ("a.py", "model"): 10_000}
+    assert time.time() - start < 60
