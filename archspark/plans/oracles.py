@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from archspark.plans.code_oracles import ORACLES as _CODE_ORACLES
 from archspark.plans.service_oracles import ORACLES as _SERVICE_ORACLES
+from archspark.plans.service_oracles import SERVICES as _SERVICES
 
 ORACLES: dict[str, str] = _CODE_ORACLES | _SERVICE_ORACLES
 
@@ -680,6 +681,13 @@ SELECT repo_id, path AS target, path AS node, 'center' AS kind, CAST(100 AS BIGI
 UNION ALL SELECT repo_id, target, file, 'companion', confidence_pct FROM ranked WHERE rank <= 8
 """)
 
+oracle("adjacency_sink", f"WITH {NATION_EDGES} SELECT DISTINCT repo_id, CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst FROM e")
+oracle("commit_logs", """
+SELECT DISTINCT o_orderpriority AS repo_id, CAST(o_orderkey AS VARCHAR) AS commit_id, CAST(o_custkey AS VARCHAR) AS author, CAST(l_partkey AS VARCHAR) AS path
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
+oracle("analysis_store", f"""WITH {_SERVICES}, v AS (SELECT *, CAST(substr(repo_id, 4) AS INT) % 3 = 0 AS later FROM inv)
+SELECT repo_id, path, CAST(size AS BIGINT) AS size, CASE WHEN later THEN 2 ELSE 1 END::BIGINT AS analysis FROM v WHERE NOT (later AND starts_with(path, 'tests/'))""")
+
 oracle("adjacency_json", f"""
 WITH {NATION_EDGES}
 SELECT DISTINCT repo_id, CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst FROM e

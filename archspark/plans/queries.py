@@ -6,6 +6,7 @@ feature). Column names equal those of the matching oracle in ``oracles.py``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from archspark.plans import answers
 from archspark.plans import bindings as B
 from archspark.plans import code_corpus
 from archspark.plans import reports, service_corpus
+from archspark.session import ensure_checkpoint_dir
 from archspark.sources.tables import Tables
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -493,6 +495,41 @@ def adjacency_json(spark, sf_dir):
     return corpus.adjacency_from_json(docs)
 
 
+def _folder(spark, name: str) -> str:
+    """A new folder in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def adjacency_sink(spark, sf_dir):
+    """The nation graph written by the sink, one JSON object a source file, and read back."""
+    e = B.nation_edges(Tables(spark, sf_dir)).select("repo_id", F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+    root = _folder(spark, "adjacency")
+    corpus.write_adjacency_json(e, root)
+    return corpus.adjacency_from_json(spark.read.schema("value string, repo_id string").text(root))
+
+
+@query
+def commit_logs(spark, sf_dir):
+    """A3, A4: orders written as commit logs, a folder for each repository, and read back, a row for each file."""
+    cf = B.part_commits(Tables(spark, sf_dir))
+    root = _folder(spark, "logs")
+    corpus.write_commit_log(cf.groupBy("repo_id", "commit_id", "author").agg(F.collect_set("path").alias("files")), root)
+    return corpus.read_commit_logs(spark, root).select("repo_id", "commit_id", "author", "path")
+
+
+@query
+def analysis_store(spark, sf_dir):
+    """The services' file facts saved, then every third repository replaced by a later analysis, then read back."""
+    t = Tables(spark, sf_dir)
+    files = service_corpus.service_corpus(t).select("repo_id", "path", "size").withColumn("analysis", F.lit(1))
+    root = _folder(spark, "store")
+    corpus.save_analysis({"files": files}, root)
+    later = files.where(F.substring("repo_id", 4, 9).cast("int") % 3 == 0).where("path NOT LIKE 'tests/%'").withColumn("analysis", F.lit(2))
+    corpus.update_analysis({"files": later}, root)
+    return corpus.load_analysis(spark, root, ["files"])["files"].select("repo_id", "path", "size", F.col("analysis").cast("long").alias("analysis"))
+
+
 def _part_cochange_all(t):
     """Co-change ratios of part files across all orders, keyed by file path (repo 'parts')."""
     cf = B._commit_files(t, "l_partkey").withColumn("repo_id", F.lit("parts"))

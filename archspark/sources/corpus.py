@@ -131,6 +131,26 @@ def read_commit_log(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
     return parse_commit_log(read_log_records(spark, path, repo_id))
 
 
+def write_commit_log(commits: DataFrame, path: str) -> None:
+    """A3/A4 the other way: records ``commit:<id>|<author>`` with one path per line, a folder for each repository.
+
+    commits (repo_id, commit_id, author, files) with ``files`` an array; names must not hold line ends.
+    """
+    author = F.when(F.col("author").isNull(), "").otherwise(F.concat(F.lit("|"), F.col("author").cast("string")))
+    header = F.concat(F.lit("commit:"), F.col("commit_id").cast("string"), author)
+    record = F.array_join(F.concat(F.array(header), F.col("files").cast("array<string>")), "\n")
+    commits.select("repo_id", record.alias("value")).write.mode("overwrite").partitionBy("repo_id").text(path)
+
+
+def read_commit_logs(spark: SparkSession, root: str) -> DataFrame:
+    """A3/A4 from a folder with one ``repo_id=...`` folder of log files each: a row per file of a commit.
+
+    Spark plans the splits and prunes repositories by a filter on ``repo_id``; no file is opened by the driver.
+    """
+    raw = spark.read.schema("value string, repo_id string").option("lineSep", "\ncommit:").text(root)
+    return parse_commit_log(raw.select("repo_id", F.regexp_replace("value", r"\n$", "").alias("value")))
+
+
 def adjacency_from_json(df: DataFrame, value: str = "value") -> DataFrame:
     """``{"src": ["dst", ...]}`` documents -> edges (repo_id, src, dst); bad JSON -> none."""
     m = F.from_json(F.col(value), "map<string,array<string>>")
@@ -162,6 +182,19 @@ def save_analysis(tables: dict[str, DataFrame], root: str) -> None:
         w.parquet(os.path.join(root, name))
 
 
+def update_analysis(tables: dict[str, DataFrame], root: str) -> None:
+    """A9, one analysis after another: only the repositories that ``tables`` hold are replaced.
+
+    Dynamic partition overwrite: the writer stages the new files and swaps the folders of these repositories on
+    commit; those of all others are not touched. A table without ``repo_id`` is replaced as a whole.
+    """
+    for name, df in tables.items():
+        w = df.write.mode("overwrite")
+        if "repo_id" in df.columns:
+            w = w.option("partitionOverwriteMode", "dynamic").partitionBy("repo_id")
+        w.parquet(os.path.join(root, name))
+
+
 def load_analysis(spark: SparkSession, root: str, names: list[str], repo_id: str | None = None) -> dict[str, DataFrame]:
     out = {}
     for name in names:
