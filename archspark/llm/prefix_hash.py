@@ -289,7 +289,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     def parts(known: pa.Array, doc_id: pa.Array, h: pa.Array) -> pa.Array:
         """The range of a row; for the first row of a range also the one before it, negative."""
         out = []
-        for key in zip(known.to_pylist(), doc_id.fill_null(0).to_pylist(), h.to_pylist()):
+        for k, i, hashed in zip(known.to_pylist(), doc_id.to_pylist(), h.to_pylist()):
+            key = (k, i if k else 0, hashed)
             at = bisect_right(keys, key) - 1
             out.append([at + 1, -((at - 1) % len(keys)) - 1] if key == keys[at] else [at + 1])
         return pa.array(out, pa.list_(pa.int32()))

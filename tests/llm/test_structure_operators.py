@@ -209,6 +209,8 @@ def test_edits_of_odd_rows(spark):
     assert by[1]["near_next"] == 1.0 and by[2]["near_next"] == 0.0
     assert 1.0 in {r["near_next"] for r in got if r["doc_id"] == 4}  # the first of two equal rows
     assert by[9]["edited_sha256"] == hashlib.sha256(("long " * 150_000 + "one two three").encode()).hexdigest()
+    named = ph.fingerprint_edits(docs.withColumn("doc_id", docs.doc_id.cast("string"))).collect()
+    assert sorted(r["edited_sha256"] for r in named) == sorted(r["edited_sha256"] for r in got)
     assert ph.fingerprint_edits(docs.limit(0)).collect() == []
     one = ph.fingerprint_edits(docs.filter("doc_id = 9")).collect()
     assert one[0]["near_next"] == 1.0
