@@ -166,6 +166,19 @@ def cochange_ratios(commit_files: DataFrame, key: str = "repo_id", commit: str =
             .select(key, "a", "b", "joint", "total_a", "pct"))
 
 
+def cochange_of(commit_files: DataFrame, targets: DataFrame, key: str = "repo_id", commit: str = "commit_id", path: str = "path") -> DataFrame:
+    """The rows of ``cochange_ratios`` whose ``a`` is a target (key, path): pairs of other files are never formed.
+
+    Only the targets' own commits are met again with the commit table, so the work follows what the targets touched.
+    """
+    cf = commit_files.select(key, commit, path).distinct()
+    mine = cf.join(_fresh(targets.select(key, path).distinct()), [key, path], "left_semi").select(key, commit, F.col(path).alias("a"))
+    joint = (mine.join(_fresh(cf).select(key, commit, F.col(path).alias("b")), [key, commit]).where("a <> b")
+             .groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("joint")))
+    total = _fresh(mine).groupBy(key, "a").agg(F.count(F.lit(1)).alias("total_a"))
+    return joint.join(total, [key, "a"]).withColumn("pct", scores.pct("joint", "total_a")).select(key, "a", "b", "joint", "total_a", "pct")
+
+
 def thresholded(ratios: DataFrame, min_support: int = vocab.MIN_COMMIT_SUPPORT, min_pct_exclusive: int = vocab.MIN_RATIO_PCT) -> DataFrame:
     """The ratios of files with enough commits that exceed the percentage."""
     return ratios.where((F.col("total_a") >= min_support) & (F.col("pct") > min_pct_exclusive))

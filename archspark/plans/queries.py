@@ -530,11 +530,12 @@ def analysis_store(spark, sf_dir):
     return corpus.load_analysis(spark, root, ["files"])["files"].select("repo_id", "path", "size", F.col("analysis").cast("long").alias("analysis"))
 
 
-def _part_cochange_all(t):
-    """Co-change ratios of part files across all orders, keyed by file path (repo 'parts')."""
+def _part_cochange_of(t, targets):
+    """Co-change ratios of the targets (repo 'parts') across all orders, keyed by file path."""
     cf = B._commit_files(t, "l_partkey").withColumn("repo_id", F.lit("parts"))
-    r = history.cochange_ratios(cf)
     pf = B.part_files(t)
+    keys = targets.join(pf.select(F.col("path").alias("target"), F.col("key").alias("path")), "target").select("repo_id", "path")
+    r = history.cochange_of(cf, keys)
     pa = pf.select(F.col("key").alias("a"), F.col("path").alias("pa"))
     pb = pf.select(F.col("key").alias("b"), F.col("path").alias("pb"))
     return (r.join(pa, "a").join(pb, "b")
@@ -546,12 +547,11 @@ def agent_context(spark, sf_dir):
     t = Tables(spark, sf_dir)
     files = B.part_files(t)
     edges = graph.resolve_imports(B.part_raw_imports(t), B.part_modules(t))
-    cc = _part_cochange_all(t)
     no_models = files.select("repo_id", "path", F.lit("").alias("model")).where(F.lit(False))
     no_routes = files.select("repo_id", "path", F.lit("").alias("route")).where(F.lit(False))
 
     def comp_fn(targets):
-        return companions.companions(files, edges, no_models, no_routes, cc, k=8, targets=targets)
+        return companions.companions(files, edges, no_models, no_routes, _part_cochange_of(t, targets), k=8, targets=targets)
 
     ff = facts.file_facts(files, None, edges)
     r = risks.union_risks(risks.risk_oversized(ff), risks.risk_missing_tests(

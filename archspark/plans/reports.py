@@ -163,7 +163,8 @@ def agent_context(candidates: DataFrame, goals: DataFrame, companion_fn, risks_d
         "goal_id", key, F.col("path").alias("target"), F.col("layer").alias("target_layer"),
         F.col("score").alias("target_score")))  # one row per goal, reused by every branch below
     ok = best.where(F.col("target_score") >= min_score)
-    comp = companion_fn(ok.select(key, "target").distinct())
+    # a few rows a target, read by every branch below
+    comp = cut_lineage(companion_fn(ok.select(key, "target").distinct()).select(key, "target", "file"))
     affected = (ok.select("goal_id", key, "target", F.col("target").alias("file"))
                 .unionByName(ok.join(comp.select(key, "target", "file"), [key, "target"])
                              .select("goal_id", key, "target", "file")))

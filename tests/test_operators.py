@@ -67,6 +67,16 @@ def test_pairs_do_not_depend_on_blocks(spark):
     assert totals["r", "f001"] == 2 and totals["r", "f003"] == 1 and totals["s", "x"] == 2
 
 
+def test_cochange_of_targets(spark):
+    import random
+    rnd = random.Random(2)
+    rows = [("r" if c % 3 else "s", c, f"f{rnd.randrange(30)}") for c in range(80) for _ in range(rnd.randrange(1, 8))]
+    cf = spark.createDataFrame(rows, "repo_id string, commit_id int, path string")
+    targets = spark.createDataFrame([("r", "f1"), ("r", "f7"), ("s", "f2"), ("s", "none"), ("r", "f1")], "repo_id string, path string")
+    want = [tuple(r) for r in history.cochange_ratios(cf).collect() if (r.repo_id, r.a) in {("r", "f1"), ("r", "f7"), ("s", "f2")}]
+    assert want and sorted(map(tuple, history.cochange_of(cf, targets).collect())) == sorted(want)
+
+
 def test_thresholds_prune_giant_commits(spark):
     """The matrix is that of all pairs; of a giant commit of files that are never touched again no pair is generated."""
     import random
