@@ -14,7 +14,7 @@ in that order and remembered for each pair.
 
 A text is cut first where no piece can reach across: before a space mark after another character,
 and around characters that occur in no longer piece. Words recur, so each worker remembers the ids
-of words up to a bounded number (about 60 MB with the pairs), and drops them when it turns to another operator. Characters that are no piece become their bytes.
+of words up to a bounded number (about 150 MB with the pairs), and drops them when it turns to another operator. Characters that are no piece become their bytes.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ SPACE = "▁"  # the mark that stands for a space
 class PieceCodec:
     """Encoder and decoder for a sentencepiece BPE model with byte fallback and no normalisation."""
 
-    def __init__(self, path: str, known_words: int = 200_000, known_pairs: int = 250_000):
+    def __init__(self, path: str, known_words: int = 400_000, known_pairs: int = 600_000):
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
