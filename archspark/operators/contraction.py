@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archspark.operators.frames import fresh as _fresh
-from archspark.session import cut_lineage
+from archspark.session import cut_lineage, cut_round
 
 
 #: edges of a graph that one task may finish (about 100 MB in the worker)
@@ -124,7 +124,7 @@ def connected(pairs: DataFrame, key: str, stats: dict | None = None) -> DataFram
                  .where("u > v").distinct())
         least = large.groupBy(key, "u").agg(F.min("v").alias("m"))
         near = _fresh(large).join(least, [key, "u"])
-        e = cut_lineage(near.select(key, F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut_round(near.select(key, F.col("v").alias("u"), F.col("m").alias("v"))
                         .unionAll(least.select(key, "u", F.col("m").alias("v"))).where("u > v").distinct())
         was, now = now, mark(e)
         if was == now:
@@ -151,7 +151,7 @@ def jump(steps: DataFrame, key: str, stats: dict | None = None) -> DataFrame:
         # a run's row changes until it is done, a ring's until all of the ring is seen
         moved = moved.select(*on, F.col("n2").alias("nxt"), F.col("t2").alias("tail"), F.least("low", "l2").alias("low"), F.col("m2").alias("more"),
                              (~F.col("m2") | (F.col("l2") < F.col("low"))).alias("chg"))
-        now = cut_lineage(now.where("NOT more").withColumn("chg", F.lit(False)).unionByName(moved))
+        now = cut_round(now.where("NOT more").withColumn("chg", F.lit(False)).unionByName(moved))
         if now.where("chg").isEmpty():
             break
     return now.select(*on, "nxt", "tail", "low", F.col("more").alias("ring"))
@@ -173,7 +173,7 @@ def _pivots(e: DataFrame, key: str, salt: int, stats: dict | None) -> DataFrame:
         sent = (e.join(ahead, [key, "src"]).select(key, F.col("dst").alias("node"), F.col("p").alias("pf"), none.alias("pb"))
                 .unionAll(e.join(back, [key, "dst"]).select(key, F.col("src").alias("node"), none, "p"))
                 .groupBy(key, "node").agg(F.min("pf").alias("pf"), F.min("pb").alias("pb")))
-        now = cut_lineage(_fresh(now).join(sent, [key, "node"], "left").select(
+        now = cut_round(_fresh(now).join(sent, [key, "node"], "left").select(
             key, "node", F.least("f", "pf").alias("f"), F.least("b", "pb").alias("b"),
             F.coalesce(F.col("pf") < F.col("f"), F.lit(False)).alias("cf"), F.coalesce(F.col("pb") < F.col("b"), F.lit(False)).alias("cb")))
 
@@ -207,7 +207,7 @@ def strongly_connected(edges: DataFrame, key: str = "repo_id", stats: dict | Non
         """Nodes become their representatives; edges within one go."""
         r = _fresh(reps.where("node <> rep"))
         undo.append(("rep", reps.where("node <> rep")))
-        return cut_lineage(
+        return cut_round(
             e.join(r.select(key, F.col("node").alias("src"), F.col("rep").alias("rs")), [key, "src"], "left")
             .join(_fresh(r).select(key, F.col("node").alias("dst"), F.col("rep").alias("rd")), [key, "dst"], "left")
             .select(key, F.coalesce("rs", "src").alias("src"), F.coalesce("rd", "dst").alias("dst")).where("src <> dst").distinct())
@@ -244,7 +244,7 @@ def strongly_connected(edges: DataFrame, key: str = "repo_id", stats: dict | Non
             # before = after closes a cycle through that one node, which the loop then stands for
             kept = outer.join(_fresh(run.select(key, F.col("node").alias("dst"))), [key, "dst"], "left_anti").select(key, "src", "dst")
             kept = kept.unionAll(into.select(key, F.col("before").alias("src"), F.col("after").alias("dst"))).where("src <> dst").distinct()
-            e, fresh_pairs = cut_lineage(_without(kept, loose, key)), True
+            e, fresh_pairs = cut_round(_without(kept, loose, key)), True
             if small and (e := finish(e)) is None:
                 break
         elif n["loose"]:
@@ -254,7 +254,7 @@ def strongly_connected(edges: DataFrame, key: str = "repo_id", stats: dict | Non
             found = _pivots(e, key, salt, stats)
             undo.append(("done", cut_lineage(found.where("f = b").select(key, "node", F.col("f.node").alias("rep")))))
             left = _fresh(found.where("f <> b").select(key, "node", "f", "b"))
-            e = cut_lineage(e.join(left.select(key, F.col("node").alias("src"), F.col("f").alias("fs"), F.col("b").alias("bs")), [key, "src"])
+            e = cut_round(e.join(left.select(key, F.col("node").alias("src"), F.col("f").alias("fs"), F.col("b").alias("bs")), [key, "src"])
                             .join(_fresh(left).select(key, F.col("node").alias("dst"), F.col("f").alias("fd"), F.col("b").alias("bd")), [key, "dst"])
                             .where("fs = fd AND bs = bd").select(key, "src", "dst"))
     # components of nodes that were put together, from the last contraction to the first
@@ -284,7 +284,7 @@ def strongly_connected(edges: DataFrame, key: str = "repo_id", stats: dict | Non
             heads = _fresh(new).join(rows.select(key, "node", "before"), [key, "node"]).where(F.col("rep") == F.col("before"))
             alone = heads.select(key, F.col("before").alias("node"), F.col("before").alias("rep")).distinct()
             new = new.unionByName(alone if comp is None else alone.join(_fresh(comp.select(key, "node")), [key, "node"], "left_anti"))
-        comp = cut_lineage(new if comp is None else comp.unionByName(new))
+        comp = cut_round(new if comp is None else comp.unionByName(new))
     if comp is None:
         return first.select(key, F.col("src").alias("node"), F.col("dst").alias("component")).limit(0)
     sizes = _fresh(comp).groupBy(key, "rep").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")
@@ -355,8 +355,8 @@ def longest(edges: DataFrame, weights: DataFrame, key: str = "repo_id", stats: d
         per = now.groupBy(key, "src").agg(F.count("dst").alias("n"), F.max("c").alias("best"), F.max("dst").alias("only"),
                                           F.max(F.when(F.col("dst").isNotNull(), F.col("w"))).alias("w"))
         per = cut_lineage(per)
-        known = cut_lineage(known.unionByName(per.where("n = 0").select(key, F.col("src").alias("node"), F.col("best").alias("depth"))))
-        rest = cut_lineage(now.where("dst IS NOT NULL").join(_fresh(per).select(key, "src", "best"), [key, "src"])
+        known = cut_round(known.unionByName(per.where("n = 0").select(key, F.col("src").alias("node"), F.col("best").alias("depth"))))
+        rest = cut_round(now.where("dst IS NOT NULL").join(_fresh(per).select(key, "src", "best"), [key, "src"])
                            .select(key, "src", "dst", "w", F.col("best").alias("c")))
         # compress: runs of nodes with one open edge, composed by pointer jumping
         one = per.where("n = 1").select(key, F.col("src").alias("node"), F.col("only").alias("nxt"), "w", F.col("best").alias("c"))
@@ -371,15 +371,15 @@ def longest(edges: DataFrame, weights: DataFrame, key: str = "repo_id", stats: d
             moved = _fresh(run.where("more")).join(ahead, [key, "nxt"]).select(
                 key, "node", F.col("n2").alias("nxt"), (F.col("w") + F.col("w2")).alias("w"),
                 F.greatest("c", F.col("w") + F.col("c2")).alias("c"), F.col("m2").alias("more"))
-            run = cut_lineage(run.where("NOT more").unionByName(moved))
+            run = cut_round(run.where("NOT more").unionByName(moved))
         undo.append(run)
         gone = _fresh(run).select(key, F.col("node").alias("dst"), F.col("nxt").alias("n2"), F.col("w").alias("w2"), F.col("c").alias("c2"))
-        e = cut_lineage(rest.join(_fresh(run.select(key, F.col("node").alias("src"))), [key, "src"], "left_anti")
+        e = cut_round(rest.join(_fresh(run.select(key, F.col("node").alias("src"))), [key, "src"], "left_anti")
                         .join(gone, [key, "dst"], "left")
                         .select(key, "src", F.coalesce("n2", "dst").alias("dst"), (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w"),
                                 F.greatest("c", F.col("w") + F.col("c2")).alias("c"))
                         .groupBy(key, "src", "dst").agg(F.max("w").alias("w"), F.max("c").alias("c")))
     for run in reversed(undo):
         ends = run.join(_fresh(known).select(key, F.col("node").alias("nxt"), "depth"), [key, "nxt"])
-        known = cut_lineage(known.unionByName(ends.select(key, "node", F.greatest("c", F.col("w") + F.col("depth")).alias("depth"))))
+        known = cut_round(known.unionByName(ends.select(key, "node", F.greatest("c", F.col("w") + F.col("depth")).alias("depth"))))
     return known

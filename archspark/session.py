@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
@@ -60,3 +60,15 @@ def cut_lineage(df):
     """Reliable checkpoint (survives executor loss); never a local checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_round(df: DataFrame) -> DataFrame:
+    """``cut_lineage`` for the state of a loop of joins, without the optimizer's size estimate.
+
+    A checkpointed table keeps its estimate, a join's is the product of its sides', and so a state that is joined with
+    itself squares it every round: after some 16 rounds the driver multiplied numbers of millions of digits for longer than
+    the rounds took. As rows of unknown size it starts anew.
+    """
+    done = cut_lineage(df)
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(done._jdf.toJavaRDD(), done._jdf.schema()), spark)
