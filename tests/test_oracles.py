@@ -37,6 +37,8 @@ def test_query_matches_oracle(spark, duck, name):
 
 def test_every_query_runs(spark):
     for name, fn in E.queries().items():
+        if name in E.oracle_sql():
+            continue  # run and compared above
         df = fn(spark, SMALL)
         assert df.columns, name
 
