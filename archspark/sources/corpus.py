@@ -142,12 +142,20 @@ def write_commit_log(commits: DataFrame, path: str) -> None:
     commits.select("repo_id", record.alias("value")).write.mode("overwrite").partitionBy("repo_id").text(path)
 
 
+def read_repositories(spark: SparkSession, root: str, line_sep: str = "\n") -> DataFrame:
+    """(value, repo_id) of the text files in ``repo_id=...`` folders; none if nothing was written, as then Spark finds no such folder."""
+    reader = spark.read.option("lineSep", line_sep)
+    if "repo_id" not in reader.text(root).columns:
+        return spark.createDataFrame([], "value string, repo_id string")
+    return reader.schema("value string, repo_id string").text(root)
+
+
 def read_commit_logs(spark: SparkSession, root: str) -> DataFrame:
     """A3/A4 from a folder with one ``repo_id=...`` folder of log files each: a row per file of a commit.
 
     Spark plans the splits and prunes repositories by a filter on ``repo_id``; no file is opened by the driver.
     """
-    raw = spark.read.schema("value string, repo_id string").option("lineSep", "\ncommit:").text(root)
+    raw = read_repositories(spark, root, "\ncommit:")
     return parse_commit_log(raw.select("repo_id", F.regexp_replace("value", r"\n$", "").alias("value")))
 
 

@@ -55,6 +55,14 @@ def test_adjacency_json_roundtrip(spark):
     assert back.count() == 2
 
 
+def test_graph_without_edges_is_read_back(spark):
+    out = os.path.join(tempfile.mkdtemp(prefix="adj-", dir="/tmp"), "adj")
+    src.write_adjacency_json(spark.createDataFrame([], "repo_id string, src string, dst string"), out)
+    assert src.adjacency_from_json(src.read_repositories(spark, out)).collect() == []
+    src.write_commit_log(spark.createDataFrame([], "repo_id string, commit_id string, author string, files array<string>"), out)
+    assert src.read_commit_logs(spark, out).collect() == []
+
+
 def test_analysis_goldens(spark):
     a = build_analysis(spark, _corpus(spark), src.parse_commit_log(_log(spark)))
     edges = sorted((r.src, r.dst) for r in a["imports"].collect())
