@@ -182,11 +182,12 @@ def write_adjacency_json(edges: DataFrame, path: str) -> None:
 
 
 def save_analysis(tables: dict[str, DataFrame], root: str) -> None:
-    """Persist every derived table partitioned by repo_id (readers prune on it)."""
+    """Persist every derived table partitioned by repo_id (readers prune on it), one task for each repository: as many
+    files as repositories, not as repositories times the tasks that hold rows of them."""
     for name, df in tables.items():
         w = df.write.mode("overwrite")
         if "repo_id" in df.columns:
-            w = w.partitionBy("repo_id")
+            w = df.repartition("repo_id").write.mode("overwrite").partitionBy("repo_id")
         w.parquet(os.path.join(root, name))
 
 
@@ -199,7 +200,7 @@ def update_analysis(tables: dict[str, DataFrame], root: str) -> None:
     for name, df in tables.items():
         w = df.write.mode("overwrite")
         if "repo_id" in df.columns:
-            w = w.option("partitionOverwriteMode", "dynamic").partitionBy("repo_id")
+            w = df.repartition("repo_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id")
         w.parquet(os.path.join(root, name))
 
 

@@ -63,6 +63,15 @@ def test_graph_without_edges_is_read_back(spark):
     assert src.read_commit_logs(spark, out).collect() == []
 
 
+def test_a_repository_is_written_by_one_task(spark):
+    root = tempfile.mkdtemp(prefix="store-", dir="/tmp")
+    df = spark.range(0, 300, 1, 6).selectExpr("concat('r', id % 3) AS repo_id", "id")
+    src.save_analysis({"t": df}, root)
+    src.update_analysis({"t": df.where("repo_id = 'r1'")}, root)
+    files = [f for folder, _, names in os.walk(root) for f in names if f.endswith(".parquet")]
+    assert len(files) == 3 and spark.read.parquet(os.path.join(root, "t")).count() == 300
+
+
 def test_analysis_goldens(spark):
     a = build_analysis(spark, _corpus(spark), src.parse_commit_log(_log(spark)))
     edges = sorted((r.src, r.dst) for r in a["imports"].collect())
