@@ -1,4 +1,4 @@
-"""Per-file code facts (B1-B7): one ``mapInPandas`` job over the corpus, then Spark expressions.
+"""Per-file code facts (B1-B7): one ``mapInArrow`` job over the corpus, then Spark expressions.
 
 The Python worker only turns each source into flat syntax rows: imports, classes and
 functions, each with its line, the row it stands in, and the dotted names around it (bases,
@@ -13,7 +13,7 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,11 +100,26 @@ def syntax_rows(text: str) -> list[dict] | None:
     return rows
 
 
-def _syntax_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        raw = (bytes(c).decode("utf-8", errors="ignore") if isinstance(c, (bytes, bytearray, memoryview)) else c or "" for c in pdf["content"])
-        found = [syntax_rows(text) for text in raw]
-        yield pd.DataFrame({"repo_id": pdf["repo_id"], "path": pdf["path"], "parsed": [r is not None for r in found], "rows": [r or [] for r in found]})
+_WORDS = pa.list_(pa.string())
+_DECORATORS = pa.list_(pa.struct([("name", pa.string()), ("called", pa.bool_()), ("first", pa.string()), ("methods", _WORDS)]))
+_ROWS = pa.list_(pa.struct([
+    ("id", pa.int32()), ("within", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("line", pa.int32()), ("names", _WORDS),
+    ("calls", _WORDS), ("fields", _WORDS), ("decorators", _DECORATORS), ("members", pa.list_(pa.struct([("kind", pa.string()), ("name", pa.string())])))]))
+_SYNTAX = pa.schema([("repo_id", pa.string()), ("path", pa.string()), ("parsed", pa.bool_()), ("rows", _ROWS)])
+
+#: files parsed for one batch of results; a worker holds the rows and texts of so many at a time
+PARSED_AT_ONCE = 256
+
+
+def _syntax_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, PARSED_AT_ONCE):
+            some = batch.slice(start, PARSED_AT_ONCE)
+            raw = (c.as_py() for c in some.column("content"))
+            found = [syntax_rows(c.decode("utf-8", errors="ignore") if isinstance(c, bytes) else c or "") for c in raw]
+            yield pa.RecordBatch.from_arrays(
+                [some.column("repo_id").cast(pa.string()), some.column("path").cast(pa.string()), pa.array([r is not None for r in found], pa.bool_()),
+                 pa.array([r or [] for r in found], _ROWS)], schema=_SYNTAX)
 
 
 def _any_of(words: list[str], test) -> Column:
@@ -157,7 +172,7 @@ def code_facts(corpus: DataFrame, content: str = "content", python_only: bool =
         c["line"].alias("line")))
     plain = F.filter(of(*defs), lambda f: ~F.coalesce(F.get(f["names"], F.lit(0)).isin(SELF_WORDS), F.lit(False))  # B3
                      & ~F.exists(f["decorators"], _is_endpoint))
-    return src.mapInPandas(_syntax_batches, SYNTAX_SCHEMA).select(
+    return src.mapInArrow(_syntax_batches, SYNTAX_SCHEMA).select(
         "repo_id", "path", "parsed",
         F.transform(of("import"), lambda i: F.struct(F.split(i["name"], r"\.")[0].alias("module"), i["name"].alias("name"),  # B5
                                                      i["line"].alias("line"))).alias("imports"),

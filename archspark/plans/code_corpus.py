@@ -11,6 +11,8 @@ Paths by key mod 10: 0 test, 1 readme, 2 entry point, 3 database, 4 ignored fold
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from archspark.functions.paths import is_database_file, is_test_path
 from archspark.operators import extract, facts, graph, risks
 from archspark.plans import answers
 from archspark.plans.analysis import module_table
+from archspark.session import cut_round
 from archspark.sources import corpus as src
 from archspark.sources.tables import Tables
 
@@ -51,25 +54,51 @@ def code_corpus(t: Tables) -> DataFrame:
         F.when(F.col("p_partkey") % 11 == 0, "def broken(:\n").otherwise(""),
         F.lit("#"), F.repeat(F.lit("x"), size * size * 14), F.lit("\n"))
     content = F.when(path.endswith(".py"), python).otherwise(F.concat(F.lit("text "), key, F.lit("\n")))
-    files = t.part.select(F.col("p_brand").alias("repo_id"), path.alias("path"), content.cast("binary").alias("content"))
+    parts = t.spread("part", "p_partkey", "p_brand", "p_name", "p_type", "p_size")
+    files = parts.select(F.col("p_brand").alias("repo_id"), path.alias("path"), content.cast("binary").alias("content"))
     modules = (t.part.select(F.col("p_brand").alias("repo_id"), F.explode(F.split("p_name", " ")).alias("w")).distinct()
                .select("repo_id", F.concat("w", F.lit(".py")).alias("path"), F.lit("").cast("binary").alias("content")))
     return files.unionByName(modules).select("repo_id", "path", F.octet_length("content").cast("long").alias("size"), "content")
 
 
 class Code:
-    """Facts of the corpus, as ``build_analysis`` derives them, without the history."""
+    """Facts of the corpus, as ``build_analysis`` derives them, without the history.
+
+    Sources are rendered and parsed once: the inventory, the facts and the import edges are kept in the checkpoint
+    folder, where several tables read them. They are kept without a size estimate (``cut_round``), as
+    one by column types takes them for small and has the driver broadcast them.
+    """
 
     def __init__(self, t: Tables):
-        corpus = code_corpus(t)
-        self.inventory = src.inventory(corpus)
-        sources = corpus.withColumn("path", paths.normalise("path")).join(self.inventory.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
-        self.facts = extract.code_facts(sources)
+        self.corpus = code_corpus(t)
+
+    @cached_property
+    def inventory(self) -> DataFrame:
+        return cut_round(src.inventory(self.corpus))
+
+    @property
+    def parsed(self) -> DataFrame:
+        """The facts for one reader."""
+        # what ``inventory`` keeps of the same rows, without a join that would move every text
+        named = self.corpus.withColumn("path", paths.normalise("path")).where(F.col("repo_id").isNotNull() & ~paths.is_ignored("path"))
+        return extract.code_facts(named)
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return cut_round(self.parsed)
+
+    @cached_property
+    def imports(self) -> DataFrame:
         raw = self.facts.select("repo_id", F.col("path").alias("src"), F.explode("imports.module").alias("module"))
-        self.imports = graph.resolve_imports(raw, module_table(self.inventory))
-        self.routes = extract.routes(self.facts)
-        self.file_facts = facts.file_facts(self.inventory, self.facts, self.imports)
-        self.tests = self.inventory.where(is_test_path("path")).select("repo_id", "path")
+        return cut_round(graph.resolve_imports(raw, module_table(self.inventory)))
+
+    @cached_property
+    def file_facts(self) -> DataFrame:
+        return facts.file_facts(self.inventory, self.facts, self.imports)
+
+    @property
+    def tests(self) -> DataFrame:
+        return self.inventory.where(is_test_path("path")).select("repo_id", "path")
 
     def history(self, t: Tables) -> DataFrame:
         """Files of the larger parts count as seen in history."""
@@ -78,11 +107,11 @@ class Code:
         return named.join(big, ["repo_id", "p_partkey"], "left_semi").select("repo_id", "path")
 
     def coverage(self, t: Tables) -> DataFrame:
-        return facts.coverage(self.inventory, self.facts, self.imports, self.history(t), self.routes)
+        return facts.coverage(self.inventory, self.facts, self.imports, self.history(t), extract.routes(self.facts))
 
 
 def corpus_code_facts(spark, sf_dir):
-    f = Code(Tables(spark, sf_dir)).facts
+    f = Code(Tables(spark, sf_dir)).parsed
     size = lambda c, name: F.size(c).cast("bigint").alias(name)
     return f.select("repo_id", "path", "parsed", size("imports", "n_imports"), size("classes", "n_classes"), size("functions", "n_functions"),
                     size("endpoints", "n_endpoints"), size("models", "n_models"),
@@ -105,7 +134,7 @@ def corpus_imports(spark, sf_dir):
 
 
 def corpus_routes(spark, sf_dir):
-    return Code(Tables(spark, sf_dir)).routes
+    return extract.routes(Code(Tables(spark, sf_dir)).parsed)
 
 
 def corpus_file_facts(spark, sf_dir):

@@ -8,6 +8,8 @@ change plans have something to find; ``service_oracles`` states it from the same
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from archspark.operators import extract, facts, graph, history, risks
 from archspark.functions.paths import is_database_file, is_entry_point, is_test_path
 from archspark.plans import answers, reports
 from archspark.plans.analysis import module_table
+from archspark.session import cut_round
 from archspark.sources import corpus as src
 from archspark.sources import dims, manifests
 from archspark.sources.tables import Tables
@@ -51,29 +54,48 @@ def service_corpus(t: Tables) -> DataFrame:
     main = F.concat(name("views_", k - 3), name("logic_", k - 2), F.lit("if True:\n    pass\n"))
     filler = F.concat(F.lit("#"), F.repeat(F.lit("x"), ((k % 7) * 7000).cast("int")), F.lit("\n"))
     body = F.when(k % 4 == 0, views).when(k % 4 == 1, logic).when(k % 4 == 2, store).otherwise(main)
-    files = t.customer.select(_repo(k).alias("repo_id"), _path(k).alias("path"), F.concat(body, F.when(k % 4 != 3, filler).otherwise("")).cast("binary").alias("content"))
-    tests = t.customer.where(k % 16 == 5).select(_repo(k).alias("repo_id"), F.concat(F.lit("tests/test_logic_"), s, F.lit(".py")).alias("path"),
+    customers = t.spread("customer", "c_custkey")
+    files = customers.select(_repo(k).alias("repo_id"), _path(k).alias("path"), F.concat(body, F.when(k % 4 != 3, filler).otherwise("")).cast("binary").alias("content"))
+    tests = customers.where(k % 16 == 5).select(_repo(k).alias("repo_id"), F.concat(F.lit("tests/test_logic_"), s, F.lit(".py")).alias("path"),
                                                  name("logic_", k).cast("binary").alias("content"))
-    data = t.customer.where(k % 16 == 6).select(_repo(k).alias("repo_id"), F.concat(F.lit("data/s_"), s, F.lit(".sqlite")).alias("path"), F.lit("x").cast("binary").alias("content"))
+    data = customers.where(k % 16 == 6).select(_repo(k).alias("repo_id"), F.concat(F.lit("data/s_"), s, F.lit(".sqlite")).alias("path"), F.lit("x").cast("binary").alias("content"))
     return files.unionByName(tests).unionByName(data).select("repo_id", "path", F.octet_length("content").cast("long").alias("size"), "content")
 
 
 class Service:
-    """Everything derived from the services."""
+    """Everything derived from the services; sources are rendered and parsed once, as in ``code_corpus.Code``."""
 
     def __init__(self, t: Tables):
-        corpus = service_corpus(t)
         self.t = t
-        self.inventory = src.inventory(corpus)
-        self.facts = extract.code_facts(corpus)
+        self.corpus = service_corpus(t)
+
+    @cached_property
+    def inventory(self) -> DataFrame:
+        return cut_round(src.inventory(self.corpus))
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return cut_round(extract.code_facts(self.corpus))
+
+    @cached_property
+    def imports(self) -> DataFrame:
         raw = self.facts.select("repo_id", F.col("path").alias("src"), F.explode("imports.module").alias("module"))
-        self.imports = graph.resolve_imports(raw, module_table(self.inventory))
-        self.routes = extract.routes(self.facts)
-        self.file_facts = facts.file_facts(self.inventory, self.facts, self.imports)
+        return cut_round(graph.resolve_imports(raw, module_table(self.inventory)))
+
+    @property
+    def routes(self) -> DataFrame:
+        return extract.routes(self.facts)
+
+    @cached_property
+    def file_facts(self) -> DataFrame:
+        return facts.file_facts(self.inventory, self.facts, self.imports)
+
+    @property
+    def assignments(self) -> DataFrame:
         layer = F.lit("Runtime Layer")
         for prefix, named in LAYERS:
             layer = F.when(F.col("path").startswith(prefix), named).otherwise(layer)
-        self.assignments = self.inventory.select("repo_id", "path", layer.alias("layer"))
+        return self.inventory.select("repo_id", "path", layer.alias("layer"))
 
     def risks(self) -> DataFrame:
         tests = self.inventory.where(is_test_path("path")).select("repo_id", "path")

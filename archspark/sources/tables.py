@@ -10,6 +10,9 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations"]
 
+#: rows of a spread table in one partition
+ROWS_A_PART = 4000
+
 
 class Tables:
     """Lazy table accessor: ``t = Tables(spark, sf_dir); t.lineitem``.
@@ -21,6 +24,15 @@ class Tables:
         self.spark = spark
         self.sf_dir = sf_dir
 
+    def spread(self, name: str, *cols: str) -> DataFrame:
+        """These columns of a table, its rows dealt out by the first one, about ``ROWS_A_PART`` to a partition.
+
+        For tables of short rows from which much is rendered: Spark sees a few small splits in them, and
+        everything rendered would be the work of as few tasks.
+        """
+        df = getattr(self, name).select(*cols)
+        return df.repartition(max(1, -(-df.count() // ROWS_A_PART)), cols[0])
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
