@@ -225,9 +225,9 @@ def candidate_scores(goals: DataFrame, files: DataFrame, file_facts_df: DataFram
             s = F.col(f"b3_{t}") + (F.when(F.col("special"), 66).otherwise(0) if u else F.lit(0))
             points = F.least(F.greatest(F.floor(s / 3), F.lit(5)), F.lit(100))
             orders.append(F.row_number().over(Window.partitionBy(key, "layer").orderBy(points.desc(), F.col("path"))))
-    ranked = f.select(key, "path", "layer", *[o.alias(f"_r{i}") for i, o in enumerate(orders)])
-    lheads = cut_lineage(ranked.where(" OR ".join(f"_r{i} <= {k}" for i in range(len(orders))))
-                         .select(key, "path", "layer"))
+    # a limit for each variant: Spark then keeps the k best of each task before a layer's files meet in one
+    firsts = [f.withColumn("_r", o).where(F.col("_r") <= k).select(key, "path", "layer") for o in orders]
+    lheads = cut_lineage(reduce(DataFrame.unionByName, firsts).distinct())
     n_heads = lheads.count()  # at most 4k rows per (repository, layer): bounded
     goal_layers = m.select("goal_id", F.explode(F.array(*[F.lit(x) for x in layer_names])).alias("layer"))
     base_pairs = (goal_layers.join(F.broadcast(lheads) if n_heads <= 1_000_000 else lheads, "layer")
