@@ -218,6 +218,13 @@ def test_companion_topk_bound_is_exact(spark):
     assert {(r.target, r.file) for r in got} == want
 
 
+def test_layers_are_not_shuffled_by_layer(spark):
+    a = spark.createDataFrame([("r", f"f{i}", "A" if i % 2 else "B", 5) for i in range(8)], "repo_id string, path string, layer string, score bigint")
+    pri = spark.createDataFrame([("A", 1), ("B", 2)], "layer string, priority int")
+    plan = layers.assign_layers(a.select("repo_id", "path"), a, pri)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin [layer" in plan
+
+
 def test_contains_join_fallback_equals_broadcast(spark):
     from archspark.operators.joins import contains_join
     texts = spark.createDataFrame([(1, "add jwt auth to login"), (2, "tune the database"), (3, "")],
