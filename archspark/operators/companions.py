@@ -17,6 +17,10 @@ than k model-and-route files in total (else those fill the top-k), so at most 2k
 members of its group (plus the target itself) precede it. The same holds for
 routes. Files with an import or co-change signal are always candidates. The
 result is exact; only the enumeration is bounded.
+
+Model and route names are compared for candidates that can still reach the top ``k`` only: what a candidate's
+source says of it bounds its score from below, the points for names not yet compared from above, and one whose
+best confidence is below the ``k``-th sure one of its target is out.
 """
 
 from __future__ import annotations
@@ -25,6 +29,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from archspark.operators.frames import fresh as _fresh
+from archspark.operators.joins import bounded_broadcast
+from archspark.session import cut_lineage
+
+#: heads of groups (short rows) that are broadcast
+MAX_BROADCAST_HEADS = 200_000
 
 
 def _group_heads(members: DataFrame, key: str, group_cols: list[str], n: int) -> DataFrame:
@@ -35,10 +44,32 @@ def _group_heads(members: DataFrame, key: str, group_cols: list[str], n: int) ->
 
 
 def _group_candidates(members: DataFrame, key: str, group_cols: list[str], n: int) -> DataFrame:
-    heads = _fresh(_group_heads(members, key, group_cols, n))
+    """Distinct (key, target, file) of every member and the heads of its groups.
+
+    The heads of all groups, if a count shows them to be few, are broadcast to the members dealt out by target: a pair
+    that many groups name becomes one row where it arises, before anything is shuffled.
+    """
+    heads, few = bounded_broadcast(_fresh(cut_lineage(_group_heads(members, key, group_cols, n))), MAX_BROADCAST_HEADS)
     targets = members.select(key, *group_cols, F.col("path").alias("target"))
+    if few:
+        targets = targets.repartition(key, "target")
     return (targets.join(heads, [key, *group_cols]).where(F.col("target") != F.col("file"))
-            .select(key, "target", "file"))
+            .select(key, "target", "file").distinct())
+
+
+def _confidence(score: str):
+    return F.expr(f"least(50 + ({score} + 10) div 20, 99)")
+
+
+def _reaching(cands: DataFrame, k: int, key: str) -> DataFrame:
+    """The candidates that can be among their target's ``k`` first (see the module's text)."""
+    points = lambda flag, n: F.when(F.col(flag), n).otherwise(0)
+    least = points("imp_in", 500) + points("imp_out", 400) + 5 * F.col("pct") + points("has_m", 300) + points("has_r", 200)
+    c = cands.withColumn("_least", least).withColumn("_most", F.col("_least") + points("has_m", -300) + points("has_r", -200) + 500)
+    sure = F.when(F.col("has_m") | F.col("has_r"), F.col("_least"))  # by a group: an inventory file
+    w = Window.partitionBy(key, "target").orderBy(sure.desc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return (c.withColumn("_kth", F.coalesce(F.nth_value(sure, k).over(w), F.lit(0)))
+            .where(_confidence("_most") >= _confidence("_kth")).drop("_least", "_most", "_kth", "has_m", "has_r"))
 
 
 def companions(files: DataFrame, edges: DataFrame, models: DataFrame, routes: DataFrame,
@@ -55,23 +86,29 @@ def companions(files: DataFrame, edges: DataFrame, models: DataFrame, routes: Da
     m = models.select(key, "path", "model").distinct()
     r = routes.select(key, "path", "route").distinct()
     cc = cochange.select(key, F.col("a").alias("target"), F.col("b").alias("file"), "pct").where("pct > 0")
+    # heads of groups must be inventory files, as the sure scores of their targets stand on them
+    m = m.join(_fresh(inventory), [key, "path"], "left_semi")
+    r = r.join(_fresh(inventory), [key, "path"], "left_semi")
     mr = m.join(_fresh(r), [key, "path"])
 
-    def sig(df, imp_in=False, imp_out=False, pct=None):
+    def sig(df, imp_in=False, imp_out=False, pct=None, model=False, route=False):
         return df.select(key, "target", "file", F.lit(imp_in).alias("imp_in"), F.lit(imp_out).alias("imp_out"),
-                         (F.col("pct") if pct else F.lit(0)).cast("bigint").alias("pct"))
+                         (F.col("pct") if pct else F.lit(0)).cast("bigint").alias("pct"),
+                         F.lit(model).alias("has_m"), F.lit(route).alias("has_r"))
 
     # every candidate with its direct signals, merged by one aggregation (one shuffle)
     rows = (sig(e.select(key, F.col("dst").alias("target"), F.col("src").alias("file")), imp_in=True)
             .unionByName(sig(e.select(key, F.col("src").alias("target"), F.col("dst").alias("file")), imp_out=True))
             .unionByName(sig(cc, pct=True))
-            .unionByName(sig(_group_candidates(m, key, ["model"], 2 * k + 1)))
-            .unionByName(sig(_group_candidates(r, key, ["route"], 2 * k + 1)))
-            .unionByName(sig(_group_candidates(mr, key, ["model", "route"], k + 1))))
+            .unionByName(sig(_group_candidates(m, key, ["model"], 2 * k + 1), model=True))
+            .unionByName(sig(_group_candidates(r, key, ["route"], 2 * k + 1), route=True))
+            .unionByName(sig(_group_candidates(mr, key, ["model", "route"], k + 1), model=True, route=True)))
     if targets is not None:
         rows = rows.join(_fresh(targets.select(key, "target").distinct()), [key, "target"], "left_semi")
     cands = (rows.where(F.col("target") != F.col("file")).groupBy(key, "target", "file")
-             .agg(F.max("imp_in").alias("imp_in"), F.max("imp_out").alias("imp_out"), F.max("pct").alias("pct")))
+             .agg(F.max("imp_in").alias("imp_in"), F.max("imp_out").alias("imp_out"), F.max("pct").alias("pct"),
+                  F.max("has_m").alias("has_m"), F.max("has_r").alias("has_r")))
+    cands = _reaching(cands, k, key)
 
     # one row per inventory file with its model and route sets; inner joins on both ends
     # also keep only inventory files (the reference loops over its fact sheets)
@@ -105,7 +142,7 @@ def companions(files: DataFrame, edges: DataFrame, models: DataFrame, routes: Da
                          F.when(F.col("pct") > 0, F.concat(F.lit("Co-changed in "), F.col("pct").cast("string"),
                                                            F.lit("% of commit history"))))
     out = (scored.withColumn("score", score).where("score > 0")
-           .withColumn("confidence_pct", F.expr("least(50 + (score + 10) div 20, 99)"))
+           .withColumn("confidence_pct", _confidence("score"))
            .withColumn("confidence", F.col("confidence_pct") / F.lit(100.0))
            .withColumn("reason", reason))
     w = Window.partitionBy(key, "target").orderBy(F.col("confidence_pct").desc(), F.col("file"))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from archspark.operators import history
+from archspark.session import cut_round
 from archspark.sources.tables import Tables
 
 REPO = "repo_id"
@@ -145,14 +146,14 @@ def supplier_files(t: Tables) -> DataFrame:
     return supplier_commits(t).select(REPO, "path").distinct()
 
 
-def supplier_models(t: Tables) -> DataFrame:
+def supplier_models(t: Tables, files: DataFrame | None = None) -> DataFrame:
     """(repo_id, path, model): a supplier 'defines' the model named after its nation."""
     s = t.supplier.select(F.col("s_suppkey").alias("path"),
                           F.concat(F.lit("nation_"), F.col("s_nationkey").cast("string")).alias("model"))
-    return supplier_files(t).join(s, "path").select(REPO, "path", "model")
+    return (supplier_files(t) if files is None else files).join(s, "path").select(REPO, "path", "model")
 
 
-def supplier_routes(t: Tables) -> DataFrame:
+def supplier_routes(t: Tables, files: DataFrame | None = None) -> DataFrame:
     """(repo_id, path, route): a supplier 'serves' the part types it supplies more than its mean type."""
     li = t.lineitem.select("l_suppkey", "l_partkey")
     p = t.part.select("p_partkey", "p_type")
@@ -161,7 +162,9 @@ def supplier_routes(t: Tables) -> DataFrame:
     w = Window.partitionBy("l_suppkey")
     top = (counts.withColumn("c", F.count("*").over(w)).withColumn("s", F.sum("n").over(w)).where("n * c > s")
            .select(F.col("l_suppkey").alias("path"), F.concat(F.lit("/"), F.lower("p_type")).alias("route")))
-    return supplier_files(t).join(top, "path").select(REPO, "path", "route")
+    if files is not None:  # for several readers: the part lines are counted once
+        top = cut_round(top)
+    return (supplier_files(t) if files is None else files).join(top, "path").select(REPO, "path", "route")
 
 
 # Binding taxonomy for part files (data, not code): layer, priority, keywords.

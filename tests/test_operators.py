@@ -218,6 +218,29 @@ def test_companion_topk_bound_is_exact(spark):
     assert {(r.target, r.file) for r in got} == want
 
 
+def test_candidates_out_of_reach_are_dropped_before_names_meet(spark, monkeypatch):
+    pairs = [("r", "t", f"g{i}", False, False, 0, True, True) for i in range(3)] + [
+        ("r", "t", "low", False, False, 1, False, False), ("r", "t", "model", False, False, 1, True, False),
+        ("r", "t", "high", True, False, 1, False, False), ("r", "u", "only", False, False, 1, False, False)]
+    cands = spark.createDataFrame(pairs, "repo_id string, target string, file string, imp_in boolean, imp_out boolean, pct bigint, has_m boolean, has_r boolean")
+    kept = {(r.target, r.file) for r in companions._reaching(cands, 3, "repo_id").collect()}
+    assert kept == {("t", "g0"), ("t", "g1"), ("t", "g2"), ("t", "low"), ("t", "model"), ("t", "high"), ("u", "only")}
+    kept = {(r.target, r.file) for r in companions._reaching(cands.withColumn("pct", F.when(F.col("has_r"), 20).otherwise(F.col("pct"))), 3, "repo_id").collect()}
+    assert kept == {("t", "g0"), ("t", "g1"), ("t", "g2"), ("t", "high"), ("u", "only")}  # 600 sure points, the others at most 505
+
+
+def test_group_heads_outside_the_inventory_do_not_count(spark):
+    files = spark.createDataFrame([("r", f"f{i}") for i in range(6)], "repo_id string, path string")
+    members = [("r", f"f{i}") for i in range(6)] + [("r", f"a{i}") for i in range(9)]  # a..: named, but no files
+    models = spark.createDataFrame([(*m, "M") for m in members], "repo_id string, path string, model string")
+    routes = spark.createDataFrame([(*m, "/r") for m in members], "repo_id string, path string, route string")
+    none = spark.createDataFrame([], "repo_id string, src string, dst string")
+    cc = spark.createDataFrame([], "repo_id string, a string, b string, pct bigint")
+    got = {(r.target, r.file, r.score) for r in companions.companions(files, none, models, routes, cc, k=2).collect()}
+    want = {(f"f{t}", f"f{x}", 500) for t in range(6) for x in [x for x in range(6) if x != t][:2]}
+    assert got == want
+
+
 def test_layers_are_not_shuffled_by_layer(spark):
     a = spark.createDataFrame([("r", f"f{i}", "A" if i % 2 else "B", 5) for i in range(8)], "repo_id string, path string, layer string, score bigint")
     pri = spark.createDataFrame([("A", 1), ("B", 2)], "layer string, priority int")
