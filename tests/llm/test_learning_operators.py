@@ -177,6 +177,6 @@ def frame(spark):
 @pytest.mark.parametrize("name", [n for n in sorted(E.oracle_sql()) if re.match(r"op\d+_", n)])
 def test_oracle_columns(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
     assert sorted(con.sql(E.oracle_sql()[name]).columns) == sorted(E.queries()[name](spark, SMALL).columns)
