@@ -27,7 +27,7 @@ def file_facts(inventory: DataFrame, facts: DataFrame | None, edges: DataFrame |
         k = facts.select(key, "path",
                          (F.size("functions") + methods).alias("function_count"),
                          F.size("classes").alias("class_count"), F.size("endpoints").alias("route_count"))
-        out = out.join(k, [key, "path"], "left")
+        out = out.join(k.hint("merge"), [key, "path"], "left")
     else:
         out = out.select("*", *[F.lit(0).alias(c) for c in ("function_count", "class_count", "route_count")])
     if edges is not None:
@@ -56,7 +56,7 @@ def coverage(inventory: DataFrame, facts: DataFrame | None, edges: DataFrame | N
     inv_flag = _fresh(inv.select(key, "path", F.lit(True).alias("_in")))
     parsed = (facts.where("parsed").select(key, "path", F.lit(1).alias("_p")) if facts is not None
               else inv.select(key, "path", F.lit(None).cast("int").alias("_p")).limit(0))
-    a = (inv.where(F.col("extension") == ".py").join(parsed, [key, "path"], "left")
+    a = (inv.where(F.col("extension") == ".py").join(parsed.hint("merge"), [key, "path"], "left")
          .groupBy(key).agg(F.count(F.lit(1)).alias("py_files"), F.count("_p").alias("parsed_files")))
     files = inv.groupBy(key).agg(F.count(F.lit(1)).alias("n_files"))
     out = files.join(a, key, "left")

@@ -17,11 +17,11 @@ from archspark.session import cut_lineage
 def resolve_imports(raw_imports: DataFrame, modules: DataFrame, key: str = "repo_id") -> DataFrame:
     """D1 + G4: (key, src, module) joined to (key, module, file) -> distinct (key, src, dst), no self edges.
 
-    The module table has one row per file, so the join is a plain equi join that
-    Catalyst/AQE may broadcast when the module side is measured small.
+    The module table has one row per file, so the join is a plain equi join; a merge join, as imports exploded from
+    few columns of stored facts look small enough to be broadcast.
     """
     m = modules.select(key, "module", F.col("file").alias("dst"))
-    return (raw_imports.select(key, "src", "module").join(m, [key, "module"])
+    return (raw_imports.select(key, "src", "module").join(m.hint("merge"), [key, "module"])
             .where(F.col("src") != F.col("dst")).select(key, "src", "dst").distinct())
 
 

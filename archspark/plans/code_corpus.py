@@ -21,7 +21,7 @@ from archspark.functions.paths import is_database_file, is_test_path
 from archspark.operators import extract, facts, graph, risks
 from archspark.plans import answers
 from archspark.plans.analysis import module_table
-from archspark.session import cut_round
+from archspark.session import cut_round, stored
 from archspark.sources import corpus as src
 from archspark.sources.tables import Tables
 
@@ -65,16 +65,18 @@ class Code:
     """Facts of the corpus, as ``build_analysis`` derives them, without the history.
 
     Sources are rendered and parsed once: the inventory, the facts and the import edges are kept in the checkpoint
-    folder, where several tables read them. They are kept without a size estimate (``cut_round``), as
-    one by column types takes them for small and has the driver broadcast them.
+    folder, where several tables read them. The flat ones are kept without a size estimate (``cut_round``), as
+    one by column types takes them for small and has the driver broadcast them; the nested facts as columns (``stored``),
+    of which each reader needs a few.
     """
 
     def __init__(self, t: Tables):
+        self.t = t
         self.corpus = code_corpus(t)
 
     @cached_property
     def inventory(self) -> DataFrame:
-        return cut_round(src.inventory(self.corpus))
+        return cut_round(self.t.gathered(src.inventory(self.corpus), "part"))
 
     @property
     def parsed(self) -> DataFrame:
@@ -85,7 +87,7 @@ class Code:
 
     @cached_property
     def facts(self) -> DataFrame:
-        return cut_round(self.parsed)
+        return stored(self.parsed)
 
     @cached_property
     def imports(self) -> DataFrame:
@@ -104,7 +106,7 @@ class Code:
         """Files of the larger parts count as seen in history."""
         big = t.part.where("p_size > 20").select(F.col("p_partkey"), F.col("p_brand").alias("repo_id"))
         named = self.inventory.withColumn("p_partkey", F.regexp_extract("path", r"([0-9]+)[^0-9]*$", 1).try_cast("long"))
-        return named.join(big, ["repo_id", "p_partkey"], "left_semi").select("repo_id", "path")
+        return named.join(big.hint("merge"), ["repo_id", "p_partkey"], "left_semi").select("repo_id", "path")
 
     def coverage(self, t: Tables) -> DataFrame:
         return facts.coverage(self.inventory, self.facts, self.imports, self.history(t), extract.routes(self.facts))
@@ -176,8 +178,9 @@ def corpus_impact_lists(spark, sf_dir):
 
 def corpus_risk_evidence(spark, sf_dir):
     c = Code(Tables(spark, sf_dir))
+    ff = cut_round(c.file_facts)  # four readers
     comps = graph.cycle_components(c.imports)
-    return answers.risk_evidence(c.file_facts, comps, graph.dependency_depth(c.imports), risks.missing_tests(c.file_facts, c.tests))
+    return answers.risk_evidence(ff, comps, graph.dependency_depth(c.imports), risks.missing_tests(ff, c.tests))
 
 
 QUERIES = {f.__name__: f for f in (

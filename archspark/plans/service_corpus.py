@@ -17,7 +17,7 @@ from archspark.operators import extract, facts, graph, history, risks
 from archspark.functions.paths import is_database_file, is_entry_point, is_test_path
 from archspark.plans import answers, reports
 from archspark.plans.analysis import module_table
-from archspark.session import cut_round
+from archspark.session import cut_round, stored
 from archspark.sources import corpus as src
 from archspark.sources import dims, manifests
 from archspark.sources.tables import Tables
@@ -71,11 +71,11 @@ class Service:
 
     @cached_property
     def inventory(self) -> DataFrame:
-        return cut_round(src.inventory(self.corpus))
+        return cut_round(self.t.gathered(src.inventory(self.corpus), "customer"))
 
     @cached_property
     def facts(self) -> DataFrame:
-        return cut_round(extract.code_facts(self.corpus))
+        return stored(extract.code_facts(self.corpus))
 
     @cached_property
     def imports(self) -> DataFrame:
@@ -99,7 +99,7 @@ class Service:
 
     def risks(self) -> DataFrame:
         tests = self.inventory.where(is_test_path("path")).select("repo_id", "path")
-        ff = self.file_facts
+        ff = cut_round(self.file_facts)  # four readers
         cycles = risks.risk_cycle_paths(graph.simple_cycles(self.imports, 12)).drop("path", "length")
         return risks.union_risks(risks.risk_oversized(ff), cycles, risks.risk_deep(graph.dependency_depth(self.imports)), risks.risk_routes(ff),
                                  risks.risk_database(ff, self.facts, self.imports), risks.risk_missing_tests(risks.missing_tests(ff, tests)))

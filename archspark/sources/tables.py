@@ -13,6 +13,9 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 #: rows of a spread table in one partition
 ROWS_A_PART = 4000
 
+#: short rows in one partition of a table that is kept for several readers
+KEPT_A_PART = 32_000
+
 
 class Tables:
     """Lazy table accessor: ``t = Tables(spark, sf_dir); t.lineitem``.
@@ -33,6 +36,10 @@ class Tables:
         df = getattr(self, name).select(*cols)
         return df.repartition(max(1, -(-df.count() // ROWS_A_PART)), cols[0])
 
+    def gathered(self, df: DataFrame, name: str) -> DataFrame:
+        """Short rows made from a spread table, in fewer partitions: each reader of what is kept starts a task for each."""
+        return df.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-getattr(self, name).count() // KEPT_A_PART)))
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
