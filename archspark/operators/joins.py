@@ -6,8 +6,8 @@ A substring join ("text contains needle") has no hash key. Three exact ways, by
 * dictionaries of up to ``MAX_PATTERN_CHARS`` characters become one Aho-Corasick automaton, broadcast as its
   patterns; texts pass through it in Arrow batches, in time that follows their length and their hits,
   not the number of needles, without a shuffle;
-* beyond that the text side is cut into every substring whose length equals some needle length, and the join
-  becomes an equi join on that substring, which Spark shuffles like any other join (and AQE splits if a key is hot).
+* beyond that needles and texts meet on a three-character piece (``gram_join``), in equi joins that Spark shuffles
+  like any others (and AQE splits if a key is hot).
 """
 
 from __future__ import annotations
@@ -46,17 +46,22 @@ def gram_join(needles: DataFrame, needle: str, texts: DataFrame, text: str, on:
     One plan for every size: each needle is looked up under that of its three-character pieces (a needle of one
     or two characters is its own piece) which the fewest texts have, a text under all of its pieces;
     the candidates that share a piece are verified. Empty needles never match.
+
+    Texts travel once, not with each of their pieces: these carry the text's hash, and texts of one hash are verified
+    alike. The joins are merge joins: a shuffle of needles is small before their pieces are cut, so Spark would take the
+    pieces for small as well and gather them in the driver to broadcast them.
     """
     n = needles.select(*on, F.col(needle).alias("_n")).where(F.length("_n") > 0).distinct()
     pieces = n.select(*on, "_n", F.explode(F.when(F.length("_n") < 3, F.array("_n")).otherwise(_grams(F.col("_n"), False))).alias("_g"))
-    t = texts.select(*on, F.col(text).alias("_t")).distinct()
-    looked = t.select(*on, "_t", F.explode(_grams(F.col("_t"), True)).alias("_g"))
+    t = texts.select(*on, F.col(text).alias("_t")).distinct().withColumn("_id", F.xxhash64("_t"))
+    looked = t.select(*on, "_id", F.explode(_grams(F.col("_t"), True)).alias("_g"))
     common = looked.groupBy(*on, "_g").agg(F.count(F.lit(1)).alias("_c"))
     # a piece that no text has decides as well: such a needle matches nothing
-    key = (pieces.join(_fresh(common), [*on, "_g"], "left").groupBy(*on, "_n")
+    key = (pieces.join(_fresh(common).hint("merge"), [*on, "_g"], "left").groupBy(*on, "_n")
            .agg(F.min(F.struct(F.coalesce("_c", F.lit(0)).alias("_c"), F.col("_g").alias("_g"))).alias("_m"))
            .where("_m._c > 0").select(*on, "_n", F.col("_m._g").alias("_g")))
-    hits = looked.join(key, [*on, "_g"]).where(F.col("_t").contains(F.col("_n")))
+    near = looked.join(key.hint("merge"), [*on, "_g"]).select(*on, "_n", "_id").distinct()
+    hits = _fresh(t).join(near.hint("merge"), [*on, "_id"]).where(F.col("_t").contains(F.col("_n")))
     return hits.select(*on, F.col("_n").alias(needle), F.col("_t").alias(text))
 
 
@@ -110,17 +115,5 @@ def contains_join(texts: DataFrame, text_col: str, needles: DataFrame, needle_co
         return needles.join(b, F.col(text_col).contains(F.col(needle_col)))
     if small == "needles" and (patterns := dictionary(needles, needle_col, MAX_PATTERN_CHARS if max_broadcast_rows else -1)) is not None:
         return automaton_join(texts, text_col, patterns, needle_col).join(_fresh(needles), needle_col)
-    # exact equi-join fallback on enumerated substrings of the needle lengths only; the set of
-    # distinct needle lengths is bounded by the longest needle, so it is read as a small list
-    lens = sorted(r[0] for r in needles.select(F.length(needle_col)).distinct().collect())
-    # substrings are cut from the distinct text values and joined back on the value itself
-    # (no generated row ids, so a recomputed partition after an executor loss joins the same way)
-    txt = texts.select(F.col(text_col).alias("_txt")).distinct()
-    subs = (txt.select("_txt", F.explode(F.array(*[F.lit(n) for n in lens])).alias("_n"))
-            .withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_txt") - F.col("_n") + 1,
-                                                                         F.lit(0)))))
-            .where(F.col("_i") >= 1)
-            .select("_txt", F.expr("substring(_txt, _i, _n)").alias("_sub")).distinct())
-    hits = subs.join(_fresh(needles).withColumnRenamed(needle_col, "_sub"), "_sub")
-    hits = hits.withColumnRenamed("_sub", needle_col).withColumnRenamed("_txt", text_col)
-    return texts.join(hits, text_col)
+    hits = gram_join(needles, needle_col, texts, text_col, [])
+    return texts.join(hits.hint("merge"), text_col).join(_fresh(needles).hint("merge"), needle_col)
