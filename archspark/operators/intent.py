@@ -295,11 +295,12 @@ def prompt_file_cascade(prompts: DataFrame, files: DataFrame, keyword_map: DataF
              .select("prompt_id", "_pk", "path", F.lit(1).alias("tier"), (F.col("ord") * 2).alias("sub")))
     needles = (keyword_map.select("ord", F.col("filename").alias("needle"))
                .unionByName(keyword_map.select("ord", F.col("keyword").alias("needle"))).distinct())
-    loose = (contains_join(f, "path", needles, "needle").select("_fk", "path", "ord").distinct()
+    # of files alike for a prompt the smallest path wins: one a keyword, or a part, meets the prompts, not all of them
+    loose = (contains_join(f, "path", needles, "needle").groupBy("_fk", "ord").agg(F.min("path").alias("path"))
              .join(kws.select("prompt_id", "_pk", "ord"), "ord").where(same)
              .select("prompt_id", "_pk", "path", F.lit(1).alias("tier"), (F.col("ord") * 2 + 1).alias("sub")))
     parts = (f.select("_fk", "path", F.explode(F.array_union(F.array("lpath"), F.split("lpath", r"\."))).alias("part"))
-             .where(F.length("part") > 0).distinct())
+             .where(F.length("part") > 0).groupBy("_fk", "part").agg(F.min("path").alias("path")))
     t2 = (contains_join(p, "norm", parts, "part").where(same)
           .select("prompt_id", "_pk", "path", F.lit(2).alias("tier"), F.lit(0).alias("sub")))
     t3 = (contains_join(f, "path", default_keys.select("dkey", "ord"), "dkey")
