@@ -73,6 +73,11 @@ def file_history(commit_files: DataFrame, key: str = "repo_id", commit: str = "c
             .withColumn("density", scores.density_bucket("commits")))
 
 
+def _commit_table(commit_files: DataFrame, key: str, commit: str, path: str, code_only: bool) -> DataFrame:
+    cf = commit_files.select(key, commit, path)
+    return cf.where(is_code_file(path)) if code_only else cf
+
+
 def _blocks(commit_files: DataFrame, key: str, commit: str, path: str, code_only: bool, block_files: int,
             thresholds: tuple[int, int] | None = None) -> DataFrame:
     """One row for each pair of blocks (i <= j) of a commit, with the files of both as bounded arrays.
@@ -86,9 +91,7 @@ def _blocks(commit_files: DataFrame, key: str, commit: str, path: str, code_only
     the percentage (lifted). Rare files meet blocks of lifted files (``kind`` rare) and nothing else: a first
     commit that adds a million files, most of them never touched again, costs what its few living files cost.
     """
-    cf = commit_files.select(key, commit, path)
-    if code_only:
-        cf = cf.where(is_code_file(path))
+    cf = _commit_table(commit_files, key, commit, path, code_only)
     n_blocks = lambda n: F.ceil(n / F.lit(block_files)).cast("int")
     giants = cf.groupBy(key, commit).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_files)
     own = cf.join(_fresh(giants), [key, commit], "left")
@@ -151,16 +154,16 @@ def cochange_ratios(commit_files: DataFrame, key: str = "repo_id", commit: str =
                     thresholds: tuple[int, int] | None = None) -> DataFrame:
     """E3 + G5: directional ratio joint(a,b)/commits(a) for every co-changed pair.
 
-    Pair counts and per-file commit counts come from the same grouping of the commit table. With ``thresholds``
-    only the rows that reach them are sure to be there, with right numbers (``_blocks``).
+    The blocks are built for the pairs only; the commits of a file come from the commit table itself. With
+    ``thresholds`` only the rows that reach them are sure to be there, with right numbers (``_blocks``).
     -> (key, a, b, joint, total_a, pct) with ``pct`` the half-up integer percentage.
     """
     rows = _blocks(commit_files, key, commit, path, code_only, block_files, thresholds)
     joint = _block_pairs(rows, key).groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("joint"))
     both = joint.unionByName(joint.select(key, F.col("b").alias("a"), F.col("a").alias("b"), "joint"))
-    # a file is in one block of its commit; rare files of giant commits, which no ratio needs, are in none
-    files = rows.where("_kind = 'all' AND _i = _j").select(key, F.explode("_x").alias("a"))
-    freq = files.groupBy(key, "a").agg(F.count(F.lit(1)).alias("total_a"))
+    # counted from the commit table, not from the blocks, which would have to be built a second time
+    files = _commit_table(commit_files, key, commit, path, code_only).distinct()
+    freq = _fresh(files).groupBy(key, F.col(path).alias("a")).agg(F.count(F.lit(1)).alias("total_a"))
     return (both.join(freq, [key, "a"])
             .withColumn("pct", scores.pct("joint", "total_a"))
             .select(key, "a", "b", "joint", "total_a", "pct"))
@@ -179,9 +182,14 @@ def cochange_of(commit_files: DataFrame, targets: DataFrame, key: str = "repo_id
     return joint.join(total, [key, "a"]).withColumn("pct", scores.pct("joint", "total_a")).select(key, "a", "b", "joint", "total_a", "pct")
 
 
+def reaches(min_support: int = vocab.MIN_COMMIT_SUPPORT, min_pct_exclusive: int = vocab.MIN_RATIO_PCT):
+    """True for a ratio of a file with enough commits that exceeds the percentage."""
+    return (F.col("total_a") >= min_support) & (F.col("pct") > min_pct_exclusive)
+
+
 def thresholded(ratios: DataFrame, min_support: int = vocab.MIN_COMMIT_SUPPORT, min_pct_exclusive: int = vocab.MIN_RATIO_PCT) -> DataFrame:
     """The ratios of files with enough commits that exceed the percentage."""
-    return ratios.where((F.col("total_a") >= min_support) & (F.col("pct") > min_pct_exclusive))
+    return ratios.where(reaches(min_support, min_pct_exclusive))
 
 
 def temporal_matrix(commit_files: DataFrame, key: str = "repo_id", commit: str = "commit_id",

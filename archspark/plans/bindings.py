@@ -64,12 +64,24 @@ def nation_edges(t: Tables) -> DataFrame:
                     F.col("dst").cast("bigint").alias("dst")))
 
 
-def supplier_edges(t: Tables, ratios: DataFrame | None = None, **pair_opts) -> DataFrame:
-    """(repo_id, src, dst): joint count above mean + 2 sqrt(mean) of the supplier's pairs (in integers)."""
+def supplier_ties(t: Tables, ratios: DataFrame | None = None, **pair_opts) -> DataFrame:
+    """The co-change ratios with ``edge``: joint count above mean + 2 sqrt(mean) of the supplier's pairs (in integers).
+
+    A window over the rows of a supplier, which already lie together: no second count of the pairs is joined back.
+    """
     r = ratios if ratios is not None else history.cochange_ratios(supplier_commits(t), **pair_opts)
-    per = r.groupBy(REPO, "a").agg(F.count("*").alias("c"), F.sum("joint").alias("s"))
-    return (r.join(per, [REPO, "a"]).where("joint * c > s AND (joint * c - s) * (joint * c - s) > 4 * s * c")
-            .select(REPO, F.col("a").alias("src"), F.col("b").alias("dst")))
+    w = Window.partitionBy(REPO, "a")
+    above = F.expr("joint * c > s AND (joint * c - s) * (joint * c - s) > 4 * s * c")
+    return r.withColumn("c", F.count("*").over(w)).withColumn("s", F.sum("joint").over(w)).withColumn("edge", above).drop("c", "s")
+
+
+def supplier_edges(t: Tables, ratios: DataFrame | None = None, **pair_opts) -> DataFrame:
+    """(repo_id, src, dst): the ties of suppliers that are edges."""
+    return tie_edges(supplier_ties(t, ratios, **pair_opts))
+
+
+def tie_edges(ties: DataFrame) -> DataFrame:
+    return ties.where("edge").select(REPO, F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def part_files(t: Tables) -> DataFrame:

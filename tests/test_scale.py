@@ -1,8 +1,12 @@
 """Steps that grew faster than their input: what they broadcast, keep and compare, on rows of their own."""
 
+from collections import Counter
+from itertools import permutations
+
 from pyspark.sql import functions as F
 
-from archspark.operators import facts, intent, joins
+from archspark.operators import facts, history, intent, joins
+from archspark.plans import bindings, queries
 from archspark.plans.code_corpus import Code
 from archspark.sources.tables import Tables
 
@@ -66,3 +70,30 @@ def test_inventory_is_kept_in_few_partitions(spark, tmp_path):
     kept = Code(Tables(spark, str(tmp_path))).inventory
     assert kept.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
     assert kept.count() == 18_002  # every tenth is in an ignored folder; two modules
+
+
+def test_supplier_pairs_are_counted_once(spark, tmp_path):
+    rows = [(o, (o * o + j * (o % 7 + 1)) % 11 + 1) for o in range(60) for j in range(1 + o % 4)]
+    rows += [(o, s) for o in range(60, 75) for s in (1, 2)] + [(3, None), (3, 1), (3, 1)]
+    spark.createDataFrame([(o, f"p{o % 2}", "2020-01-01", 1) for o in range(75)], "o_orderkey long, o_orderpriority string, o_orderdate string, o_custkey long"
+                          ).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    t = Tables(spark, str(tmp_path))
+    joint, total = Counter(), Counter()
+    for o in range(75):
+        mine = {s for x, s in rows if x == o and s is not None}
+        total.update((f"p{o % 2}", s) for s in mine)
+        joint.update((f"p{o % 2}", a, b) for a, b in permutations(mine, 2))
+    ratios = history.cochange_ratios(bindings.supplier_commits(t))
+    assert sorted(map(tuple, ratios.collect())) == sorted(
+        (k, a, b, n, total[k, a], (200 * n + total[k, a]) // (2 * total[k, a])) for (k, a, b), n in joint.items())
+    want = set()
+    for k, a in total:
+        found = {b: n for (r, x, b), n in joint.items() if (r, x) == (k, a)}
+        c, s = len(found), sum(found.values())
+        want |= {(k, a, b) for b, n in found.items() if n * c > s and (n * c - s) ** 2 > 4 * s * c}
+    edges = bindings.supplier_edges(t)
+    assert want and {tuple(r) for r in edges.collect()} == want
+    counted = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("flatten(")
+    assert counted(edges) == counted(ratios) > 0
+    assert counted(queries.impact_lists(spark, str(tmp_path))) == counted(queries.blast_radius_two_hops(spark, str(tmp_path))) == 0
