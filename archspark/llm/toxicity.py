@@ -130,34 +130,39 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
     def choose(self, texts: list[str], labels: list[int], grid: tuple[float, ...] = (0.0, 1.0, 2.0, 4.0, 6.0, 8.0, 10.0, 12.0)) -> None:
-        """Fit z, slope and offset on labelled texts the models have not seen (the first z of equals)."""
+        """Fit z, slope and offset on labelled texts the models have not seen (the first z of equals).
+
+        Slope and offset are those of classes that weigh the same: 0.5 is where a text speaks for neither, however
+        rare toxic texts are among the labels; by their odds a text needed much more evidence, and doubtful ones all passed.
+        """
         y, (ids, n) = np.array(labels, np.float64), self.ids(texts)
         best = None
         for z in (*grid, None):
             self.fit(best[1] if z is None else z)
-            loss = self.calibrate(self.mean_ratio(ids, n), y)
+            loss = self.calibrate(self.mean_ratio(ids, n), y, even=z is None)
             if best is None or loss < best[0]:
                 best = loss, z
         for name in ("seen", "counts", "base"):
             delattr(self, name)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, rounds: int = 50) -> float:
-        """Newton steps of a logistic regression with a weak pull to zero; returns its mean loss."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray, rounds: int = 50, even: bool = False) -> float:
+        """Newton steps of a logistic regression with a weak pull to zero; returns its mean loss. ``even``: both classes weigh the same."""
         if len(x) == 0 or y.min() == y.max():
             self.slope, self.offset = 1.0, -1.0
             return 0.0
         a = np.column_stack([x, np.ones(len(x))])
         b = np.zeros(2)
+        weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) if even else np.ones(len(x))
         pull = np.diag([1e-4, 1e-6])
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(a @ b, -50, 50)))
-            step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + pull, a.T @ (y - p) - pull @ b)
+            step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + pull, a.T @ (weight * (y - p)) - pull @ b)
             b = b + np.clip(step, -10, 10)
             if np.abs(step).max() < 1e-8:
                 break
         self.slope, self.offset = float(b[0]), float(b[1])
         z = np.clip(a @ b, -50, 50)
-        return float(np.mean(np.log1p(np.exp(-z)) + (1 - y) * z))
+        return float(np.mean(weight * (np.log1p(np.exp(-z)) + (1 - y) * z)))
 
 
 def folds(id_col: str):

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from conftest import SMALL
 from llm_helpers import DOCS, ODD
@@ -78,6 +79,25 @@ def test_toxicity_continuation_counts_of_the_whole_corpus(frame):
     assert not toxicity.shared_counts(docs.limit(0), {}, "text").any()
 
 
+def test_toxicity_weighs_both_classes_the_same():
+    class Given(toxicity.Model):  # the texts are their own ratios
+        def ids(self, texts):
+            return np.array(texts, float), np.ones(len(texts))
+
+        def fit(self, z):
+            pass
+
+        def mean_ratio(self, ids, n):
+            return ids
+
+    model = Given([])
+    model.seen = model.counts = model.base = None
+    # at ratio 0 are 6 of 20 toxic texts and 14 of 200 ordinary ones: likelier among the toxic, though fewer
+    texts = [1.0] * 14 + [0.0] * 6 + [1.0] * 6 + [0.0] * 14 + [-1.0] * 180
+    model.choose(texts, [1] * 20 + [0] * 200)
+    assert [s >= 0.5 for s in model.score([1.0, 0.0, -1.0])] == [True, True, False]
+
+
 def test_toxicity_odd_rows(frame):
     none = frame([], "doc_id long, toxic int")
     for labels in (none, frame([(2, None), (4, 1), (4, 0), (None, 1), (3, 7)], "doc_id long, toxic int")):
