@@ -153,6 +153,19 @@ def scored_groups(gc: DataFrame, m: DataFrame, tl: DataFrame, groups: DataFrame,
                  F.slice(F.array_sort(F.collect_list("concept")), 1, 3).alias("matched")))
 
 
+def layer_heads(f: DataFrame, k: int, key: str = "repo_id") -> DataFrame:
+    """(key, path, layer) of each layer's best ``k`` files under each (in target?, ui floor?) variant."""
+    orders = []
+    for t in (0, 1):
+        for u in (False, True):
+            s = F.col(f"b3_{t}") + (F.when(F.col("special"), 66).otherwise(0) if u else F.lit(0))
+            points = F.least(F.greatest(F.floor(s / 3), F.lit(5)), F.lit(100))
+            orders.append(F.row_number().over(Window.partitionBy(key, "layer").orderBy(points.desc(), F.col("path"))))
+    # a limit for each variant: Spark then keeps the k best of each task before a layer's files meet in one
+    firsts = [f.withColumn("_r", o).where(F.col("_r") <= k).select(key, "path", "layer") for o in orders]
+    return reduce(DataFrame.unionByName, firsts).distinct()
+
+
 def candidate_scores(goals: DataFrame, files: DataFrame, file_facts_df: DataFrame, assignments: DataFrame,
                      concepts: DataFrame, stop_words: DataFrame, layer_vocab: DataFrame, layer_names: list[str],
                      k: int = 10, key: str = "repo_id", fallback: str = vocab.FALLBACK_LAYER) -> DataFrame:
@@ -219,15 +232,7 @@ def candidate_scores(goals: DataFrame, files: DataFrame, file_facts_df: DataFram
                  .select("goal_id", key, "path", "p", "q", "matched"))
 
     # 3. base candidates: per layer, the best k files under each (in target?, ui floor?) variant
-    orders = []
-    for t in (0, 1):
-        for u in (False, True):
-            s = F.col(f"b3_{t}") + (F.when(F.col("special"), 66).otherwise(0) if u else F.lit(0))
-            points = F.least(F.greatest(F.floor(s / 3), F.lit(5)), F.lit(100))
-            orders.append(F.row_number().over(Window.partitionBy(key, "layer").orderBy(points.desc(), F.col("path"))))
-    # a limit for each variant: Spark then keeps the k best of each task before a layer's files meet in one
-    firsts = [f.withColumn("_r", o).where(F.col("_r") <= k).select(key, "path", "layer") for o in orders]
-    lheads = cut_lineage(reduce(DataFrame.unionByName, firsts).distinct())
+    lheads = cut_lineage(layer_heads(f, k, key))
     n_heads = lheads.count()  # at most 4k rows per (repository, layer): bounded
     goal_layers = m.select("goal_id", F.explode(F.array(*[F.lit(x) for x in layer_names])).alias("layer"))
     base_pairs = (goal_layers.join(F.broadcast(lheads) if n_heads <= 1_000_000 else lheads, "layer")

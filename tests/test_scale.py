@@ -97,3 +97,19 @@ def test_supplier_pairs_are_counted_once(spark, tmp_path):
     counted = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("flatten(")
     assert counted(edges) == counted(ratios) > 0
     assert counted(queries.impact_lists(spark, str(tmp_path))) == counted(queries.blast_radius_two_hops(spark, str(tmp_path))) == 0
+
+
+def test_layer_heads_are_cut_before_a_layer_meets_in_one_task(spark):
+    rows = [("r", f"f{i:03}.py", f"L{i % 3}", i % 7 == 0, 3 * (i * i % 41), 3 * (i * i % 41) + 60) for i in range(200)]
+    rows += [("s", "a.py", None, None, 0, 0), ("s", "b.py", None, True, 0, 0)]
+    f = spark.createDataFrame(rows, "repo_id string, path string, layer string, special boolean, b3_0 int, b3_1 int").repartition(4)
+    heads = intent.layer_heads(f, 4)
+    assert _plan(heads).count("WindowGroupLimit") == 8  # each of four variants, before and after the shuffle
+    want = set()
+    for at in (4, 5):
+        for u in (0, 66):
+            points = lambda x: min(max((x[at] + (u if x[3] else 0)) // 3, 5), 100)  # noqa: E731, B023
+            for g in {(x[0], x[2]) for x in rows}:
+                want |= {(x[0], x[1], x[2]) for x in sorted((x for x in rows if (x[0], x[2]) == g), key=lambda x: (-points(x), x[1]))[:4]}
+    found = list(map(tuple, heads.collect()))
+    assert len(found) == len(want) and set(found) == want
