@@ -7,31 +7,49 @@ chosen by which tables know their context and whether they agree, mixes them: "a
 ranges, then evenly within the range. All of it is integer arithmetic, so any machine decodes what
 another encoded. Blocks run side by side as the lanes of numpy arrays, one id of each at a time.
 
-The coder keeps 48 bits of ``low`` and a range of at least 2^32, and writes 16-bit words; totals are
-at most 2^16, so one word at most leaves after each step. A carry runs back over words written.
+The coder keeps ``low`` and a range of 2^32 to 2^48 as whole numbers in doubles, which hold them exactly;
+so are quotients rounded down, as no number reaches 2^52. An id narrows the range up to three times (mixing,
+id range, place within it; by 1 where a step has nothing to say) and then writes 16-bit words until 2^32 is
+reached again. ``low`` keeps its carries, a written word too; they run back over all words at the end.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-WORD, TOP = np.uint64(16), np.uint64(1 << 32)
-MASK = np.uint64((1 << 48) - 1)
-LOW32 = np.uint64((1 << 32) - 1)
 #: ids a block may hold: adaptive totals grow by INC an id and must stay within 2^16
 BLOCK_IDS, INC = 4096, 12
 MOST_IDS = 65_535
 H1, H2 = 1 << 11, 1 << 12
+WORD, TOP, HIGH = 2.0**16, 2.0**32, 2.0**-32
+#: a range below it is widened before an id's place in its id range (of up to 2^15 ids) is coded
+NARROW = 2.0**20
 #: order-0 ranges: two of 256 ids (the bytes), then growing ones
 EDGES = np.unique(np.concatenate(([0, 256], np.round(512 * (65_536 / 512) ** (np.arange(15) / 14))))).astype(np.int64)
-SIZES = np.diff(EDGES)
-B = len(SIZES)
-RANGE_OF = np.repeat(np.arange(B), SIZES)
-START, WIDTH = EDGES.astype(np.uint64), SIZES.astype(np.uint64)  # coder arithmetic is unsigned throughout
-ABOVE = np.arange(B + 1, dtype=np.uint8)[:, None]
-ONE = np.uint64(1)
-#: starting counts of (order 2, order 1, neither) where: no table, order 1, order 2, both, both and agreeing
-PRIOR = np.array([[0, 0, 1], [0, 1, 2], [1, 0, 1], [1, 1, 2], [3, 0, 1]], np.uint64)
+B = len(EDGES) - 1
+#: in place of a range, where a table knew the id
+NONE = B + 1
+RANGE_OF = np.repeat(np.arange(B, dtype=np.uint8), np.diff(EDGES))
+START = np.concatenate((EDGES[:-1], [0, 0])).astype(np.uint16)
+WIDTH = np.concatenate((np.diff(EDGES), [1, 1])).astype(np.float64)
+
+
+def _packed(numbers) -> np.ndarray:
+    """Each four 16-bit numbers as one of 64 bits, so that one addition counts in all of them."""
+    return np.asarray(numbers, "<u2").view("<u8").astype(np.uint64)
+
+
+#: cumulated counts of (order 2, order 1, neither) at the start where: no table, order 1, order 2, both, both and agreeing
+PRIOR = _packed([[0, 0, 0, 1], [0, 0, 1, 3], [0, 1, 1, 2], [0, 1, 2, 4], [0, 3, 3, 4]]).ravel()
+#: what each of the three adds to them
+ADD = _packed([[0, INC, INC, INC], [0, 0, INC, INC], [0, 0, 0, INC]]).ravel()
+#: cumulated counts of the ranges at the start, then 0 and 1, between which NONE lies
+SLOTS = -(-(B + 3) // 4) * 4
+FIRST = _packed([*range(B + 1), 0, 1, *[0] * (SLOTS - B - 3)])
+#: what each range adds to them, a row for each four
+ADD0 = np.stack([_packed([INC * (r < j <= B) for j in range(SLOTS)]) for r in range(NONE + 1)], axis=1)
+ADD0[:, NONE] = 0
+SPREAD = np.uint64(0x0001_0001_0001_0001)
 
 
 class _Lanes:
@@ -41,41 +59,64 @@ class _Lanes:
         n = len(lengths)
         self.lengths = lengths
         self.t1, self.t2 = np.zeros(n * H1, np.uint16), np.zeros(n * H2, np.uint16)  # id + 1; 0: nothing yet
-        self.flags = np.tile(PRIOR.ravel(), n)
-        # cumulated order-0 counts, a row for each range and a column for each lane: whole rows are fast
-        self.cum = np.repeat(np.arange(B + 1, dtype=np.uint16)[:, None], n, axis=1)
-        self.n, self.lane = n, np.arange(n)
-        self.base1, self.base2, self.base = self.lane * H1, self.lane * H2, self.lane * 15
-        self.p1, self.p2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.flags = np.tile(PRIOR, n)
+        self.cum = np.repeat(FIRST[:, None], n, axis=1)  # a row for each four counts, a column for each lane
+        self.slots = self.cum.reshape(-1).view("<u2")
+        self.more = np.full(n, B - 1.0)  # the order-0 total, less one
+        slot = np.arange(SLOTS)
+        place = slot // 4 * 4 * n + slot % 4
+        self.place, self.after = place[: NONE + 1], place[1 : NONE + 2]
+        lane = np.arange(n)
+        self.base1, self.base2, self.base, self.lane4 = lane * H1, lane * H2, lane * 5, lane * 4
+        self.p1, self.p2 = np.zeros(n, np.uint16), np.zeros(n, np.uint16)
 
     def predict(self, k: int):
-        """Table places, predictions and the mixing state's place for the first k lanes."""
-        mixed = self.p1[:k] * 40_503
-        i1 = ((mixed >> 4) & (H1 - 1)) + self.base1[:k]
-        mixed += self.p2[:k] * 60_493
-        i2 = ((mixed >> 4) & (H2 - 1)) + self.base2[:k]
-        c1, c2 = self.t1[i1], self.t2[i2]
-        one = c1 > 0
-        at = (one + 2 * (c2 > 0) + ((c1 == c2) & one)) * 3 + self.base[:k]
-        f0, f1 = self.flags[at], self.flags[at + 1]
-        return i1, i2, c1, c2, at, f0, f1, f0 + f1 + self.flags[at + 2]
-
-    def update(self, k: int, i1, i2, at, sym, y) -> None:
-        self.flags[at + sym] += np.uint64(INC)
+        """Table places, predictions, the mixing state's place and its cumulated counts for the first k lanes."""
+        mixed = self.p1[:k] * np.uint16(40_503)  # only the lower 16 bits count
+        i1 = self.base1[:k] + ((mixed >> 4) & (H1 - 1))
+        mixed += self.p2[:k] * np.uint16(60_493)
+        i2 = self.base2[:k] + ((mixed >> 4) & (H2 - 1))
+        c1, c2 = self.t1.take(i1), self.t2.take(i2)
+        one, two = (c1 != 0).view(np.uint8), (c2 != 0).view(np.uint8)
+        at = self.base[:k] + (one + two + two + ((c1 == c2).view(np.uint8) & one))
+        return i1, i2, c1, c2, at, self.flags.take(at)
+
+    def mixing(self, k: int, at, counts, sym):
+        """(start, count) of each lane's ``sym`` of the three, which is counted."""
+        self.flags[at] = counts + ADD.take(sym)
+        here, flat = self.lane4[:k] + sym, counts.view("<u2")
+        start = flat.take(here)
+        here += 1
+        return start, flat.take(here) - start
+
+    def order0(self, k: int, r):
+        """(start, count) of each lane's range r in its order-0 counts, where it is counted."""
+        here = self.lane4[:k]
+        start = self.slots.take(self.place.take(r) + here)
+        size = self.slots.take(self.after.take(r) + here) - start
+        for row, add in zip(self.cum, ADD0):
+            row[:k] += add.take(r)
+        return start, size
+
+    def totals(self, k: int, miss):
+        """Totals of the order-0 counts where ``miss`` is 1, else 1; counts their use."""
+        out = miss * self.more[:k]
+        out += 1.0
+        self.more[:k] += miss * float(INC)
+        return out
+
+    def range_at(self, k: int, value):
+        """The range whose interval in the order-0 counts holds the value."""
+        below = self.slots.reshape(len(self.cum), -1)[: B // 4, : 4 * k] <= (value.astype(np.uint64) * SPREAD).view("<u2")
+        found = np.add.reduce(below.view(np.uint8), axis=0, dtype=np.uint8)  # four sums for each lane
+        return ((found.view(np.uint32) * np.uint32(0x0101_0101)) >> 24) - 1
+
+    def update(self, k: int, i1, i2, y) -> None:
         self.t1[i1] = y
         self.t2[i2] = y
         self.p2[:k] = self.p1[:k]
         self.p1[:k] = y
 
-    def interval(self, at: np.ndarray, b: np.ndarray):
-        """(start, end, total) of range b in the order-0 counts of the lanes ``at``."""
-        flat = self.cum.reshape(-1)
-        return (flat[i * self.n + at].astype(np.uint64) for i in (b, b + 1, B))
-
-    def count(self, k: int, b: np.ndarray) -> None:
-        """Count range b (B: none) in each of the first k lanes."""
-        self.cum[:, :k] += (ABOVE > b) * np.uint16(INC)
-
     def at_work(self):
         """(step, lanes still at work) until the longest block ends."""
         top = int(self.lengths[0]) if len(self.lengths) else 0
@@ -86,69 +127,105 @@ class _Lanes:
 class _Writer:
     def __init__(self, lengths: np.ndarray):
         n = len(lengths)
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, 1 << 48, np.uint64)
-        self.out = np.zeros((n, 3 * int(lengths.max(initial=0)) + 8), np.uint16)
-        self.pos = np.zeros(n, np.int64)
-
-    def put(self, sel, start, freq, total) -> None:
-        width = self.range[sel] // total
-        low = self.low[sel] + width * start
-        if freq is not ONE:
-            width *= freq
-        whole = isinstance(sel, slice)
-        over = low > MASK
-        if over.any():
-            at = over.nonzero()[0] if whole else sel[over]
-            i = self.pos[at] - 1
-            while len(at):
-                self.out[at, i] += np.uint16(1)
-                more = self.out[at, i] == 0
-                at, i = at[more], i[more] - 1
-            low &= MASK
-        short = (width < TOP).nonzero()[0]
-        if len(short):
-            at = short if whole else sel[short]
-            here, done = self.pos[at], low[short]
-            self.out[at, here] = done >> np.uint64(32)
-            self.pos[at] = here + 1
-            low[short] = (done & LOW32) << WORD
-            width[short] <<= WORD
-        self.low[sel], self.range[sel] = low, width
+        self.low, self.range = np.zeros(n), np.full(n, 2.0**48)
+        self.n = n
+        self.out = np.zeros((3 * int(lengths.max(initial=0)) + 8) * n, np.uint32)  # a row for each word's place
+        self.pos = np.arange(n)
+
+    def narrow(self, k: int, start, count, total) -> None:
+        part = np.floor(self.range[:k] / total)
+        self.low[:k] += part * start
+        np.multiply(part, count, out=self.range[:k])
+
+    def place(self, k: int, place, width) -> None:
+        """Narrows to one of ``width`` equal parts."""
+        np.floor(self.range[:k] / width, out=self.range[:k])
+        self.low[:k] += self.range[:k] * place
+
+    def widen(self, k: int) -> None:
+        short = self.range[:k] < TOP
+        one, low, pos = short.astype(np.float64), self.low[:k], self.pos[:k]
+        word = np.floor(low * HIGH)
+        self.out[pos] = word  # where it is not wanted, the next one takes its place
+        pos += short * self.n
+        word *= TOP
+        word *= one
+        low -= word
+        one *= WORD - 1.0
+        one += 1.0
+        low *= one
+        self.range[:k] *= one
+        self.widen_few(k, TOP)
+
+    def widen_few(self, k: int, below: float) -> None:
+        at = (self.range[:k] < below).nonzero()[0]
+        while len(at):
+            here, low, width = self.pos[at], self.low[at], self.range[at] * WORD
+            word = np.floor(low * HIGH)
+            self.out[here] = word
+            self.pos[at] = here + self.n
+            self.low[at] = (low - word * TOP) * WORD
+            self.range[at] = width
+            at = at[width < TOP]
 
     def finish(self) -> list[bytes]:
-        lane = np.arange(len(self.pos))
-        for shift in (32, 16, 0):
-            self.out[lane, self.pos] = (self.low >> np.uint64(shift)) & np.uint64(0xFFFF)
-            self.pos += 1
-        return [row[:n].astype("<u2").tobytes() for row, n in zip(self.out, self.pos.tolist())]
+        for _ in range(3):
+            word = np.floor(self.low * HIGH)
+            self.out[self.pos] = word
+            self.low = (self.low - word * TOP) * WORD
+            self.pos += self.n
+        sizes = self.pos // self.n
+        words = self.out.reshape(-1, self.n)[: sizes.max()]
+        for i in range(len(words) - 1, 0, -1):
+            words[i - 1] += words[i] >> 16
+        return [row[:n].tobytes() for row, n in zip(words.T.astype("<u2", order="C"), sizes.tolist())]
 
 
 class _Reader:
     def __init__(self, payloads: list[bytes]):
         n = len(payloads)
-        words = [np.frombuffer(p, "<u2") for p in payloads]
-        self.words = np.zeros((n, max(map(len, words)) + 1), np.uint64)
-        for row, w in zip(self.words, words):
-            row[: len(w)] = w
-        self.code = (self.words[:, 0] << np.uint64(32)) | (self.words[:, 1] << WORD) | self.words[:, 2]
-        self.range = np.full(n, 1 << 48, np.uint64)
-        self.pos = np.full(n, 3, np.int64)
-
-    def value(self, sel, total) -> np.ndarray:
-        """The code's place within ``total``; call take() with the interval next."""
-        self.r = self.range[sel] // total
-        return np.minimum(self.code[sel] // self.r, total - ONE)
-
-    def take(self, sel, start, freq) -> None:
-        code = self.code[sel] - self.r * start
-        width = self.r if freq is ONE else self.r * freq
-        short = (width < TOP).nonzero()[0]
-        if len(short):
-            at = short if isinstance(sel, slice) else sel[short]
-            code[short] = (code[short] << WORD) | self.words[at, np.minimum(self.pos[at], self.words.shape[1] - 1)]
-            self.pos[at] += 1
-            width[short] <<= WORD
-        self.code[sel], self.range[sel] = code, width
+        found = [np.frombuffer(p, "<u2") for p in payloads]
+        words = np.zeros((max(map(len, found)) + 1, n), np.uint16)
+        for lane, w in enumerate(found):
+            words[: len(w), lane] = w
+        self.code = words[0] * TOP + words[1] * WORD + words[2]
+        self.n, self.words, self.pos = n, words.reshape(-1), np.arange(n) + 3 * n
+        self.range = np.full(n, 2.0**48)
+
+    def part(self, k: int, total) -> np.ndarray:
+        return np.floor(self.range[:k] / total)
+
+    def value(self, k: int, part, total) -> np.ndarray:
+        """The code's place within ``total``, of which each is ``part`` wide."""
+        value = np.floor(self.code[:k] / part)
+        value -= value * part > self.code[:k]  # the quotient may have been rounded up
+        return np.minimum(value, total - 1.0, out=value)
+
+    def take(self, k: int, part, start, count) -> None:
+        self.code[:k] -= part * start
+        np.multiply(part, count, out=self.range[:k])
+
+    def widen(self, k: int) -> None:
+        short = self.range[:k] < TOP
+        one, code, pos = short.astype(np.float64), self.code[:k], self.pos[:k]
+        more = code * (WORD - 1.0)
+        more += self.words.take(pos, mode="clip")  # beyond the end in a damaged payload only
+        more *= one
+        code += more
+        pos += short * self.n
+        one *= WORD - 1.0
+        one += 1.0
+        self.range[:k] *= one
+        self.widen_few(k, TOP)
+
+    def widen_few(self, k: int, below: float) -> None:
+        at = (self.range[:k] < below).nonzero()[0]
+        while len(at):
+            here, width = self.pos[at], self.range[at] * WORD
+            self.code[at] = self.code[at] * WORD + self.words.take(here, mode="clip")
+            self.pos[at] = here + self.n
+            self.range[at] = width
+            at = at[width < TOP]
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
@@ -158,29 +235,29 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         if not len(blocks):
             return []
         raise ValueError("a block has too many ids")
+    if max(int(b.max(initial=0)) for b in blocks) >= MOST_IDS:
+        raise ValueError("an id is too large")
     order = np.argsort(-lengths, kind="stable")
-    ids = np.zeros((int(lengths.max()), len(blocks)), np.int64)  # by step
+    ids = np.zeros((int(lengths.max()), len(blocks)), np.uint16)  # by step
     for lane, b in enumerate(order.tolist()):
         ids[: lengths[b], lane] = blocks[b]
-    if ids.max(initial=0) >= MOST_IDS:
-        raise ValueError("an id is too large")
     m, w = _Lanes(lengths[order]), _Writer(lengths[order])
     for t, k in m.at_work():
         x = ids[t, :k]
-        y = (x + 1).astype(np.uint16)
-        i1, i2, c1, c2, at, f0, f1, total = m.predict(k)
-        second = c2 == y
-        sym = np.where(second, 0, 2 - (c1 == y))
-        w.put(slice(0, k), f0 * (sym > 0) + f1 * (sym > 1), m.flags[at + sym], total)
-        m.update(k, i1, i2, at, sym, y)
-        miss = (sym == 2).nonzero()[0]
-        if len(miss):
-            ranges = np.full(k, B, np.uint8)
-            ranges[miss] = b = RANGE_OF[x[miss]]
-            start, end, total = m.interval(miss, b)
-            w.put(miss, start, end - start, total)
-            m.count(k, ranges)
-            w.put(miss, x[miss].astype(np.uint64) - START[b], ONE, WIDTH[b])
+        y = x + np.uint16(1)
+        i1, i2, c1, c2, at, counts = m.predict(k)
+        second = (c2 == y).view(np.uint8)
+        sym = np.uint8(2) - np.maximum(second + second, (c1 == y).view(np.uint8))
+        total = counts.view("<u2")[3::4]
+        w.narrow(k, *m.mixing(k, at, counts, sym), total)
+        m.update(k, i1, i2, y)
+        miss = sym == 2
+        r = np.where(miss, RANGE_OF.take(x), np.uint8(NONE)).astype(np.intp)
+        miss = miss.astype(np.float64)
+        w.narrow(k, *m.order0(k, r), m.totals(k, miss))
+        w.widen_few(k, NARROW)
+        w.place(k, (x - START.take(r)) * miss, WIDTH.take(r))
+        w.widen(k)
     done = w.finish()
     out: list[bytes] = [b""] * len(blocks)
     for lane, b in enumerate(order.tolist()):
@@ -194,32 +271,31 @@ def decode(payloads: list[bytes], lengths: list[int]) -> list[np.ndarray]:
         return []
     lengths = np.array(lengths, np.int64)
     order = np.argsort(-lengths, kind="stable")
-    ids = np.zeros((int(lengths.max()), len(payloads)), np.int64)
+    ids = np.zeros((int(lengths.max()), len(payloads)), np.uint16)
     m, r = _Lanes(lengths[order]), _Reader([payloads[i] for i in order.tolist()])
     for t, k in m.at_work():
-        here = slice(0, k)
-        i1, i2, c1, c2, at, f0, f1, total = m.predict(k)
-        v = r.value(here, total)
-        sym = (v >= f0).astype(np.int64) + (v >= f0 + f1)
-        r.take(here, f0 * (sym > 0) + f1 * (sym > 1), m.flags[at + sym])
-        y = np.where(sym == 0, c2, c1)
-        miss = (sym == 2).nonzero()[0]
-        if len(miss):
-            v = r.value(miss, m.cum[B, miss].astype(np.uint64))
-            place = np.zeros(k, np.uint16)
-            place[miss] = v
-            b = np.add.reduce(m.cum[1:, :k] <= place, axis=0, dtype=np.uint8)[miss].astype(np.int64)
-            start, end, _ = m.interval(miss, b)
-            r.take(miss, start, end - start)
-            ranges = np.full(k, B, np.uint8)
-            ranges[miss] = b
-            m.count(k, ranges)
-            inner = r.value(miss, WIDTH[b])
-            r.take(miss, inner, ONE)
-            y[miss] = START[b] + inner + ONE
-        m.update(k, i1, i2, at, sym, y)
-        ids[t, :k] = y.astype(np.int64) - 1
-    out: list[np.ndarray] = [ids[:0, 0]] * len(payloads)
+        i1, i2, c1, c2, at, counts = m.predict(k)
+        ends = counts.view("<u2").reshape(-1, 4)
+        part, code = r.part(k, ends[:, 3]), r.code[:k]
+        sym = (code >= part * ends[:, 1]).view(np.uint8) + (code >= part * ends[:, 2]).view(np.uint8)
+        r.take(k, part, *m.mixing(k, at, counts, sym))
+        miss = sym == 2
+        total = m.totals(k, miss.astype(np.float64))
+        part = r.part(k, total)
+        b = np.where(miss, m.range_at(k, r.value(k, part, total)), NONE)
+        r.take(k, part, *m.order0(k, b))
+        r.widen_few(k, NARROW)
+        width = WIDTH.take(b)
+        part = r.part(k, width)
+        place = r.value(k, part, width)
+        r.take(k, part, place, 1.0)
+        r.widen(k)
+        y = START.take(b) + place.astype(np.uint16) + np.uint16(1)
+        y = np.where(miss, y, np.where(sym == 0, c2, c1))
+        m.update(k, i1, i2, y)
+        ids[t, :k] = y - np.uint16(1)
+    columns = ids.T.astype(np.uint32, order="C")
+    out: list[np.ndarray] = [columns[0, :0]] * len(payloads)
     for lane, b in enumerate(order.tolist()):
-        out[b] = ids[: lengths[b], lane].astype(np.uint32)
+        out[b] = columns[lane, : lengths[b]]
     return out
