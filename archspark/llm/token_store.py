@@ -18,13 +18,17 @@ import math
 import re
 import uuid
 import zlib
+from operator import itemgetter
 from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from archspark.llm import range_coder
 from archspark.llm.common import memory, small_batches
@@ -32,14 +36,18 @@ from archspark.llm.token_counts import WordLengths, drops_space, load
 from archspark.session import cut_lineage, ensure_checkpoint_dir
 
 LANES = 2048
+#: parts of words in a line for the merge model
+LINE = 256
 
-
-#: a lower-case word with the marks behind it: the pre-tokeniser parts just these two
-PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]*)([].,!*$&%#|;:?()\"[{}/+=~^@_-]*)")
+#: lower-case words with the marks behind them, one a line: the pre-tokeniser parts just these two; anything else comes third
+PLAIN = re.compile("^([a-z\u00df-\u00f6\u00f8-\u00ff]*)([].,!*$&%#|;:?()\"[{}/+=~^@_-]*)(.*)$", re.MULTILINE)
 
 #: a capital before a character that may compose with it; all marks that do are of U+0300 to U+037F (lead bytes CC and CD)
 MARKED = re.compile(rb"[A-Z][\x80-\xff]").search
 
+#: texts of which not every word is lowered
+ODD = "<\\||[\u0300-\u037f]"
+
 
 def _byte_level() -> dict[int, str]:
     """The characters that byte-level models use for bytes: printable ones for themselves, then from U+0100 on."""
@@ -51,38 +59,58 @@ def _byte_level() -> dict[int, str]:
 class WordIds(WordLengths):
     """Ids of texts by their words, for tokenizers that drop white space (see token_counts).
 
-    With ``lower`` (the tokenizer lowers case itself and has the usual letter pattern) words are lowered first, and plain
-    words go to the library's merge model directly, past the normaliser and pre-tokeniser, which leave them as they are.
+    With ``lower`` (the tokenizer lowers case itself and has the usual letter pattern) words are lowered first, and the letters
+    and marks of plain words go to the library's merge model directly, past the normaliser and pre-tokeniser, which leave them
+    as they are: many at once, as a line of which each blank ends a word, and each of them once until ``most`` are known.
     """
 
     BYTES = _byte_level()
 
-    def __init__(self, encoder, batch_bytes: int = 262_144, most: int = 400_000, longest: int = 64, lower: bool = False):
+    def __init__(self, encoder, batch_bytes: int = 262_144, most: int = 300_000, longest: int = 64, lower: bool = False):
         super().__init__(encoder, batch_bytes, most, longest)
         self.lower = lower
-        self.older: dict[bytes, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+        if lower:
+            self.line = Tokenizer(encoder.model)
+            self.line.pre_tokenizer = WhitespaceSplit()
+            suffix = getattr(encoder.model, "end_of_word_suffix", None) or ""
+            self.ends = np.zeros(encoder.get_vocab_size(), bool)
+            self.ends[[i for w, i in encoder.get_vocab().items() if suffix and w.endswith(suffix)]] = True
 
     @staticmethod
     def value(encoding) -> bytes:
         return np.array(encoding.ids, "<u4").tobytes()
 
-    def learn(self, words: set[bytes]) -> dict:
-        if not self.lower:
-            return super().learn(words)
-        tokenize, bytes_of, found, other = self.encoder.model.tokenize, self.BYTES, {}, set()
-        for w in words:
-            m = PLAIN.fullmatch(w.decode())
-            if m is None:
-                other.add(w)
-                continue
-            letters, marks = m.groups()
-            if not letters.isascii():
-                letters = "".join(map(bytes_of.__getitem__, letters.encode()))
-            ids = [x.id for x in tokenize(letters)] if letters else []
-            if marks:
-                ids += [x.id for x in tokenize(marks)]
-            found[w] = pack(f"<{len(ids)}I", *ids)
-        return found | super().learn(other)
+    def learn_parts(self, parts: list[str]) -> None:
+        bytes_of = self.BYTES
+        plain = [p if p.isascii() else "".join(map(bytes_of.__getitem__, p.encode())) for p in parts]
+        ids = np.array(self.line.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(ends) != len(parts):  # a model that does not mark the ends of words
+            tokenize = self.encoder.model.tokenize
+            self.parts |= {p: pack(f"<{len(x)}I", *(y.id for y in x)) for p, x in zip(parts, map(tokenize, plain))}
+            return
+        raw, at = ids.tobytes(), 0
+        for p, end in zip(parts, ends.tolist()):
+            self.parts[p] = raw[at:end]
+            at = end
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        if not self.lower or not words:
+            found = super().learn({w.encode() for w in words})
+            return [found[w.encode()] for w in words]
+        cut, parts = PLAIN.findall("\n".join(words)), self.parts
+        missed = list(set(map(itemgetter(0), cut)).union(map(itemgetter(1), cut)).difference(parts))
+        for at in range(0, len(missed), LINE):
+            self.learn_parts(missed[at : at + LINE])
+        out = [None if rest else parts[letters] + parts[marks] for letters, marks, rest in cut]
+        if other := {w.encode() for w, x in zip(words, out) if x is None}:
+            found = super().learn(other)
+            out = [found[w.encode()] if x is None else x for w, x in zip(words, out)]
+        if len(parts) > self.most:
+            self.parts = {"": b""}
+        return out
 
     def words(self, text: str) -> list[bytes]:
         raw = text.encode()
@@ -94,17 +122,37 @@ class WordIds(WordLengths):
             return [w if MARKED(w) else w.lower() for w in raw.split()]
         return raw.lower().split()
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [self.words(t) for t in texts]
-        got = [list(map(self.known.get, w)) for w in words]
-        missed = {w for ws, ns in zip(words, got) if None in ns for w, n in zip(ws, ns) if n is None}
-        found = {w: n for w in missed if (n := self.older.get(w)) is not None}
-        found |= self.learn(missed - found.keys())
-        out = [b"".join(ns if None not in ns else [found[w] if n is None else n for w, n in zip(ws, ns)]) for ws, ns in zip(words, got)]
-        if len(self.known) + len(found) > self.most:
-            self.older, self.known = self.known, {}  # words in use come back from the older half
-        self.known |= {w: n for w, n in found.items() if len(w) <= self.longest}
-        return out
+    def __call__(self, texts: pa.Array | list[str]) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        plain = pc.ascii_lower(texts) if self.lower else texts
+        if self.lower and (odd := np.flatnonzero(pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)).tolist()):
+            plain = plain.to_pylist()
+            for i in odd:
+                plain[i] = b" ".join(self.words(texts[i].as_py())).decode()
+            plain = pa.array(plain, pa.string())
+        cut = pc.ascii_split_whitespace(plain)
+        coded = cut.flatten().dictionary_encode()
+        words, known = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known
+        ids = list(map(known.get, words))
+        if missed := [w for w, x in zip(words, ids) if x is None]:
+            found = list(map(self.older.get, missed))
+            new = iter(self.learn([w for w, x in zip(missed, found) if x is None]))
+            found = [next(new) if x is None else x for x in found]
+            if len(known) + len(found) > self.most:
+                self.older, self.known = known, {}  # words in use come back from the older half
+            self.known.update(zip(missed, found))
+            for w in missed:
+                if len(w) > self.longest:
+                    del self.known[w]
+            found = iter(found)
+            ids = [next(found) if x is None else x for x in ids]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        lists = pa.LargeListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        taken = lists.take(coded.indices)
+        ends = taken.offsets.to_numpy()[cut.offsets.to_numpy()] * 4
+        raw = taken.values.to_numpy().tobytes()
+        return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 def encoder(path: str):
@@ -117,12 +165,13 @@ def encoder(path: str):
             same = all(ids(chr(c)) == ids(chr(c).lower()) for c in range(65, 91)) and ids("AbCXYZ") == ids("abcxyz")
             words = WordIds(tok, lower=same)
             samples = ["thonne", "über.,", "café***", "ß!!", ")(", "naïve|", "a", "_", "x--"]
-            if same and any(words.learn({w.encode()})[w.encode()] != WordIds.value(tok.encode(w, add_special_tokens=False)) for w in samples):
+            if same and any(words.learn([w])[0] != WordIds.value(tok.encode(w, add_special_tokens=False)) for w in samples):
                 words = WordIds(tok)  # another pre-tokeniser: every word through all of the library's steps
             known[path] = words
         return known[path]
     tok = load(path)
-    return lambda texts: [WordIds.value(tok.encode(t, add_special_tokens=False)) for t in texts]
+    plain = lambda texts: texts.to_pylist() if isinstance(texts, pa.Array) else texts
+    return lambda texts: [WordIds.value(tok.encode(t, add_special_tokens=False)) for t in plain(texts)]
 
 
 class _Blocks:
@@ -191,7 +240,7 @@ def write_ids(docs: DataFrame, path: str, out: str, *, end_id: int = 2, part_byt
             if not batch.num_rows:
                 continue
             blocks = blocks or _Blocks(batch.column(2)[0].as_py())
-            for doc, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+            for doc, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
                 blocks.add(doc, np.frombuffer(raw + end, "<u4"))
             if len(blocks.full) >= LANES:
                 yield batch_of(blocks.coded())
