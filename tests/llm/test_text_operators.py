@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -134,6 +135,18 @@ def test_store_ids_of_capitals_with_combining_marks():
         assert np.frombuffer(enc([t])[0], "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, ascii(t)
 
 
+def test_store_ids_of_arrow_texts_with_little_memory(monkeypatch):
+    tok, enc = Tokenizer.from_file(WORD_BPE), token_store.encoder(WORD_BPE)
+    for name, few in (("most", 20), ("longest", 6)):
+        monkeypatch.setattr(enc, name, few)
+    plain = ["", "  \n", "A plain Text, with marks... and\twords", "über naïve| ß!! \x0bx", "x" * 70 + " end"]
+    odd = ["Two <|endoftext|> Words", "J\u030cA plain T\u0308 Text", "\u0345"]
+    for t in (noise(60, 21), plain + odd, [], odd, plain):
+        got = enc(pa.array(t, pa.string()))
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tok.encode(x, add_special_tokens=False).ids for x in t]
+        assert len(enc.known) <= 20 + sum(len(x.split()) for x in t) and all(len(w) <= 6 for w in enc.known)
+
+
 def test_store_query(spark):
     tok, got, start = Tokenizer.from_file(WORD_BPE), result(spark, "op10_token_store"), 0
     for i, t in sorted(texts(spark).items()):
