@@ -139,6 +139,49 @@ def _block_pairs(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.explode(pairs).alias("_p")).select(key, "_p.a", "_p.b")
 
 
+def commit_blocks(commit_files: DataFrame, key: str = "repo_id", commit: str = "commit_id", path: str = "path", block_files: int = 256) -> DataFrame:
+    """The rows of ``_blocks`` for a table that several readers share: (key, _i, _j, _x, _y, _none).
+
+    The files of a commit are counted where they lie, not by a join with a second reading, so the commit table is shuffled
+    once. ``_none`` tells whether a commit holds a row without a path.
+    """
+    n = F.count(path).over(Window.partitionBy(key, commit))
+    own = (commit_files.select(key, commit, path, F.greatest(F.ceil(n / F.lit(block_files)), F.lit(1)).cast("int").alias("_k"))
+           .withColumn("_at", F.pmod(F.xxhash64(path), F.col("_k")).cast("int")))
+    row = lambda o: F.struct(F.least("_at", o).alias("_i"), F.greatest("_at", o).alias("_j"), (F.col("_at") <= o).alias("_left"))
+    met = own.select(key, commit, path, F.explode(F.transform(F.sequence(F.lit(0), F.col("_k") - 1), row)).alias("_to")).select(key, commit, path, "_to.*")
+    return (met.groupBy(key, commit, "_i", "_j")
+            .agg(F.array_sort(F.collect_set(F.when(F.col("_left"), F.col(path)))).alias("_x"),
+                 F.array_sort(F.collect_set(F.when(~F.col("_left"), F.col(path)))).alias("_y"), F.bool_or(F.col(path).isNull()).alias("_none"))
+            .drop(commit))
+
+
+def _absent(blocks: DataFrame):
+    """An array with one null, of the type of the block's files."""
+    return F.array(F.lit(None).cast(blocks.schema["_x"].dataType.elementType))
+
+
+def blocks_files(blocks: DataFrame, key: str = "repo_id") -> DataFrame:
+    """Distinct (key, path) of ``commit_blocks``; path is null for rows without one."""
+    return blocks.select(key, F.explode(F.when(F.col("_none"), F.concat("_x", "_y", _absent(blocks))).otherwise(F.concat("_x", "_y"))).alias("path")).distinct()
+
+
+def dealt_ratios(blocks: DataFrame, parts: int, key: str = "repo_id") -> DataFrame:
+    """``cochange_ratios`` of ``commit_blocks``, all rows of a file in one of ``parts`` partitions, by (key, a).
+
+    What is shuffled is not each pair but a row for each file of a commit, with the others as one array; the pairs
+    arise where they are counted. The row of a file in its own block ends with a null: the count of these is its number of commits.
+    """
+    star = lambda a, others, own: F.struct(a.alias("a"), others.alias("_to"), F.lit(own).alias("_own"))
+    within = F.transform("_x", lambda a: star(a, F.array_remove("_x", a), True))
+    across = F.concat(F.transform("_x", lambda a: star(a, F.col("_y"), False)), F.transform("_y", lambda b: star(b, F.col("_x"), False)))
+    stars = blocks.select(key, F.explode(F.when(F.col("_i") == F.col("_j"), within).otherwise(across)).alias("_s")).select(key, "_s.*").repartition(parts, key, "a")
+    met = stars.select(key, "a", F.explode(F.when(F.col("_own"), F.concat("_to", _absent(blocks))).otherwise(F.col("_to"))).alias("b"))
+    total = F.max(F.when(F.col("b").isNull(), F.col("joint"))).over(Window.partitionBy(key, "a")).alias("total_a")
+    return (met.groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("joint")).select(key, "a", "b", "joint", total).where("b IS NOT NULL")
+            .withColumn("pct", scores.pct("joint", "total_a")))
+
+
 def cooccurrence(commit_files: DataFrame, key: str = "repo_id", commit: str = "commit_id",
                  path: str = "path", code_only: bool = False, block_files: int = 256) -> DataFrame:
     """Joint commit count of each unordered file pair -> (key, a, b, joint) with a < b.

@@ -18,11 +18,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from archspark.operators import history
-from archspark.session import cut_round
+from archspark.session import cut_round, stored
 from archspark.sources.tables import Tables
 
 REPO = "repo_id"
 
+#: lines whose commits' pairs are counted in one partition
+LINES_A_PART = 100_000
+
 
 def commits(t: Tables) -> DataFrame:
     o = t.orders
@@ -45,6 +48,16 @@ def supplier_commits(t: Tables) -> DataFrame:
     return _commit_files(t, "l_suppkey")
 
 
+def supplier_blocks(t: Tables) -> DataFrame:
+    """The supplier commits as rows of arrays, stored: lines and orders are joined once for the files and all pairs."""
+    return stored(history.commit_blocks(supplier_commits(t)))
+
+
+def pair_parts(t: Tables) -> int:
+    """Partitions for the pairs of the lines' commits."""
+    return max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), -(-t.lineitem.count() // LINES_A_PART))
+
+
 def nation_edges(t: Tables) -> DataFrame:
     """(repo_id, src, dst): src buys from dst at least 1.5 times as much as from its mean partner nation."""
     li = t.lineitem.select("l_orderkey", "l_suppkey")

@@ -241,6 +241,55 @@ def test_group_heads_outside_the_inventory_do_not_count(spark):
     assert got == want
 
 
+def test_dealt_ratios_equal_plain_ones(spark):
+    rows = [("r", f"c{c}", f"f{(c * c + j * (c % 5 + 1)) % 23}") for c in range(30) for j in range(1 + c % 18)]
+    rows += [("s", "c1", "f1"), ("s", "c1", "f1"), ("s", "c2", None), ("s", "c2", "f2"), ("t", "c3", None), (None, "c4", "f1"), (None, "c4", "f2")]
+    cf = spark.createDataFrame(rows, "repo_id string, commit_id string, path string")
+    for block_files in (3, 256):
+        blocks = history.commit_blocks(cf, block_files=block_files)
+        dealt = history.dealt_ratios(blocks, 5)
+        assert dealt.columns == (plain := history.cochange_ratios(cf).where("repo_id IS NOT NULL")).columns
+        assert sorted(map(tuple, dealt.where("repo_id IS NOT NULL").collect())) == sorted(map(tuple, plain.collect()))
+        assert {tuple(r) for r in history.blocks_files(blocks).collect()} == {(k, p) for k, _, p in rows}
+
+
+def test_companions_are_the_best_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    for names, dealt in ((2, None), (40, 6)):  # hot groups; many names, so that masks meet without a shared name
+        n, k = 26, 3
+        path = lambda i: f"f{i:02d}"
+        ms = {i: {f"m{rng.randrange(names)}" for _ in range(rng.randrange(3))} for i in range(n)}
+        rs = {i: {f"/r{rng.randrange(4 * names)}" for _ in range(rng.randrange(4))} for i in range(n)}
+        e = {(rng.randrange(n), rng.randrange(n + 2)) for _ in range(25)}
+        cc = {(rng.randrange(n), rng.randrange(n)): rng.choice([0, 1, 2, 5, 30, 90]) for _ in range(300)}
+        make = lambda rows, cols: spark.createDataFrame([("r", *x) for x in rows], f"repo_id string, {cols}")
+        files = make([(path(i),) for i in range(n)] * 2, "path string")
+        models = make([(path(i), m) for i in ms for m in ms[i]], "path string, model string")
+        routes = make([(path(i), r) for i in rs for r in rs[i]], "path string, route string")
+        edges = make([(path(a), path(b)) for a, b in e], "src string, dst string")
+        ratios = make([(path(a), path(b), p, (a, b) in e) for (a, b), p in cc.items()], "a string, b string, pct bigint, edge boolean")
+        if dealt:
+            ratios = ratios.unionByName(make([(path(a), path(b), 0, True) for a, b in e - set(cc)], "a string, b string, pct bigint, edge boolean")).repartition(dealt, "repo_id", "a")
+        else:
+            ratios = ratios.drop("edge")
+        want = set()
+        for t in range(n):
+            found = []
+            for f in range(n):
+                s = 500 * ((f, t) in e) + 400 * ((t, f) in e) + 300 * bool(ms[t] & ms[f]) + 200 * bool(rs[t] & rs[f]) + 5 * cc.get((t, f), 0)
+                if s and f != t:
+                    found.append((-min(50 + (s + 10) // 20, 99), path(f), s))
+            want |= {(path(t), f, s, i) for i, (_, f, s) in enumerate(sorted(found)[:k], 1)}
+        got = companions.companions(files, edges, models, routes, ratios, k=k, dealt=dealt).collect()
+        assert {(r.target, r.file, r.score, r.rank) for r in got} == want and len(got) == len(want)
+        shared = {(r.target, r.file): r.reason for r in got}
+        for (t, f), reason in shared.items():
+            for m in ms[int(t[1:])] & ms[int(f[1:])]:
+                assert m in reason
+
+
 def test_layers_are_not_shuffled_by_layer(spark):
     a = spark.createDataFrame([("r", f"f{i}", "A" if i % 2 else "B", 5) for i in range(8)], "repo_id string, path string, layer string, score bigint")
     pri = spark.createDataFrame([("A", 1), ("B", 2)], "layer string, priority int")

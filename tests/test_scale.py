@@ -5,7 +5,7 @@ from itertools import permutations
 
 from pyspark.sql import functions as F
 
-from archspark.operators import facts, history, intent, joins
+from archspark.operators import companions, facts, history, intent, joins
 from archspark.plans import bindings, queries
 from archspark.plans.code_corpus import Code
 from archspark.sources.tables import Tables
@@ -113,3 +113,45 @@ def test_layer_heads_are_cut_before_a_layer_meets_in_one_task(spark):
                 want |= {(x[0], x[1], x[2]) for x in sorted((x for x in rows if (x[0], x[2]) == g), key=lambda x: (-points(x), x[1]))[:4]}
     found = list(map(tuple, heads.collect()))
     assert len(found) == len(want) and set(found) == want
+
+
+def _supplier_tables(spark, folder):
+    rows = [(o, 1 + (o * o + j * (o % 7 + 1)) % 13, 1 + (o * 3 + j) % 9) for o in range(80) for j in range(1 + o % 5)]
+    rows += [(o, s, 2) for o in range(80, 95) for s in (1, 2)] + [(3, None, 1), (3, 1, 4), (3, 1, 4)]
+    spark.createDataFrame([(o, f"p{o % 2}", "2020-01-01", 1) for o in range(95)], "o_orderkey long, o_orderpriority string, o_orderdate string, o_custkey long"
+                          ).write.parquet(str(folder / "orders.parquet"))
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_partkey long").write.parquet(str(folder / "lineitem.parquet"))
+    spark.createDataFrame([(s, s % 3) for s in range(1, 14)], "s_suppkey long, s_nationkey int").write.parquet(str(folder / "supplier.parquet"))
+    spark.createDataFrame([(p, f"T{p % 4}") for p in range(1, 10)], "p_partkey long, p_type string").write.parquet(str(folder / "part.parquet"))
+    return str(folder)
+
+
+def _first_branch(plan: str, node: str) -> list[str]:
+    """The first lines of each operator below ``node``, down its first branch."""
+    lines = [x.rstrip() for x in plan.splitlines()]
+    at = next(i for i, x in enumerate(lines) if node in x)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    out, last = [], depth(lines[at])
+    for x in lines[at + 1:]:
+        if depth(x) <= last:
+            break
+        out.append(x.lstrip(" :+-"))
+        last = depth(x)
+    return out
+
+
+def test_cochange_rows_are_not_shuffled_before_most_are_dropped(spark, tmp_path):
+    plan = _plan(queries.companion_files(spark, _supplier_tables(spark, tmp_path)))
+    below = _first_branch(plan, "Window [nth_value")
+    first = next(i for i, x in enumerate(below) if x.startswith("Exchange"))
+    assert "REPARTITION_BY_NUM" in below[first] and any(x.startswith("Union") for x in below[:first])
+    assert any(x.startswith("Generate explode") for x in below[:first])  # the pairs arise after their only shuffle
+
+
+def test_supplier_queries_agree_with_pairs_of_plain_ratios(spark, tmp_path):
+    d = _supplier_tables(spark, tmp_path)
+    t = Tables(spark, d)
+    ratios = history.cochange_ratios(bindings.supplier_commits(t))
+    files = bindings.supplier_files(t)
+    want = companions.companions(files, bindings.supplier_edges(t, ratios), bindings.supplier_models(t), bindings.supplier_routes(t), ratios).collect()
+    assert want and sorted(queries.companion_files(spark, d).collect()) == sorted(want)
