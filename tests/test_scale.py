@@ -155,3 +155,12 @@ def test_supplier_queries_agree_with_pairs_of_plain_ratios(spark, tmp_path):
     files = bindings.supplier_files(t)
     want = companions.companions(files, bindings.supplier_edges(t, ratios), bindings.supplier_models(t), bindings.supplier_routes(t), ratios).collect()
     assert want and sorted(queries.companion_files(spark, d).collect()) == sorted(want)
+
+
+def test_impact_graph_sends_names_for_what_is_left_only(spark, tmp_path):
+    plan = _plan(queries.impact_graph(spark, _supplier_tables(spark, tmp_path)))
+    below = _first_branch(plan, "Window [row_number() windowspecdefinition(repo_id")
+    sent = [x for x in below if x.startswith(("Exchange", "Window [nth_value", "SortMergeJoin"))]
+    assert [x.split()[0] for x in sent] == ["SortMergeJoin", "Exchange", "SortMergeJoin", "Exchange", "SortMergeJoin", "Window", "Exchange"]
+    short = below[below.index(sent[3]) + 1]  # what goes to the other end before names are compared
+    assert "need#" in short and "ms#" not in short and "rs#" not in short
