@@ -164,3 +164,11 @@ def test_impact_graph_sends_names_for_what_is_left_only(spark, tmp_path):
     assert [x.split()[0] for x in sent] == ["SortMergeJoin", "Exchange", "SortMergeJoin", "Exchange", "SortMergeJoin", "Window", "Exchange"]
     short = below[below.index(sent[3]) + 1]  # what goes to the other end before names are compared
     assert "need#" in short and "ms#" not in short and "rs#" not in short
+
+
+def test_impact_nodes_take_their_files_from_the_stored_commits(spark, tmp_path):
+    d = _supplier_tables(spark, tmp_path)
+    found = queries.impact_nodes(spark, d)
+    assert "lineitem" not in _plan(found)
+    want = {tuple(r) for r in bindings.supplier_files(Tables(spark, d)).collect()}
+    assert {(r.repo_id, r.target) for r in found.where("kind = 'center'").collect()} == want and ("p1", None) in want
