@@ -172,3 +172,10 @@ def test_impact_nodes_take_their_files_from_the_stored_commits(spark, tmp_path):
     assert "lineitem" not in _plan(found)
     want = {tuple(r) for r in bindings.supplier_files(Tables(spark, d)).collect()}
     assert {(r.repo_id, r.target) for r in found.where("kind = 'center'").collect()} == want and ("p1", None) in want
+
+
+def test_simulated_impact_takes_its_files_from_the_stored_commits(spark, tmp_path):
+    d = _supplier_tables(spark, tmp_path)
+    found = queries.simulated_impact(spark, d)
+    assert "lineitem" not in _plan(found)
+    assert {(r.repo_id, r.target) for r in found.collect()} == {tuple(r) for r in bindings.supplier_files(Tables(spark, d)).collect()}
