@@ -75,32 +75,29 @@ def _points(flag: str, n: int):
 
 
 def _reaching(cands: DataFrame, k: int, key: str, listed: bool = False) -> DataFrame:
-    """The candidates that can be among their target's ``k`` first (see the module's text).
+    """The candidates that can be among their target's ``k`` first (see the module's text), with ``need``: how many points of
+    names not yet compared a candidate wants for that at least.
 
-    ``listed``: ``has_m`` and ``has_r`` come from lists, so they are final where one is set, and of equal confidences the
-    path decides. A column ``need`` then says how many points of names not yet compared a candidate wants at least.
+    ``listed``: ``has_m`` and ``has_r`` come from the lists of first files, so both are final where one is set, and of equal
+    confidences the path decides.
     """
+    grouped = F.col("has_m") | F.col("has_r")  # by a group: an inventory file, whose score is sure
     least = _points("imp_in", 500) + _points("imp_out", 400) + 5 * F.col("pct") + _points("has_m", 300) + _points("has_r", 200)
     c = cands.withColumn("_least", least)
-    grouped = F.col("has_m") | F.col("has_r")  # by a group: an inventory file
-    w = Window.partitionBy(key, "target")
-    whole = lambda *order: w.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    if not listed:
-        c = c.withColumn("_most", F.col("_least") + _points("has_m", -300) + _points("has_r", -200) + 500)
-        sure = F.when(grouped, F.col("_least"))
-        return (c.withColumn("_kth", F.coalesce(F.nth_value(sure, k).over(whole(sure.desc_nulls_last())), F.lit(0)))
-                .where(_confidence("_most") >= _confidence("_kth")).drop("_least", "_most", "_kth", "has_m", "has_r"))
     sure = F.when(grouped, _confidence("_least"))
-    c = c.withColumn("_kth", F.nth_value(F.when(grouped, F.struct(sure.alias("c"), F.col("file").alias("f"))), k)
-                     .over(whole(sure.desc_nulls_last(), "file")))
+    w = (Window.partitionBy(key, "target").orderBy(sure.desc_nulls_last(), "file")
+         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    c = c.withColumn("_kth", F.nth_value(F.when(grouped, F.struct(sure.alias("c"), F.col("file").alias("f"))), k).over(w))
+    ties = F.col("file") <= F.col("_kth.f") if listed else F.lit(True)
 
     def reaches(points):
         best = _confidence(f"_least + {points}")
-        return F.col("_kth").isNull() | (best > F.col("_kth.c")) | ((best == F.col("_kth.c")) & (F.col("file") <= F.col("_kth.f")))
+        return F.col("_kth").isNull() | (best > F.col("_kth.c")) | ((best == F.col("_kth.c")) & ties)
 
     need = F.when(reaches(0), 0)
-    for points in (200, 300, 500):
-        need = need.when(~grouped & reaches(points), points)
+    no_m, no_r = ~F.col("has_m"), ~F.col("has_r")
+    for points, missing in ((200, no_r), (300, no_m), (500, no_m & no_r)):
+        need = need.when((~grouped if listed else missing) & reaches(points), points)
     return c.withColumn("need", need).where("need IS NOT NULL").drop("_least", "_kth", "has_m", "has_r")
 
 
